@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules that hold an op query, in the order of their numbers.
-MODULES = ("sharding", "mixing", "simhash", "records")
+MODULES = ("sharding", "decontaminate", "mixing", "simhash", "records")
 
 
 def queries() -> dict:
