@@ -1,6 +1,62 @@
-"""The corpus pipeline: five operators in a row over ``documents``."""
+"""The corpus pipeline: five operators in a row over ``documents``.
+
+Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next stage's documents.
+All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from vectide.llm.common import keep, read
+from vectide.llm.decontaminate import without_contaminated
+from vectide.llm.mixing import mixed_documents
+from vectide.llm.records import tokenized
+from vectide.llm.simhash import one_of_each
+from vectide.llm.toxicity import without_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go."""
+    return without_toxic(docs, read(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints stays: the one with the smallest doc_id."""
+    return one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item within its error budget go."""
+    return without_contaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes: one row for each pass that takes words of a document, with these words."""
+    return mixed_documents(docs)
+
+
+def binary_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Record files of token ids; the result is their index, read back from them."""
+    return tokenized(docs).select("doc_id", "start", "n_tokens", "ids_crc32", "file", "offset", "length")
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("simhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontamination),
+    ("source_mixing", mixing),
+    ("token_id_binary_output", binary_output),
+]
+
+#: No SQL: the stages train a model, draw pseudorandom permutations and run a tokenizer.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = keep(docs, f"pipeline-{name}")
+    return docs

@@ -4,19 +4,21 @@ from __future__ import annotations
 
 from importlib import import_module
 
+import corpus_pipeline
+
 #: Modules that hold an op query, in the order of their numbers.
-MODULES = ("sharding", "decontaminate", "mixing", "simhash", "records")
+MODULES = ("sharding", "decontaminate", "mixing", "simhash", "toxicity", "records")
 
 
 def queries() -> dict:
     out = {}
     for name in MODULES:
         out |= import_module(f"vectide.llm.{name}").QUERIES
-    return out
+    return out | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {}
     for name in MODULES:
         out |= getattr(import_module(f"vectide.llm.{name}"), "ORACLE_SQL", {})
-    return out
+    return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
