@@ -65,11 +65,12 @@ def permuted(x: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     while len(todo):
         v, h, m, k = out[todo], half[todo], mask[todo], key[todo]
         a, b = v >> h, v & m
-        for i in range(4):
-            z = (b + k * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i + 1) * np.uint64(0xD1B54A32D192ED03)).astype(np.uint64)
-            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            a, b = b, a ^ ((z ^ (z >> np.uint64(31))) & m)
+        with np.errstate(over="ignore"):
+            for i in range(4):
+                z = (b + k * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i + 1) * np.uint64(0xD1B54A32D192ED03)).astype(np.uint64)
+                z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                a, b = b, a ^ ((z ^ (z >> np.uint64(31))) & m)
         out[todo] = (a << h) | b
         todo = todo[out[todo] >= n[todo]]
     return out.astype(np.int64)
