@@ -7,7 +7,7 @@ from importlib import import_module
 import corpus_pipeline
 
 #: Modules that hold an op query, in the order of their numbers.
-MODULES = ("sharding", "decontaminate", "secrets", "mixing", "simhash", "toxicity", "records")
+MODULES = ("sharding", "decontaminate", "neighbours", "secrets", "mixing", "simhash", "toxicity", "records")
 
 
 def queries() -> dict:
