@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: Text that one file holds about, in bytes; a file is one row while it is written and read.
 FILE_BYTES = 16 << 20
 #: Entries after which a task's chunk memory starts anew.
-MEMORY = 300_000
+MEMORY = 120_000
 MASK = 0xA282EAD8
 
 # What the fast path takes: see the module's text.
@@ -111,6 +112,17 @@ class Encoder:
         return out
 
 
+def encoder_of_worker(path: str) -> Encoder:
+    """The encoder of this Python process: tasks of a reused worker share it, as functions that come by value share no
+    module of their own."""
+    import tokenizers
+
+    held = tokenizers.__dict__.setdefault("_vectide_encoders", {})
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
+
+
 def masked(data: bytes) -> int:
     c = zlib.crc32(data)
     return ((c >> 15 | c << 17) + MASK) & 0xFFFFFFFF
@@ -150,14 +162,16 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int
     rows = rows.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def encode(batches):
-        encoder = Encoder(vocabulary)
+        encoder = encoder_of_worker(vocabulary)
         for batch in batches:
-            pdf = batch if isinstance(batch, pd.DataFrame) else batch.to_pandas()
-            ids = encoder.encode(pdf["text"].tolist())
-            # the writer adds each row's newline
-            yield pd.DataFrame({"record": [framed(d, x + end)[:-1] for d, x in zip(pdf["doc_id"].tolist(), ids, strict=True)]})
-
-    rows.mapInPandas(encode, "record binary").select(F.col("record").cast("string").alias("value")).write.text(path)
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                ids = encoder.encode(part.column(1).to_pylist())
+                # the writer adds each row's newline
+                records = [framed(d, x + end)[:-1] for d, x in zip(part.column(0).to_pylist(), ids, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], names=["record"])
+
+    rows.mapInArrow(encode, "record binary").select(F.col("record").cast("string").alias("value")).write.text(path)
     return path
 
 
