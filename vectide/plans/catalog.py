@@ -1,11 +1,427 @@
-"""Registered queries and their SQL."""
+"""Registered queries and their SQL.
+
+Queries with SQL work on series of one or two variables, where closed forms exist; those without draw random numbers or
+need special functions, and are tested against NumPy.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vectide.functions.design import Lags, group_matrix, har_matrix, minnesota_dummies, with_design
+from vectide.functions.special import gamma_from_mode
+from vectide.operators import backtest, criteria, forecast, gram, mcmc, metrics, niw, ols, posterior, priors, simulate, structure, tidy, tuning
+from vectide.sources.series import SeriesFrame, daily_prices, hourly_events, interpolate, split_tail, weekly_prices
+
+HOLD_OUT = 20
+H = 3
+
+
+def rounded(df: DataFrame, digits: int = 6, **other: int) -> DataFrame:
+    kinds = dict(df.dtypes)
+    return df.select(*[F.round(c, other.get(c, digits)).alias(c) if kinds[c] == "double" else F.col(c) for c in df.columns])
+
+
+def rows(spark: SparkSession, schema: str, data: list) -> DataFrame:
+    return spark.createDataFrame([tuple(float(x) if isinstance(x, np.floating) else int(x) if isinstance(x, np.integer) else x for x in r) for r in data], schema)
+
+
+def one(spark, d: str, name: str = "y_A") -> SeriesFrame:
+    return SeriesFrame(weekly_prices(spark, d).df.select("t", name), (name,))
+
+
+def two(spark, d: str) -> SeriesFrame:
+    return SeriesFrame(weekly_prices(spark, d).df.select("t", "y_A", "y_N"), ("y_A", "y_N"))
+
+
+PLAIN = Lags(1, None, False)
+
+
+def naive_and_mean(spark, d: str):
+    """Hold-out rows with two forecasts: the last training value, and the training mean as the benchmark."""
+    train, test = split_tail(weekly_prices(spark, d), HOLD_OUT)
+    long = train.long()
+    by = long.groupBy("series").agg(F.max_by("value", "t").alias("forecast"), F.avg("value").alias("benchmark"))
+    return test.long().withColumnRenamed("value", "actual").join(by, "series"), train
+
+
+# Series
+
+def series_wide(spark, d):
+    return rounded(weekly_prices(spark, d).df.select("t", "w", "y_A", "y_N", "y_R"), 4)
+
+
+def series_long(spark, d):
+    return rounded(weekly_prices(spark, d).long(), 4)
+
+
+def interpolate_linear(spark, d):
+    return rounded(interpolate(hourly_events(spark, d)).df.select("t", "h", *[f"y_{c}" for c in ("click", "error", "purchase", "signup", "view")]))
+
+
+def split_tail_query(spark, d):
+    train, test = split_tail(weekly_prices(spark, d), HOLD_OUT)
+    part = lambda s, n: s.df.select("t", F.lit(n).alias("part"), F.round("y_A", 4).alias("y_A"))
+    return part(train, "train").unionByName(part(test, "test"))
+
+
+def lag_design(spark, d):
+    return rounded(with_design(two(spark, d), Lags(2)).select("t", "y_A_1", "y_N_1", "y_A_2", "y_N_2", "const"), 4)
+
+
+def har_design(spark, d):
+    return rounded(with_design(one(spark, d), Lags(har=(5, 22))).select("t", "y_A_day", "y_A_week", "y_A_month", "const"), 4)
+
+
+# Small matrices
+
+def har_matrix_query(spark, d):
+    m = har_matrix(2, 5, 22)
+    return rounded(rows(spark, "r int, c int, value double", [(i + 1, j + 1, v) for (i, j), v in np.ndenumerate(m)]))
+
+
+def _groups(kind):
+    return lambda spark, d: rows(spark, "r int, c int, grp int", [(i + 1, j + 1, v) for (i, j), v in np.ndenumerate(group_matrix(3, 2, kind))])
+
+
+def minnesota_dummies_query(spark, d):
+    y, x = minnesota_dummies(np.array([2.0, 5.0]), 3, 0.1, np.array([1.0, 0.5]), 1e-4)
+    both = np.hstack([y, x])
+    return rounded(rows(spark, "r int, c int, value double", [(i + 1, j + 1, v) for (i, j), v in np.ndenumerate(both)]))
+
+
+# Least squares
+
+def gram_lag1(spark, d):
+    g = gram.gram(with_design(two(spark, d), PLAIN), ["y_A_1", "y_N_1"], ["y_A", "y_N"])
+    cells = [("xx", g.xx), ("xy", g.xy), ("yy", g.yy)]
+    return rounded(rows(spark, "part string, r int, c int, value double", [(n, i + 1, j + 1, v / 1e6) for n, a in cells for (i, j), v in np.ndenumerate(a)]), 3)
+
+
+def ar1_ols(spark, d):
+    data = [(c, *ols.var_lm(one(spark, d, c), 1).coef[:, 0]) for c in ("y_A", "y_N", "y_R")]
+    return rounded(rows(spark, "series string, slope double, intercept double", data), 6, intercept=3)
+
+
+def ar1_infer(spark, d):
+    return rounded(ols.infer(ols.var_lm(one(spark, d), 1), spark).drop("p_value"), 4, estimate=3, std_error=3)
+
+
+def var1_ols_2d(spark, d):
+    return rounded(ols.fit_ols(two(spark, d), PLAIN).coefficients(spark).select("term", "response", "estimate"))
+
+
+def har_ols_1d(spark, d):
+    return rounded(ols.vhar_lm(one(spark, d), (5, 22), False).coefficients(spark).select("term", "estimate"))
+
+
+def var1_fitted(spark, d):
+    return rounded(ols.fit_ols(two(spark, d), PLAIN).with_fitted(two(spark, d)), 3)
+
+
+def var1_resid_cov(spark, d):
+    s = ols.fit_ols(two(spark, d), PLAIN).sigma
+    return rounded(rows(spark, "r int, c int, value double", [(i + 1, j + 1, v) for (i, j), v in np.ndenumerate(s)]), 1)
+
+
+def ic_table_ar(spark, d):
+    t = tuning.choose_var(SeriesFrame(one(spark, d).df, ("y_A",)), spark, 2, False)
+    return rounded(t.table.withColumn("FPE", F.col("FPE") / 1e6), 5, FPE=3)
+
+
+def loglik_ar1(spark, d):
+    m = ols.var_lm(one(spark, d), 1)
+    return rounded(rows(spark, "log_lik double, aic double, bic double, hq double", [(criteria.log_lik(m), criteria.aic(m), criteria.bic(m), criteria.hq(m))]), 4)
+
+
+# Structure
+
+def stableroot_2d(spark, d):
+    r = structure.stable_roots(ols.fit_ols(two(spark, d), PLAIN))
+    return rounded(rows(spark, "i int, root double", [(i + 1, v) for i, v in enumerate(r)]))
+
+
+def vma_2d(spark, d):
+    w = structure.model_vma(ols.fit_ols(two(spark, d), PLAIN), 5)
+    return rounded(rows(spark, "period int, shock int, response int, value double", [(h, i + 1, j + 1, v) for (h, i, j), v in np.ndenumerate(w)]))
+
+
+def irf_2d(spark, d):
+    return rounded(structure.irf(ols.fit_ols(two(spark, d), PLAIN), spark, 5, False, impulse=["y_A"]))
+
+
+def irf_ortho_2d(spark, d):
+    return rounded(structure.irf(ols.fit_ols(two(spark, d), PLAIN), spark, 5, True, response=["y_N"]), 2)
+
+
+def fevd_2d(spark, d):
+    m = ols.fit_ols(two(spark, d), PLAIN)
+    f = structure.fevd(structure.model_vma(m, 1), m.sigma)
+    return rounded(rows(spark, "step int, response int, shock int, value double", [(h + 1, i + 1, j + 1, v) for (h, i, j), v in np.ndenumerate(f)]))
+
+
+def spillover_2d(spark, d):
+    return rounded(structure.spillover_margins(structure.spillover(ols.fit_ols(two(spark, d), PLAIN), spark, 2)), 4)
+
+
+def spillover_pairs_2d(spark, d):
+    return rounded(structure.net_pairwise(structure.spillover(ols.fit_ols(two(spark, d), PLAIN), spark, 2), 2), 4)
+
+
+# Forecasts
+
+def forecast_ar1(spark, d):
+    sf = one(spark, d)
+    return rounded(forecast.predict(ols.var_lm(sf, 1), sf, 5).select("h", "forecast", "se"), 2)
+
+
+def forecast_bands_ar1(spark, d):
+    sf = one(spark, d)
+    return rounded(forecast.predict(ols.var_lm(sf, 1), sf, 5), 2).drop("series", "se", "forecast")
+
+
+def roll_ar1(spark, d):
+    return rounded(backtest.forecast_roll(one(spark, d), Lags(1), 100, 2, weekly_prices(spark, d).count()).select("window", "t", "forecast"), 2)
+
+
+def expand_ar1(spark, d):
+    return rounded(backtest.forecast_expand(one(spark, d), Lags(1), 100, 2, weekly_prices(spark, d).count()).select("window", "t", "forecast"), 2)
+
+
+def dynamic_spillover_2d(spark, d):
+    long = backtest.dynamic_spillover(two(spark, d), PLAIN, 120, 1)
+    return rounded(structure.spillover_margins(long, ("t_end",)).select("t_end", "series", "to", "from", "net", "total"), 3)
+
+
+# Conjugate models
+
+def minnesota_post_1d(spark, d):
+    p = niw.bvar_minnesota(one(spark, d), 1, priors.MinnesotaSpec((4000.0,), 0.1, 1.0), False)
+    return rounded(rows(spark, "mean double, prec double, scale double, shape double", [(p.coef[0, 0], p.prec[0, 0] / 1e6, p.scale[0, 0] / 1e6, float(p.shape))]), 6, prec=1, scale=1)
+
+
+def flat_post_1d(spark, d):
+    p = niw.bvar_flat(one(spark, d), 1, 1.0, False)
+    return rounded(rows(spark, "mean double, prec double, scale double, shape double", [(p.coef[0, 0], p.prec[0, 0] / 1e6, p.scale[0, 0] / 1e6, float(p.shape))]), 6, prec=1, scale=1)
+
+
+def gamma_hyper(spark, d):
+    return rounded(rows(spark, "mode double, sd double, shape double, rate double", [(m, s, *gamma_from_mode(m, s)) for m in (0.2, 1.0) for s in (0.4, 2.0)]))
+
+
+# Losses
+
+def _loss(name):
+    def query(spark, d):
+        joined, train = naive_and_mean(spark, d)
+        f = getattr(metrics, name)
+        return rounded(f(joined, train) if name in ("mase", "rmase") else f(joined), 4)
+
+    return query
+
+
+LOSSES = ("mse", "mae", "mape", "mase", "mrae", "relmae", "rmape", "rmase", "rmsfe", "rmafe")
+
+
+def gather_loss(spark, d):
+    joined, _ = naive_and_mean(spark, d)
+    other = joined.withColumn("forecast", F.col("benchmark"))
+    return rounded(metrics.gather_loss({m: {"mae": metrics.mae(r), "mape": metrics.mape(r)} for m, r in (("naive", joined), ("mean", other))}), 3)
+
+
+def gather_predictions(spark, d):
+    train, _ = split_tail(one(spark, d), HOLD_OUT)
+    last = train.df.agg(F.max_by("y_A", "t").alias("f"), F.avg("y_A").alias("m"))
+    make = lambda c: last.select(F.explode(F.sequence(F.lit(1), F.lit(H))).alias("h"), F.lit("y_A").alias("series"), F.col(c).alias("forecast"))
+    return rounded(tidy.gather_predictions({"naive": make("f"), "mean": make("m")}, train), 4)
+
+
+# Draws: the embeddings table read as draws of a parameter vector in two chains
+
+def pseudo_draws(spark, d) -> DataFrame:
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.posexplode("embedding").alias("pos", "value"))
+    thr = F.col("value").cast("double")
+    value = F.when(F.abs(thr) < 0.05, 0.0).otherwise(thr)
+    return e.select((F.col("vec_id") % 2).cast("int").alias("chain"), (F.floor(F.col("vec_id") / 2) + 1).cast("int").alias("iteration"), F.lit("alpha").alias("param"), (F.col("pos") + 1).cast("int").alias("idx"), value.alias("value"))
+
+
+def draw_summary(spark, d):
+    return rounded(posterior.summarise(posterior.thin(pseudo_draws(spark, d), 10, 2), 0.1))
+
+
+def pip(spark, d):
+    return rounded(posterior.inclusion(pseudo_draws(spark, d)))
+
+
+def ci_select(spark, d):
+    return rounded(posterior.select_by_interval(pseudo_draws(spark, d), 0.9))
+
+
+def pip_select(spark, d):
+    draws = pseudo_draws(spark, d)
+    return rounded(posterior.select_by_inclusion(draws, posterior.inclusion(draws), 0.7))
+
+
+def rhat(spark, d):
+    return rounded(posterior.rhat(pseudo_draws(spark, d)))
+
+
+def tail_quantile(spark, d):
+    return rounded(posterior.tail_quantile(pseudo_draws(spark, d), 0.1))
+
+
+def _halves(spark, d):
+    s = pseudo_draws(spark, d).groupBy("param", "idx", "chain").agg(F.avg("value").alias("value"))
+    return s.filter("chain = 0").drop("chain"), s.filter("chain = 1").drop("chain")
+
+
+def confusion(spark, d):
+    return posterior.confusion(*_halves(spark, d), 0.004)
+
+
+def selection_scores(spark, d):
+    return rounded(posterior.selection_scores(confusion(spark, d)))
+
+
+def fromse(spark, d):
+    return rounded(posterior.frobenius_error(*_halves(spark, d), 32, 2))
+
+
+# Without SQL
+
+SHORT = {"chains": 2, "n_iter": 30, "burn": 10}
+
+
+def _bayes(prior, cov, har):
+    def query(spark, d):
+        sf = split_tail(weekly_prices(spark, d), 200)[0]
+        spec = priors.BayesSpec(priors.PRIORS[prior](), cov, **SHORT)
+        fit = mcmc.vhar_bayes(sf, (5, 22), spec) if har else mcmc.var_bayes(sf, 1, spec)
+        return posterior.summarise(fit.draws.filter("param IN ('alpha', 'alpha_sparse', 'c', 'a', 'd', 'h0', 'sigh')"))
+
+    return query
+
+
+def predict_density_minnesota(spark, d):
+    sf = weekly_prices(spark, d)
+    return forecast.summarise(forecast.predict_density(niw.bvar_minnesota(sf, 2), sf, 5, 200))
+
+
+def predict_density_bayes(spark, d):
+    sf = split_tail(weekly_prices(spark, d), 200)[0]
+    return forecast.summarise(mcmc.predict(mcmc.var_bayes(sf, 1, priors.BayesSpec(priors.Horseshoe(), priors.StochasticVolatility(), **SHORT)), sf, 5))
+
+
+def roll_mcmc(spark, d):
+    sf = weekly_prices(spark, d)
+    n = sf.count()
+    out = mcmc.backtest(sf, Lags(1), priors.BayesSpec(priors.Minnesota(), **SHORT), n - 5, 1, n)
+    return out.groupBy("window", "t", "series").agg(F.avg("forecast").alias("forecast"), F.avg("lpl").alias("lpl"))
+
+
+def expand_mcmc(spark, d):
+    sf = weekly_prices(spark, d)
+    n = sf.count()
+    return mcmc.backtest(sf, Lags(1), priors.BayesSpec(priors.Ssvs(), **SHORT), n - 5, 1, n, expanding=True)
+
+
+def alpl(spark, d):
+    return metrics.alpl(roll_mcmc(spark, d).select("window", "lpl").distinct())
+
+
+def roll_minnesota(spark, d):
+    sf = weekly_prices(spark, d)
+    prior = niw.dummies_of(priors.MinnesotaSpec(), Lags(1), niw.sample_sd(sf))
+    return backtest.forecast_roll(sf, Lags(1), 150, 1, sf.count(), backtest.conjugate_estimator(prior))
+
+
+def roll_flat(spark, d):
+    sf = weekly_prices(spark, d)
+    return backtest.forecast_roll(sf, Lags(har=(5, 22)), 150, 1, sf.count(), backtest.flat_estimator(np.eye(10)))
+
+
+def spillover_posterior(spark, d):
+    sf = split_tail(weekly_prices(spark, d), 200)[0]
+    return mcmc.spillover_summary(mcmc.spillover_draws(mcmc.var_bayes(sf, 1, priors.BayesSpec(priors.Horseshoe(), **SHORT)), 5))
+
+
+def dynamic_spillover_sv(spark, d):
+    sf = split_tail(weekly_prices(spark, d), 200)[0]
+    fit = mcmc.var_bayes(sf, 1, priors.BayesSpec(priors.Horseshoe(), priors.StochasticVolatility(), **SHORT))
+    return mcmc.spillover_summary(mcmc.spillover_draws(fit, 5, times=[0, 50, 100]))
+
+
+def dynamic_spillover_mcmc(spark, d):
+    sf = split_tail(weekly_prices(spark, d), 250)[0]
+    n = sf.count()
+    return mcmc.dynamic_spillover(sf, Lags(1), priors.BayesSpec(priors.NormalGamma(), **SHORT), n - 3, n, 5)
+
+
+def choose_bayes(spark, d):
+    spec, _, ml = tuning.choose_bayes(two(spark, d), 1)
+    return rows(spark, "lam double, log_ml double", [(spec.lam, ml)])
+
+
+def log_ml(spark, d):
+    return rows(spark, "log_ml double, dic double", [(criteria.log_ml(p := niw.bvhar_minnesota(weekly_prices(spark, d))), criteria.dic(p))])
+
+
+def hierarchical_minnesota(spark, d):
+    return posterior.summarise(niw.hierarchical_minnesota(two(spark, d), 1, n_iter=60, burn=20))
+
+
+def summary_pvalue(spark, d):
+    return ols.summary(ols.var_lm(weekly_prices(spark, d), 2), spark).coefficients
+
+
+def sim_mnormal(spark, d):
+    return simulate.sim_mnormal(spark, 500, np.zeros(2), np.array([[1.0, 0.3], [0.3, 2.0]]))
+
+
+def sim_var(spark, d):
+    return simulate.sim_var(spark, np.array([[0.5, 0.0], [0.1, 0.4], [1.0, 1.0]]), np.eye(2), Lags(1), 100, paths=4)
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """VAR(1) on the training weeks, forecasts of the hold-out weeks, and their mean squared errors."""
+    sf = interpolate(weekly_prices(spark, d))
+    train, test = split_tail(sf, HOLD_OUT)
+    f = forecast.predict(ols.var_lm(train, 1), train, HOLD_OUT)
+    first = F.broadcast(test.df.agg(F.min("t").alias("first")))  # one row
+    ahead = f.crossJoin(first).select((F.col("first") + F.col("h") - 1).alias("t"), "series", "forecast")
+    return metrics.mse(metrics.joined(ahead, test.long())).orderBy("series")
+
+
+def flagship_daily(spark, d):
+    """Daily VAR(5): the fit, the information criteria and a rolling back-test, as benchmarked."""
+    sf = interpolate(daily_prices(spark, d))
+    return backtest.forecast_roll(sf, Lags(5), 1000, 1, sf.count())
+
 
 def queries() -> dict:
-    return {}
+    out = {
+        "series_wide": series_wide, "series_long": series_long, "interpolate_linear": interpolate_linear, "split_tail": split_tail_query, "lag_design": lag_design, "har_design": har_design,
+        "har_matrix": har_matrix_query, "minnesota_dummies": minnesota_dummies_query, "gram_lag1": gram_lag1, "ar1_ols": ar1_ols, "ar1_infer": ar1_infer, "var1_ols_2d": var1_ols_2d, "har_ols_1d": har_ols_1d,
+        "var1_fitted": var1_fitted, "var1_resid_cov": var1_resid_cov, "ic_table_ar": ic_table_ar, "loglik_ar1": loglik_ar1, "stableroot_2d": stableroot_2d, "vma_2d": vma_2d, "irf_2d": irf_2d, "irf_ortho_2d": irf_ortho_2d,
+        "fevd_2d": fevd_2d, "spillover_2d": spillover_2d, "spillover_pairs_2d": spillover_pairs_2d, "forecast_ar1": forecast_ar1, "forecast_bands_ar1": forecast_bands_ar1, "roll_ar1": roll_ar1, "expand_ar1": expand_ar1,
+        "dynamic_spillover_2d": dynamic_spillover_2d, "minnesota_post_1d": minnesota_post_1d, "flat_post_1d": flat_post_1d, "gamma_hyper": gamma_hyper, "gather_loss": gather_loss, "gather_predictions": gather_predictions,
+        "draw_summary": draw_summary, "pip": pip, "ci_select": ci_select, "pip_select": pip_select, "rhat": rhat, "tail_quantile": tail_quantile, "confusion": confusion, "selection_scores": selection_scores, "fromse": fromse,
+    }
+    out |= {f"group_matrix_{k}": _groups(k) for k in ("longrun", "short", "no")}
+    out |= {f"loss_{n}": _loss(n) for n in LOSSES}
+    for name in priors.PRIORS:
+        for label, cov in (("ldlt", priors.Ldlt()), ("sv", priors.StochasticVolatility())):
+            out[f"var_bayes_{name}_{label}"] = _bayes(name, cov, False)
+            out[f"vhar_bayes_{name}_{label}"] = _bayes(name, cov, True)
+    out |= {f.__name__: f for f in (predict_density_minnesota, predict_density_bayes, roll_mcmc, expand_mcmc, alpl, roll_minnesota, roll_flat, spillover_posterior, dynamic_spillover_sv, dynamic_spillover_mcmc, choose_bayes, log_ml, hierarchical_minnesota, summary_pvalue, sim_mnormal, sim_var, flagship, flagship_daily)}
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from vectide.plans.sql import SQL
+
+    return SQL
+
+
