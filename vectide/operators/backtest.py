@@ -99,15 +99,16 @@ def rolling(sf: SeriesFrame, lags: Lags, window: int, emit: Callable[[np.ndarray
     lo = window if first is None else first
     size = max(BLOCK_WINDOWS, window)
     # a row serves the windows that end in t .. t + window - 1
-    own, reach = F.floor((F.col("t") - 1) / size), F.floor((F.col("t") + window - 2) / size)
-    rows = sf.df.select("t", *[F.col(c).cast("double").alias(c) for c in names]).withColumn("block", F.explode(F.sequence(own, reach)))
+    end = last if last is not None else sf.df.agg(F.max("t")).first()[0] or 0
+    own = F.greatest(F.floor((F.col("t") - 1) / size), F.lit((lo - 1) // size))
+    reach = F.least(F.floor((F.col("t") + window - 2) / size), F.lit((end - 1) // size))
+    rows = sf.df.select("t", *[F.col(c).cast("double").alias(c) for c in names]).filter(own <= reach).withColumn("block", F.explode(F.sequence(own, reach)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
         t, y, block = pdf["t"].to_numpy(), pdf[names].to_numpy(dtype=float), int(pdf["block"].iat[0])
         ends = t[(t > block * size) & (t <= (block + 1) * size) & (t >= lo) & (t - window + 1 >= t[0])]
-        if last is not None:
-            ends = ends[ends <= last]
+        ends = ends[ends <= end]
         if not len(ends):
             return emit(ends, np.empty((0, lags.k(len(names)), len(names))), np.empty((0, len(names), len(names))), np.empty((0, q, len(names))))
         sums, k = _running(y, lags)
@@ -150,17 +151,17 @@ def forecast_expand(sf: SeriesFrame, lags: Lags, n_train: int, h: int, n_total:
     def totals(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf.sort_values("t")[names].to_numpy(dtype=float)
         block = int(pdf["block"].iat[0])
-        if len(y) <= q:
-            return pd.DataFrame({"block": pd.Series(dtype="int64"), "sums": pd.Series(dtype="object")})
-        return pd.DataFrame({"block": [block], "sums": [_running(y, lags)[0][-1].ravel()]})
+        sums = _running(y, lags)[0][-1].ravel() if len(y) > q else np.empty(0)
+        return pd.DataFrame({"block": np.full(len(sums), block), "pos": np.arange(len(sums)), "value": sums})
 
     k = lags.k(len(names))
     before, total = {}, np.zeros((k + len(names),) * 2)
     if n_total > size:
-        parts = rows.groupBy("block").applyInPandas(totals, "block long, sums array<double>").orderBy("block").toLocalIterator()
-        for r in parts:
-            before[r["block"]] = total.copy()
-            total = total + np.array(r["sums"]).reshape(total.shape)
+        parts = rows.groupBy("block").applyInPandas(totals, "block long, pos long, value double").toPandas()
+        for block, part in parts.groupby("block"):
+            before[block] = total.copy()
+            total = total + part.sort_values("pos")["value"].to_numpy().reshape(total.shape)
+        before.setdefault(-(-n_total // size), total)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
@@ -173,7 +174,8 @@ def forecast_expand(sf: SeriesFrame, lags: Lags, n_train: int, h: int, n_total:
         b, _ = estimator(Gram(full[:, :k, :k], full[:, :k, k:], full[:, k:, k:], ends - q))
         return emit(ends, b, None, y[(ends - t[0])[:, None] + np.arange(1 - q, 1)[None]])
 
-    return rows.groupBy("block").applyInPandas(run, FORECAST_ROWS)
+    used = rows.filter(F.col("block").between((n_train - 1) // size, (n_total - h - 1) // size))
+    return used.groupBy("block").applyInPandas(run, FORECAST_ROWS)
 
 
 def dynamic_spillover(sf: SeriesFrame, lags: Lags, window: int, step: int = 10, estimator: Estimator = ols_estimator) -> DataFrame:
