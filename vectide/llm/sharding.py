@@ -24,7 +24,7 @@ SHARDS = 16
 LARGE_SHARE = 1 / 4096
 CELL_ITEMS = 20_000
 #: Bytes count more than tokens and rows, as the law is on them.
-DIMENSION_WEIGHTS = (4.0, 1.0, 1.0)
+DIMENSION_WEIGHTS = (16.0, 1.0, 1.0)
 GROUP = ["h", "text_crc32", "size"]
 
 
