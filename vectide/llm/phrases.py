@@ -122,12 +122,16 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def parse(rows: DataFrame) -> DataFrame:
-    """Every phrase: g (hash of its trigger), c (of the phrase), doc_id, k, first (window), n (windows)."""
+    """Every phrase: g (hash of its trigger), c (of the phrase), doc_id, k, first (window), n (windows), again.
+
+    A phrase that an equal one precedes in the same batch repeats it whatever the corpus holds: it is marked ``again`` and
+    gets a number of its own as g, so that a line in very many places is one row for each batch under its trigger."""
 
     def run(batches):
         parser = Parser()
         for batch in batches:
             ids, ks = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            found = []
             for a in range(0, batch.num_rows, 256):
                 texts = [_bytes(t) for t in batch.column(2).slice(a, 256).to_pylist()]
                 for held in _segments(texts):
@@ -136,10 +140,20 @@ def parse(rows: DataFrame) -> DataFrame:
                         seg, first, n, g, c = parser.phrases(np.frombuffer(b"".join(x[2] for x in held), dtype=np.uint8), np.cumsum(sizes) - sizes, sizes)
                     of = np.array([x[0] for x in held])[seg] + a
                     at = first + np.array([x[1] for x in held])[seg]
-                    columns = (g.view(np.int64), c.view(np.int64), ids[of], ks[of], at, n.astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["g", "c", "doc_id", "k", "first", "n"])
+                    found.append((g.view(np.int64), c.view(np.int64), ids[of], ks[of], at, n.astype(np.int32)))
+            if not found:
+                continue
+            g, c, d, k, at, n = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((at, k, d, c, g))
+            gs, cs = g[order], c[order]
+            again = np.zeros(len(g), dtype=bool)
+            again[order[1:]] = (gs[1:] == gs[:-1]) & (cs[1:] == cs[:-1])
+            with np.errstate(over="ignore"):
+                own = (d.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.view(np.uint64)) * np.uint64(0xD1B54A32D192ED03)
+            g = np.where(again, (own ^ own >> np.uint64(32)).view(np.int64), g)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g, c, d, k, at, n, again)], names=["g", "c", "doc_id", "k", "first", "n", "again"])
 
-    return rows.mapInArrow(run, "g long, c long, doc_id long, k int, first long, n int")
+    return rows.mapInArrow(run, "g long, c long, doc_id long, k int, first long, n int, again boolean")
 
 
 def spelled(rows: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -236,10 +250,10 @@ def compared(phrases: DataFrame) -> DataFrame:
 
 def repeats(rows: DataFrame) -> DataFrame:
     """Runs of repeated windows: doc_id, k, first, n. A window repeats if an equal one starts earlier."""
-    by_trigger = Window.partitionBy("g")
-    found = parse(rows).select("*", F.min("c").over(by_trigger).alias("c0"), F.max("c").over(by_trigger).alias("c1"), F.count("*").over(by_trigger).alias("m")).filter("m > 1")
-    nth = F.row_number().over(Window.partitionBy("g", "c").orderBy("doc_id", "k", "first"))
-    found = found.withColumn("nth", nth).filter("nth > 1 OR c0 <> c1").withColumn("heads", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(by_trigger))
+    by_trigger = Window.partitionBy("g", "again")
+    found = parse(rows).select("*", F.min("c").over(by_trigger).alias("c0"), F.max("c").over(by_trigger).alias("c1"), F.count("*").over(by_trigger).alias("m")).filter("m > 1 OR again")
+    nth = F.row_number().over(Window.partitionBy("g", "again", "c").orderBy("doc_id", "k", "first"))
+    found = found.withColumn("nth", F.when(F.col("again"), 2).otherwise(nth)).filter("nth > 1 OR c0 <> c1").withColumn("heads", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(by_trigger))
     found = keep(found.select("g", "doc_id", "k", "first", "n", "nth", "heads"), "phrases-found")
     whole = found.filter("nth > 1").select("doc_id", "k", "first", "n")
     gather = lambda df, *c: df.groupBy("doc_id", "k").agg(F.collect_list(F.struct(*c)).alias("ranges"))  # noqa: E731  bounded by the text
