@@ -183,11 +183,13 @@ def forecast_bands_ar1(spark, d):
 
 
 def roll_ar1(spark, d):
-    return rounded(backtest.forecast_roll(one(spark, d), Lags(1), 100, 2, weekly_prices(spark, d).count()).select("window", "t", "forecast"), 2)
+    sf = one(spark, d).persist()
+    return rounded(backtest.forecast_roll(sf, Lags(1), 100, 2, sf.count()).select("window", "t", "forecast"), 2)
 
 
 def expand_ar1(spark, d):
-    return rounded(backtest.forecast_expand(one(spark, d), Lags(1), 100, 2, weekly_prices(spark, d).count()).select("window", "t", "forecast"), 2)
+    sf = one(spark, d).persist()
+    return rounded(backtest.forecast_expand(sf, Lags(1), 100, 2, sf.count()).select("window", "t", "forecast"), 2)
 
 
 def dynamic_spillover_2d(spark, d):
@@ -315,14 +317,14 @@ def predict_density_bayes(spark, d):
 
 
 def roll_mcmc(spark, d):
-    sf = weekly_prices(spark, d)
+    sf = weekly_prices(spark, d).persist()
     n = sf.count()
     out = mcmc.backtest(sf, Lags(1), priors.BayesSpec(priors.Minnesota(), **SHORT), n - 5, 1, n)
     return out.groupBy("window", "t", "series").agg(F.avg("forecast").alias("forecast"), F.avg("lpl").alias("lpl"))
 
 
 def expand_mcmc(spark, d):
-    sf = weekly_prices(spark, d)
+    sf = weekly_prices(spark, d).persist()
     n = sf.count()
     return mcmc.backtest(sf, Lags(1), priors.BayesSpec(priors.Ssvs(), **SHORT), n - 5, 1, n, expanding=True)
 
@@ -332,13 +334,13 @@ def alpl(spark, d):
 
 
 def roll_minnesota(spark, d):
-    sf = weekly_prices(spark, d)
+    sf = weekly_prices(spark, d).persist()
     prior = niw.dummies_of(priors.MinnesotaSpec(), Lags(1), niw.sample_sd(sf))
     return backtest.forecast_roll(sf, Lags(1), 150, 1, sf.count(), backtest.conjugate_estimator(prior))
 
 
 def roll_flat(spark, d):
-    sf = weekly_prices(spark, d)
+    sf = weekly_prices(spark, d).persist()
     return backtest.forecast_roll(sf, Lags(har=(5, 22)), 150, 1, sf.count(), backtest.flat_estimator(np.eye(10)))
 
 
@@ -386,7 +388,7 @@ def sim_var(spark, d):
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """VAR(1) on the training weeks, forecasts of the hold-out weeks, and their mean squared errors."""
-    sf = interpolate(weekly_prices(spark, d))
+    sf = interpolate(weekly_prices(spark, d)).persist()
     train, test = split_tail(sf, HOLD_OUT)
     f = forecast.predict(ols.var_lm(train, 1), train, HOLD_OUT)
     first = F.broadcast(test.df.agg(F.min("t").alias("first")))  # one row
@@ -396,7 +398,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 def flagship_daily(spark, d):
     """Daily VAR(5): the fit, the information criteria and a rolling back-test, as benchmarked."""
-    sf = interpolate(daily_prices(spark, d))
+    sf = interpolate(daily_prices(spark, d)).persist()
     return backtest.forecast_roll(sf, Lags(5), 1000, 1, sf.count())
 
 

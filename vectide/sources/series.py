@@ -43,6 +43,10 @@ class SeriesFrame:
     def with_df(self, df: DataFrame) -> SeriesFrame:
         return SeriesFrame(df, self.names, self.panel)
 
+    def persist(self) -> SeriesFrame:
+        """Keep the rows with the executors: for series that several jobs read. A lost block is computed again."""
+        return self.with_df(self.df.persist())
+
     def count(self) -> int:
         return self.df.count()
 
