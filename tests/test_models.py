@@ -152,10 +152,10 @@ def test_windows_over_many_blocks(sf, monkeypatch):
 
 def test_conjugate_models(sf, y):
     x, r, b = dense(y, Lags(1))
-    flat = niw.bvar_flat(sf, 1, 1e-9)
+    flat = niw.var_flat(sf, 1, 1e-9)
     assert np.allclose(flat.coef, b, atol=1e-6)
     spec = priors.MinnesotaSpec((1.0, 1.0), 0.2, 1.0)
-    p = niw.bvar_minnesota(sf, 1, spec)
+    p = niw.var_minnesota(sf, 1, spec)
     yd, xd = minnesota_dummies(np.ones(2), 1, 0.2, np.ones(2))
     both_x, both_y = np.vstack([xd, x]), np.vstack([yd, r])
     assert np.allclose(p.coef, np.linalg.lstsq(both_x, both_y, rcond=None)[0], atol=1e-8)
@@ -232,7 +232,7 @@ def test_density_forecasts_and_spillovers(spark, sf):
     assert len(d) == 6 and (d.lower < d.upper).all() and (d.lower_joint <= d.lower).all()
     s = mcmc.spillover_summary(mcmc.spillover_draws(fit, 4)).toPandas()
     assert np.allclose(s.groupby("series").spillover.sum(), 100)
-    p = niw.bvar_minnesota(sf, 1)
+    p = niw.var_minnesota(sf, 1)
     for along in ("mean", "draw"):
         q = forecast.summarise(forecast.predict_density(p, sf, 2, 800, along=along)).filter("h = 1").orderBy("series").toPandas()
         point = forecast.path(p.lag_coef, np.array(sf.last_rows(1)), 1, 1)[0]

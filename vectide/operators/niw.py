@@ -71,20 +71,20 @@ def dummies_of(spec: MinnesotaSpec, lags: Lags, sigma: np.ndarray, lam: float |
     return Gram.of(x, y)
 
 
-def bvar_minnesota(sf: SeriesFrame, p: int = 1, spec: MinnesotaSpec | None = None, include_mean: bool = True) -> NiwPosterior:
+def var_minnesota(sf: SeriesFrame, p: int = 1, spec: MinnesotaSpec | None = None, include_mean: bool = True) -> NiwPosterior:
     spec, lags = spec or MinnesotaSpec(), Lags(p, None, include_mean)
     sigma = np.asarray(spec.sigma, dtype=float) if spec.sigma is not None else sample_sd(sf)
     return posterior(sf.names, lags, data_gram(sf, lags), dummies_of(spec, lags, sigma))
 
 
-def bvhar_minnesota(sf: SeriesFrame, har: tuple[int, int] = (5, 22), spec: MinnesotaSpec | None = None, include_mean: bool = True) -> NiwPosterior:
+def vhar_minnesota(sf: SeriesFrame, har: tuple[int, int] = (5, 22), spec: MinnesotaSpec | None = None, include_mean: bool = True) -> NiwPosterior:
     """With ``weekly`` and ``monthly`` in the spec, prior means on all three parts; without, on the day part only."""
     spec, lags = spec or MinnesotaSpec(), Lags(1, tuple(har), include_mean)
     sigma = np.asarray(spec.sigma, dtype=float) if spec.sigma is not None else sample_sd(sf)
     return posterior(sf.names, lags, data_gram(sf, lags), dummies_of(spec, lags, sigma))
 
 
-def bvar_flat(sf: SeriesFrame, p: int = 1, prior_prec: np.ndarray | float = 1.0, include_mean: bool = True, har: tuple[int, int] | None = None) -> NiwPosterior:
+def var_flat(sf: SeriesFrame, p: int = 1, prior_prec: np.ndarray | float = 1.0, include_mean: bool = True, har: tuple[int, int] | None = None) -> NiwPosterior:
     """Flat prior with precision ``prior_prec`` (a number stands for that number times the identity)."""
     lags = Lags(p, har, include_mean)
     return flat_posterior(sf.names, lags, data_gram(sf, lags), prior_prec)

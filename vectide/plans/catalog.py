@@ -200,12 +200,12 @@ def dynamic_spillover_2d(spark, d):
 # Conjugate models
 
 def minnesota_post_1d(spark, d):
-    p = niw.bvar_minnesota(one(spark, d), 1, priors.MinnesotaSpec((4000.0,), 0.1, 1.0), False)
+    p = niw.var_minnesota(one(spark, d), 1, priors.MinnesotaSpec((4000.0,), 0.1, 1.0), False)
     return rounded(rows(spark, "mean double, prec double, scale double, shape double", [(p.coef[0, 0], p.prec[0, 0] / 1e6, p.scale[0, 0] / 1e6, float(p.shape))]), 6, prec=1, scale=1)
 
 
 def flat_post_1d(spark, d):
-    p = niw.bvar_flat(one(spark, d), 1, 1.0, False)
+    p = niw.var_flat(one(spark, d), 1, 1.0, False)
     return rounded(rows(spark, "mean double, prec double, scale double, shape double", [(p.coef[0, 0], p.prec[0, 0] / 1e6, p.scale[0, 0] / 1e6, float(p.shape))]), 6, prec=1, scale=1)
 
 
@@ -308,7 +308,7 @@ def _bayes(prior, cov, har):
 
 def predict_density_minnesota(spark, d):
     sf = weekly_prices(spark, d)
-    return forecast.summarise(forecast.predict_density(niw.bvar_minnesota(sf, 2), sf, 5, 200))
+    return forecast.summarise(forecast.predict_density(niw.var_minnesota(sf, 2), sf, 5, 200))
 
 
 def predict_density_bayes(spark, d):
@@ -367,7 +367,7 @@ def choose_bayes(spark, d):
 
 
 def log_ml(spark, d):
-    return rows(spark, "log_ml double, dic double", [(criteria.log_ml(p := niw.bvhar_minnesota(weekly_prices(spark, d))), criteria.dic(p))])
+    return rows(spark, "log_ml double, dic double", [(criteria.log_ml(p := niw.vhar_minnesota(weekly_prices(spark, d))), criteria.dic(p))])
 
 
 def hierarchical_minnesota(spark, d):
