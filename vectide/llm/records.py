@@ -35,12 +35,12 @@ VOCABULARY = "word_bpe_49k.json"
 #: Text that one file holds about, in bytes; a file is one row while it is written and read.
 FILE_BYTES = 16 << 20
 #: Entries after which a task's chunk memory starts anew.
-MEMORY = 120_000
+MEMORY = 250_000
 MASK = 0xA282EAD8
 
 # What the fast path takes: see the module's text.
 _SAFE = re.compile("[\t\n\r\x20-\x7eÀ-įĲ-ňŊ-ž]*")
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+MARK = "\x01"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -56,59 +56,61 @@ class Memory(dict):
     def __init__(self):
         self.before: dict[str, bytes] = {}
 
-    def recall(self, keys: set[str]) -> None:
+    def start(self) -> "Memory":
         if len(self) > MEMORY:
             self.before = dict(self)
             self.clear()
-        if self.before:
-            get = self.before.get
-            self.update((k, v) for k in keys if k not in self and (v := get(k)) is not None)
+        return self
+
+    def recall(self, keys: set[str]) -> list[str]:
+        """Bring back what the generation before has of ``keys``; returns the others."""
+        old = {k: v for k in keys if (v := self.before.get(k)) is not None}
+        self.update(old)
+        return [k for k in keys if k not in old]
 
 
 class Encoder:
     """Ids of texts as little-endian u16 bytes."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        size = self.tokenizer.get_vocab_size()
-        assert size <= 1 << 16
-        self.ends = np.array([self.tokenizer.id_to_token(i).endswith("</w>") for i in range(size)])
-        self.chunks, self.pieces = Memory(), Memory()
+        assert self.tokenizer.get_vocab_size() <= 1 << 16
+        # the fast path's text is normal already: it is in lower case and its white space goes
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        (self.mark,) = self.plain.encode(MARK, add_special_tokens=False).ids
+        self.chunks = Memory()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
 
-    def _learn(self, chunks: set[str]) -> None:
-        cut = {c: _PIECES.findall(c) for c in chunks}
-        self.pieces.recall({p for ps in cut.values() for p in ps})
-        new = list({p for ps in cut.values() for p in ps if p not in self.pieces})
-        for a in range(0, len(new), 4096):
-            some = new[a : a + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u2")
-            stops = np.flatnonzero(self.ends[ids]) + 1
+    def learn(self, chunks: list[str]) -> None:
+        """Encode chunks many at a time, with a mark after each that no chunk of the fast path holds."""
+        for a in range(0, len(chunks), 2048):
+            some = chunks[a : a + 2048]
+            (got,) = self.plain.encode_batch_fast([f" {MARK} ".join(some) + f" {MARK}"], add_special_tokens=False)
+            ids = np.array(got.ids, dtype="<u2")
+            stops = np.flatnonzero(ids == self.mark)
             assert len(stops) == len(some)
-            raw = ids.tobytes()
-            start = 0
-            for p, stop in zip(some, (stops * 2).tolist(), strict=True):
-                self.pieces[p] = raw[start:stop]
-                start = stop
-        for c, ps in cut.items():
-            self.chunks[c] = b"".join([self.pieces[p] for p in ps])
+            raw, start, memory = ids.tobytes(), 0, self.chunks
+            for c, stop in zip(some, (stops * 2).tolist(), strict=True):
+                memory[c] = raw[start:stop]
+                start = stop + 2
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for a in range(0, len(texts), 64):
-            some = texts[a : a + 64]
-            fast = [_SAFE.fullmatch(t) is not None and "<|" not in t for t in some]
-            split = [t.lower().split() if f else [] for t, f in zip(some, fast, strict=True)]
-            words = set().union(*split)
-            self.chunks.recall(words)
-            if missing := {w for w in words if w not in self.chunks}:
-                self._learn(missing)
-            get = self.chunks.__getitem__
-            out += [b"".join(map(get, s)) if f else self.whole(t) for t, s, f in zip(some, split, fast, strict=True)]
+        fast = [_SAFE.fullmatch(t) is not None and "<|" not in t for t in texts]
+        split = [t.lower().split() if f else [] for t, f in zip(texts, fast, strict=True)]
+        get = self.chunks.start().get
+        found = [[get(w) for w in s] for s in split]
+        missing = {w for s, v in zip(split, found, strict=True) if None in v for w, x in zip(s, v, strict=True) if x is None}
+        self.learn(list(self.chunks.recall(missing)))
+        out = []
+        for t, f, s, v in zip(texts, fast, split, found, strict=True):
+            if f and None in v:
+                v = [get(w) if x is None else x for w, x in zip(s, v, strict=True)]
+            out.append(b"".join(v) if f else self.whole(t))
         return out
 
 
