@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 #: A key with more than this share of all rows is hot; so at most 1 / HOT_SHARE keys are.
 HOT_SHARE = 1 / 4096
 #: Rows that one block of a blocked prefix sum holds on average.
-BLOCK_ROWS = 4_096
+BLOCK_ROWS = 1_024
 
 _made: list[tuple[SparkSession, str]] = []
 
