@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from vectide.llm.common import keep, read
 
 TABLES = 12
-PROBES = 8
+PROBES = 12
 NEIGHBOURS = 10
 QUERY_EVERY = 100
 BLOCK_ROWS = 20_000
