@@ -390,6 +390,17 @@ def test_passages(spark):
         assert 25 <= x.start_word <= 35 and 95 <= x.end_word <= 105
 
 
+def test_a_part_grown_too_far_leaves_its_exact_run():
+    r = np.random.default_rng(5)
+    new = lambda n: r.integers(0, 1 << 30, n).astype(np.int32)
+    core, tail = new(56), new(16)
+    x, y = np.r_[core, new(14), tail], np.r_[core, new(14), tail]
+    assert passages.verified(x, y, 0.8) == [(0, 56, 0, 56, 1.0)]
+    assert passages.verified(np.r_[tail, new(9), core], y, 0.8) == [(0, 56, 25, 81, 1.0)]
+    other = new(50)  # two exact runs, far apart in x and side by side in y
+    assert passages.verified(np.r_[core, new(200), other], np.r_[core, other], 0.8) == [(0, 56, 0, 56, 1.0), (56, 106, 256, 306, 1.0)]
+
+
 def test_toxicity(spark):
     r = random.Random(11)
     bad = ["vilest", "rotten", "vilely"]
