@@ -390,6 +390,18 @@ def test_passages(spark):
         assert 25 <= x.start_word <= 35 and 95 <= x.end_word <= 105
 
 
+def test_partial_holders_do_not_hide_a_passage(spark):
+    r = random.Random(12)
+    texts, want = [], []
+    for i in range(0, 180, 3):
+        p = text(r, 60).split()
+        texts += [" ".join([*text(r, 20).split(), *q, *text(r, 20).split()]) for q in (p, p[:40], p)]
+        want.append((i, i + 2))
+    got = passages.passages(make(spark, texts)).toPandas()
+    assert set(zip(got.other_id, got.doc_id, strict=True)) == set(want)
+    assert (got.end_word - got.start_word >= 60).all()
+
+
 def test_a_part_grown_too_far_leaves_its_exact_run():
     r = np.random.default_rng(5)
     new = lambda n: r.integers(0, 1 << 30, n).astype(np.int32)
