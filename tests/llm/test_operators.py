@@ -402,6 +402,17 @@ def test_partial_holders_do_not_hide_a_passage(spark):
     assert (got.end_word - got.start_word >= 60).all()
 
 
+def test_a_passage_is_found_beside_a_part_of_it_in_the_same_document(spark):
+    r = random.Random(13)
+    texts = []
+    for _ in range(40):
+        p = text(r, 60)
+        texts += [f"{text(r, 20)} {p} {text(r, 60)} {' '.join(p.split()[10:50])} {text(r, 60)} {' '.join(p.split()[10:50])} {text(r, 60)}", f"{text(r, 20)} {p} {text(r, 20)}"]
+    got = passages.passages(make(spark, texts)).toPandas()
+    whole = got[(got.end_word - got.start_word >= 60) & (got.other_start == 20)]
+    assert set(zip(whole.other_id, whole.doc_id, strict=True)) == {(i, i + 1) for i in range(0, 80, 2)}
+
+
 def test_a_part_grown_too_far_leaves_its_exact_run():
     r = np.random.default_rng(5)
     new = lambda n: r.integers(0, 1 << 30, n).astype(np.int32)
