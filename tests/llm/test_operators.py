@@ -413,6 +413,20 @@ def test_a_passage_is_found_beside_a_part_of_it_in_the_same_document(spark):
     assert set(zip(whole.other_id, whole.doc_id, strict=True)) == {(i, i + 1) for i in range(0, 80, 2)}
 
 
+def test_edited_passages_are_found(spark):
+    r = random.Random(14)
+    texts = []
+    for _ in range(1500):
+        p = text(r, 54).split()
+        q = [*p[:26], "edited", *p[27:]]
+        texts += [f"{text(r, 25)} {' '.join(x)} {text(r, 25)}" for x in (p, q)]
+    x = [passages.Shingler().shingles(t).astype(np.uint32).view(np.int32) for t in texts]
+    want = {(i, i + 1) for i in range(0, len(texts), 2) if passages.verified(x[i], x[i + 1], passages.SIMILARITY)}
+    got = passages.passages(make(spark, texts)).toPandas()
+    found = set(zip(got.other_id, got.doc_id, strict=True))
+    assert len(want) >= 1400 and found <= want and len(found) / len(want) >= 0.998
+
+
 def test_a_part_grown_too_far_leaves_its_exact_run():
     r = np.random.default_rng(5)
     new = lambda n: r.integers(0, 1 << 30, n).astype(np.int32)
