@@ -287,6 +287,22 @@ def test_simhash(docs, texts):
     assert kept == sorted(set(want.values()))
 
 
+def test_filters_decide_by_row_and_not_by_id(spark):
+    r = random.Random(15)
+    a, b, c, e = (text(r, 60) for _ in range(4))
+    docs = make(spark, [a, b, b, c, e, e], ids=[None, None, 11, 5, 5, 5])
+    assert sorted(x["text"] for x in simhash.one_of_each(docs).collect()) == sorted([a, b, c, e])
+    item = text(r, 12)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = make(spark, [a, f"{b} {item}", c, f"{e} {item}"], ids=[None, None, 5, 5])
+    assert sorted(x["text"] for x in decontaminate.without_contaminated(rows, bench).collect()) == sorted([a, c])
+    bad = [f"{text(r, 8)} vilest thing" if i % 4 == 0 else text(r, 9) for i in range(900)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(900)], "doc_id long, quality int, toxic int")
+    rows = make(spark, [*bad, bad[0], bad[1], bad[4], bad[5]], ids=[*range(900), None, None, 2000, 2000])
+    left = {x["text"] for x in toxicity.without_toxic(rows, labels).filter("doc_id IS NULL OR doc_id = 2000").collect()}
+    assert left == {bad[1], bad[5]}
+
+
 def test_golay_decodes_three_errors():
     g, r = golay.golay(), random.Random(1)
     for _ in range(300):

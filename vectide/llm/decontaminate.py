@@ -166,9 +166,20 @@ def contamination(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE) -
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
-    """``docs`` without the documents that hold a test item."""
-    found = keep(contamination(docs, items, rate).select("doc_id").distinct(), "contaminated")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the documents that hold a test item. Each row goes or stays by its own text, whatever its id."""
+
+    def clean(block):
+        def run(batches):
+            matcher = Matcher(block, rate)
+            for batch in batches:
+                yield batch.filter(pa.array([next(matcher.find(t), None) is None for t in batch.column("text").to_pylist()], pa.bool_()))
+
+        return run
+
+    out = docs
+    for i, block in enumerate(blocks(items)):
+        out = (keep(out, "decontaminated") if i else out).mapInArrow(clean(block), docs.schema)  # one block's automaton in a task
+    return out
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vectide.llm.common import components, keep, read, spread_join
 from vectide.llm.golay import golay
@@ -145,23 +146,40 @@ def links(values: DataFrame, bits: int = MOST_BITS) -> DataFrame:
     return _links(keyed.join(crowded, "key", "left_anti"), bits).union(_links(pairs, bits))
 
 
+def grouped(rows: DataFrame) -> DataFrame:
+    """fp, id (its smallest doc_id), n (its rows), component_id and first (the component's smallest doc_id, and the smallest
+    fingerprint that has it) of each fingerprint of ``rows`` (doc_id, fp). Fingerprints are the nodes, so an id that
+    several texts share joins none of them."""
+    distinct = keep(rows.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "simhash-distinct")
+    linked = components(links(distinct.select(F.col("fp").alias("value"), F.col("fp").alias("id"))), "simhash")
+    roots = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "id", "n", F.coalesce("root", "fp").alias("root"))
+    best = roots.groupBy("root").agg(F.min(F.struct("id", "fp")).alias("s"), F.count("*").alias("size"))
+    best = best.select("root", F.col("s.id").alias("component_id"), F.col("s.fp").alias("first"), "size")
+    return spread_join(roots, best, ["root"], "size", distinct.count()).drop("root")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row for each document: doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest doc_id that
     links reach, its own included)."""
     rows = keep(fingerprints(docs), "simhash-rows")
     total = rows.count()
-    distinct = keep(rows.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "simhash-distinct")
-    linked = components(links(distinct.select(F.col("fp").alias("value"), "id")), "simhash")
-    roots = distinct.join(linked, distinct["id"] == linked["node"], "left").select("fp", "n", F.coalesce("root", "id").alias("component_id"))
-    out = spread_join(rows, roots, ["fp"], "n", total)
+    out = spread_join(rows, grouped(rows).select("fp", "n", "component_id"), ["fp"], "n", total)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest doc_id. Of repeated ids, the first text stays."""
-    found = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    first = Window.partitionBy("__id").orderBy(F.col("text").asc_nulls_last())
-    rows = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).join(found, "__id", "left_semi")
+    """``docs`` with one document of each component: the one with the smallest doc_id. Of rows that share this id, one with
+    the smallest fingerprint stays, and of these the first text. Rows are told apart by id and fingerprint."""
+    kept = grouped(keep(fingerprints(docs), "simhash-rows")).filter("fp = first").select(F.col("id").alias("__id"), F.col("fp").alias("__fp"))
+
+    def run(batches):
+        for batch in batches:
+            got = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got)], names=[*batch.schema.names, "__fp"])
+
+    rows = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
+    rows = rows.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).join(kept, ["__id", "__fp"], "left_semi")
+    first = Window.partitionBy("__id", "__fp").orderBy(F.col("text").asc_nulls_last())
     return rows.withColumn("__n", F.row_number().over(first)).filter("__n = 1").select(*docs.columns)
 
 

@@ -194,9 +194,16 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents predicted toxic."""
-    rejected = keep(toxicity(docs, labels).filter("predicted = 1").select("doc_id").distinct(), "toxic")
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the documents predicted toxic. Each row goes or stays by its own text, whatever its id."""
+    model = fit(docs, labels)
+
+    def run(batches):
+        memo = model.memo()
+        for batch in batches:
+            z = (np.array(_sentence_scores(t, memo, model.bias)) for t in batch.column("text").to_pylist())
+            yield batch.filter(pa.array([bool(-np.expm1(-np.logaddexp(0, x).sum()) < THRESHOLD) for x in z], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
