@@ -266,3 +266,23 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 3
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_bayes_queries_use_all_weeks(spark, monkeypatch):
+    from vectide.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    weeks = catalog.weekly_prices(spark, d).count()
+    seen = []
+    fit = mcmc.fit_bayes
+    monkeypatch.setattr(mcmc, "fit_bayes", lambda sf, lags, spec=None: seen.append((sf.count(), spec.n_iter, spec.burn)) or fit(sf, lags, spec))
+    for name in ("var_bayes_horseshoe_ldlt", "vhar_bayes_horseshoe_ldlt", "predict_density_bayes", "spillover_posterior"):
+        catalog.queries()[name](spark, d)
+    draws, windows = [], []
+    monkeypatch.setattr(mcmc, "spillover_summary", lambda x: x)
+    monkeypatch.setattr(mcmc, "spillover_draws", lambda fit, step, times: draws.append(times))
+    monkeypatch.setattr(mcmc, "dynamic_spillover", lambda sf, lags, spec, window, n, step: windows.append((sf.count(), n, spec.n_iter)))
+    catalog.dynamic_spillover_sv(spark, d)
+    catalog.dynamic_spillover_mcmc(spark, d)
+    assert draws == [list(range(weeks - 1))] and windows == [(weeks, weeks, 200)]
+    assert seen == [(weeks, 200, 100)] * 5

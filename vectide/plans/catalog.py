@@ -293,13 +293,10 @@ def fromse(spark, d):
 
 # Without SQL
 
-SHORT = {"chains": 2, "n_iter": 30, "burn": 10}
-
-
 def _bayes(prior, cov, har):
     def query(spark, d):
-        sf = split_tail(weekly_prices(spark, d), 200)[0]
-        spec = priors.BayesSpec(priors.PRIORS[prior](), cov, **SHORT)
+        sf = weekly_prices(spark, d)
+        spec = priors.BayesSpec(priors.PRIORS[prior](), cov)
         fit = mcmc.vhar_bayes(sf, (5, 22), spec) if har else mcmc.var_bayes(sf, 1, spec)
         return posterior.summarise(fit.draws.filter("param IN ('alpha', 'alpha_sparse', 'c', 'a', 'd', 'h0', 'sigh')"))
 
@@ -312,21 +309,21 @@ def predict_density_minnesota(spark, d):
 
 
 def predict_density_bayes(spark, d):
-    sf = split_tail(weekly_prices(spark, d), 200)[0]
-    return forecast.summarise(mcmc.predict(mcmc.var_bayes(sf, 1, priors.BayesSpec(priors.Horseshoe(), priors.StochasticVolatility(), **SHORT)), sf, 5))
+    sf = weekly_prices(spark, d)
+    return forecast.summarise(mcmc.predict(mcmc.var_bayes(sf, 1, priors.BayesSpec(priors.Horseshoe(), priors.StochasticVolatility())), sf, 5))
 
 
 def roll_mcmc(spark, d):
     sf = weekly_prices(spark, d).persist()
     n = sf.count()
-    out = mcmc.backtest(sf, Lags(1), priors.BayesSpec(priors.Minnesota(), **SHORT), n - 5, 1, n)
+    out = mcmc.backtest(sf, Lags(1), priors.BayesSpec(priors.Minnesota()), n - 5, 1, n)
     return out.groupBy("window", "t", "series").agg(F.avg("forecast").alias("forecast"), F.avg("lpl").alias("lpl"))
 
 
 def expand_mcmc(spark, d):
     sf = weekly_prices(spark, d).persist()
     n = sf.count()
-    return mcmc.backtest(sf, Lags(1), priors.BayesSpec(priors.Ssvs(), **SHORT), n - 5, 1, n, expanding=True)
+    return mcmc.backtest(sf, Lags(1), priors.BayesSpec(priors.Ssvs()), n - 5, 1, n, expanding=True)
 
 
 def alpl(spark, d):
@@ -345,20 +342,20 @@ def roll_flat(spark, d):
 
 
 def spillover_posterior(spark, d):
-    sf = split_tail(weekly_prices(spark, d), 200)[0]
-    return mcmc.spillover_summary(mcmc.spillover_draws(mcmc.var_bayes(sf, 1, priors.BayesSpec(priors.Horseshoe(), **SHORT)), 5))
+    sf = weekly_prices(spark, d)
+    return mcmc.spillover_summary(mcmc.spillover_draws(mcmc.var_bayes(sf, 1, priors.BayesSpec(priors.Horseshoe())), 5))
 
 
 def dynamic_spillover_sv(spark, d):
-    sf = split_tail(weekly_prices(spark, d), 200)[0]
-    fit = mcmc.var_bayes(sf, 1, priors.BayesSpec(priors.Horseshoe(), priors.StochasticVolatility(), **SHORT))
-    return mcmc.spillover_summary(mcmc.spillover_draws(fit, 5, times=[0, 50, 100]))
+    sf = weekly_prices(spark, d).persist()
+    fit = mcmc.var_bayes(sf, 1, priors.BayesSpec(priors.Horseshoe(), priors.StochasticVolatility()))
+    return mcmc.spillover_summary(mcmc.spillover_draws(fit, 5, times=list(range(sf.count() - 1))))
 
 
 def dynamic_spillover_mcmc(spark, d):
-    sf = split_tail(weekly_prices(spark, d), 250)[0]
+    sf = weekly_prices(spark, d)
     n = sf.count()
-    return mcmc.dynamic_spillover(sf, Lags(1), priors.BayesSpec(priors.NormalGamma(), **SHORT), n - 3, n, 5)
+    return mcmc.dynamic_spillover(sf, Lags(1), priors.BayesSpec(priors.NormalGamma()), n - 3, n, 5)
 
 
 def choose_bayes(spark, d):
