@@ -178,10 +178,44 @@ def test_blocks_of_buckets_change_nothing(spark, monkeypatch):
     key = ["query_id", "rank"]
     a = neighbours.nearest(df, q).orderBy(*key).toPandas()
     monkeypatch.setattr(neighbours, "BLOCK_ROWS", 7)
-    monkeypatch.setattr(neighbours, "BLOCK_QUERIES", 3)
+    monkeypatch.setattr(neighbours, "BLOCK_PROBES", 300)
+    monkeypatch.setattr(neighbours, "BLOCK_PAIRS", 5)
     assert neighbours.nearest(df, q).orderBy(*key).toPandas().equals(a)
 
 
+def test_copies_and_repeated_ids_of_vectors(spark):
+    r = np.random.default_rng(4)
+    x = [[float(v) for v in a] for a in r.standard_normal((40, 8))]
+    rows = [(i, x[i % 40], "a") for i in range(160)] + [(7, x[7], "b"), (5, x[6], "c"), (None, x[1], "d"), (300, x[3], "e"), (300, x[2], "e")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, v string")
+    got = neighbours.nearest(df, df.filter("vec_id IN (0, 5, 7, 300)")).toPandas()
+    for q, v in ((0, x[0]), (5, min(x[5], x[6])), (7, x[7]), (300, min(x[2], x[3]))):
+        near = {(float(np.sqrt(((np.array(w) - np.array(v)) ** 2).sum())), i) for i, w, _ in rows if i is not None and i != q}
+        g = got[got.query_id == q].sort_values("rank")
+        assert list(zip(g.score, g.vec_id, strict=True)) == sorted(near)[:10]
+
+
+def test_depth_of_hashes_follows_the_table():
+    assert [neighbours.depths(n, 64) for n in (2_000, 10_000, 50_000, 400_000)] == [[64, 8], [64, 32], [64, 64], [64, 64, 8]]
+    assert neighbours.probes_for(50_000) == neighbours.PROBES and neighbours.probes_for(400_000) == 4 * neighbours.PROBES
+
+
+def test_a_query_meets_a_small_share_of_rows(spark):
+    x = np.random.default_rng(6).standard_normal((30_000, 64)).astype(np.float32)
+    dims = neighbours.depths(len(x), 64)
+    unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+    q, met, hit = list(range(0, 30_000, 500)), np.zeros((60, 30_000), dtype=bool), 0
+    for t in range(neighbours.TABLES):
+        own, near = neighbours.codes(unit, dims, t), neighbours.nearest_codes(unit[:, q], dims, t, neighbours.PROBES)
+        for i in range(60):
+            met[i] |= np.isin(own, near[i])
+    for i, at in enumerate(q):
+        d = ((x - x[at]) ** 2).sum(axis=1)
+        d[at] = np.inf
+        hit += met[i, np.argsort(d)[:10]].sum()
+    assert met.mean() < 0.2 and hit / 600 >= 0.9
+
+
 def base_spans(t):
     out = []
     for m in re.finditer(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t):
