@@ -214,13 +214,13 @@ def meetings(index: DataFrame, probes: DataFrame, parts: int, blocks: int) -> Da
 
 
 def measured(vectors: DataFrame, asked: DataFrame, most: int) -> DataFrame:
-    """query, id and score of the ``most`` nearest candidates in each block. ``vectors``: size, block, id, v. ``asked``:
-    size, block, query, v, ids (lists of longs as bytes; null: all rows of the block)."""
+    """query, id, first and score of the ``most`` nearest candidates in each block. ``vectors``: size, block, id, first, v;
+    the smaller first wins a tie. ``asked``: size, block, query, v, ids (lists of longs as bytes; null: all rows of the block)."""
     n_asked = asked.groupBy("size", "block").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("turns"))
-    cols = ["size", "block", "turn", "kind", "id", "v", "ids"]
+    cols = ["size", "block", "turn", "kind", "id", "v", "ids", "first"]
     turns = keep(n_asked, "ann-turns")  # one row for each block
     rows = vectors.join(turns, ["size", "block"]).withColumn("turn", F.explode(F.expr("sequence(0, turns - 1)"))).withColumn("kind", F.lit(0)).withColumn("ids", F.lit(None).cast("array<binary>"))
-    some = asked.join(turns, ["size", "block"]).withColumn("turn", F.pmod(F.xxhash64("query"), F.col("turns")).cast("int")).withColumn("kind", F.lit(1)).withColumnRenamed("query", "id")
+    some = asked.join(turns, ["size", "block"]).withColumn("turn", F.pmod(F.xxhash64("query"), F.col("turns")).cast("int")).withColumn("kind", F.lit(1)).withColumn("first", F.lit(0).cast("long")).withColumnRenamed("query", "id")
     both = rows.select(*cols).union(some.select(*cols))
 
     def matrix(column, size):
@@ -228,13 +228,13 @@ def measured(vectors: DataFrame, asked: DataFrame, most: int) -> DataFrame:
 
     def held(found):
         size = found[0].column(0)[0].as_py()
-        ids = np.concatenate([b.column(4).to_numpy(zero_copy_only=False) for b in found])
+        ids, first = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in found]) for i in (4, 7))
         x = np.concatenate([matrix(b.column(5), size) for b in found])
         order = np.argsort(ids, kind="stable")
-        return ids[order], x[order]
+        return ids[order], first[order], x[order]
 
     def measure(known, batch, key):
-        ids, x = known
+        ids, first, x = known
         queries, q = batch.column(4).to_numpy(zero_copy_only=False), matrix(batch.column(5), key[0])
         out = []
         for i, lists in enumerate(batch.column(6).to_pylist()):
@@ -243,20 +243,21 @@ def measured(vectors: DataFrame, asked: DataFrame, most: int) -> DataFrame:
             if len(at) > most:  # ties with the last stay
                 near = np.flatnonzero(score <= np.partition(score, most - 1)[most - 1])
                 at, score = at[near], score[near]
-            best = np.lexsort((ids[at], score))[:most]
-            out.append((np.full(len(best), queries[i]), ids[at[best]], score[best]))
+            best = np.lexsort((first[at], score))[:most]
+            out.append((np.full(len(best), queries[i]), ids[at[best]], first[at[best]], score[best]))
         columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query", "id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query", "id", "first", "score"])
 
     order = ["size", "block", "turn"]
-    return both.repartition(*order).sortWithinPartitions(*order, "kind", "id").mapInArrow(streamed(3, held, measure), "query long, id long, score double")
+    return both.repartition(*order).sortWithinPartitions(*order, "kind", "id").mapInArrow(streamed(3, held, measure), "query long, id long, first long, score double")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", k: int = NEIGHBOURS, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """The ``k`` nearest rows found for each query: query_id, rank (from 1), vec_id, score (Euclidean distance)."""
     rows = usable(vectors, id_column, vector_column)
-    # equal vectors: one row of the index, under the least id
-    index = keep(rows.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n")).withColumn("size", F.size("v")), "ann-vectors")
+    # equal vectors: one row of the index, with the least of their ids; the number that stands for them is written down
+    index = rows.groupBy("v").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    index = keep(index.withColumn("size", F.size("v")).withColumn("id", F.monotonically_increasing_id()), "ann-vectors")
     counts = {r["size"]: r["n"] for r in index.groupBy("size").agg(F.count("*").alias("n")).collect()}  # one row for each vector length
     total = sum(counts.values())
     plan = {size: (depths(n, size), probes_for(n, probes)) for size, n in counts.items()}
@@ -276,11 +277,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_column: str = "vec_id", v
         first = first.union(measured(placed, everywhere, k + 1))
 
     top = lambda by, *order: F.row_number().over(Window.partitionBy(by).orderBy(*order)) <= k + 1
-    each = first.groupBy("query", "id").agg(F.min("score").alias("score"))
-    near = each.withColumn("keep", top("query", "score", "id")).filter("keep").drop("keep")
+    each = first.groupBy("query", "id", "first").agg(F.min("score").alias("score"))
+    near = each.withColumn("keep", top("query", "score", "first", "id")).filter("keep").drop("keep")
     copies = rows.join(index.filter("n > 1").select("v", F.col("id").alias("rep")), "v").select("rep", "id").distinct()
     copies = copies.withColumn("keep", top("rep", "id")).filter("keep").select("rep", F.col("id").alias("copy"))
-    spread = near.join(copies, near["id"] == copies["rep"], "left").select("query", F.coalesce("copy", "id").alias("vec_id"), "score")
+    spread = near.join(copies, near["id"] == copies["rep"], "left").select("query", F.coalesce("copy", "first").alias("vec_id"), "score")
     best = spread.withColumn("keep", top("query", "score", "vec_id")).filter("keep").drop("keep")
     who = asking.join(asked.select("v", F.col("id").alias("query")), "v").select("query", F.col("id").alias("query_id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
@@ -291,9 +292,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_column: str = "vec_id", v
 def with_block(index: DataFrame, blocks: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block_of(batch.column(1).to_numpy(zero_copy_only=False), blocks))], names=["size", "id", "v", "block"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block_of(batch.column(1).to_numpy(zero_copy_only=False), blocks))], names=["size", "id", "v", "first", "block"])
 
-    return index.select("size", "id", "v").mapInArrow(run, "size int, id long, v array<double>, block long")
+    return index.select("size", "id", "v", "first").mapInArrow(run, "size int, id long, v array<double>, first long, block long")
 
 
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
