@@ -197,7 +197,7 @@ def test_copies_and_repeated_ids_of_vectors(spark):
 
 def test_depth_of_hashes_follows_the_table():
     assert [neighbours.depths(n, 64) for n in (2_000, 10_000, 50_000, 400_000)] == [[64, 8], [64, 32], [64, 64], [64, 64, 8]]
-    assert neighbours.probes_for(50_000) == neighbours.PROBES and neighbours.probes_for(400_000) == 4 * neighbours.PROBES
+    assert neighbours.probes_for(60_000, [64, 64]) < 50 and neighbours.probes_for(400_000, [64, 64, 8]) > 200
 
 
 def test_a_query_meets_a_small_share_of_rows(spark):
@@ -206,7 +206,7 @@ def test_a_query_meets_a_small_share_of_rows(spark):
     unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).T
     q, met, hit = list(range(0, 30_000, 500)), np.zeros((60, 30_000), dtype=bool), 0
     for t in range(neighbours.TABLES):
-        own, near = neighbours.codes(unit, dims, t), neighbours.nearest_codes(unit[:, q], dims, t, neighbours.PROBES)
+        own, near = neighbours.codes(unit, dims, t), neighbours.nearest_codes(unit[:, q], dims, t, neighbours.probes_for(len(x), dims))
         for i in range(60):
             met[i] |= np.isin(own, near[i])
     for i, at in enumerate(q):

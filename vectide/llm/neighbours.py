@@ -4,7 +4,7 @@ Unit vectors are turned by fast Hadamard pseudo-rotations (three rounds of rando
 hashed to their nearest signed axis. A hash joins the axes of several rotations, the last of them cut to its first
 coordinates, so that a table has about as many buckets as there are distinct vectors: the share of rows that a query
 meets falls as the table grows. Each of TABLES tables has rotations of its own; a query probes the buckets nearest to it
-in each, PROBES at 50,000 vectors or fewer and more by their number to the power 2/3 beyond.
+in each, at least PROBES (see :func:`probes_for`).
 
 Only ids are hashed, shuffled and met. Each query's candidates then go to the blocks of rows that hold their vectors,
 and every block reranks by exact distance. Equal vectors are one row of the index; their ids come back at the end. A
@@ -31,6 +31,7 @@ from vectide.llm.common import keep, read
 TABLES = 32
 PROBES = 40
 PROBES_AT = 50_000
+BUCKET_ROWS = 3
 NEIGHBOURS = 10
 QUERY_EVERY = 100
 #: Rows of the index that one task holds, and candidate pairs that it makes or measures at once.
@@ -77,8 +78,9 @@ def depths(n: int, size: int) -> list[int]:
     return out
 
 
-def probes_for(n: int, probes: int = PROBES) -> int:
-    return math.ceil(probes * max(1.0, n / PROBES_AT) ** (2 / 3))
+def probes_for(n: int, dims: list[int], probes: int = PROBES) -> int:
+    """More probes where buckets hold fewer rows than BUCKET_ROWS, and by the square root of ``n`` beyond PROBES_AT."""
+    return math.ceil(probes * max(1.0, n / PROBES_AT) ** 0.5 * max(1.0, BUCKET_ROWS * math.prod(2 * d for d in dims) / n))
 
 
 def codes(x: np.ndarray, dims: list[int], table: int) -> np.ndarray:
@@ -260,7 +262,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_column: str = "vec_id", v
     index = keep(index.withColumn("size", F.size("v")).withColumn("id", F.monotonically_increasing_id()), "ann-vectors")
     counts = {r["size"]: r["n"] for r in index.groupBy("size").agg(F.count("*").alias("n")).collect()}  # one row for each vector length
     total = sum(counts.values())
-    plan = {size: (depths(n, size), probes_for(n, probes)) for size, n in counts.items()}
+    plan = {size: (dims := depths(n, size), probes_for(n, dims, probes)) for size, n in counts.items()}
     blocks = max(1, -(-total // BLOCK_ROWS))
     asking = keep(usable(queries, id_column, vector_column).groupBy("id").agg(F.min("v").alias("v")), "ann-asking")
     asked = keep(asking.groupBy("v").agg(F.min("id").alias("id")).withColumn("size", F.size("v")), "ann-queries")
