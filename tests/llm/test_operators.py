@@ -521,7 +521,8 @@ def test_records(spark, docs, texts, tmp_path):
     tok = Tokenizer.from_file(records.vocabulary_path())
     more = [*texts, "It's <|endoftext|> İ ſ \x00\x01 don't", "１２ ½ ǅ ́e", "a\x85b c", "ΑΣ ΣΑΣ"]
     df = make(spark, more)
-    got = {r["doc_id"]: r for r in records.index(spark, records.write(df, str(tmp_path / "r"), file_bytes=20_000)).collect()}
+    path = records.write(df, str(tmp_path / "r"), file_bytes=20_000)
+    got = {r["doc_id"]: r for r in records.index(spark, path).collect()}
     start = 0
     for i, t in enumerate(more):
         ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], dtype="<u4")
@@ -534,6 +535,17 @@ def test_records(spark, docs, texts, tmp_path):
         r = got[i]
         ((_, n, d, _),) = records.parsed(files[r["file"]][r["offset"] : r["offset"] + r["length"]])
         assert n == r["length"] and d == i
+    some = records.index(spark, path).filter("doc_id % 7 = 0")
+    back = {r["doc_id"]: r["ids"] for r in records.fetched(spark, path, some).collect()}
+    assert back == {i: [*tok.encode(t or "", add_special_tokens=False).ids, 2] for i, t in enumerate(more) if i % 7 == 0}
+
+
+def test_records_of_one_id_fill_several_files(spark, tmp_path):
+    r = random.Random(3)
+    rows = [text(r, 200) for _ in range(60)] + ["same"] * 40 + [None] * 20
+    got = records.index(spark, records.write(make(spark, rows, ids=[5] * 100 + [None] * 20), str(tmp_path / "r"), file_bytes=8_000)).orderBy("start").toPandas()
+    assert len(got) == 120 and (got.doc_id[:20] == -(1 << 63)).all() and (got.doc_id[20:] == 5).all() and got.file[20:].nunique() > 4
+    assert got.start.tolist() == [0, *got.n_tokens.cumsum()[:-1].tolist()]
 
 
 def test_damaged_records_are_refused():
@@ -548,11 +560,12 @@ def test_damaged_records_are_refused():
 
 
 def test_encoder_forgets_without_harm(monkeypatch, texts):
-    monkeypatch.setattr(records, "MEMORY", 5)
+    monkeypatch.setattr(records, "MEMORY_BYTES", 900)
     e = records.Encoder(records.vocabulary_path())
     some = [t for t in texts if t]
     for _ in range(2):
-        assert e.encode(some) == [e.whole(t) for t in some]
+        for a in range(0, len(some), 7):
+            assert e.encode(some[a : a + 7]) == e.whole(some[a : a + 7])
 
 
 def test_ranked(spark):

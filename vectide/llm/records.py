@@ -4,26 +4,32 @@ A record is: length of the payload (u64), masked CRC-32 of those eight bytes (u3
 payload (u32), one newline byte. All numbers are little-endian. The payload is doc_id (i64), ids (u32: their count),
 then the ids as u16. The mask turns the checksum right by 15 bits and adds 0xA282EAD8. Files are parts of a range
 partitioning by doc_id, so reading them in order of their names gives ascending ids; Spark's text writer commits them,
-so that a lost executor leaves no half file. The index has, for each record, its file, offset and length, and the
-number of ids in the file before it: what a shuffled reader needs.
+so that a lost executor leaves no half file. ``path/records`` holds them; ``path/index`` is a Parquet table with the
+file, offset and length of each record, its ids' number and checksum, and its start among all ids: what a shuffled
+reader needs (:func:`fetched`).
 
 Texts go through the library's normalizer and pre-tokenizer rules as chunks between white space, and each distinct
 chunk is encoded by the library once for each task. That holds for texts of printable ASCII and accented Latin letters
 without the mark of special tokens; every other text is encoded whole.
 
-Defined cases: a null text counts as empty, so its record holds the end id alone; repeated ids are separate records,
-ordered by text; an empty table gives no rows.
+Defined cases: a null text counts as empty, so its record holds the end id alone; a null doc_id is written as the least
+long, first; repeated ids and repeated rows are separate records, in the order of a hash of their texts, and may fill
+several files; a very long text is one record; an empty table gives no rows and an empty index; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import struct
+import sys
+import types
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,8 +40,11 @@ END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 #: Text that one file holds about, in bytes; a file is one row while it is written and read.
 FILE_BYTES = 16 << 20
-#: Entries after which a task's chunk memory starts anew.
-MEMORY = 250_000
+#: Bytes after which a worker's memory of encoded chunks starts anew, and what an entry takes beside its own bytes.
+MEMORY_BYTES = 16 << 20
+ENTRY_BYTES = 190
+#: Rows that go to Python and back at once.
+BATCH_ROWS = 512
 MASK = 0xA282EAD8
 
 # What the fast path takes: see the module's text.
@@ -50,53 +59,67 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class Memory(dict):
-    """A dictionary of what was asked for lately: beyond MEMORY entries it starts anew, and what is asked for again
-    comes back from the generation before."""
+    """A dictionary of what was asked for lately: beyond MEMORY_BYTES it starts anew, and what is asked for again comes
+    back from the generation before."""
 
     def __init__(self):
         self.before: dict[str, bytes] = {}
+        self.size = 0
 
     def start(self) -> "Memory":
-        if len(self) > MEMORY:
+        if self.size > MEMORY_BYTES:
             self.before = dict(self)
             self.clear()
+            self.size = 0
         return self
 
+    def put(self, key: str, value: bytes) -> None:
+        self[key] = value
+        self.size += len(key) + len(value) + ENTRY_BYTES
+
     def recall(self, keys: set[str]) -> list[str]:
         """Bring back what the generation before has of ``keys``; returns the others."""
-        old = {k: v for k in keys if (v := self.before.get(k)) is not None}
-        self.update(old)
-        return [k for k in keys if k not in old]
+        out = []
+        for k in keys:
+            if (v := self.before.get(k)) is None:
+                out.append(k)
+            else:
+                self.put(k, v)
+        return out
 
 
 class Encoder:
     """Ids of texts as little-endian u16 bytes."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are parallel; threads of its own only take memory
         from tokenizers import Tokenizer, normalizers
 
         self.tokenizer = Tokenizer.from_file(path)
         assert self.tokenizer.get_vocab_size() <= 1 << 16
         # the fast path's text is normal already: it is in lower case and its white space goes
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer = normalizers.Sequence([])
-        (self.mark,) = self.plain.encode(MARK, add_special_tokens=False).ids
+        self.normal, self.none = self.tokenizer.normalizer, normalizers.Sequence([])
+        (mark,) = self.ids([MARK], self.none)
+        (self.mark,) = mark.tolist()
         self.chunks = Memory()
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
+    def ids(self, texts: list[str], normalizer) -> list[np.ndarray]:
+        self.tokenizer.normalizer = normalizer
+        return [np.array(x.ids, dtype="<u2") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [x.tobytes() for t in texts for x in self.ids([t], self.normal)]
 
     def learn(self, chunks: list[str]) -> None:
         """Encode chunks many at a time, with a mark after each that no chunk of the fast path holds."""
         for a in range(0, len(chunks), 2048):
             some = chunks[a : a + 2048]
-            (got,) = self.plain.encode_batch_fast([f" {MARK} ".join(some) + f" {MARK}"], add_special_tokens=False)
-            ids = np.array(got.ids, dtype="<u2")
+            (ids,) = self.ids([f" {MARK} ".join(some) + f" {MARK}"], self.none)
             stops = np.flatnonzero(ids == self.mark)
             assert len(stops) == len(some)
-            raw, start, memory = ids.tobytes(), 0, self.chunks
+            raw, start = ids.tobytes(), 0
             for c, stop in zip(some, (stops * 2).tolist(), strict=True):
-                memory[c] = raw[start:stop]
+                self.chunks.put(c, raw[start:stop])
                 start = stop + 2
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -106,20 +129,20 @@ class Encoder:
         found = [[get(w) for w in s] for s in split]
         missing = {w for s, v in zip(split, found, strict=True) if None in v for w, x in zip(s, v, strict=True) if x is None}
         self.learn(list(self.chunks.recall(missing)))
+        others = iter(self.whole([t for t, f in zip(texts, fast, strict=True) if not f]))
         out = []
-        for t, f, s, v in zip(texts, fast, split, found, strict=True):
+        for f, s, v in zip(fast, split, found, strict=True):
             if f and None in v:
                 v = [get(w) if x is None else x for w, x in zip(s, v, strict=True)]
-            out.append(b"".join(v) if f else self.whole(t))
+            out.append(b"".join(v) if f else next(others))
         return out
 
 
 def encoder_of_worker(path: str) -> Encoder:
-    """The encoder of this Python process: tasks of a reused worker share it, as functions that come by value share no
-    module of their own."""
-    import tokenizers
-
-    held = tokenizers.__dict__.setdefault("_vectide_encoders", {})
+    """The encoder of this Python process: tasks of a reused worker share it. Functions come by value and so share no
+    module, so it is kept in one that is made here."""
+    own = sys.modules.setdefault("_vectide_worker", types.ModuleType("_vectide_worker"))
+    held = own.__dict__.setdefault("encoders", {})
     if path not in held:
         held[path] = Encoder(path)
     return held[path]
@@ -153,64 +176,100 @@ def parsed(data: bytes) -> Iterator[tuple[int, int, int, np.ndarray]]:
         at += n + 17
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that run inside send so many rows at once to Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> str:
-    """Encode every text and write record files below ``path``; returns ``path``."""
+    """Encode every text and write record files and their index below ``path``; returns ``path``."""
     vocabulary = vocabulary or vocabulary_path()
     end = struct.pack("<H", end_id)
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    text = F.coalesce(F.col("text"), F.lit(""))
+    size = docs.agg(F.sum(F.octet_length(text) + 64)).first()[0] or 0
     files = max(1, -(-size // file_bytes))
-    # nulls in doc_id sort first and are written as the least id
-    rows = rows.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("row"), text.alias("text"))
+    # the row's number only deals equal rows to files: they are alike
+    rows = rows.repartitionByRange(files, "doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row").select("doc_id", "text")
 
     def encode(batches):
         encoder = encoder_of_worker(vocabulary)
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
+            for a in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(a, BATCH_ROWS)
                 ids = encoder.encode(part.column(1).to_pylist())
                 # the writer adds each row's newline
                 records = [framed(d, x + end)[:-1] for d, x in zip(part.column(0).to_pylist(), ids, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], names=["record"])
 
-    rows.mapInArrow(encode, "record binary").select(F.col("record").cast("string").alias("value")).write.text(path)
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        rows.mapInArrow(encode, "record binary").select(F.col("record").cast("string").alias("value")).write.text(f"{path}/records")
+        write_index(docs.sparkSession, path)
     return path
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """One row for each file: file (its number in order), content."""
     name = F.regexp_extract("path", "part-(\\d+)", 1).cast("int")
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(name.alias("file"), "content")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/records").select(name.alias("file"), "content")
 
 
 def digest(spark: SparkSession, path: str) -> DataFrame:
-    """Read every record back: file, offset, length, doc_id, before (ids in the file before it), n_tokens, ids_crc32."""
+    """Read every record back: file, offset, length, doc_id, n_tokens, ids_crc32, before (ids in the file before it)."""
+    names = ["file", "offset", "length", "doc_id", "n_tokens", "ids_crc32", "before"]
+    kinds = [pa.int32(), *[pa.int64()] * 6]
 
     def records(batches):
-        for pdf in batches:
-            for number, content in zip(pdf["file"], pdf["content"], strict=True):
-                got = [(int(number), at, n, d, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for at, n, d, ids in parsed(content)]
-                out = pd.DataFrame(got, columns=["file", "offset", "length", "doc_id", "n_tokens", "ids_crc32"])
-                out["before"] = out["n_tokens"].cumsum() - out["n_tokens"]
-                yield out
-
-    schema = "file int, offset long, length long, doc_id long, n_tokens long, ids_crc32 long, before long"
-    # one file is one row, so one row is one batch
-    files = read_files(spark, path)
-    return files.mapInPandas(records, schema)
+        for batch in batches:
+            for number, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                out, before = [], 0
+                for at, n, d, ids in parsed(content.as_buffer()):
+                    out.append((number, at, n, d, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), before))
+                    before += len(ids)
+                columns = list(zip(*out, strict=True)) or [[]] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    return read_files(spark, path).mapInArrow(records, "file int, offset long, length long, doc_id long, n_tokens long, ids_crc32 long, before long")
+
+
+def write_index(spark: SparkSession, path: str) -> None:
+    """Read the files in ``path`` back and write their offset index. The driver sees nothing; the running sum goes over
+    one row for each file."""
+    with batches_of(spark, 1):  # one file is one row
+        rows = keep(digest(spark, path), "records-index")
+    sums = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
+    starts = sums.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    rows.join(starts, "file").withColumn("start", F.col("first") + F.col("before")).drop("first", "before").write.parquet(f"{path}/index")
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:
-    """The offset index of the files in ``path``, with each record's start among all ids. The driver sees nothing; the
-    running sum goes over one row for each file."""
-    rows = keep(digest(spark, path), "records-index")
-    sums = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    starts = sums.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
-    return rows.join(starts, "file").withColumn("start", F.col("first") + F.col("before")).drop("first", "before")
+    """The offset index of the files in ``path``: file, offset, length, doc_id, n_tokens, ids_crc32, start."""
+    return spark.read.schema("file int, offset long, length long, doc_id long, n_tokens long, ids_crc32 long, start long").parquet(f"{path}/index")
+
+
+def fetched(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """The records that ``wanted`` (rows of the index: file, offset, length) names, in any order: doc_id, ids."""
+    places = wanted.groupBy("file").agg(F.collect_list(F.struct("offset", "length")).alias("places"))  # bounded by the file
+
+    def cut(batches):
+        for batch in batches:
+            for content, some in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                data = memoryview(content.as_buffer())
+                got = [(d, ids) for p in some for _, _, d, ids in parsed(data[p["offset"] : p["offset"] + p["length"]])]
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.int64()), pa.array([ids.astype(np.int32) for _, ids in got], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+
+    return read_files(spark, path).join(places, "file").select("content", "places").mapInArrow(cut, "doc_id long, ids array<int>")
 
 
 def tokenized(docs: DataFrame) -> DataFrame:
-    """Write ``docs`` as record files in the shared folder, read them back and return their index."""
+    """Write ``docs`` as record files in the shared folder and return the index made by reading them back."""
     spark = docs.sparkSession
     return index(spark, write(docs, scratch_path(spark, "records")))
 
