@@ -560,12 +560,14 @@ def test_damaged_records_are_refused():
 
 
 def test_encoder_forgets_without_harm(monkeypatch, texts):
-    monkeypatch.setattr(records, "MEMORY_BYTES", 900)
-    e = records.Encoder(records.vocabulary_path())
-    some = [t for t in texts if t]
+    monkeypatch.setattr(records, "MEMORY_ATOMS", 40)
+    monkeypatch.setattr(records, "BUFFER", 300)
+    e, r = records.Encoder(records.vocabulary_path()), random.Random(8)
+    odd = ["".join(r.choice("ab'sStTrelmd12 .,!\n\t-éÉß\"|<>") for _ in range(r.randrange(60))) for _ in range(400)]
+    some = [t for t in texts if t] + odd + ["don't we'll they've 'show ''s x'ready a1b2 12,5 ×÷ 5×3 naïve--ok", "", "ÀÉÖ øÞ ĳ", "x" * 900, "<|endoftext|> a"]
     for _ in range(2):
-        for a in range(0, len(some), 7):
-            assert e.encode(some[a : a + 7]) == e.whole(some[a : a + 7])
+        for a in range(0, len(some), 50):
+            assert e.encode(some[a : a + 50]) == [x.tobytes() for x in e.whole(some[a : a + 50])]
 
 
 def test_ranked(spark):

@@ -8,9 +8,9 @@ so that a lost executor leaves no half file. ``path/records`` holds them; ``path
 file, offset and length of each record, its ids' number and checksum, and its start among all ids: what a shuffled
 reader needs (:func:`fetched`).
 
-Texts go through the library's normalizer and pre-tokenizer rules as chunks between white space, and each distinct
-chunk is encoded by the library once for each task. That holds for texts of printable ASCII and accented Latin letters
-without the mark of special tokens; every other text is encoded whole.
+Texts are cut into atoms at white space and where letters end, which are bounds of the library's pre-tokenizer, and the
+library encodes each distinct atom once while a worker remembers it. That holds for texts of printable ASCII and
+accented Latin letters without the mark of special tokens; every other text is encoded whole by the library.
 
 Defined cases: a null text counts as empty, so its record holds the end id alone; a null doc_id is written as the least
 long, first; repeated ids and repeated rows are separate records, in the order of a hash of their texts, and may fill
@@ -40,15 +40,15 @@ END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 #: Text that one file holds about, in bytes; a file is one row while it is written and read.
 FILE_BYTES = 16 << 20
-#: Bytes after which a worker's memory of encoded chunks starts anew, and what an entry takes beside its own bytes.
-MEMORY_BYTES = 16 << 20
-ENTRY_BYTES = 190
+#: Atoms that a worker remembers at most, 50 bytes each, and characters that it encodes at once.
+MEMORY_ATOMS = 400_000
+BUFFER = 1 << 20
 #: Rows that go to Python and back at once.
 BATCH_ROWS = 512
 MASK = 0xA282EAD8
 
 # What the fast path takes: see the module's text.
-_SAFE = re.compile("[\t\n\r\x20-\x7eÀ-įĲ-ňŊ-ž]*")
+_SAFE = re.compile("[\t\n\r\x20-\x7eÀ-ÖØ-öø-įĲ-ňŊ-ž]*")
 MARK = "\x01"
 
 
@@ -58,34 +58,66 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-class Memory(dict):
-    """A dictionary of what was asked for lately: beyond MEMORY_BYTES it starts anew, and what is asked for again comes
-    back from the generation before."""
+class Memory:
+    """Ids of atoms by two 64-bit hashes, in sorted arrays; beyond MEMORY_ATOMS the half that was asked for longest ago goes."""
 
     def __init__(self):
-        self.before: dict[str, bytes] = {}
-        self.size = 0
-
-    def start(self) -> "Memory":
-        if self.size > MEMORY_BYTES:
-            self.before = dict(self)
-            self.clear()
-            self.size = 0
-        return self
-
-    def put(self, key: str, value: bytes) -> None:
-        self[key] = value
-        self.size += len(key) + len(value) + ENTRY_BYTES
-
-    def recall(self, keys: set[str]) -> list[str]:
-        """Bring back what the generation before has of ``keys``; returns the others."""
-        out = []
-        for k in keys:
-            if (v := self.before.get(k)) is None:
-                out.append(k)
-            else:
-                self.put(k, v)
-        return out
+        self.key, self.check, self.at, self.used = (np.empty(0, dtype=t) for t in (np.uint64, np.uint64, np.int64, np.int64))
+        self.n, self.pool, self.turn = np.empty(0, dtype=np.int64), np.empty(0, dtype="<u2"), 0
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of ``key``, and whether they hold it."""
+        at = np.searchsorted(self.key, key)
+        near = np.minimum(at, max(0, len(self.key) - 1))
+        known = (self.key[near] == key) & (self.check[near] == check) if len(self.key) else np.zeros(len(key), dtype=bool)
+        return near, known
+
+    def add(self, key: np.ndarray, check: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        """Sorted new keys, which share none with the old ones, with all their ids one after another."""
+        at = np.searchsorted(self.key, key)
+        for name, new in (("key", key), ("check", check), ("n", n), ("at", len(self.pool) + np.cumsum(n) - n), ("used", np.full(len(key), self.turn))):
+            setattr(self, name, np.insert(getattr(self, name), at, new))
+        self.pool = np.concatenate([self.pool, ids])
+
+    def forget(self) -> None:
+        self.turn += 1
+        if len(self.key) > MEMORY_ATOMS:
+            keep = np.argsort(-self.used, kind="stable")[: MEMORY_ATOMS // 2]
+            keep.sort()
+            self.pool = gathered(self.pool, self.at[keep], self.n[keep])
+            self.key, self.check, self.n, self.used = self.key[keep], self.check[keep], self.n[keep], self.used[keep]
+            self.at = np.cumsum(self.n) - self.n
+
+
+def gathered(pool: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return pool[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at, n)]
+
+
+class Hasher:
+    """Two 64-bit hashes of pieces of bytes, from running sums."""
+
+    def __init__(self):
+        rng = np.random.default_rng(17)
+        self.letters = rng.integers(0, 1 << 64, (2, 256), dtype=np.uint64)
+        self.power, self.inverse = np.empty((2, 0), dtype=np.uint64), np.empty((2, 0), dtype=np.uint64)
+
+    def _grow(self, n: int) -> None:
+        powers = []
+        for base in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03):
+            for b in (base, pow(base, -1, 1 << 64)):
+                powers.append(np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, np.uint64(b))]))
+        self.power, self.inverse = np.stack(powers[::2]), np.stack(powers[1::2])
+
+    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        with np.errstate(over="ignore"):
+            if len(data) >= self.power.shape[1]:
+                self._grow(2 * len(data))
+            out = []
+            for letters, power, inverse in zip(self.letters, self.power, self.inverse, strict=True):
+                sums = np.r_[np.uint64(0), np.add.accumulate(letters[data] * power[: len(data)])]
+                z = (sums[ends] - sums[starts]) * inverse[starts]
+                out.append((z ^ z >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9))
+            return out
 
 
 class Encoder:
@@ -93,49 +125,109 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are parallel; threads of its own only take memory
-        from tokenizers import Tokenizer, normalizers
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         assert self.tokenizer.get_vocab_size() <= 1 << 16
-        # the fast path's text is normal already: it is in lower case and its white space goes
-        self.normal, self.none = self.tokenizer.normalizer, normalizers.Sequence([])
-        (mark,) = self.ids([MARK], self.none)
+        self.rules = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        # the fast path's text is normal already: it is in lower case and its white space goes; and letters are one piece
+        self.plain = normalizers.Sequence([]), self.tokenizer.pre_tokenizer
+        self.letters = normalizers.Sequence([]), pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        (mark,) = self.ids([MARK], self.plain)
         (self.mark,) = mark.tolist()
-        self.chunks = Memory()
+        self.memory, self.hasher = Memory(), Hasher()
+        self.kind = np.zeros(256, dtype=np.uint8)  # 0: other characters, 1: white space, 2: letters
+        self.kind[[9, 10, 13, 32]] = 1
+        self.kind[97:123] = self.kind[128:] = 2
 
-    def ids(self, texts: list[str], normalizer) -> list[np.ndarray]:
-        self.tokenizer.normalizer = normalizer
+    def ids(self, texts: list[str], rules) -> list[np.ndarray]:
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = rules
         return [np.array(x.ids, dtype="<u2") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [x.tobytes() for t in texts for x in self.ids([t], self.normal)]
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [x for t in texts for x in self.ids([t], self.rules)]
 
-    def learn(self, chunks: list[str]) -> None:
-        """Encode chunks many at a time, with a mark after each that no chunk of the fast path holds."""
-        for a in range(0, len(chunks), 2048):
-            some = chunks[a : a + 2048]
-            (ids,) = self.ids([f" {MARK} ".join(some) + f" {MARK}"], self.none)
-            stops = np.flatnonzero(ids == self.mark)
+    def learn(self, atoms: list[str], rules) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of ``atoms``, encoded many at a time with a mark after each that none of them holds, and their numbers."""
+        ids, n = [np.empty(0, dtype="<u2")], [np.empty(0, dtype=np.int64)]
+        for a in range(0, len(atoms), 2048):
+            some = atoms[a : a + 2048]
+            (got,) = self.ids([f" {MARK} ".join(some) + f" {MARK}"], rules)
+            stops = np.flatnonzero(got == self.mark)
             assert len(stops) == len(some)
-            raw, start = ids.tobytes(), 0
-            for c, stop in zip(some, (stops * 2).tolist(), strict=True):
-                self.chunks.put(c, raw[start:stop])
-                start = stop + 2
+            ids.append(np.delete(got, stops))
+            n.append(np.diff(np.r_[-1, stops]) - 1)
+        return np.concatenate(ids), np.concatenate(n)
+
+    def known(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """Places in the memory of the atoms that lie there; new ones are learnt first."""
+        memory = self.memory
+        memory.forget()
+        key, check = self.hasher(data, starts, ends)
+        key, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        check = check[first]
+        _, have = memory.find(key, check)
+        for rules, some in ((self.letters, ~have & letters[first]), (self.plain, ~have & ~letters[first])):
+            raw = data.tobytes()
+            new = np.flatnonzero(some)
+            of = first[new]
+            ids, n = self.learn([raw[a:b].decode() for a, b in zip(starts[of].tolist(), ends[of].tolist(), strict=True)], rules)
+            memory.add(key[new], check[new], ids, n)
+        at, have = memory.find(key, check)
+        assert have.all()
+        memory.used[at] = memory.turn
+        return at[inverse]
+
+    def fast(self, texts: list[str]) -> list[np.ndarray]:
+        """Texts of the fast path, together of bounded size."""
+        parts = [t.lower().encode() for t in texts]
+        data = np.frombuffer(b"\n".join(parts) + b"\n", dtype=np.uint8)
+        kind = self.kind[data]
+        before = np.r_[np.uint8(1), kind[:-1]]
+        # a piece ends at white space, and where letters end, as the pre-tokenizer takes all letters that follow each other
+        starts = np.flatnonzero((kind != 1) & ((before == 1) | (before == 2) & (kind != 2)))
+        ends = np.flatnonzero((before != 1) & ((kind == 1) | (before == 2) & (kind != 2)))
+        other = np.r_[0, np.cumsum(kind == 0)]
+        at = self.known(data, starts, ends, other[ends] == other[starts])
+        n = self.memory.n[at]
+        ids, so_far = gathered(self.memory.pool, self.memory.at[at], n), np.r_[0, np.cumsum(n)]
+        sizes = np.array([len(p) + 1 for p in parts])
+        bounds = so_far[np.searchsorted(starts, np.r_[0, np.cumsum(sizes)])].tolist()
+        return [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         fast = [_SAFE.fullmatch(t) is not None and "<|" not in t for t in texts]
-        split = [t.lower().split() if f else [] for t, f in zip(texts, fast, strict=True)]
-        get = self.chunks.start().get
-        found = [[get(w) for w in s] for s in split]
-        missing = {w for s, v in zip(split, found, strict=True) if None in v for w, x in zip(s, v, strict=True) if x is None}
-        self.learn(list(self.chunks.recall(missing)))
-        others = iter(self.whole([t for t, f in zip(texts, fast, strict=True) if not f]))
-        out = []
-        for f, s, v in zip(fast, split, found, strict=True):
-            if f and None in v:
-                v = [get(w) if x is None else x for w, x in zip(s, v, strict=True)]
-            out.append(b"".join(v) if f else next(others))
-        return out
+        pieces, of = [], []
+        for i, (t, f) in enumerate(zip(texts, fast, strict=True)):
+            for p in cut(t) if f else ():
+                pieces.append(p)
+                of.append(i)
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        a = 0
+        while a < len(pieces):
+            b, size = a, 0
+            while b < len(pieces) and (b == a or size + len(pieces[b]) < BUFFER):
+                size += len(pieces[b])
+                b += 1
+            for i, x in zip(of[a:b], self.fast(pieces[a:b]), strict=True):
+                out[i].append(x)
+            a = b
+        for i, f in enumerate(fast):
+            if not f:
+                out[i] = self.whole([texts[i]])
+        return [x[0].tobytes() if len(x) == 1 else b"".join(y.tobytes() for y in x) for x in out]
+
+
+def cut(text: str) -> list[str]:
+    """A text in pieces of about BUFFER characters that end at spaces."""
+    out, a = [], 0
+    while len(text) - a > BUFFER:
+        b = text.find(" ", a + BUFFER)
+        if b < 0:
+            break
+        out.append(text[a:b])
+        a = b
+    return [*out, text[a:]]
 
 
 def encoder_of_worker(path: str) -> Encoder:
