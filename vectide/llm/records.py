@@ -41,8 +41,8 @@ VOCABULARY = "word_bpe_49k.json"
 #: Text that one file holds about, in bytes; a file is one row while it is written and read.
 FILE_BYTES = 16 << 20
 #: Atoms that a worker remembers at most, 50 bytes each, and characters that it encodes at once.
-MEMORY_ATOMS = 400_000
-BUFFER = 1 << 20
+MEMORY_ATOMS = 300_000
+BUFFER = 1 << 18
 #: Rows that go to Python and back at once.
 BATCH_ROWS = 512
 MASK = 0xA282EAD8
@@ -73,10 +73,11 @@ class Memory:
         return near, known
 
     def add(self, key: np.ndarray, check: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
-        """Sorted new keys, which share none with the old ones, with all their ids one after another."""
-        at = np.searchsorted(self.key, key)
+        """New keys, none of them among the old ones, with all their ids one after another."""
+        order = np.argsort(key)
+        at = np.searchsorted(self.key, key[order])
         for name, new in (("key", key), ("check", check), ("n", n), ("at", len(self.pool) + np.cumsum(n) - n), ("used", np.full(len(key), self.turn))):
-            setattr(self, name, np.insert(getattr(self, name), at, new))
+            setattr(self, name, np.insert(getattr(self, name), at, new[order]))
         self.pool = np.concatenate([self.pool, ids])
 
     def forget(self) -> None:
@@ -99,23 +100,24 @@ class Hasher:
     def __init__(self):
         rng = np.random.default_rng(17)
         self.letters = rng.integers(0, 1 << 64, (2, 256), dtype=np.uint64)
-        self.power, self.inverse = np.empty((2, 0), dtype=np.uint64), np.empty((2, 0), dtype=np.uint64)
+        self._grow(BUFFER)
 
     def _grow(self, n: int) -> None:
-        powers = []
-        for base in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03):
-            for b in (base, pow(base, -1, 1 << 64)):
-                powers.append(np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, np.uint64(b))]))
-        self.power, self.inverse = np.stack(powers[::2]), np.stack(powers[1::2])
+        base = 0x9E3779B97F4A7C15
+        self.power, self.inverse = (np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, np.uint64(b))]) for b in (base, pow(base, -1, 1 << 64)))
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
         with np.errstate(over="ignore"):
-            if len(data) >= self.power.shape[1]:
-                self._grow(2 * len(data))
+            if len(data) > len(self.power):
+                self._grow(len(data) + len(data) // 4)
             out = []
-            for letters, power, inverse in zip(self.letters, self.power, self.inverse, strict=True):
-                sums = np.r_[np.uint64(0), np.add.accumulate(letters[data] * power[: len(data)])]
-                z = (sums[ends] - sums[starts]) * inverse[starts]
+            for letters in self.letters:
+                sums = letters[data]
+                sums *= self.power[: len(data)]
+                np.add.accumulate(sums, out=sums)
+                z = sums[ends - 1]
+                z[starts > 0] -= sums[starts[starts > 0] - 1]
+                z *= self.inverse[starts]
                 out.append((z ^ z >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9))
             return out
 
@@ -167,12 +169,14 @@ class Encoder:
         key, first, inverse = np.unique(key, return_index=True, return_inverse=True)
         check = check[first]
         _, have = memory.find(key, check)
+        raw, new, ids, n = data.tobytes(), [], [], []
         for rules, some in ((self.letters, ~have & letters[first]), (self.plain, ~have & ~letters[first])):
-            raw = data.tobytes()
-            new = np.flatnonzero(some)
-            of = first[new]
-            ids, n = self.learn([raw[a:b].decode() for a, b in zip(starts[of].tolist(), ends[of].tolist(), strict=True)], rules)
-            memory.add(key[new], check[new], ids, n)
+            new.append(np.flatnonzero(some))
+            of = first[new[-1]]
+            got = self.learn([raw[a:b].decode() for a, b in zip(starts[of].tolist(), ends[of].tolist(), strict=True)], rules)
+            ids.append(got[0])
+            n.append(got[1])
+        memory.add(*(np.concatenate(x) for x in ([key[x] for x in new], [check[x] for x in new], ids, n)))
         at, have = memory.find(key, check)
         assert have.all()
         memory.used[at] = memory.turn
