@@ -2,17 +2,19 @@
 
 The words of a source form one stream, cut into blocks of fixed length. Each source owes the mix a whole number of
 words; it pays in slots, one block each: pass after pass over its blocks, every pass in its own pseudorandom order,
-and the last slot is cut to what is still owed. All slots of all sources are dealt to the output shards by one
-pseudorandom permutation, so the source counts of a shard are multinomial given the sources' totals (multivariate
-hypergeometric) and every total is exact. Slots meet blocks in a join on (source, block index).
+and the last slot is cut to what is still owed. For each output shard, multinomial counts of the sources' slots are
+drawn, given the sources' totals, so that every total is exact. The n-th slot of a source goes through the source's
+permutation to a block index, and slots meet blocks in a join on (source, block index).
 
 Defined cases: a null text has no words; a null source is a source of its own, last in order; documents without
-words, and all documents of an empty table, take nothing; repeated rows and repeated ids are separate documents;
-columns other than the four named ones are ignored by :func:`mix` and kept by :func:`mixed_documents`.
+words, and all documents of an empty table, take nothing; repeated rows and repeated ids are separate documents, in the
+order of id and of a hash of the text, equal ones in any order; a very long text spans many blocks; columns other than
+doc_id, text and source are ignored by :func:`mix` and kept by :func:`mixed_documents`, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.llm.common import blocks_for, bucket, keep, ranked, read
+from vectide.llm.common import blocks_for, bucket, inner, keep, ranked, read
 
 BLOCK_WORDS = 256
 SLOTS_PER_SHARD = 4096
@@ -54,28 +56,66 @@ def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, mo
     return out
 
 
-def permuted(x: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """A pseudorandom permutation of [0, n) for each key: four Feistel rounds on the least even number of bits that hold
-    n, walked on while outside [0, n)."""
+def _rounds(v: np.ndarray, half: np.ndarray, key: np.ndarray, back: bool) -> np.ndarray:
+    """Four Feistel rounds over twice ``half`` bits, or the same backwards."""
+    mask = (np.uint64(1) << half) - np.uint64(1)
+    a, b = v >> half, v & mask
+    with np.errstate(over="ignore"):
+        for i in (3, 2, 1, 0) if back else (0, 1, 2, 3):
+            z = (a if back else b) + key * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i + 1) * np.uint64(0xD1B54A32D192ED03)
+            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            f = (z ^ (z >> np.uint64(31))) & mask
+            a, b = (b ^ f, a) if back else (b, a ^ f)
+    return (a << half) | b
+
+
+def permuted(x: np.ndarray, n: np.ndarray, key: np.ndarray, back: bool = False) -> np.ndarray:
+    """A pseudorandom permutation of [0, n) for each key, or its inverse: Feistel rounds on the least even number of bits
+    that hold n, walked on while outside [0, n)."""
     n = np.broadcast_to(n, x.shape).astype(np.uint64)
     key = np.array(np.broadcast_to(key, x.shape)).astype(np.uint64)
     half = np.maximum(1, (np.ceil(np.log2(np.maximum(n, 2).astype(np.float64) + 1)).astype(np.uint64) + np.uint64(1)) // np.uint64(2)).astype(np.uint64)
-    mask = (np.uint64(1) << half) - np.uint64(1)
     out, todo = x.astype(np.uint64).copy(), np.arange(len(x))
     while len(todo):
-        v, h, m, k = out[todo], half[todo], mask[todo], key[todo]
-        a, b = v >> h, v & m
-        with np.errstate(over="ignore"):
-            for i in range(4):
-                z = (b + k * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i + 1) * np.uint64(0xD1B54A32D192ED03)).astype(np.uint64)
-                z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                a, b = b, a ^ ((z ^ (z >> np.uint64(31))) & m)
-        out[todo] = (a << h) | b
+        out[todo] = _rounds(out[todo], half[todo], key[todo], back)
         todo = todo[out[todo] >= n[todo]]
     return out.astype(np.int64)
 
 
+def drawn(have: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
+    """Multinomial counts of ``take`` slots given that the sources have ``have`` in all: the multivariate hypergeometric
+    law, source after source. Beyond a thousand million slots its normal limit is drawn instead."""
+    out, left, rest = np.zeros(len(have), dtype=np.int64), int(take), int(have.sum())
+    for i, n in enumerate(have.tolist()):
+        rest -= n
+        if not left:
+            break
+        low, high = max(0, left - rest), min(n, left)
+        if n + rest < 1_000_000_000:
+            got = int(rng.hypergeometric(n, rest, left)) if n else 0
+        else:
+            all_, p = n + rest, n / (n + rest)
+            got = round(rng.normal(left * p, math.sqrt(left * p * (1 - p) * (all_ - left) / (all_ - 1))))
+        out[i] = min(high, max(low, got))
+        left -= out[i]
+    return out
+
+
+def counts_of(shard: int, shards: int, per_shard: int, have: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The source counts drawn for a shard, and those of all shards before it. Halves of the shards draw from what their
+    whole has, down to the shard, so any task finds any shard's counts by itself; a draw is seeded by its bounds."""
+    a, b, before, have = 0, shards, np.zeros(len(have), dtype=np.int64), have.copy()
+    while b - a > 1:
+        m = (a + b) // 2
+        left = drawn(have, (m - a) * per_shard, np.random.default_rng([seed, a, b]))
+        if shard < m:
+            b, have = m, left
+        else:
+            a, before, have = m, before + left, have - left
+    return have, before
+
+
 @dataclass(frozen=True)
 class Source:
     name: str | None
@@ -99,7 +139,7 @@ def plan(sizes: dict[str | None, int], block: int, seed: int) -> list[Source]:
         if rest:
             short = size - (n - 1) * block
             order_key = np.uint64((seed << 40) + (i << 8) + passes)
-            at = int(np.flatnonzero(permuted(np.arange(n), np.array(n), order_key) == n - 1)[0]) if n <= 1 << 22 else _find(n, order_key)
+            at = int(permuted(np.array([n - 1]), np.array(n), order_key, back=True)[0])
             m = -(-rest // block)
             before = (m - 1) * block
             if m > at:  # the short block comes among them
@@ -110,17 +150,11 @@ def plan(sizes: dict[str | None, int], block: int, seed: int) -> list[Source]:
     return out
 
 
-def _find(n: int, key: np.uint64) -> int:
-    for a in range(0, n, 1 << 22):
-        hit = np.flatnonzero(permuted(np.arange(a, min(n, a + (1 << 22))), np.array(n), key) == n - 1)
-        if len(hit):
-            return a + int(hit[0])
-    raise AssertionError
-
-
-def placed(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """Each document with its size and with the number of words before it in its source's stream."""
-    rows = docs.select("doc_id", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source")).alias("skey"), words_in(F.col("text")).alias("size"), F.xxhash64("text").alias("__tie"), *[F.col(c).alias(f"c_{i}") for i, c in enumerate(carry)])
+def placed(docs: DataFrame, carry: bool) -> DataFrame:
+    """Each document with its size and with the number of words before it in its source's stream; ``carry`` keeps all its
+    columns, as c0, c1, ..."""
+    own, (doc_id, text, source) = inner(docs, "doc_id", "text", "source")
+    rows = own.select(F.col(doc_id).alias("doc_id"), F.when(F.col(source).isNull(), "n").otherwise(F.concat(F.lit("s"), source)).alias("skey"), words_in(F.col(text)).alias("size"), F.xxhash64(text).alias("__tie"), *(own.columns if carry else []))
     rows = keep(rows, "mix-sizes")
     n = rows.count()
     return keep(ranked(rows, ["skey"], [F.col("doc_id"), F.col("__tie")], bucket(blocks_for(n), F.col("doc_id")), F.col("size"), "start").drop("__tie"), "mix-placed")
@@ -128,26 +162,27 @@ def placed(docs: DataFrame, carry: list[str]) -> DataFrame:
 
 def slots(spark: SparkSession, sources: list[Source], block: int, per_shard: int, seed: int) -> DataFrame:
     """One row for each block of the mix: shard, slot, skey, pass, idx (the block's index), words."""
-    ends = np.cumsum([s.slots for s in sources])
-    total = int(ends[-1]) if len(ends) else 0
+    total = sum(s.slots for s in sources)
+    shards = -(-total // per_shard)
     schema = "shard long, slot long, skey string, pass int, idx long, words long"
-    first = ends - [s.slots for s in sources]
 
     def deal(batches):
         keys = np.array([s.key for s in sources], dtype=object)
         n_blocks, sizes, owed_slots, last = (np.array([getattr(s, f) for s in sources], dtype=np.int64) for f in ("blocks", "size", "slots", "last"))
         for pdf in batches:
-            g = pdf["id"].to_numpy()
-            x = permuted(g, np.array(total), np.uint64(seed))
-            s = np.searchsorted(ends, x, side="right")
-            j, n = x - first[s], n_blocks[s]
-            passes = j // n
-            idx = permuted(j % n, n, np.uint64(seed << 40) + (s.astype(np.uint64) << np.uint64(8)) + passes.astype(np.uint64))
-            words = np.where(idx == n - 1, sizes[s] - (n - 1) * block, block)
-            words = np.where((j == owed_slots[s] - 1) & (last[s] > 0), last[s], words)
-            yield pd.DataFrame({"shard": g // per_shard, "slot": g % per_shard, "skey": keys[s], "pass": passes.astype(np.int32), "idx": idx, "words": words})
+            for shard in pdf["id"].tolist():
+                counts, before = counts_of(shard, shards, per_shard, owed_slots, seed)
+                m = int(counts.sum())
+                s = np.repeat(np.arange(len(sources)), counts)
+                j, n = np.arange(m) - np.repeat(np.cumsum(counts) - counts, counts) + before[s], n_blocks[s]
+                passes = j // n
+                idx = permuted(j % n, n, np.uint64(seed << 40) + (s.astype(np.uint64) << np.uint64(8)) + passes.astype(np.uint64))
+                words = np.where(idx == n - 1, sizes[s] - (n - 1) * block, block)
+                words = np.where((j == owed_slots[s] - 1) & (last[s] > 0), last[s], words)
+                slot = np.random.default_rng([seed, shard]).permutation(m)  # the sources of a shard are mixed
+                yield pd.DataFrame({"shard": shard, "slot": slot, "skey": keys[s], "pass": passes.astype(np.int32), "idx": idx, "words": words})
 
-    return spark.range(total).mapInPandas(deal, schema)
+    return spark.range(shards).mapInPandas(deal, schema)
 
 
 @dataclass(frozen=True)
@@ -180,9 +215,9 @@ class Mix:
         return rows.join(self.source_table(), "skey").select("doc_id", "size", "source_size", "target", "taken")
 
 
-def mix(docs: DataFrame, block: int = BLOCK_WORDS, per_shard: int = SLOTS_PER_SHARD, seed: int = SEED, carry: list[str] | None = None) -> Mix:
+def mix(docs: DataFrame, block: int = BLOCK_WORDS, per_shard: int = SLOTS_PER_SHARD, seed: int = SEED, carry: bool = False) -> Mix:
     """Plan and deal the mix of ``docs`` (doc_id, text, source). The driver holds one row for each source."""
-    rows = placed(docs, carry or [])
+    rows = placed(docs, carry)
     got = {r["skey"]: int(r["s"]) for r in rows.groupBy("skey").agg(F.sum("size").alias("s")).toLocalIterator()}
     sources = plan({None if k == "n" else k[1:]: v for k, v in got.items()}, block, seed)
     return Mix(sources, rows, slots(docs.sparkSession, sources, block, per_shard, seed), block)
@@ -191,16 +226,18 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, per_shard: int = SLOTS_PER_SH
 def mixed_documents(docs: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
     """The mix as documents: one row, with the columns of ``docs``, for each pass that takes words of a document. A text
     that a pass takes whole stays as it is; otherwise it is the words taken, in their order, joined by spaces."""
-    m = mix(docs, block=block, seed=seed, carry=docs.columns)
+    m = mix(docs, block=block, seed=seed, carry=True)
+    own, (text, *_) = inner(docs, "text")
     ranges = m.segments().groupBy("skey", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("ranges"), F.sum(F.col("b") - F.col("a")).alias("taken"))
     rows = m.documents.filter("size > 0").join(ranges, ["skey", "start"])
-    names = {c: f"c_{i}" for i, c in enumerate(docs.columns)}
-    words = f"filter(split({names['text']}, '[{SPACE}]+'), w -> w <> '')".replace("\\", "\\\\")
+    words = f"filter(split({text}, '[{SPACE}]+'), w -> w <> '')".replace("\\", "\\\\")
     part = F.expr(f"array_join(flatten(transform(ranges, r -> slice({words}, int(r.a) + 1, int(r.b - r.a)))), ' ')")
-    text = F.when(F.col("taken") == F.col("size"), F.col(names["text"])).otherwise(part)
-    out = rows.withColumn("__text", text)
-    new = {"text": F.col("__text"), "n_chars": F.length("__text").cast(docs.schema["n_chars"].dataType) if "n_chars" in names else None}
-    return out.select(*[new.get(c, F.col(names[c])).alias(c) for c in docs.columns])
+    out = rows.withColumn("part", F.when(F.col("taken") == F.col("size"), F.col(text)).otherwise(part))
+    new = {text: F.col("part")}
+    if "n_chars" in docs.columns:
+        n_chars = f"c{docs.columns.index('n_chars')}"
+        new[n_chars] = F.length("part").cast(own.schema[n_chars].dataType)
+    return out.select(*[new.get(c, F.col(c)).alias(c) for c in own.columns]).toDF(*docs.columns)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
