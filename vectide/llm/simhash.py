@@ -6,7 +6,9 @@ of over RUN_ROWS fingerprints is cut into chunks, and each pair of chunks is a r
 no task holds more. Components come from star steps over the forests' links.
 
 Defined cases: a null text counts as empty; texts without words have fingerprint zero; fewer words than a shingle make
-one shingle; a null doc_id counts as the smallest long; repeated rows share their component.
+one shingle; a null doc_id counts as the smallest long; repeated rows share their component; very long texts are hashed
+whole; an empty table gives no rows; other columns are ignored by :func:`near_duplicates` and kept by
+:func:`one_of_each`, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vectide.llm.common import components, keep, read, spread_join
+from vectide.llm.common import components, inner, keep, picked, read, slices, spread_join
 from vectide.llm.golay import golay
 
 SHINGLE_WORDS = 4
@@ -55,11 +57,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long) of each document."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             got = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got)], names=["doc_id", "fp"])
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text")
+    rows = picked(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text")
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 
@@ -169,18 +171,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest doc_id. Of rows that share this id, one with
-    the smallest fingerprint stays, and of these the first text. Rows are told apart by id and fingerprint."""
-    kept = grouped(keep(fingerprints(docs), "simhash-rows")).filter("fp = first").select(F.col("id").alias("__id"), F.col("fp").alias("__fp"))
+    the smallest fingerprint stays, and of these the first text. Rows are told apart by id and fingerprint. Fingerprints are
+    made once, and written with the rows."""
+    own, (doc_id, text) = inner(docs, "doc_id", "text")
 
     def run(batches):
-        for batch in batches:
-            got = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got)], names=[*batch.schema.names, "__fp"])
-
-    rows = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
-    rows = rows.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).join(kept, ["__id", "__fp"], "left_semi")
-    first = Window.partitionBy("__id", "__fp").orderBy(F.col("text").asc_nulls_last())
-    return rows.withColumn("__n", F.row_number().over(first)).filter("__n = 1").select(*docs.columns)
+        for batch in slices(batches):
+            got = np.array([fingerprint(t) for t in batch.column(text).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got)], names=[*batch.schema.names, "fp"])
+
+    rows = keep(own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField("fp", T.LongType())])).withColumn("id", F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))), "simhash-documents")
+    kept = grouped(rows.select(F.col("id").alias("doc_id"), "fp")).filter("fp = first").select("id", "fp")
+    first = Window.partitionBy("id", "fp").orderBy(F.col(text).asc_nulls_last())
+    one = rows.join(kept, ["id", "fp"], "left_semi").withColumn("n", F.row_number().over(first)).filter("n = 1")
+    return one.select(*own.columns).toDF(*docs.columns)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
