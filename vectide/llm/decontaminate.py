@@ -5,10 +5,13 @@ passage by a budget of k = floor(rate * m) inserted, deleted or replaced words.
 passage within budget is untouched; so an automaton finds exact piece hits in the document, and Myers' bit-parallel
 distance verifies the window around them against the whole item.
 
-Test items go to the tasks in blocks of bounded bytes, one scan of the documents for each, so any number of items fits.
+Test items go to the tasks in blocks of bounded bytes, as an automaton takes many times its text. Each block is one scan
+of the documents, whose result is written before the next begins; the driver holds two blocks at most.
 
 Defined cases: null and empty documents and items without a word match nothing; repeated documents and items each
-give their own rows; an empty table on either side gives no rows; columns other than doc_id, text, item_id are ignored.
+give their own rows; of equally near places the first counts, and of its beginnings the last; very long texts are read
+whole; an empty table on either side gives no rows; columns other than doc_id, text, item_id are ignored by
+:func:`contamination` and kept by :func:`without_contaminated`, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.llm.common import empty_like, keep, read
+from vectide.llm.common import empty_like, inner, keep, picked, read, slices
 
 #: Words that may differ, as a share of the item's words.
 ERROR_RATE = 0.2
@@ -135,9 +138,9 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
-    """Test items in blocks of about ``block_bytes``; one block at a time is on the driver."""
+    """Test items in blocks of about ``block_bytes``."""
     block, size = [], 0
-    for r in items.select("item_id", "text").filter("text IS NOT NULL").toLocalIterator():
+    for r in picked(items, "item_id", "text").filter("text IS NOT NULL").toLocalIterator():
         block.append((r[0], r[1]))
         size += len(r[1])
         if size >= block_bytes:
@@ -151,35 +154,49 @@ def contamination(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE) -
     """One row for each document and test item of which it holds a passage within budget: doc_id, item_id, distance,
     item_words, start_word, end_word (of the best such passage, in words of the document)."""
 
+    docs = picked(docs, "doc_id", "text")
+
     def scan(block):
         def run(batches):
             matcher = Matcher(block, rate)
-            for batch in batches:
+            for batch in slices(batches):
                 got = [(d, *x) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in matcher.find(t)]
                 columns = list(zip(*got, strict=True)) or [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64() if i < 2 else pa.int32()) for i, c in enumerate(columns)], names=["doc_id", "item_id", "distance", "item_words", "start_word", "end_word"])
 
-        return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+        return docs.mapInArrow(run, SCHEMA)
 
-    found = [scan(b) for b in blocks(items)]
+    found = [scan(b) if last else keep(scan(b), "contamination") for b, last in marked(blocks(items))]
     return reduce(DataFrame.union, found) if found else empty_like(docs.sparkSession, SCHEMA)
 
 
+def marked(things: Iterator) -> Iterator[tuple[object, bool]]:
+    """Each thing, and whether it is the last."""
+    for now in things:
+        for later in things:
+            yield now, False
+            now = later
+        yield now, True
+
+
 def without_contaminated(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
     """``docs`` without the documents that hold a test item. Each row goes or stays by its own text, whatever its id."""
 
+    own, (text,) = inner(docs, "text")
+
     def clean(block):
         def run(batches):
             matcher = Matcher(block, rate)
-            for batch in batches:
-                yield batch.filter(pa.array([next(matcher.find(t), None) is None for t in batch.column("text").to_pylist()], pa.bool_()))
+            for batch in slices(batches):
+                yield batch.filter(pa.array([next(matcher.find(t), None) is None for t in batch.column(text).to_pylist()], pa.bool_()))
 
         return run
 
-    out = docs
-    for i, block in enumerate(blocks(items)):
-        out = (keep(out, "decontaminated") if i else out).mapInArrow(clean(block), docs.schema)  # one block's automaton in a task
-    return out
+    out = own
+    for block, last in marked(blocks(items)):
+        out = out.mapInArrow(clean(block), own.schema)  # one block's automaton in a task
+        out = out if last else keep(out, "decontaminated")
+    return out.toDF(*docs.columns)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
