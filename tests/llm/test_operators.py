@@ -59,6 +59,36 @@ def test_sharding(docs, texts):
     assert d.shard.between(0, 15).all()
 
 
+ODD = "`0` int, doc_id long, text string, DOC_ID string, Text int, __id int, __fp int, __n int, __block int, __w int, g int, k int, c0 int, c1 int, source string, item_id int, fp int, id int, n int, h int, size int, lang string"
+
+
+@pytest.fixture
+def odd(spark):
+    """Columns that clash with names inside, and in case."""
+    spark.conf.set("spark.sql.caseSensitive", "true")  # such a table can be made in this way only
+    r = random.Random(21)
+    a, b = text(r, 70), text(r, 70)
+    texts = [a, b, a, f"{b} {text(r, 40)}", None, ""]
+    rows = [(0, i, t, "x", 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, "s", 11, 12, 13, 14, 15, 16, "en") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, ODD)
+    yield df
+    spark.conf.set("spark.sql.caseSensitive", "false")
+
+
+def test_clashing_columns(spark, odd):
+    plain = odd.select("doc_id", "text", "source", "lang")
+    spark.conf.set("spark.sql.caseSensitive", "false")
+    items = spark.createDataFrame([(1, plain.first()["text"][:60], 2)], "item_id long, text string, doc_id int")
+    labels = spark.createDataFrame([(0, 1, 1, 2)], "doc_id long, quality int, toxic int, text int")
+    for f in (sharding.shard, secrets.secrets, simhash.near_duplicates, phrases.removed, passages.passages, records.tokenized, lambda d: mixing.mix(d).by_document(), lambda d: toxicity.toxicity(d, labels), lambda d: decontaminate.contamination(d, items)):
+        key = lambda x: tuple(str(v) for v in x.asDict().values())
+        assert sorted(f(odd).collect(), key=key) == sorted(f(plain).collect(), key=key)
+    for f, left in ((simhash.one_of_each, {0, 1, 3, 4}), (lambda d: decontaminate.without_contaminated(d, items), {1, 3, 4, 5}), (lambda d: toxicity.without_toxic(d, labels), set(range(6)))):
+        out = f(odd)
+        assert out.columns == odd.columns and {x[1] for x in out.collect()} == left
+    assert mixing.mixed_documents(odd).columns == odd.columns
+
+
 def test_sharding_balances_and_keeps_groups(spark):
     r = random.Random(1)
     d = sharding.shard(make(spark, [text(r, 10 + i % 50) for i in range(900)] + ["same text here"] * 450)).toPandas()
@@ -241,6 +271,19 @@ def test_secrets(spark):
     assert all(got[len(texts) - 1 - i]["n_learned"] == 0 for i in range(40))
 
 
+@pytest.mark.parametrize("share", [0.1, 0.5, 0.9, 1.0])
+def test_unlabelled_credentials_are_learned(spark, share):
+    r = random.Random(5)
+    key = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    texts = [f"password = {key(40)} end" for _ in range(300)]
+    bare = [r.random() < share for _ in range(200)]
+    texts += [f"see {key(40)} there" if b else f"see id-{i}-ordinary-name-{i}-part-{i}-x there" for i, b in enumerate(bare)]
+    got = {x["doc_id"]: x for x in secrets.secrets(make(spark, texts)).collect()}
+    assert all((got[300 + i]["n_learned"] == 1) == b for i, b in enumerate(bare))
+    assert all(got[300 + i]["spans"] == "learned:4:44" for i, b in enumerate(bare) if b)
+    assert all(got[i]["n_learned"] == 0 and got[i]["n_assign"] == 1 for i in range(300))
+
+
 def test_automaton():
     a = automata.Automaton(["ab", "aab", "aaab", "b"] * 50)
     assert a.log_likelihood("aab") > a.log_likelihood("bba") and len(a.next) <= 5
@@ -274,6 +317,27 @@ def test_permutations():
             assert sorted(mixing.permuted(np.arange(n), np.array(n), np.uint64(k)).tolist()) == list(range(n))
 
 
+def test_inverse_permutations():
+    for n in (1, 2, 7, 64, 1000, 10**12):
+        x = np.array([0, n // 3, n - 1])
+        for k in (0, 9):
+            y = mixing.permuted(x, np.array(n), np.uint64(k))
+            assert (y < n).all() and mixing.permuted(y, np.array(n), np.uint64(k), back=True).tolist() == x.tolist()
+
+
+def test_counts_of_shards_are_multinomial_given_totals():
+    have, per, shards = np.array([5_000, 0, 1_200, 37]), 100, 63
+    got = [mixing.counts_of(i, shards, per, have, 4) for i in range(shards)]
+    counts = np.array([c for c, _ in got])
+    assert (counts.sum(axis=0) == have).all() and (counts[:-1].sum(axis=1) == per).all() and (counts >= 0).all()
+    assert all((b == counts[:i].sum(axis=0)).all() for i, (_, b) in enumerate(got))
+    many = np.array([mixing.counts_of(0, 2, 50, np.array([60, 40]), s)[0][0] for s in range(3_000)])
+    assert abs(many.mean() - 30) < 0.3 and abs(many.var() - 50 * 0.6 * 0.4 * 50 / 99) < 0.5
+    big = np.array([4 * 10**9, 2 * 10**9, 0, 5])
+    left = mixing.drawn(big, 3 * 10**9, np.random.default_rng(1))
+    assert left.sum() == 3 * 10**9 and (left <= big).all() and abs(left[0] / 2e9 - 1) < 1e-3
+
+
 def test_mixed_documents(docs, texts):
     m = mixing.mix(docs, block=16)
     taken = {r["doc_id"]: r["taken"] for r in m.by_document().collect()}

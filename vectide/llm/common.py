@@ -53,6 +53,29 @@ def drop_scratch() -> None:
     _made.clear()
 
 
+def picked(df: DataFrame, *names: str) -> DataFrame:
+    """The columns ``names`` of ``df``, whatever else it holds: an exact name wins over one in other case, and the first of
+    several wins."""
+    low = [c.lower() for c in df.columns]
+    at = [df.columns.index(n) if n in df.columns else low.index(n.lower()) for n in names]
+    return df.toDF(*[f"c{i}" for i in range(len(low))]).select(*[F.col(f"c{i}").alias(n) for i, n in zip(at, names, strict=True)])
+
+
+def inner(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with the columns c0, c1, ..., so that no name of its own can clash, and which of them ``names`` are (as in
+    :func:`picked`). ``toDF(*df.columns)`` brings the names back."""
+    low = [c.lower() for c in df.columns]
+    at = [df.columns.index(n) if n in df.columns else low.index(n.lower()) for n in names]
+    return df.toDF(*[f"c{i}" for i in range(len(low))]), [f"c{i}" for i in at]
+
+
+def slices(batches, rows: int = 256):
+    """Record batches in slices of a few rows, so that Python holds a few texts at once."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vectide.llm.common import keep, read
+from vectide.llm.common import keep, picked, read
 
 SPAN = 100
 #: A multiple of 8, and 36 at most.
@@ -114,7 +114,7 @@ def _bytes(text: str | None) -> bytes:
 
 def numbered(docs: DataFrame) -> DataFrame:
     """doc_id, k (the number of a text among those of its id, by text) and text."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_LONG)).alias("doc_id"), "text")
+    rows = picked(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_LONG)).alias("doc_id"), "text")
     if rows.groupBy("doc_id").count().filter("count > 1").isEmpty():
         return rows.withColumn("k", F.lit(0)).select("doc_id", "k", "text")
     order = Window.partitionBy("doc_id").orderBy(F.coalesce("text", F.lit("")))

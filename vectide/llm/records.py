@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vectide.llm.common import keep, read, scratch_path
+from vectide.llm.common import keep, picked, read, scratch_path
 
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
@@ -288,6 +288,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int
     """Encode every text and write record files and their index below ``path``; returns ``path``."""
     vocabulary = vocabulary or vocabulary_path()
     end = struct.pack("<H", end_id)
+    docs = picked(docs, "doc_id", "text")
     text = F.coalesce(F.col("text"), F.lit(""))
     size = docs.agg(F.sum(F.octet_length(text) + 64)).first()[0] or 0
     files = max(1, -(-size // file_bytes))

@@ -7,7 +7,10 @@ bound, are packed on the driver; the rest falls into cells of bounded size, each
 its share of what the large pieces left.
 
 The law that holds is ``bytes``: sizes near equal. Defined cases: a null text has no bytes and counts with the empty
-text; an empty table gives no rows; repeated rows are separate documents of one group; tiny tables leave shards empty.
+text; an empty table gives no rows; repeated rows are separate documents of one group; tiny tables leave shards empty; of
+shards with equal dot products the first wins, and pieces of equal size go by the hash of their text; one very long
+text is one piece, however large; a null doc_id is kept and comes first among its block's slots; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.llm.common import blocks_for, bucket, keep, ranked, read, spread_join
+from vectide.llm.common import blocks_for, bucket, keep, picked, ranked, read, spread_join
 from vectide.llm.mixing import words_in
 
 SHARDS = 16
@@ -42,6 +45,7 @@ def pack(items: np.ndarray, room: np.ndarray) -> np.ndarray:
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """One row for each document: doc_id, size (UTF-8 bytes plus 1), text_crc32, tokens, law, shard, slot (its place in
     the shard, from 0) and grown_shard (null under this law)."""
+    docs = picked(docs, "doc_id", "text")
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = keep(docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), words_in(text).alias("tokens"), F.xxhash64(text).alias("h")), "shard-sizes")
     count, *sums = rows.agg(F.count("*"), F.sum("size"), F.sum("tokens")).first()

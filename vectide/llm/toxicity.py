@@ -6,7 +6,9 @@ those that already look worst. Training sees at most MOST_POSITIVE and MOST_NEGA
 smallest hashes of their ids); everything is scored.
 
 Defined cases: a null or empty text has one empty sentence, whose score is the bias; a null doc_id hashes as the empty
-text; repeated labels of one document count as their largest; without labels nothing is predicted toxic.
+text; repeated labels of one document count as their largest; without labels nothing is predicted toxic; a score of
+exactly 0.5 is toxic; repeated rows are scored alike; very long texts are scored whole; an empty table gives no rows;
+other columns are ignored by :func:`toxicity` and kept by :func:`without_toxic`, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.llm.common import keep, read
+from vectide.llm.common import inner, keep, picked, read, slices
 
 FOLDS = 5
 MOST_POSITIVE = 2_000
@@ -32,7 +34,7 @@ LEAST_G2 = 20.0
 ROUNDS = 200
 L2 = 1e-5
 THRESHOLD = 0.5
-MEMORY = 200_000
+MEMORY = 100_000
 
 _END = re.compile(r"[.!?\n]+")
 _WORD = re.compile(r"\w+")
@@ -118,11 +120,12 @@ def _examples(labelled: DataFrame, use: np.ndarray) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Train on the labelled documents that are not held out."""
-    known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).filter(~held_out(F.col("doc_id")))
+    docs = picked(docs, "doc_id", "text")
+    known = picked(labels, "doc_id", "toxic").filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).filter(~held_out(F.col("doc_id")))
     order = F.xxhash64("doc_id")
     chosen = known.filter("toxic = 1").orderBy(order, "doc_id").limit(MOST_POSITIVE).union(known.filter("toxic = 0").orderBy(order, "doc_id").limit(MOST_NEGATIVE))
     chosen = keep(chosen, "toxicity-chosen")
-    sample = keep(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "toxicity-sample")  # broadcast: 6,000 rows at most
+    sample = keep(docs.join(F.broadcast(chosen), "doc_id"), "toxicity-sample")  # broadcast: 6,000 rows at most
     use = telling_features(sample)
     rows = _examples(sample, use).toArrow()
     y = rows["toxic"].to_numpy().astype(float)
@@ -162,9 +165,11 @@ def _sentence_scores(text: str | None, memo: dict[str, float], bias: float) -> l
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score and the number of offending sentences of each document."""
 
+    docs = picked(docs, "doc_id", "text")
+
     def run(batches):
         memo = model.memo()
-        for batch in batches:
+        for batch in slices(batches):
             score, bad = [], []
             for t in batch.column(1).to_pylist():
                 z = np.array(_sentence_scores(t, memo, model.bias))
@@ -172,7 +177,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 bad.append(int((z >= 0).sum()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array(bad, pa.int32())], names=["doc_id", "score", "n_offending"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, n_offending int")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, n_offending int")
 
 
 def offending_sentences(docs: DataFrame, model: Model) -> DataFrame:
@@ -180,11 +185,11 @@ def offending_sentences(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         memo = model.memo()
-        for batch in batches:
+        for batch in slices(batches):
             got = [(d, i, s, 1 / (1 + float(np.exp(-z)))) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for i, (s, z) in enumerate(zip(sentences(t), _sentence_scores(t, memo, model.bias), strict=True)) if z >= 0]
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array([x[0] for x in got], pa.int64()), "position": pa.array([x[1] for x in got], pa.int32()), "sentence": pa.array([x[2] for x in got], pa.string()), "score": pa.array([x[3] for x in got], pa.float64())})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, position int, sentence string, score double")
+    return picked(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, position int, sentence string, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -196,14 +201,15 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the documents predicted toxic. Each row goes or stays by its own text, whatever its id."""
     model = fit(docs, labels)
+    own, (text,) = inner(docs, "text")
 
     def run(batches):
         memo = model.memo()
-        for batch in batches:
-            z = (np.array(_sentence_scores(t, memo, model.bias)) for t in batch.column("text").to_pylist())
+        for batch in slices(batches):
+            z = (np.array(_sentence_scores(t, memo, model.bias)) for t in batch.column(text).to_pylist())
             yield batch.filter(pa.array([bool(-np.expm1(-np.logaddexp(0, x).sum()) < THRESHOLD) for x in z], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return own.mapInArrow(run, own.schema).toDF(*docs.columns)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
