@@ -1,18 +1,22 @@
 """Exact removal of repeated byte strings by prefix-free parsing.
 
-Every window of SPAN bytes has one trigger: the leftmost of its GRAM-byte strings with the least hash. So a text is
-parsed into phrases, each a run of windows with one trigger, and equal windows have triggers at equal places. The
-dictionary holds the distinct phrases under their triggers, the parse their occurrences in corpus order.
-
-A trigger that occurs once has nothing to say. Of an equal phrase all occurrences but the first repeat it whole. Only
-phrases that share a trigger with different ones need their suffixes compared: the first occurrences of such phrases
-meet under their trigger, and a window that an earlier one holds too is a repeat. As only equality of SPAN-byte prefixes
-counts, suffixes are sorted by a 64-bit hash of the prefix under the trigger's own 64 bits and by corpus position, in
-place of the letters of a suffix array. Triggers that over CROWD phrases share are compared window by window in a
-shuffle instead, so that no task gathers them.
-
-Order is by doc_id, then, for repeated ids, by text. Defined cases: a null text counts as empty; texts under SPAN bytes
-keep all; a null doc_id comes first; an empty table gives no rows.
+A rolling hash over GRAM bytes makes triggers: strings whose hash is 0 modulo TRIGGER_MOD, and, where SPAN bytes hold
+none, the one with the least hash. Each window of SPAN bytes belongs to the first trigger in it, so a text is parsed into
+phrases, the windows of one trigger each, and equal windows have equal triggers at equal places. The dictionary holds the
+distinct phrases under their triggers; the parse is their occurrences in corpus order.
+
+A trigger that occurs once has nothing to say. Of an equal phrase all occurrences but the first repeat it whole. What is
+left is the dictionary under triggers that different phrases share. There a window is a suffix of the dictionary, the
+bytes of a phrase up to its trigger, followed by a suffix of the parse, what comes after the trigger. Both are sorted
+under each trigger, with the common lengths of neighbours: phrases from the trigger backwards, so that suffixes of one
+length which agree are runs of that order, and the parse's suffixes forwards, cut where no window reaches. A pair of runs
+is all equal windows; in corpus order the first of them stays and the others repeat it. All of this compares bytes; only
+triggers and whole phrases are told apart by 64-bit hashes. Triggers that over CROWD distinct phrases share are compared
+window by window, by a hash, in a shuffle instead, so that no task gathers them.
+
+Order is by doc_id, then, for repeated ids, by a hash of the text. Defined cases: a null text counts as empty; texts under
+SPAN bytes keep all; a null doc_id comes first; of equal rows with one id any is the first; very long texts are parsed in
+overlapping parts; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vectide.llm.common import keep, picked, read
+from vectide.llm.common import blocks_for, bucket, keep, picked, ranked, read
 
 SPAN = 100
-#: A multiple of 8, and 36 at most.
+#: Bytes that the rolling hash takes; 36 at most.
 GRAM = 32
 GRAMS = SPAN - GRAM + 1
+#: One of so many strings is a trigger; a power of two.
+TRIGGER_MOD = 64
 #: Bytes that are parsed at once; longer texts are cut into overlapping parts.
 BUFFER = 1 << 19
 LEAST_LONG = -(1 << 63)
@@ -45,19 +51,14 @@ class Parser:
             n = 2 * BUFFER + 4 * SPAN
             base = np.uint64(0x9E3779B97F4A7C15)
             back = np.uint64(pow(int(base), -1, 1 << 64))
+            self.letters = np.random.default_rng(7).integers(0, 1 << 64, 256, dtype=np.uint64)
             self.power = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, base)])
             self.inverse = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, back)])
 
     def hashes(self, data: np.ndarray) -> np.ndarray:
-        """A hash of each GRAM-byte string of ``data``."""
-        x = data.astype(np.uint64)
-        x = x[:-1] | x[1:] << np.uint64(8)
-        x = x[:-2] | x[2:] << np.uint64(16)
-        x = x[:-4] | x[4:] << np.uint64(32)
-        n = len(data) - GRAM + 1
-        z = np.zeros(n, dtype=np.uint64)
-        for a in range(0, GRAM, 8):
-            z = (z ^ z >> np.uint64(29) ^ x[a : a + n]) * np.uint64(0xBF58476D1CE4E5B9)
+        """The rolling hash of each GRAM-byte string of ``data``: a difference of running sums, moved to one place and mixed."""
+        s = self.sums(self.letters[data])
+        z = (s[GRAM:] - s[:-GRAM]) * self.inverse[: len(data) - GRAM + 1]
         z ^= z >> np.uint64(29)
         z *= np.uint64(0xFF51AFD7ED558CCD)
         z ^= z >> np.uint64(32)
@@ -75,7 +76,8 @@ class Parser:
     def phrases(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
         """segment, first window, number of windows, hash of the trigger and of the phrase, for the segments of a buffer."""
         h = self.hashes(data)
-        key = h & ~np.uint64(0xFFFFFF) | np.arange(len(h), dtype=np.uint64)
+        # the first trigger of a window wins, and where it has none its least hash
+        key = np.where(h % np.uint64(TRIGGER_MOD) == 0, np.uint64(0), h & ~np.uint64(0xFFFFFF)) | np.arange(len(h), dtype=np.uint64)
         low = key
         for d in (1, 2, 4, 8, 16, 32):
             low = np.minimum(low[:-d], low[d:])
@@ -116,9 +118,10 @@ def numbered(docs: DataFrame) -> DataFrame:
     """doc_id, k (the number of a text among those of its id, by text) and text."""
     rows = picked(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_LONG)).alias("doc_id"), "text")
     if rows.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return rows.withColumn("k", F.lit(0)).select("doc_id", "k", "text")
-    order = Window.partitionBy("doc_id").orderBy(F.coalesce("text", F.lit("")))
-    return keep(rows.withColumn("k", F.row_number().over(order) - 1).select("doc_id", "k", "text"), "phrases-numbered")
+        return rows.withColumn("k", F.lit(0).cast("long")).select("doc_id", "k", "text")
+    rows = keep(rows.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("row", F.monotonically_increasing_id()), "phrases-rows")
+    order = [F.col("h"), F.col("row")]
+    return keep(ranked(rows, ["doc_id"], order, bucket(blocks_for(rows.count()), "h", "row"), None, "k").select("doc_id", "k", "text"), "phrases-numbered")
 
 
 def parse(rows: DataFrame) -> DataFrame:
@@ -153,7 +156,7 @@ def parse(rows: DataFrame) -> DataFrame:
             g = np.where(again, (own ^ own >> np.uint64(32)).view(np.int64), g)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (g, c, d, k, at, n, again)], names=["g", "c", "doc_id", "k", "first", "n", "again"])
 
-    return rows.mapInArrow(run, "g long, c long, doc_id long, k int, first long, n int, again boolean")
+    return rows.mapInArrow(run, "g long, c long, doc_id long, k long, first long, n int, again boolean")
 
 
 def spelled(rows: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -176,9 +179,9 @@ def spelled(rows: DataFrame, phrases: DataFrame) -> DataFrame:
                             s = parser.sums(parser.hashes(data[a : a + BUFFER + SPAN - 1]))
                             out.append((of, p, parser.span_hash(s, p - a, p - a + GRAMS)))
                 of, p, w = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(w.view(np.int64)), pa.array(np.full(len(p), d)), pa.array(np.full(len(p), k, dtype=np.int32)), pa.array(p)], names=["g", "w", "doc_id", "k", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(w.view(np.int64)), pa.array(np.full(len(p), d)), pa.array(np.full(len(p), k)), pa.array(p)], names=["g", "w", "doc_id", "k", "p"])
 
-    return rows.join(phrases, ["doc_id", "k"]).select("doc_id", "k", "text", "ranges").mapInArrow(run, "g long, w long, doc_id long, k int, p long")
+    return rows.join(phrases, ["doc_id", "k"]).select("doc_id", "k", "text", "ranges").mapInArrow(run, "g long, w long, doc_id long, k long, p long")
 
 
 def contents(rows: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -190,10 +193,55 @@ def contents(rows: DataFrame, phrases: DataFrame) -> DataFrame:
                 data = _bytes(t)
                 g, first, n = ([r[f] for r in ranges] for f in ("g", "first", "n"))
                 parts = [data[x : x + m - 1 + SPAN] for x, m in zip(first, n, strict=True)]
-                columns = (pa.array(g, pa.int64()), pa.array(np.full(len(g), d)), pa.array(np.full(len(g), k, dtype=np.int32)), pa.array(first, pa.int64()), pa.array(n, pa.int32()), pa.array(parts, pa.binary()))
+                columns = (pa.array(g, pa.int64()), pa.array(np.full(len(g), d)), pa.array(np.full(len(g), k)), pa.array(first, pa.int64()), pa.array(n, pa.int32()), pa.array(parts, pa.binary()))
                 yield pa.RecordBatch.from_arrays(list(columns), names=["g", "doc_id", "k", "first", "n", "content"])
 
-    return rows.join(phrases, ["doc_id", "k"]).select("doc_id", "k", "text", "ranges").mapInArrow(run, "g long, doc_id long, k int, first long, n int, content binary")
+    return rows.join(phrases, ["doc_id", "k"]).select("doc_id", "k", "text", "ranges").mapInArrow(run, "g long, doc_id long, k long, first long, n int, content binary")
+
+
+def runs(group: np.ndarray, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the rows of ``strings`` (bytes) in the order of (group, string), and for each place and length the number
+    of the run of rows that agree so far: places of one run have equal beginnings of that length."""
+    wide = np.zeros((len(strings), -(-strings.shape[1] // 8) * 8), dtype=np.uint8)
+    wide[:, : strings.shape[1]] = strings
+    words = wide.view(">u8")
+    order = np.lexsort([*words.T[::-1], group])
+    differ = strings[order[1:]] != strings[order[:-1]]
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), strings.shape[1])
+    common[group[order[1:]] != group[order[:-1]]] = -1
+    at = np.empty(len(order), dtype=np.int64)
+    at[order] = np.arange(len(order))
+    new = common[:, None] < np.arange(strings.shape[1] + 1)
+    return at, np.concatenate([np.zeros((1, new.shape[1]), dtype=np.int64), np.cumsum(new, axis=0)])
+
+
+def repeated_windows(parser: Parser, g: np.ndarray, n: np.ndarray, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the windows of phrases (in corpus order under each trigger ``g``; ``n`` windows each, which cover ``parts``):
+    the phrase, the window's number in it, and whether an earlier phrase or window of the trigger has an equal one."""
+    sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+    at = np.cumsum(sizes) - sizes
+    data = np.frombuffer(b"".join(parts), dtype=np.uint8)
+    with np.errstate(over="ignore"):
+        h = parser.hashes(data)
+    near = at[:, None] + np.arange(GRAMS)
+    trigger = (h[near] == g.view(np.uint64)[:, None]).argmax(axis=1)  # the first of the phrase's first window
+    # the dictionary: what stands before the trigger, backwards; the parse: what follows it
+    reach = np.arange(GRAMS - 1)
+    padded = np.r_[data, np.zeros(SPAN, dtype=np.uint8)]
+    before = np.where(reach < trigger[:, None], data[np.maximum(at + trigger, 1)[:, None] - 1 - np.minimum(reach, np.maximum(trigger - 1, 0)[:, None])], 0)
+    left = sizes - trigger - GRAM
+    after = np.where(reach < left[:, None], padded[(at + trigger + GRAM)[:, None] + reach], 0)
+    _, group = np.unique(g, return_inverse=True)
+    place, suffixes = runs(group, before.astype(np.uint8))
+    rank, following = runs(group, after.astype(np.uint8))
+    row = np.repeat(np.arange(len(n)), n)
+    p = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    length = trigger[row] - p
+    same = (suffixes[place[row], length] * GRAMS + length) * (len(n) + 1) + following[rank[row], GRAMS - 1 - length]
+    by = np.argsort(same, kind="stable")  # so equal windows stay in corpus order
+    again = np.zeros(len(row), dtype=bool)
+    again[by[1:][same[by[1:]] == same[by[:-1]]]] = True
+    return row, p, again
 
 
 def compared(phrases: DataFrame) -> DataFrame:
@@ -203,18 +251,8 @@ def compared(phrases: DataFrame) -> DataFrame:
     def compare(parser, rows):
         g, d, k, first, n = (rows.column(i).to_numpy(zero_copy_only=False) for i in range(5))
         parts = rows.column(5).to_pylist()
-        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-        at = np.cumsum(sizes) - sizes
         n = n.astype(np.int64)
-        row = np.repeat(np.arange(len(n)), n)
-        p = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        with np.errstate(over="ignore"):
-            s = parser.sums(parser.hashes(np.frombuffer(b"".join(parts), dtype=np.uint8)))
-            w = parser.span_hash(s, p + at[row], p + at[row] + GRAMS)
-        by = np.lexsort((w, g[row]))  # stable: equal windows stay in corpus order
-        w, gs = w[by], g[row][by]
-        again = np.zeros(len(w), dtype=bool)
-        again[by[1:][(w[1:] == w[:-1]) & (gs[1:] == gs[:-1])]] = True
+        row, p, again = repeated_windows(parser, g, n, parts)
         start = np.flatnonzero(again & ~(np.r_[False, again[:-1]] & np.r_[False, row[1:] == row[:-1]]))
         stop = np.flatnonzero(again & ~(np.r_[again[1:], False] & np.r_[row[1:] == row[:-1], False]))
         r = row[start]
@@ -245,7 +283,7 @@ def compared(phrases: DataFrame) -> DataFrame:
                 yield compare(parser, held.slice(a, room[-1] - a).combine_chunks())
                 a = room[-1]
 
-    return phrases.repartition("g").sortWithinPartitions(*order).mapInArrow(run, "doc_id long, k int, first long, n int")
+    return phrases.repartition("g").sortWithinPartitions(*order).mapInArrow(run, "doc_id long, k long, first long, n int")
 
 
 def repeats(rows: DataFrame) -> DataFrame:
