@@ -286,3 +286,63 @@ def test_bayes_queries_use_all_weeks(spark, monkeypatch):
     catalog.dynamic_spillover_mcmc(spark, d)
     assert draws == [list(range(weeks - 1))] and windows == [(weeks, weeks, 200)]
     assert seen == [(weeks, 200, 100)] * 5
+
+
+@pytest.mark.parametrize("mean", [0.0, 1e6, 1e8])
+@pytest.mark.parametrize("columns", [24, 2])
+def test_least_squares_beside_a_large_mean(spark, monkeypatch, mean, columns):
+    from vectide.operators import gram
+
+    monkeypatch.setattr(gram, "JVM_COLUMNS", columns)
+    r = np.random.default_rng(3)
+    y = np.zeros((400, 2))
+    for t in range(1, 400):
+        y[t] = 0.5 * y[t - 1] + r.standard_normal(2)
+    x, z = np.column_stack([y[:-1], np.ones(399)]), y[1:]
+    want = np.linalg.lstsq(x, z, rcond=None)[0]
+    cov = (z - x @ want).T @ (z - x @ want) / (399 - 3)
+    sf = SeriesFrame(spark.createDataFrame([(i + 1, *map(float, v + mean)) for i, v in enumerate(y)], "t long, a double, b double"), ("a", "b"))
+    se = np.sqrt(np.outer(np.diag(np.linalg.inv(x.T @ x)), np.diag(cov)))
+    for method in ("nor", "chol", "qr"):
+        m = ols.fit_ols(sf, Lags(1), method)
+        tol = 1e-6 if mean else 1e-10
+        assert np.allclose(m.coef[:2], want[:2], rtol=tol, atol=tol) and np.allclose(m.sigma, cov, rtol=10 * tol)
+    found = {(x["term"], x["response"]): x["std_error"] for x in ols.infer(m, spark).collect()}
+    assert all(abs(found[f"{c}_1", v] / se[i, j] - 1) < 1e-5 for i, c in enumerate("ab") for j, v in enumerate("ab"))
+    roll = backtest.forecast_roll(sf, Lags(1), 200, 1, 400).toPandas()
+    expand = backtest.forecast_expand(sf, Lags(1), 200, 1, 400).toPandas()
+    for got, start in ((roll, 100), (expand, 0)):
+        b = np.linalg.lstsq(x[start : 299], z[start : 299], rcond=None)[0]
+        f = got[(got.t == 301) & (got.series == "a")].forecast.item()
+        assert abs(f - mean - (np.r_[y[299], 1] @ b)[0]) < (1e-6 if mean < 1e8 else 1e-5)
+
+
+def test_conjugate_models_beside_a_large_mean(spark):
+    from vectide.operators import niw
+    from vectide.operators.gram import Gram
+
+    r = np.random.default_rng(5)
+    x, y = r.standard_normal((300, 2)), r.standard_normal((300, 2))
+    one = np.ones((300, 1))
+    prior = Gram.of(np.eye(3) * 0.5, np.ones((3, 2)))
+    plain, scale = niw.fitted(Gram.of(np.hstack([x, one]), y), prior)
+    got, other = niw.fitted(Gram.of(np.hstack([x, one]), y, True), prior)
+    assert np.allclose(plain, got) and np.allclose(scale, other)
+    weak = Gram(np.diag([1e-3, 1e-3, 0.0]), np.zeros((3, 2)), np.zeros((2, 2)), 0)
+    near, scale = niw.fitted(Gram.of(np.hstack([x, one]), y, True), weak)
+    far, other = niw.fitted(Gram.of(np.hstack([x + 1e8, one]), y + 1e8, True), weak)
+    assert np.allclose(near[:2], far[:2], atol=1e-6) and np.allclose(scale, other, rtol=1e-5, atol=1e-4)
+
+
+def test_interpolation_by_blocks(spark):
+    from vectide.sources.series import interpolate
+
+    r = np.random.default_rng(2)
+    rows = [(k, t, None if r.random() < 0.6 or (k == 2 and t < 9) else float(r.integers(100)), None if t != 11 else 3.0) for k in (1, 2) for t in range(1, 24)]
+    df = spark.createDataFrame(rows, "k int, t long, a double, b double")
+    for size in (100_000, 4, 1):
+        got = interpolate(SeriesFrame(df, ("a", "b"), ("k",)), size).df.orderBy("k", "t").toPandas()
+        assert got.columns.tolist() == df.columns and (got.b == 3).all()
+        for k, g in got.groupby("k"):
+            have = [(t, a) for p, t, a, _ in rows if p == k and a is not None]
+            assert np.allclose(g.a, np.interp(np.arange(1, 24), *zip(*have, strict=True)))

@@ -81,8 +81,8 @@ def flat_estimator(prior_prec: np.ndarray) -> Estimator:
 
 
 def _running(y: np.ndarray, lags: Lags, start: np.ndarray | None = None) -> tuple[np.ndarray, int]:
-    """Running sums of z z' over design rows, z = (x, y), after a row of zeros (or of ``start``). Values are shifted by
-    nothing: sums of squares in doubles keep 1e-10 over blocks of this size."""
+    """Running sums of z z' over design rows, z = (x, y), after a row of zeros (or of ``start``). Least squares with a
+    constant gets values less a mean, as differences of these sums keep what is large beside the whole sum only."""
     x, r = design_arrays(y, lags)
     z = np.column_stack([x, r])
     sums = np.cumsum(np.einsum("ni,nj->nij", z, z), axis=0)
@@ -90,9 +90,9 @@ def _running(y: np.ndarray, lags: Lags, start: np.ndarray | None = None) -> tupl
     return np.concatenate([zero, sums + zero]), x.shape[1]
 
 
-def rolling(sf: SeriesFrame, lags: Lags, window: int, emit: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame], schema: str, estimator: Estimator = ols_estimator, first: int | None = None, last: int | None = None) -> DataFrame:
+def rolling(sf: SeriesFrame, lags: Lags, window: int, emit: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame], schema: str, estimator: Estimator = ols_estimator, first: int | None = None, last: int | None = None) -> DataFrame:
     """Fit every window of ``window`` rows that ends at t in first..last and hand (ends, coefficients, covariances, last
-    rows) of a block's windows to ``emit``."""
+    rows, shift) of a block's windows to ``emit``; coefficients and last rows are those of the series less the shift."""
     names, q = list(sf.names), lags.order
     if window <= q + lags.k(sf.dim):
         raise ValueError("the window is too short for the model")
@@ -110,14 +110,16 @@ def rolling(sf: SeriesFrame, lags: Lags, window: int, emit: Callable[[np.ndarray
         ends = t[(t > block * size) & (t <= (block + 1) * size) & (t >= lo) & (t - window + 1 >= t[0])]
         ends = ends[ends <= end]
         if not len(ends):
-            return emit(ends, np.empty((0, lags.k(len(names)), len(names))), np.empty((0, len(names), len(names))), np.empty((0, q, len(names))))
+            return emit(ends, np.empty((0, lags.k(len(names)), len(names))), np.empty((0, len(names), len(names))), np.empty((0, q, len(names))), np.zeros(len(names)))
+        shift = y.mean(axis=0) if estimator is ols_estimator and lags.include_mean else np.zeros(len(names))
+        y = y - shift  # slopes and covariances stay; the constant is that of the shifted series
         sums, k = _running(y, lags)
         e = ends - t[0] + 1 - q  # design rows up to the end
         n = window - q
         full = sums[e] - sums[e - n]
         b, s = estimator(Gram(full[:, :k, :k], full[:, :k, k:], full[:, k:, k:], np.full(len(e), n)))
         at = (ends - t[0])[:, None] + np.arange(1 - q, 1)[None]
-        return emit(ends, b, s, y[at])
+        return emit(ends, b, s, y[at], shift)
 
     return rows.groupBy("block").applyInPandas(run, schema)
 
@@ -125,8 +127,8 @@ def rolling(sf: SeriesFrame, lags: Lags, window: int, emit: Callable[[np.ndarray
 def _h_step(names: list[str], lags: Lags, h: int, first: int):
     to_lags = lags.transform(len(names)).T
 
-    def emit(ends, b, _, last):
-        f = path(to_lags @ b, last, lags.order, h)[:, -1] if len(ends) else np.empty((0, len(names)))
+    def emit(ends, b, _, last, shift):
+        f = path(to_lags @ b, last, lags.order, h)[:, -1] + shift if len(ends) else np.empty((0, len(names)))
         m = len(names)
         return pd.DataFrame({"window": np.repeat(ends - first, m), "t": np.repeat(ends + h, m), "series": names * len(ends), "forecast": f.ravel()})
 
@@ -147,9 +149,13 @@ def forecast_expand(sf: SeriesFrame, lags: Lags, n_train: int, h: int, n_total:
     late = (F.col("t") - 1) % size >= size - q
     rows = sf.df.select("t", *[F.col(c).cast("double").alias(c) for c in names]).withColumn("block", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))))
     emit = _h_step(names, lags, h, n_train)
+    shift = np.zeros(len(names))
+    if estimator is ols_estimator and lags.include_mean:  # the same for all blocks: a mean of the first training rows
+        got = sf.df.filter(F.col("t") <= min(n_train, 1_000)).agg(*[F.avg(c) for c in names]).first()
+        shift = np.array([x or 0.0 for x in got])
 
     def totals(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values("t")[names].to_numpy(dtype=float)
+        y = pdf.sort_values("t")[names].to_numpy(dtype=float) - shift
         block = int(pdf["block"].iat[0])
         sums = _running(y, lags)[0][-1].ravel() if len(y) > q else np.empty(0)
         return pd.DataFrame({"block": np.full(len(sums), block), "pos": np.arange(len(sums)), "value": sums})
@@ -165,14 +171,14 @@ def forecast_expand(sf: SeriesFrame, lags: Lags, n_train: int, h: int, n_total:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
-        t, y, block = pdf["t"].to_numpy(), pdf[names].to_numpy(dtype=float), int(pdf["block"].iat[0])
+        t, y, block = pdf["t"].to_numpy(), pdf[names].to_numpy(dtype=float) - shift, int(pdf["block"].iat[0])
         ends = t[(t > block * size) & (t >= n_train) & (t <= n_total - h)]
         if not len(ends):
-            return emit(ends, None, None, None)
+            return emit(ends, None, None, None, shift)
         sums, _ = _running(y, lags, before.get(block))
         full = sums[ends - t[0] + 1 - q]
         b, _ = estimator(Gram(full[:, :k, :k], full[:, :k, k:], full[:, k:, k:], ends - q))
-        return emit(ends, b, None, y[(ends - t[0])[:, None] + np.arange(1 - q, 1)[None]])
+        return emit(ends, b, None, y[(ends - t[0])[:, None] + np.arange(1 - q, 1)[None]], shift)
 
     used = rows.filter(F.col("block").between((n_train - 1) // size, (n_total - h - 1) // size))
     return used.groupBy("block").applyInPandas(run, FORECAST_ROWS)
@@ -183,7 +189,7 @@ def dynamic_spillover(sf: SeriesFrame, lags: Lags, window: int, step: int = 10,
     names, to_lags = list(sf.names), lags.transform(sf.dim).T
     m = len(names)
 
-    def emit(ends, b, s, _):
+    def emit(ends, b, s, *_):
         tables = [connectedness(to_lags @ x, z, lags.order, step).ravel() for x, z in zip(b, s, strict=True)]
         return pd.DataFrame({"t_end": np.repeat(ends, m * m), "series": [a for a in names for _ in names] * len(ends), "shock": names * (m * len(ends)), "spillover": np.concatenate(tables) if tables else np.empty(0)})
 
@@ -194,5 +200,5 @@ def window_model(sf: SeriesFrame, lags: Lags, end: int, window: int):
     """The model of one window, refitted from its rows: what the running sums must agree with."""
     rows = sf.df.filter(F.col("t").between(end - window + 1, end)).orderBy("t").toPandas()[list(sf.names)].to_numpy(dtype=float)
     x, y = design_arrays(rows, lags)
-    return from_gram(Gram.of(x, y), sf.names, lags)
+    return from_gram(Gram.of(x, y, lags.include_mean), sf.names, lags)
 

@@ -43,11 +43,30 @@ def minnesota_prior(dummies: Gram) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return mean, dummies.xx, (scale + scale.T) / 2, dummies.n - len(dummies.xx) + 2
 
 
+def fitted(data: Gram, prior: Gram) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients and residual cross products of data and prior rows together. With a constant, both are taken about the
+    data's means: each row less its constant's share of them, which keeps small differences beside large means."""
+    if data.core is None:
+        both = data + prior
+        b = np.linalg.solve(both.xx, both.xy)
+        return b, both.yy - b.T @ both.xx @ b
+    k, total = len(data.xx), len(data.xx) + len(data.yy)
+    use = np.arange(total) != k - 1
+    shift = np.eye(total)
+    shift[k - 1, use] = -data.means
+    full = shift.T @ np.block([[prior.xx, prior.xy], [prior.xy.T, prior.yy]]) @ shift
+    full[np.ix_(use, use)] += data.core
+    full[k - 1, k - 1] += data.n
+    b = np.linalg.solve(full[:k, :k], full[:k, k:])
+    scale = full[k:, k:] - b.T @ full[:k, :k] @ b
+    b[k - 1] += data.means[k - 1 :] - data.means[: k - 1] @ b[: k - 1]
+    return b, scale
+
+
 def posterior(names: tuple[str, ...], lags: Lags, data: Gram, dummies: Gram) -> NiwPosterior:
     mean0, prec0, scale0, shape0 = minnesota_prior(dummies)
     both = data + dummies
-    mean = np.linalg.solve(both.xx, both.xy)
-    scale = both.yy - mean.T @ both.xx @ mean
+    mean, scale = fitted(data, dummies)
     scale, shape, m = (scale + scale.T) / 2, shape0 + data.n, len(names)
     return NiwPosterior(names, lags, mean, scale / max(shape - m - 1, 1), int(data.n), both.xx, scale, shape, mean0, prec0, scale0, shape0, data)
 
@@ -94,8 +113,7 @@ def flat_posterior(names: tuple[str, ...], lags: Lags, g: Gram, prior_prec: np.n
     k, m = len(g.xx), len(names)
     u = np.eye(k) * prior_prec if np.isscalar(prior_prec) else np.asarray(prior_prec, dtype=float)
     prec = g.xx + u
-    mean = np.linalg.solve(prec, g.xy)
-    scale = g.yy - g.xy.T @ mean
+    mean, scale = fitted(g, Gram(u, np.zeros((k, m)), np.zeros((m, m)), 0))
     scale, shape = (scale + scale.T) / 2, g.n - m - 1
     return NiwPosterior(names, lags, mean, scale / max(shape - m - 1, 1), int(g.n), prec, scale, shape, np.zeros((k, m)), u, np.zeros((m, m)), 0.0, g)
 

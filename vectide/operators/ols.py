@@ -17,17 +17,35 @@ from vectide.sources.series import SeriesFrame
 
 
 def solve(g: Gram, method: str = "nor") -> np.ndarray:
-    """Coefficients from a Gram matrix, by its inverse or by its Cholesky factor."""
-    if method == "nor":
-        return np.linalg.solve(g.xx, g.xy)
-    if method == "chol":
-        c = np.linalg.cholesky(g.xx)
-        return np.linalg.solve(c.T, np.linalg.solve(c, g.xy))
-    raise ValueError(f"unknown method {method}")
-
-
-def solve_qr(design: DataFrame, xs: list[str], ys: list[str]) -> np.ndarray:
-    """Coefficients by tall-skinny QR: each task reduces its rows to one triangle, and the triangles are reduced again."""
+    """Coefficients from a Gram matrix, by its inverse or by its Cholesky factor; with a constant, from the centred sums."""
+    if method not in ("nor", "chol"):
+        raise ValueError(f"unknown method {method}")
+
+    def solved(a, b):
+        if method == "nor":
+            return np.linalg.solve(a, b)
+        c = np.linalg.cholesky(a)
+        return np.linalg.solve(c.T, np.linalg.solve(c, b))
+
+    if g.core is None:
+        return solved(g.xx, g.xy)
+    k = len(g.xx) - 1
+    slopes = solved(g.core[:k, :k], g.core[:k, k:])
+    return np.vstack([slopes, g.means[k:] - g.means[:k] @ slopes])
+
+
+def residual_products(g: Gram, b: np.ndarray) -> np.ndarray:
+    """Cross products of the residuals at least squares coefficients, without a second pass over the rows."""
+    xx, xy, yy = g.xx, g.xy, g.yy
+    if g.core is not None:
+        k = len(g.xx) - 1
+        xx, xy, yy, b = g.core[:k, :k], g.core[:k, k:], g.core[k:, k:], b[:k]
+    return yy - b.T @ xy - xy.T @ b + b.T @ xx @ b
+
+
+def solve_qr(design: DataFrame, xs: list[str], ys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients and residual cross products by tall-skinny QR: each task reduces its rows to one triangle, and the
+    triangles are reduced again."""
     cols, k = [*xs, *ys], len(xs)
     m = len(cols)
 
@@ -42,7 +60,7 @@ def solve_qr(design: DataFrame, xs: list[str], ys: list[str]) -> np.ndarray:
     # m rows from each task at most
     rows = design.select(*cols).mapInArrow(run, "r array<double>").toArrow()["r"].to_pylist()
     r = np.linalg.qr(np.array(rows), mode="r")
-    return np.linalg.solve(r[:k, :k], r[:k, k:])
+    return np.linalg.solve(r[:k, :k], r[:k, k:]), r[k:, k:].T @ r[k:, k:]
 
 
 @dataclass(frozen=True)
@@ -93,22 +111,17 @@ class VarModel:
 @dataclass(frozen=True)
 class OlsModel(VarModel):
     gram: Gram
+    rss: np.ndarray  # cross products of the residuals
     method: str = "nor"
 
-    @cached_property
-    def rss(self) -> np.ndarray:
-        """Residual cross products, without a second pass over the rows."""
-        b = self.coef
-        return self.gram.yy - b.T @ self.gram.xy - self.gram.xy.T @ b + b.T @ self.gram.xx @ b
-
 
-def from_gram(g: Gram, names: tuple[str, ...], lags: Lags, method: str = "nor", coef: np.ndarray | None = None) -> OlsModel:
+def from_gram(g: Gram, names: tuple[str, ...], lags: Lags, method: str = "nor", fitted: tuple[np.ndarray, np.ndarray] | None = None) -> OlsModel:
+    """``fitted``: coefficients and residual cross products, if they do not come from the sums."""
     k = len(g.xx)
     if g.n <= k:
         raise ValueError(f"{g.n} usable rows are too few for {k} coefficients")
-    b = solve(g, method) if coef is None else coef
-    rss = g.yy - b.T @ g.xy - g.xy.T @ b + b.T @ g.xx @ b
-    return OlsModel(names, lags, b, rss / (g.n - k), int(g.n), g, method)
+    b, rss = fitted or (b := solve(g, method), residual_products(g, b))
+    return OlsModel(names, lags, b, rss / (g.n - k), int(g.n), g, rss, method)
 
 
 def fit_ols(sf: SeriesFrame, lags: Lags, method: str = "nor") -> OlsModel:
@@ -116,8 +129,11 @@ def fit_ols(sf: SeriesFrame, lags: Lags, method: str = "nor") -> OlsModel:
     design = with_design(sf.doubles(), lags)
     xs, ys = lags.terms(sf.names), list(sf.names)
     g = gram(design, xs, ys)
-    coef = solve_qr(design, xs, ys) if method == "qr" else None
-    return from_gram(g, sf.names, lags, method, coef)
+    if method != "qr":
+        return from_gram(g, sf.names, lags, method)
+    if g.n <= len(xs):
+        raise ValueError(f"{g.n} usable rows are too few for {len(xs)} coefficients")
+    return from_gram(g, sf.names, lags, method, solve_qr(design, xs, ys))
 
 
 def var_lm(sf: SeriesFrame, p: int = 1, include_mean: bool = True, method: str = "nor") -> OlsModel:
@@ -130,7 +146,7 @@ def vhar_lm(sf: SeriesFrame, har: tuple[int, int] = (5, 22), include_mean: bool
 
 def infer(model: OlsModel, spark: SparkSession) -> DataFrame:
     """term, response, estimate, std_error, statistic, p_value of each coefficient."""
-    inv = np.linalg.inv(model.gram.xx)
+    inv = model.gram.inverse()
     se = np.sqrt(np.outer(np.diag(inv), np.diag(model.sigma)))
     df = model.n - model.k
     rows = [(t, y, float(model.coef[i, j]), float(se[i, j]), float(model.coef[i, j] / se[i, j]), t_two_sided(float(model.coef[i, j] / se[i, j]), df)) for j, y in enumerate(model.names) for i, t in enumerate(model.terms)]

@@ -1,7 +1,7 @@
 """Registered queries and their SQL.
 
-Queries with SQL work on series of one or two variables, where closed forms exist; those without draw random numbers or
-need special functions, and are tested against NumPy.
+Queries with SQL have closed forms (plans/sql.py for one or two variables, plans/sweeps.py for any number); those without
+draw random numbers or step an optimiser, and are tested against NumPy.
 """
 
 from __future__ import annotations
@@ -37,6 +37,16 @@ def two(spark, d: str) -> SeriesFrame:
 
 
 PLAIN = Lags(1, None, False)
+_kept: list[SeriesFrame] = []
+
+
+def kept(sf: SeriesFrame) -> SeriesFrame:
+    """``sf`` persisted, for queries that read it in several jobs; it is released when the next query keeps one. A result
+    that is read later is computed from the source again."""
+    while _kept:
+        _kept.pop().df.unpersist()
+    _kept.append(sf.persist())
+    return _kept[-1]
 
 
 def naive_and_mean(spark, d: str):
@@ -183,12 +193,12 @@ def forecast_bands_ar1(spark, d):
 
 
 def roll_ar1(spark, d):
-    sf = one(spark, d).persist()
+    sf = kept(one(spark, d))
     return rounded(backtest.forecast_roll(sf, Lags(1), 100, 2, sf.count()).select("window", "t", "forecast"), 2)
 
 
 def expand_ar1(spark, d):
-    sf = one(spark, d).persist()
+    sf = kept(one(spark, d))
     return rounded(backtest.forecast_expand(sf, Lags(1), 100, 2, sf.count()).select("window", "t", "forecast"), 2)
 
 
@@ -314,14 +324,14 @@ def predict_density_bayes(spark, d):
 
 
 def roll_mcmc(spark, d):
-    sf = weekly_prices(spark, d).persist()
+    sf = kept(weekly_prices(spark, d))
     n = sf.count()
     out = mcmc.backtest(sf, Lags(1), priors.BayesSpec(priors.Minnesota()), n - 5, 1, n)
     return out.groupBy("window", "t", "series").agg(F.avg("forecast").alias("forecast"), F.avg("lpl").alias("lpl"))
 
 
 def expand_mcmc(spark, d):
-    sf = weekly_prices(spark, d).persist()
+    sf = kept(weekly_prices(spark, d))
     n = sf.count()
     return mcmc.backtest(sf, Lags(1), priors.BayesSpec(priors.Ssvs()), n - 5, 1, n, expanding=True)
 
@@ -331,14 +341,20 @@ def alpl(spark, d):
 
 
 def roll_minnesota(spark, d):
-    sf = weekly_prices(spark, d).persist()
+    sf = kept(weekly_prices(spark, d))
     prior = niw.dummies_of(priors.MinnesotaSpec(), Lags(1), niw.sample_sd(sf))
-    return backtest.forecast_roll(sf, Lags(1), 150, 1, sf.count(), backtest.conjugate_estimator(prior))
+    return rounded(backtest.forecast_roll(sf, Lags(1), 150, 1, sf.count(), backtest.conjugate_estimator(prior)), 2)
+
+
+def expand_minnesota(spark, d):
+    sf = kept(weekly_prices(spark, d))
+    prior = niw.dummies_of(priors.MinnesotaSpec(), Lags(1), niw.sample_sd(sf))
+    return rounded(backtest.forecast_expand(sf, Lags(1), 150, 1, sf.count(), backtest.conjugate_estimator(prior)), 2)
 
 
 def roll_flat(spark, d):
-    sf = weekly_prices(spark, d).persist()
-    return backtest.forecast_roll(sf, Lags(har=(5, 22)), 150, 1, sf.count(), backtest.flat_estimator(np.eye(10)))
+    sf = kept(weekly_prices(spark, d))
+    return rounded(backtest.forecast_roll(sf, Lags(har=(5, 22)), 150, 1, sf.count(), backtest.flat_estimator(np.eye(10))), 2)
 
 
 def spillover_posterior(spark, d):
@@ -347,7 +363,7 @@ def spillover_posterior(spark, d):
 
 
 def dynamic_spillover_sv(spark, d):
-    sf = weekly_prices(spark, d).persist()
+    sf = kept(weekly_prices(spark, d))
     fit = mcmc.var_bayes(sf, 1, priors.BayesSpec(priors.Horseshoe(), priors.StochasticVolatility()))
     return mcmc.spillover_summary(mcmc.spillover_draws(fit, 5, times=list(range(sf.count() - 1))))
 
@@ -364,7 +380,15 @@ def choose_bayes(spark, d):
 
 
 def log_ml(spark, d):
-    return rows(spark, "log_ml double, dic double", [(criteria.log_ml(p := niw.vhar_minnesota(weekly_prices(spark, d))), criteria.dic(p))])
+    return rounded(rows(spark, "log_ml double", [(criteria.log_ml(niw.vhar_minnesota(weekly_prices(spark, d))),)]), 3)
+
+
+def log_ml_var2(spark, d):
+    return rounded(rows(spark, "log_ml double", [(criteria.log_ml(niw.var_minnesota(weekly_prices(spark, d), 2)),)]), 3)
+
+
+def dic(spark, d):
+    return rows(spark, "dic double", [(criteria.dic(niw.vhar_minnesota(weekly_prices(spark, d))),)])
 
 
 def hierarchical_minnesota(spark, d):
@@ -372,7 +396,91 @@ def hierarchical_minnesota(spark, d):
 
 
 def summary_pvalue(spark, d):
-    return ols.summary(ols.var_lm(weekly_prices(spark, d), 2), spark).coefficients
+    found = ols.summary(ols.var_lm(weekly_prices(spark, d), 2), spark).coefficients
+    return by_term(found, 5, ("estimate", "std_error")).withColumns({c: F.round(c, 4) for c in ("statistic", "p_value")})
+
+
+def resid_corr_3d(spark, d):
+    c = ols.summary(ols.var_lm(weekly_prices(spark, d), 2), spark).correlation
+    return rounded(rows(spark, "r int, c int, value double", [(i + 1, j + 1, v) for (i, j), v in np.ndenumerate(c)]))
+
+
+# Three variables
+
+def by_term(coefficients: DataFrame, digits: int = 6, columns: tuple[str, ...] = ("estimate",), const_digits: int = 2) -> DataFrame:
+    """Rounded coefficients; constants are large and keep fewer digits."""
+    return coefficients.withColumns({c: F.when(F.col("term") == "const", F.round(c, const_digits)).otherwise(F.round(c, digits)) for c in columns})
+
+
+def _coefs(model, spark, const_digits: int = 2) -> DataFrame:
+    return by_term(model.coefficients(spark).select("term", "response", "estimate"), const_digits=const_digits)
+
+
+def var2_chol_3d(spark, d):
+    return _coefs(ols.var_lm(weekly_prices(spark, d), 2, method="chol"), spark)
+
+
+def var2_qr_3d(spark, d):
+    return _coefs(ols.var_lm(weekly_prices(spark, d), 2, method="qr"), spark)
+
+
+def vhar_ols_3d(spark, d):
+    return _coefs(ols.vhar_lm(weekly_prices(spark, d)), spark)
+
+
+def heat_map_3d(spark, d):
+    return rounded(tidy.heat_map(ols.var_lm(weekly_prices(spark, d), 2).coefficients(spark)))
+
+
+def sample_sd(spark, d):
+    sf = weekly_prices(spark, d)
+    return rounded(rows(spark, "series string, sd double", list(zip(sf.names, niw.sample_sd(sf), strict=True))), 4)
+
+
+def best_lag_ar(spark, d):
+    best = tuning.choose_var(SeriesFrame(one(spark, d).df, ("y_A",)), spark, 2, False).best
+    return rows(spark, "criterion string, lag int", sorted(best.items()))
+
+
+HAR_PLAIN = Lags(1, (5, 22), False)
+
+
+def vhar_vma_2d(spark, d):
+    w = structure.model_vma(ols.fit_ols(two(spark, d), HAR_PLAIN), 5)
+    return rounded(rows(spark, "period int, shock int, response int, value double", [(h, i + 1, j + 1, v) for (h, i, j), v in np.ndenumerate(w)]))
+
+
+def vhar_spillover_2d(spark, d):
+    return rounded(structure.spillover(ols.fit_ols(two(spark, d), HAR_PLAIN), spark, 2), 4)
+
+
+def forecast_vhar_1d(spark, d):
+    sf = one(spark, d)
+    return rounded(forecast.predict(ols.vhar_lm(sf), sf, 5).select("h", "series", "forecast"), 2)
+
+
+LONG_MEMORY = priors.MinnesotaSpec(weekly=0.5, monthly=0.25)
+
+
+def minnesota_var2_3d(spark, d):
+    return _coefs(niw.var_minnesota(weekly_prices(spark, d), 2), spark)
+
+
+def minnesota_vhar_s_3d(spark, d):
+    return _coefs(niw.vhar_minnesota(weekly_prices(spark, d)), spark)
+
+
+def minnesota_vhar_l_3d(spark, d):
+    return _coefs(niw.vhar_minnesota(weekly_prices(spark, d), spec=LONG_MEMORY), spark)
+
+
+def minnesota_vhar_l_scale(spark, d):
+    s = niw.vhar_minnesota(weekly_prices(spark, d), spec=LONG_MEMORY).scale
+    return rounded(rows(spark, "r int, c int, value double", [(i + 1, j + 1, v / 1e6) for (i, j), v in np.ndenumerate(s)]), 3)
+
+
+def flat_vhar_3d(spark, d):
+    return _coefs(niw.var_flat(weekly_prices(spark, d), har=(5, 22)), spark, 4)
 
 
 def sim_mnormal(spark, d):
@@ -385,18 +493,19 @@ def sim_var(spark, d):
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """VAR(1) on the training weeks, forecasts of the hold-out weeks, and their mean squared errors."""
-    sf = interpolate(weekly_prices(spark, d)).persist()
+    sf = kept(interpolate(weekly_prices(spark, d)))
     train, test = split_tail(sf, HOLD_OUT)
     f = forecast.predict(ols.var_lm(train, 1), train, HOLD_OUT)
     first = F.broadcast(test.df.agg(F.min("t").alias("first")))  # one row
     ahead = f.crossJoin(first).select((F.col("first") + F.col("h") - 1).alias("t"), "series", "forecast")
-    return metrics.mse(metrics.joined(ahead, test.long())).orderBy("series")
+    got = metrics.mse(metrics.joined(ahead, test.long()))
+    return got.select("series", F.round(F.col("mse") / 1e6, 6).alias("mse")).orderBy("series")
 
 
 def flagship_daily(spark, d):
-    """Daily VAR(5): the fit, the information criteria and a rolling back-test, as benchmarked."""
-    sf = interpolate(daily_prices(spark, d)).persist()
-    return backtest.forecast_roll(sf, Lags(5), 1000, 1, sf.count())
+    """Rolling one-step forecasts of a daily VAR(5)."""
+    sf = kept(interpolate(daily_prices(spark, d)))
+    return rounded(backtest.forecast_roll(sf, Lags(5), 1000, 1, sf.count()), 2)
 
 
 def queries() -> dict:
@@ -414,13 +523,14 @@ def queries() -> dict:
         for label, cov in (("ldlt", priors.Ldlt()), ("sv", priors.StochasticVolatility())):
             out[f"var_bayes_{name}_{label}"] = _bayes(name, cov, False)
             out[f"vhar_bayes_{name}_{label}"] = _bayes(name, cov, True)
-    out |= {f.__name__: f for f in (predict_density_minnesota, predict_density_bayes, roll_mcmc, expand_mcmc, alpl, roll_minnesota, roll_flat, spillover_posterior, dynamic_spillover_sv, dynamic_spillover_mcmc, choose_bayes, log_ml, hierarchical_minnesota, summary_pvalue, sim_mnormal, sim_var, flagship, flagship_daily)}
+    out |= {f.__name__: f for f in (predict_density_minnesota, predict_density_bayes, roll_mcmc, expand_mcmc, alpl, roll_minnesota, roll_flat, spillover_posterior, dynamic_spillover_sv, dynamic_spillover_mcmc, choose_bayes, log_ml, log_ml_var2, dic, hierarchical_minnesota, summary_pvalue, resid_corr_3d, sim_mnormal, sim_var, flagship, flagship_daily)}
+    out |= {f.__name__: f for f in (var2_chol_3d, var2_qr_3d, vhar_ols_3d, heat_map_3d, sample_sd, best_lag_ar, vhar_vma_2d, vhar_spillover_2d, forecast_vhar_1d, minnesota_var2_3d, minnesota_vhar_s_3d, minnesota_vhar_l_3d, minnesota_vhar_l_scale, flat_vhar_3d, expand_minnesota)}
     return out
 
 
 def oracle_sql() -> dict[str, str]:
-    from vectide.plans.sql import SQL
+    from vectide.plans import sql, sweeps
 
-    return SQL
+    return sql.SQL | sweeps.SQL
 
 

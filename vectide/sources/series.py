@@ -96,17 +96,27 @@ def blocked(sf: SeriesFrame, halo: int, block_rows: int = BLOCK_ROWS) -> tuple[D
     return rows, [*sf.panel, "__block"], F.col("__own") == F.col("__block")
 
 
-def interpolate(sf: SeriesFrame) -> SeriesFrame:
-    """Fill null cells on the straight line between the nearest values before and after; ends carry the nearest value."""
-    past = Window.partitionBy(*sf.panel).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*sf.panel).orderBy("t").rowsBetween(0, Window.unboundedFollowing)
+def interpolate(sf: SeriesFrame, block_rows: int = BLOCK_ROWS) -> SeriesFrame:
+    """Fill null cells on the straight line between the nearest values before and after; ends carry the nearest value.
+    Blocks are filled apart: each gets the last value before it and the first one after it, from one row for each block."""
+    keys = [*sf.panel, "__block"]
+    at = {c: F.when(F.col(c).isNotNull(), F.struct(F.col("t").alias("t"), F.col(c).cast("double").alias("v"))) for c in sf.names}
+    rows = sf.df.withColumn("__block", F.floor((F.col("t") - 1) / block_rows))
+    # structs order by t
+    known = rows.groupBy(*keys).agg(*[f(at[c]).alias(f"__{n}{i}") for i, c in enumerate(sf.names) for n, f in (("last", F.max), ("first", F.min))])
+    line = Window.partitionBy(*sf.panel).orderBy("__block")
+    before, after = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(1, Window.unboundedFollowing)
+    ends = [(F.last(f"__last{i}", True).over(before).alias(f"__before{i}"), F.first(f"__first{i}", True).over(after).alias(f"__after{i}")) for i in range(sf.dim)]
+    rows = rows.join(known.select(*keys, *[x for pair in ends for x in pair]), keys)
+    inside = Window.partitionBy(*keys).orderBy("t")
+    past, ahead = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(0, Window.unboundedFollowing)
     out = {}
-    for c in sf.names:
-        at = F.when(F.col(c).isNotNull(), F.struct(F.col("t").alias("t"), F.col(c).cast("double").alias("v")))
-        a, b = F.last(at, ignorenulls=True).over(past), F.first(at, ignorenulls=True).over(ahead)
-        line = a["v"] + (b["v"] - a["v"]) * (F.col("t") - a["t"]) / (b["t"] - a["t"])
-        out[c] = F.coalesce(F.col(c).cast("double"), F.when(a.isNotNull() & b.isNotNull(), line), a["v"], b["v"])
-    return sf.with_df(sf.df.withColumns(out))
+    for i, c in enumerate(sf.names):
+        a = F.coalesce(F.last(at[c], ignorenulls=True).over(past), f"__before{i}")
+        b = F.coalesce(F.first(at[c], ignorenulls=True).over(ahead), f"__after{i}")
+        on_line = a["v"] + (b["v"] - a["v"]) * (F.col("t") - a["t"]) / (b["t"] - a["t"])
+        out[c] = F.coalesce(F.col(c).cast("double"), F.when(a.isNotNull() & b.isNotNull(), on_line), a["v"], b["v"])
+    return sf.with_df(rows.withColumns(out).select(*sf.df.columns))
 
 
 def split_tail(sf: SeriesFrame, n_ahead: int) -> tuple[SeriesFrame, SeriesFrame]:
