@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vectide.functions.design import Lags, group_matrix, har_matrix, minnesota_dummies, with_design
 from vectide.functions.special import beta_inc, gamma_from_mode, t_two_sided
@@ -346,3 +347,61 @@ def test_interpolation_by_blocks(spark):
         for k, g in got.groupby("k"):
             have = [(t, a) for p, t, a, _ in rows if p == k and a is not None]
             assert np.allclose(g.a, np.interp(np.arange(1, 24), *zip(*have, strict=True)))
+
+
+def test_blocks_of_windows_sample_alike(spark, sf, monkeypatch):
+    spec = priors.BayesSpec(priors.Horseshoe(), chains=2, n_iter=12, burn=4)
+    for expanding in (False, True):
+        key = ["window", "chain", "series"]
+        a = mcmc.backtest(sf, Lags(1), spec, 390, 2, 400, expanding).orderBy(*key).toPandas()
+        with monkeypatch.context() as m:
+            m.setattr(mcmc, "WINDOW_TASKS", 4)
+            b = mcmc.backtest(sf, Lags(1), spec, 390, 2, 400, expanding).orderBy(*key).toPandas()
+        assert len(a) == 9 * 2 * 2 and a.equals(b)
+    fit = mcmc.var_bayes(split_tail(sf, 10)[0], 1, spec)
+    c = mcmc.backtest(sf, Lags(1), spec, 390, 2, 400, False, fit=fit).orderBy(*key).toPandas()
+    rolled = mcmc.backtest(sf, Lags(1), spec, 390, 2, 400).orderBy(*key).toPandas()
+    assert c[c.window > 0].reset_index(drop=True).equals(rolled[rolled.window > 0].reset_index(drop=True)) and (c.window == 0).sum() == 4
+
+
+def test_selected_and_stable_forecasts(spark, sf):
+    fit = mcmc.var_bayes(sf, 1, priors.BayesSpec(priors.Minnesota(), chains=1, n_iter=60, burn=20))
+    fit = fit.with_draws(fit.draws.persist())
+    zero = mcmc._zeroed(fit, 0.95)
+    assert not zero[0] and zero.dtype == bool and len(zero) == 4
+    assert mcmc.predict(fit, sf, 3, sparse=0.95, stable=True).count() == 40 * 3 * 2
+    wild = fit.with_draws(fit.draws.withColumn("value", F.when(F.col("param") == "alpha", 2.0).otherwise(F.col("value"))))
+    with pytest.raises(ValueError, match="stable"):
+        mcmc.predict(wild, sf, 3, stable=True)
+
+
+def test_spillovers_of_conjugate_draws(spark, sf):
+    post = niw.var_minnesota(sf, 1)
+    draws = niw.spillover_draws(post, spark, 5, 300).persist()
+    plug = structure.connectedness(post.lag_coef, post.sigma, 1, 5)
+    mean = draws.groupBy("series", "shock").avg("spillover").toPandas().set_index(["series", "shock"])["avg(spillover)"]
+    assert all(abs(mean[a, b] - plug[i, j]) < 2 for i, a in enumerate(sf.names) for j, b in enumerate(sf.names))
+    margins, nets = (x.toPandas() for x in mcmc.spillover_margins(draws))
+    got = margins.set_index(["series", "measure"]).value
+    a, b = sf.names
+    assert abs(got[a, "to"] - mean[b, a]) < 1e-9 and abs(got[a, "from"] - mean[a, b]) < 1e-9 and abs(got[a, "net"] + got[b, "net"]) < 1e-9
+    assert abs(margins[margins.measure == "total"].value.item() - (mean[a, b] + mean[b, a]) / 2) < 1e-9
+    assert abs(nets[(nets.series == a)].net.item() - (mean[b, a] - mean[a, b]) / 2) < 1e-9 and (margins.lower <= margins.upper).all()
+    dyn = backtest.dynamic_spillover_conjugate(sf, Lags(1), niw.dummies_of(priors.MinnesotaSpec(), Lags(1), niw.sample_sd(sf)), 390, 5, 50).toPandas()
+    assert sorted(set(dyn.t_end)) == list(range(390, 401)) and np.allclose(dyn.groupby(["t_end", "series"]).spillover.sum(), 100)
+
+
+def test_priors_refuse_bad_values():
+    for make in (lambda: priors.Ssvs(s1=(1.0,)), lambda: priors.Ssvs(grid=1), lambda: priors.NormalGamma(shape_sd=0.0), lambda: priors.DirichletLaplace(scale=-1.0), lambda: priors.Horseshoe(groups="odd"), lambda: priors.Gdp(group_rate=0), lambda: priors.MinnesotaSpec(sigma=(1.0, 2.0), delta=(1.0,))):
+        with pytest.raises(ValueError):
+            make()
+    assert priors.Minnesota(delta=0.0).delta == 0
+
+
+def test_draws_are_written_and_read_back(spark, sf, tmp_path):
+    from vectide.sources.sinks import read_draws, write_draws
+
+    draws = niw.sample_posterior(niw.var_minnesota(sf, 1), spark, 20).persist()
+    back = read_draws(spark, write_draws(draws, str(tmp_path / "draws")))
+    key = ["param", "iteration", "idx"]
+    assert back.orderBy(*key).toPandas().equals(draws.orderBy(*key).toPandas())

@@ -196,6 +196,32 @@ def dynamic_spillover(sf: SeriesFrame, lags: Lags, window: int, step: int = 10,
     return rolling(sf, lags, window, emit, "t_end long, series string, shock string, spillover double", estimator)
 
 
+def dynamic_spillover_conjugate(sf: SeriesFrame, lags: Lags, prior: Gram, window: int, step: int = 10, n_iter: int = 100, seed: int = 1) -> DataFrame:
+    """t_end, series, shock, spillover (posterior mean), sd, lower, upper (95 %) of a conjugate model refitted on every window
+    under the dummy observations ``prior``; each window's draws depend on its end only."""
+    from vectide.operators.niw import draw_iw, draw_mn
+
+    names, to_lags, estimate = list(sf.names), lags.transform(sf.dim).T, conjugate_estimator(prior)
+    m, shape0 = len(names), prior.n - len(prior.xx) + 2
+
+    def keep(g: Gram):
+        b, s = estimate(g)
+        n = np.asarray(g.n, dtype=float)
+        return b, [(prec, scale * max(shape0 + k - m - 1, 1), shape0 + k) for prec, scale, k in zip(g.xx + prior.xx, s, n, strict=True)]
+
+    def emit(ends, b, posteriors, *_):
+        parts = []
+        for end, mean, (prec, scale, shape) in zip(ends, b, posteriors, strict=True):
+            rng = np.random.default_rng([seed, int(end)])
+            sigmas = draw_iw((scale + scale.T) / 2, shape, n_iter, rng)
+            tables = np.array([connectedness(to_lags @ x, z, lags.order, step).ravel() for x, z in zip(draw_mn(mean, prec, sigmas, rng), sigmas, strict=True)])
+            low, high = np.quantile(tables, [0.025, 0.975], axis=0)
+            parts.append(pd.DataFrame({"t_end": end, "series": np.repeat(names, m), "shock": names * m, "spillover": tables.mean(axis=0), "sd": tables.std(axis=0, ddof=1), "lower": low, "upper": high}))
+        return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in ("t_end", "series", "shock", "spillover", "sd", "lower", "upper")})
+
+    return rolling(sf, lags, window, emit, "t_end long, series string, shock string, spillover double, sd double, lower double, upper double", keep)
+
+
 def window_model(sf: SeriesFrame, lags: Lags, end: int, window: int):
     """The model of one window, refitted from its rows: what the running sums must agree with."""
     rows = sf.df.filter(F.col("t").between(end - window + 1, end)).orderBy("t").toPandas()[list(sf.names)].to_numpy(dtype=float)

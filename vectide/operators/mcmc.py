@@ -19,6 +19,8 @@ from vectide.operators.structure import connectedness
 from vectide.sources.series import SeriesFrame
 
 BLOCK_DRAWS = 500
+#: Tasks that windows and chains are dealt to at most; a row is copied once for each task that needs it.
+WINDOW_TASKS = 4_000
 
 
 @dataclass(frozen=True)
@@ -120,16 +122,45 @@ def _blocks(draws: DataFrame) -> DataFrame:
     return draws.withColumn("block", F.floor((F.col("iteration") - 1) / BLOCK_DRAWS))
 
 
-def predict(fit: BayesFit, sf: SeriesFrame, n_ahead: int, sparse: bool = False, stable: bool = False, use_sv: bool = True, seed: int = 1) -> DataFrame:
-    """Predictive draws: h, draw, series, value, in blocks of draws. ``sparse`` uses the thresholded coefficients, ``stable``
-    drops explosive draws."""
+def _zeroed(fit: BayesFit, level: float) -> np.ndarray:
+    """Which coefficients have a credible interval of ``level`` that holds zero: one flag for each, on the driver."""
+    from vectide.operators.posterior import select_by_interval
+
+    flags = select_by_interval(fit.draws.filter("param = 'alpha'"), level).select("idx", "selected").collect()
+    out = np.zeros(max(r["idx"] for r in flags), dtype=bool)
+    for r in flags:
+        out[r["idx"] - 1] = not r["selected"]
+    return out
+
+
+def stable_draws(fit: BayesFit) -> DataFrame:
+    """chain, iteration, stable of each draw."""
+    names, lags = fit.names, fit.lags
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = pdf[["chain", "iteration"]].drop_duplicates().sort_values(["chain", "iteration"]).reset_index(drop=True)
+        return ids.assign(stable=Draws(_arrays(pdf), lags, len(names)).stable())
+
+    return _blocks(fit.draws).groupBy("chain", "block").applyInPandas(run, "chain int, iteration int, stable boolean")
+
+
+def predict(fit: BayesFit, sf: SeriesFrame, n_ahead: int, sparse: bool | float = False, stable: bool = False, use_sv: bool = True, seed: int = 1) -> DataFrame:
+    """Predictive draws: h, draw, series, value, in blocks of draws. ``sparse`` uses the thresholded coefficients, or, as a
+    number, sets those to zero whose credible interval of that level holds zero. ``stable`` drops explosive draws, and
+    raises an error if no other is left; both of these read the draws once more."""
     from vectide.operators.forecast import PREDICTIVE, _predictive
 
     last, names, lags = np.array(sf.last_rows(fit.lags.order)), fit.names, fit.lags
+    zero = _zeroed(fit, sparse) if not isinstance(sparse, bool) else None
+    if stable and stable_draws(fit).filter("stable").isEmpty():
+        raise ValueError("no draw is stable")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         chain, block = int(pdf["chain"].iat[0]), int(pdf["block"].iat[0])
-        d = Draws(_arrays(pdf), lags, len(names), sparse)
+        values = _arrays(pdf)
+        if zero is not None:
+            values["alpha"] = np.where(zero, 0.0, values["alpha"])
+        d = Draws(values, lags, len(names), sparse is True)
         y, _ = d.simulate(last, n_ahead, np.random.default_rng([seed, 1, chain, block]), use_sv)
         if stable:
             y = y[d.stable()]
@@ -162,37 +193,77 @@ def spillover_summary(draws: DataFrame, level: float = 0.05) -> DataFrame:
     return draws.groupBy("t", "series", "shock").agg(F.avg(v).alias("spillover"), F.stddev_samp(v).alias("sd"), F.percentile(v, level / 2).alias("lower"), F.percentile(v, 1 - level / 2).alias("upper"))
 
 
-def _windows(sf: SeriesFrame, n_train: int, n_windows: int, chains: int, expanding: bool) -> DataFrame:
-    """Each row once for every window (from 0) and chain that uses it."""
-    first = F.lit(0) if expanding else F.greatest(F.col("t") - n_train, F.lit(0))
-    start = F.greatest(F.col("t") - n_train, F.lit(0)) if expanding else first
-    stop = F.lit(n_windows - 1) if expanding else F.least(F.col("t") - 1, F.lit(n_windows - 1))
-    rows = _values(sf).withColumn("first", start.cast("long")).withColumn("stop", stop.cast("long")).filter("first <= stop")
-    return rows.withColumn("window", F.explode(F.sequence("first", "stop"))).withColumn("chain", F.explode(F.sequence(F.lit(1), F.lit(chains)))).drop("first", "stop")
+def spillover_margins(draws: DataFrame, level: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    """Posterior mean, sd and interval of what each series sends, gets, its net and the total (t, series, measure, value, sd,
+    lower, upper), and of net pairs (t, series, shock, net, sd, lower, upper), from spillover_draws."""
+    keys = ["chain", "iteration", "t"]
+    n = draws.select("series").distinct().count()
+    v = F.col("value")
+    stats = [F.avg(v).alias("value"), F.stddev_samp(v).alias("sd"), F.percentile(v, level / 2).alias("lower"), F.percentile(v, 1 - level / 2).alias("upper")]
+    cross = draws.filter("series <> shock")
+    both = cross.select(*keys, "series", F.lit(0.0).alias("to"), F.col("spillover").alias("from")).union(cross.select(*keys, "shock", "spillover", F.lit(0.0)))
+    sums = both.groupBy(*keys, "series").agg(F.sum("to").alias("to"), F.sum("from").alias("from")).withColumn("net", F.col("to") - F.col("from"))
+    long = sums.unpivot([*keys, "series"], ["to", "from", "net"], "measure", "value")
+    total = cross.groupBy(*keys).agg((F.sum("spillover") / n).alias("value")).select(*keys, F.lit(None).cast("string").alias("series"), F.lit("total").alias("measure"), "value")
+    margins = long.unionByName(total).groupBy("t", "series", "measure").agg(*stats)
+    # a pair's net: what a series sends to the other less what it gets, over the dimension
+    pair = cross.select(*keys, "series", "shock", (-F.col("spillover")).alias("value")).union(cross.select(*keys, "shock", "series", "spillover"))
+    nets = pair.groupBy(*keys, "series", "shock").agg((F.sum("value") / n).alias("value")).groupBy("t", "series", "shock").agg(*stats)
+    return margins, nets.withColumnRenamed("value", "net")
+
+
+def _windows(sf: SeriesFrame, n_train: int, first: int, n_windows: int, chains: int, h: int, expanding: bool):
+    """Rows by block of windows (first .. n_windows - 1) and chain, each row once for every block that needs it, and what
+    gives the windows of a block: (window, rows, the h rows after them). A block has one window where few are asked for."""
+    names, per = list(sf.names), max(1, -(-(n_windows - first) * chains // WINDOW_TASKS))
+    lo = F.greatest(F.col("t") - n_train - h, F.lit(first))
+    hi = F.lit(n_windows - 1) if expanding else F.least(F.col("t") - 1, F.lit(n_windows - 1))
+    rows = _values(sf).withColumn("lo", lo.cast("long")).withColumn("hi", hi.cast("long")).filter("lo <= hi")
+    rows = rows.withColumn("block", F.explode(F.expr(f"sequence(lo div {per}, hi div {per})"))).withColumn("chain", F.explode(F.sequence(F.lit(1), F.lit(chains)))).drop("lo", "hi")
+
+    def of(pdf: pd.DataFrame):
+        pdf, block = pdf.sort_values("t"), int(pdf["block"].iat[0])
+        t, y = int(pdf["t"].iat[0]), pdf[names].to_numpy()
+        for w in range(max(first, block * per), min(n_windows, (block + 1) * per)):
+            a, b = 0 if expanding else w + 1 - t, w + n_train + 1 - t
+            yield w, y[a:b], y[b : b + h]
+
+    return rows, of
+
+
+def backtest(sf: SeriesFrame, lags: Lags, spec: BayesSpec, n_train: int, h: int, n_total: int, expanding: bool = False, sparse: bool = False, use_sv: bool = True, fit: BayesFit | None = None) -> DataFrame:
+    """window, chain, t, series, forecast (mean over the chain's draws) and lpl (the log predictive density of the actual
+    rows, averaged over draws and steps), for the h-step forecast of each window. Windows and chains are sampled side by
+    side. ``fit``: a fit of the training rows, which serves window 0 as it is."""
+    names, n = list(sf.names), n_total - n_train - h + 1
+    schema = "window long, chain int, t long, series string, forecast double, lpl double"
 
+    def found(d: Draws, w: int, chain: int, last: np.ndarray, actual: np.ndarray, rng: np.random.Generator) -> pd.DataFrame:
+        path, lpd = d.simulate(last, h, rng, use_sv, actual)
+        return pd.DataFrame({"window": w, "chain": chain, "t": w + n_train + h, "series": names, "forecast": path[:, -1].mean(axis=0), "lpl": float(lpd.mean())})
 
-def backtest(sf: SeriesFrame, lags: Lags, spec: BayesSpec, n_train: int, h: int, n_total: int, expanding: bool = False, sparse: bool = False, use_sv: bool = True) -> DataFrame:
-    """window, chain, t, series, forecast (mean over the chain's draws) and lpl (of all series at the target), for the h-step
-    forecast of each window. Windows and chains are sampled side by side."""
-    names, n = list(sf.names), n_total - n_train - h + 1
-    rows = _windows(sf, n_train, n, spec.chains, expanding)
-    last_rows = sf.df.filter(F.col("t") > n_train).select("t", *names)
-    targets = {r["t"]: [float(r[c]) for c in names] for r in last_rows.toLocalIterator()}  # the test rows
+    rows, windows = _windows(sf, n_train, 0 if fit is None else 1, n, spec.chains, h, expanding)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, chain = int(pdf["window"].iat[0]), int(pdf["chain"].iat[0])
-        y = pdf.sort_values("t")[names].to_numpy()
-        x, r = design_arrays(y, lags)
-        rng = np.random.default_rng([spec.seed, w + 1, chain])
-        d = Draws(run_chain(x, r, lags, spec, rng), lags, len(names), sparse)
-        end = w + n_train
-        actual = np.array([targets[end + s + 1] for s in range(h)])
-        path, lpd = d.simulate(y[-lags.order :], h, rng, use_sv, actual)
-        top = lpd[:, -1].max()
-        lpl = float(top + np.log(np.exp(lpd[:, -1] - top).mean()))
-        return pd.DataFrame({"window": w, "chain": chain, "t": end + h, "series": names, "forecast": path[:, -1].mean(axis=0), "lpl": lpl})
+        chain, out = int(pdf["chain"].iat[0]), []
+        for w, y, actual in windows(pdf):
+            rng = np.random.default_rng([spec.seed, w + 1, chain])
+            d = Draws(run_chain(*design_arrays(y, lags), lags, spec, rng), lags, len(names), sparse)
+            out.append(found(d, w, chain, y[-lags.order :], actual, rng))
+        return pd.concat(out)
+
+    sampled = rows.groupBy("block", "chain").applyInPandas(run, schema)
+    if fit is None:
+        return sampled
+    near = sf.df.filter(F.col("t").between(n_train - lags.order + 1, n_train + h)).orderBy("t").select(*names).collect()
+    near = np.array([[float(x) for x in r] for r in near])  # lags and steps only
+
+    def given(pdf: pd.DataFrame) -> pd.DataFrame:
+        chain = int(pdf["chain"].iat[0])
+        d = Draws(_arrays(pdf), lags, len(names), sparse)
+        return found(d, 0, chain, near[: lags.order], near[lags.order :], np.random.default_rng([spec.seed, 1, chain]))
 
-    return rows.groupBy("window", "chain").applyInPandas(run, "window long, chain int, t long, series string, forecast double, lpl double")
+    return fit.draws.groupBy("chain").applyInPandas(given, schema).union(sampled)
 
 
 def dynamic_spillover(sf: SeriesFrame, lags: Lags, spec: BayesSpec, window: int, n_total: int, step: int = 10) -> DataFrame:
@@ -200,14 +271,15 @@ def dynamic_spillover(sf: SeriesFrame, lags: Lags, spec: BayesSpec, window: int,
     if isinstance(spec.cov, StochasticVolatility):
         raise ValueError("with stochastic volatility one fit has a covariance for each time: use spillover_draws")
     names, m = list(sf.names), sf.dim
-    rows = _windows(sf, window, n_total - window + 1, spec.chains, False)
+    rows, windows = _windows(sf, window, 0, n_total - window + 1, spec.chains, 0, False)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, chain = int(pdf["window"].iat[0]), int(pdf["chain"].iat[0])
-        x, y = design_arrays(pdf.sort_values("t")[names].to_numpy(), lags)
-        d = Draws(run_chain(x, y, lags, spec, np.random.default_rng([spec.seed, w + 1, chain])), lags, m)
-        tables = [connectedness(b, s, lags.order, step) for b, s in zip(d.lag_coef, d.covariances(), strict=True)]
-        return pd.DataFrame({"t_end": w + window, "series": np.repeat(names, m), "shock": names * m, "spillover": np.mean(tables, axis=0).ravel()})
-
-    per = rows.groupBy("window", "chain").applyInPandas(run, "t_end long, series string, shock string, spillover double")
+        chain, out = int(pdf["chain"].iat[0]), []
+        for w, y, _ in windows(pdf):
+            d = Draws(run_chain(*design_arrays(y, lags), lags, spec, np.random.default_rng([spec.seed, w + 1, chain])), lags, m)
+            tables = [connectedness(b, s, lags.order, step) for b, s in zip(d.lag_coef, d.covariances(), strict=True)]
+            out.append(pd.DataFrame({"t_end": w + window, "series": np.repeat(names, m), "shock": names * m, "spillover": np.mean(tables, axis=0).ravel()}))
+        return pd.concat(out)
+
+    per = rows.groupBy("block", "chain").applyInPandas(run, "t_end long, series string, shock string, spillover double")
     return per.groupBy("t_end", "series", "shock").agg(F.avg("spillover").alias("spillover"))

@@ -170,14 +170,37 @@ def sample_posterior(post: NiwPosterior, spark: SparkSession, n_iter: int = 1000
     return spark.range(0, blocks, 1, blocks).mapInPandas(run, DRAWS)
 
 
-def hierarchical_minnesota(sf: SeriesFrame, p: int = 1, spec: MinnesotaSpec | None = None, chains: int = 2, n_iter: int = 500, burn: int = 100, seed: int = 1, include_mean: bool = True, lam_prior: tuple[float, float] | None = None, psi_prior: tuple[float, float] = (0.0004, 0.0004), step: float = 0.1) -> DataFrame:
+SPILLOVERS = "chain int, iteration int, t long, series string, shock string, spillover double"
+
+
+def spillover_draws(post: NiwPosterior, spark: SparkSession, step: int = 10, n_iter: int = 1000, seed: int = 1) -> DataFrame:
+    """chain, iteration, t (-1), series, shock, spillover of each draw of a conjugate posterior, in blocks of draws."""
+    from vectide.operators.structure import connectedness
+
+    blocks, names, lags = max(1, -(-n_iter // BLOCK_DRAWS)), post.names, post.lags
+    m, to_lags = len(names), lags.transform(len(names)).T
+
+    def run(batches):
+        for pdf in batches:
+            for b in pdf["id"].tolist():
+                n = min(BLOCK_DRAWS, n_iter - b * BLOCK_DRAWS)
+                a, s = draw_mniw(post, n, np.random.default_rng([seed, b]))
+                tables = np.array([connectedness(to_lags @ x, y, lags.order, step) for x, y in zip(a, s, strict=True)])
+                first = np.repeat(np.arange(b * BLOCK_DRAWS + 1, b * BLOCK_DRAWS + n + 1, dtype=np.int32), m * m)
+                yield pd.DataFrame({"chain": np.int32(1), "iteration": first, "t": np.int64(-1), "series": list(np.repeat(names, m)) * n, "shock": list(names) * (m * n), "spillover": tables.ravel()})
+
+    return spark.range(0, blocks, 1, blocks).mapInPandas(run, SPILLOVERS)
+
+
+def hierarchical_minnesota(sf: SeriesFrame, p: int = 1, spec: MinnesotaSpec | None = None, chains: int = 2, n_iter: int = 500, burn: int = 100, seed: int = 1, include_mean: bool = True, lam_prior: tuple[float, float] | None = None, psi_prior: tuple[float, float] = (0.0004, 0.0004), step: float = 0.1, har: tuple[int, int] | None = None) -> DataFrame:
     """Draws of the shrinkage (lambda), the scales (psi), coefficients and covariance: a Metropolis step on the marginal
-    likelihood's (log lambda, log psi), then a conjugate draw. One task for each chain, which gets sums only."""
+    likelihood's (log lambda, log psi), then a conjugate draw. One task for each chain, which gets sums only. ``har`` makes
+    it a VHAR, with long memory if the spec has weekly and monthly means."""
     from vectide.functions.special import gamma_from_mode
     from vectide.operators.criteria import log_ml
     from vectide.operators.tuning import minimise, numeric_hessian
 
-    spec, lags = spec or MinnesotaSpec(), Lags(p, None, include_mean)
+    spec, lags = spec or MinnesotaSpec(), Lags(p, har, include_mean)
     sigma = np.asarray(spec.sigma, dtype=float) if spec.sigma is not None else sample_sd(sf)
     g, names, dim = data_gram(sf, lags), sf.names, sf.dim
     shape, rate = lam_prior or gamma_from_mode(0.2, 0.4)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 import numpy as np
 
@@ -29,6 +29,8 @@ class MinnesotaSpec:
         _positive(sigma=self.sigma, lam=self.lam, eps=self.eps)
         if (self.weekly is None) != (self.monthly is None):
             raise ValueError("weekly and monthly means come together")
+        if self.sigma is not None and not isinstance(self.delta, (int, float)) and len(self.delta) != len(self.sigma):
+            raise ValueError("delta has a mean for each scale of sigma")
 
 
 @dataclass(frozen=True)
@@ -39,6 +41,19 @@ class Shrinkage:
     groups: str = "longrun"
     ggl: bool = True
 
+    def __post_init__(self):
+        """Numbers are positive, but for prior means; pairs are two; grids hold two points or more."""
+        if self.groups not in ("longrun", "short", "no"):
+            raise ValueError(f"unknown groups {self.groups}")
+        for f in fields(self):
+            v = getattr(self, f.name)
+            if f.name == "grid" and (not isinstance(v, int) or v < 2):
+                raise ValueError("grid must be 2 or more")
+            if f.name in ("s1", "s2") and len(v) != 2:
+                raise ValueError(f"{f.name} has a weight for own and one for cross lags")
+            if f.name not in ("groups", "ggl", "delta"):
+                _positive(**{f.name: v})
+
 
 @dataclass(frozen=True)
 class Minnesota(Shrinkage):

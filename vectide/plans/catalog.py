@@ -368,6 +368,32 @@ def dynamic_spillover_sv(spark, d):
     return mcmc.spillover_summary(mcmc.spillover_draws(fit, 5, times=list(range(sf.count() - 1))))
 
 
+def spillover_minnesota(spark, d):
+    draws = niw.spillover_draws(niw.vhar_minnesota(weekly_prices(spark, d)), spark, 10)
+    return mcmc.spillover_margins(draws)[0]
+
+
+def dynamic_spillover_minnesota(spark, d):
+    sf = kept(weekly_prices(spark, d))
+    return backtest.dynamic_spillover_conjugate(sf, Lags(1), niw.dummies_of(priors.MinnesotaSpec(), Lags(1), niw.sample_sd(sf)), 150, 5)
+
+
+def hierarchical_minnesota_vhar(spark, d):
+    return posterior.summarise(niw.hierarchical_minnesota(two(spark, d), har=(5, 22)))
+
+
+def predict_density_selected(spark, d):
+    """Forecasts from the coefficients whose 90 % interval leaves out zero, and from stable draws only."""
+    sf = weekly_prices(spark, d)
+    fit = mcmc.var_bayes(sf, 1, priors.BayesSpec(priors.Horseshoe()))
+    return forecast.summarise(mcmc.predict(fit.with_draws(kept_draws(fit.draws)), sf, 5, sparse=0.9, stable=True))
+
+
+def kept_draws(draws: DataFrame) -> DataFrame:
+    """Draws that several jobs read; released like :func:`kept`."""
+    return kept(SeriesFrame(draws.withColumnRenamed("iteration", "t"), ("value",))).df.withColumnRenamed("t", "iteration")
+
+
 def dynamic_spillover_mcmc(spark, d):
     sf = weekly_prices(spark, d)
     n = sf.count()
@@ -392,7 +418,7 @@ def dic(spark, d):
 
 
 def hierarchical_minnesota(spark, d):
-    return posterior.summarise(niw.hierarchical_minnesota(two(spark, d), 1, n_iter=60, burn=20))
+    return posterior.summarise(niw.hierarchical_minnesota(two(spark, d), 1))
 
 
 def summary_pvalue(spark, d):
@@ -524,7 +550,7 @@ def queries() -> dict:
             out[f"var_bayes_{name}_{label}"] = _bayes(name, cov, False)
             out[f"vhar_bayes_{name}_{label}"] = _bayes(name, cov, True)
     out |= {f.__name__: f for f in (predict_density_minnesota, predict_density_bayes, roll_mcmc, expand_mcmc, alpl, roll_minnesota, roll_flat, spillover_posterior, dynamic_spillover_sv, dynamic_spillover_mcmc, choose_bayes, log_ml, log_ml_var2, dic, hierarchical_minnesota, summary_pvalue, resid_corr_3d, sim_mnormal, sim_var, flagship, flagship_daily)}
-    out |= {f.__name__: f for f in (var2_chol_3d, var2_qr_3d, vhar_ols_3d, heat_map_3d, sample_sd, best_lag_ar, vhar_vma_2d, vhar_spillover_2d, forecast_vhar_1d, minnesota_var2_3d, minnesota_vhar_s_3d, minnesota_vhar_l_3d, minnesota_vhar_l_scale, flat_vhar_3d, expand_minnesota)}
+    out |= {f.__name__: f for f in (var2_chol_3d, var2_qr_3d, vhar_ols_3d, heat_map_3d, sample_sd, best_lag_ar, vhar_vma_2d, vhar_spillover_2d, forecast_vhar_1d, minnesota_var2_3d, minnesota_vhar_s_3d, minnesota_vhar_l_3d, minnesota_vhar_l_scale, flat_vhar_3d, expand_minnesota, spillover_minnesota, dynamic_spillover_minnesota, hierarchical_minnesota_vhar, predict_density_selected)}
     return out
 
 
