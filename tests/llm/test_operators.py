@@ -99,6 +99,17 @@ def test_sharding_balances_and_keeps_groups(spark):
     assert e[e["size"] == 11].shard.nunique() == 1
 
 
+def test_pack_takes_the_highest_dot_product():
+    r = np.random.default_rng(3)
+    items, room = r.random((80, 3)) / 80, np.full((5, 3), 0.2)
+    got, left = sharding.pack(items, room.copy()), [[0.2] * 3 for _ in range(5)]
+    for v, j in zip(items, got, strict=True):
+        dots = [sum(w * a * b for w, a, b in zip(sharding.DIMENSION_WEIGHTS, x, v, strict=True)) for x in left]
+        assert dots[j] == pytest.approx(max(dots), rel=1e-12)
+        left[j] = [a - b for a, b in zip(left[j], v, strict=True)]
+    assert np.array_equal(sharding.pack(np.zeros((3, 3)), room.copy()), [0, 0, 0])  # a tie: the first
+
+
 def test_pack_by_cells_matches_all(spark, monkeypatch):
     monkeypatch.setattr(sharding, "LARGE_SHARE", 1.0)
     monkeypatch.setattr(sharding, "CELL_ITEMS", 200)
@@ -433,7 +444,9 @@ def test_links_lose_nothing(spark, monkeypatch, crowd):
     assert roots(range(len(values)), got) == roots(range(len(values)), want) and want
 
 
-def test_components(spark):
+@pytest.mark.parametrize("share", [1 / 4096, 0.1])
+def test_components(spark, monkeypatch, share):
+    monkeypatch.setattr("vectide.llm.common.HOT_SHARE", share)
     r = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 60)] + [(r.randrange(100, 300), r.randrange(100, 300)) for _ in range(120)] + [(500, i) for i in range(501, 560)]
     got = {x["node"]: x["root"] for x in components(spark.createDataFrame(edges, "u long, v long"), "t").collect()}
@@ -574,6 +587,40 @@ def test_toxicity(spark):
     assert {x["doc_id"] for x in toxicity.without_toxic(docs, labels).collect()} == set(got.index[got.predicted == 0])
 
 
+def test_noisy_or_gradient_and_score():
+    r = np.random.default_rng(2)
+    y = np.array([1.0, 0.0, 1.0, 0.0, 1.0])
+    bag_of = np.array([0, 0, 1, 1, 1, 2, 3, 4, 4])
+    sent_of, ids = np.array([0, 0, 1, 2, 3, 4, 5, 5, 6, 7, 8]), np.array([0, 1, 2, 0, 3, 1, 2, 3, 0, 1, 3])
+    theta = r.standard_normal(5) * 0.7
+
+    def slow(theta):
+        total = 0.0
+        for d in range(5):
+            none = 1.0
+            for s in np.flatnonzero(bag_of == d):
+                none *= 1 - 1 / (1 + np.exp(-(theta[-1] + theta[ids[sent_of == s]].sum())))
+            total -= np.log(1 - none if y[d] else none)
+        return total / 5 + toxicity.L2 / 2 * (theta[:-1] ** 2).sum()
+
+    loss, grad = toxicity.loss_and_gradient(theta, y, ids, sent_of, bag_of)
+    near = [(slow(theta + 1e-6 * e) - slow(theta - 1e-6 * e)) / 2e-6 for e in np.eye(5)]
+    assert abs(loss - slow(theta)) < 1e-9 and np.allclose(grad, near, atol=1e-6)
+
+
+def test_scores_match_a_plain_noisy_or(spark, docs, texts):
+    words = ["the", "hot", "word"]
+    feats = np.sort(np.array([zlib.crc32(f"{w} ".encode()) for w in words]))
+    model = toxicity.Model(-2.0, feats, np.array([0.7, -0.4, 1.1]))
+    weight = dict(zip(feats.tolist(), model.weights, strict=True))
+    for x in toxicity.scored(docs, model).collect():
+        none = 1.0
+        for s in [s for s in re.split(r"[.!?\n]+", (texts[x["doc_id"]] or "").lower()) if s.strip()] or [""]:
+            z = -2.0 + sum(weight.get(f, 0.0) for w in set(re.findall(r"\w+", s)) for f in toxicity.features_of(w))
+            none *= 1 - 1 / (1 + np.exp(-z))
+        assert abs(x["score"] - (1 - none)) < 1e-9
+
+
 def test_without_labels_nothing_is_toxic(spark, docs):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.toxicity(docs, labels).filter("predicted = 1").count() == 0
@@ -662,3 +709,51 @@ def test_pipeline_stages(spark, texts):
     mixed = c.mixing(spark, docs, d).persist()
     assert mixed.columns == docs.columns
     assert c.binary_output(spark, mixed, d).count() == mixed.count()
+
+
+def plain_pipeline(rows, labels, items):
+    """What the first four stages leave, by plain loops: the multiset of texts that the mix may take words of."""
+    left = [t for _, t in rows]
+    fps = [slow_fingerprint(t) for t in left]
+    group = roots(range(len(fps)), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4])
+    least = {}
+    for i, g in group.items():
+        d = rows[i][0]
+        key = (-(1 << 63) if d is None else d, fps[i] - (1 << 64) if fps[i] >> 63 else fps[i], left[i] is None, left[i] or "")
+        least[g] = min(least.get(g, key), key)
+    out = [(k[0], None if k[2] else k[3]) for k in least.values()]
+
+    def dirty(t):
+        return any((w := decontaminate.words_of(q)) and brute_distance(w, decontaminate.words_of(t)) <= int(0.2 * len(w)) for q in items)
+
+    return sorted(((d, t) for d, t in out if not dirty(t)), key=str)
+
+
+@pytest.mark.parametrize("empty_table", [False, True])
+def test_pipeline_of_odd_rows(spark, tmp_path, empty_table):
+    import corpus_pipeline as c
+    from tokenizers import Tokenizer
+
+    r = random.Random(31)
+    base = [text(r, 40) for _ in range(12)]
+    item = text(r, 10)
+    rows = [(i, t) for i, t in enumerate(base)] + [(None, base[0]), (None, text(r, 30)), (None, None), (40, ""), (5, text(r, 33)), (5, base[5]), (41, f"{base[1]} {item}"), (42, text(r, 6_000)), (43, base[3]), (43, base[3])]
+    rows = [] if empty_table else rows
+    d = str(tmp_path)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, fp long, id int, __n int"
+    spark.createDataFrame([(i, t, None, "ab"[k % 2] if k % 5 else None, None, 1, 2, 3) for k, (i, t) in enumerate(rows)], schema).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    for _, stage in c.STAGES[:3]:
+        docs = stage(spark, docs, d)
+        assert docs.columns == schema.replace("long", "").replace("string", "").replace("int", "").replace(" ", "").split(",")
+    want = plain_pipeline(rows, [], [item])
+    got = sorted(((-(1 << 63) if x["doc_id"] is None else x["doc_id"], x["text"]) for x in docs.collect()), key=str)
+    assert got == want
+    mixed = c.mixing(spark, docs, d).collect()
+    index = c.run(spark, d).orderBy("start").collect()
+    ids = [len(Tokenizer.from_file(records.vocabulary_path()).encode(x["text"], add_special_tokens=False).ids) + 1 for x in mixed]
+    assert sorted(x["n_tokens"] for x in index) == sorted(ids)
+    words = sum(len((t or "").split()) for _, t in want)
+    assert abs(sum(len(x["text"].split()) for x in mixed) - words) <= 3 and len(index) == len(mixed)

@@ -126,23 +126,22 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
     edge, root being the component's smallest node.
 
     Alternating large-star and small-star steps; each round is written to the shared folder, and the driver sees
-    two counters of a round only.
+    two counters of a round only. Nodes that hold over HOT_SHARE of a round's links are joined by a broadcast.
     """
-    spark = edges.sparkSession
     now = keep(edges.filter("u <> v").selectExpr("greatest(u, v) AS u", "least(u, v) AS v").distinct(), f"{tag}-cc")
-    state = None
+    state, n = None, now.count()
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.filter("v > u").join(low, "u").selectExpr("v AS u", "m AS v").distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("m", "u"))
+        large = spread_join(both.filter("v > u"), low, ["u"], "n", 2 * n).selectExpr("v AS u", "m AS v").distinct()
         # every node now points to smaller ones only
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").selectExpr("CASE WHEN v = m THEN u ELSE v END AS u", "m AS v").filter("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, least, ["u"], "n", 2 * n).selectExpr("CASE WHEN v = m THEN u ELSE v END AS u", "m AS v").filter("u <> v").distinct()
         now = keep(small, f"{tag}-cc")
         got = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(got) == state:
             break
-        state = tuple(got)
+        state, n = tuple(got), got[0]
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 

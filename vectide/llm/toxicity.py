@@ -134,6 +134,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return train(y, feats.flatten().to_numpy(), np.diff(counts.offsets.to_numpy()), counts.flatten().to_numpy(), use)
 
 
+def loss_and_gradient(theta: np.ndarray, y: np.ndarray, ids: np.ndarray, sent_of: np.ndarray, bag_of: np.ndarray) -> tuple[float, np.ndarray]:
+    """The mean negative log likelihood of noisy-or, with the penalty, and its gradient. ``theta``: weights, then the bias;
+    ``ids`` and ``sent_of``: feature and sentence of each occurrence; ``bag_of``: the document of each sentence."""
+    k = len(theta) - 1
+    z = theta[-1] + np.bincount(sent_of, weights=theta[ids], minlength=len(bag_of))
+    s = np.bincount(bag_of, weights=np.logaddexp(0, z), minlength=len(y))  # minus the log probability that no sentence is toxic
+    loss = np.where(y > 0, -np.log(np.maximum(-np.expm1(-s), 1e-300)), s).mean() + L2 / 2 * (theta[:-1] ** 2).sum()
+    pull = np.where(y > 0, -1 / np.maximum(np.expm1(np.minimum(s, 50)), 1e-9), 1.0) / len(y)
+    g = pull[bag_of] / (1 + np.exp(-z))
+    return float(loss), np.r_[np.bincount(ids, weights=g[sent_of], minlength=k) + L2 * theta[:-1], g.sum()]
+
+
 def train(y: np.ndarray, feats: np.ndarray, bags: np.ndarray, counts: np.ndarray, names: np.ndarray) -> Model:
     """``feats``: features of all sentences, out of the sorted ``names``; ``counts``: features by sentence; ``bags``:
     sentences by document."""
@@ -142,17 +154,10 @@ def train(y: np.ndarray, feats: np.ndarray, bags: np.ndarray, counts: np.ndarray
     bag_of = np.repeat(np.arange(len(y)), bags)
     sent_of = np.repeat(np.arange(len(counts)), counts)
     ids = np.searchsorted(names, feats)
-    w = np.zeros(len(names))
-    b, n, k = -6.0, len(counts), len(names)
-    theta = np.r_[w, b]
-    m, v = np.zeros(k + 1), np.zeros(k + 1)
+    theta = np.r_[np.zeros(len(names)), -6.0]
+    m, v = np.zeros(len(theta)), np.zeros(len(theta))
     for t in range(1, ROUNDS + 1):
-        z = theta[-1] + np.bincount(sent_of, weights=theta[ids], minlength=n)
-        p = 1 / (1 + np.exp(-z))
-        s = np.bincount(bag_of, weights=np.logaddexp(0, z), minlength=len(y))
-        pull = np.where(y > 0, -1 / np.maximum(np.expm1(np.minimum(s, 50)), 1e-9), 1.0) / len(y)
-        g = pull[bag_of] * p
-        grad = np.r_[np.bincount(ids, weights=g[sent_of], minlength=k) + L2 * theta[:-1], g.sum()]
+        _, grad = loss_and_gradient(theta, y, ids, sent_of, bag_of)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         theta = theta - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return Model(float(theta[-1]), names, theta[:-1])
