@@ -1,7 +1,11 @@
 """The corpus pipeline: five operators in a row over ``documents``.
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next stage's documents.
-All stages but the last return the columns of ``documents``.
+All stages but the last return the columns of ``documents``, whatever these are called.
+
+Defined cases, for every stage: rows are told apart by themselves and not by doc_id, so null and repeated ids lose no
+row and save none; an empty table gives an empty result; null and empty texts count as texts without words; very long
+texts are taken whole.
 """
 
 from __future__ import annotations
@@ -17,27 +21,31 @@ from vectide.llm.toxicity import without_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go."""
+    """Documents predicted toxic go, a score of 0.5 among them. Repeated rows share their fate; null and empty texts have the
+    bias as their score; without labels all stay."""
     return without_toxic(docs, read(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays: the one with the smallest doc_id."""
+    """One document of each group of linked fingerprints stays: the one with the smallest doc_id (null comes first), then
+    the smallest fingerprint, then the first text. All texts without words are one group."""
     return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a test item within its error budget go."""
+    """Documents that hold a test item within its error budget go; null and empty texts and items match nothing."""
     return without_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes: one row for each pass that takes words of a document, with these words."""
+    """What the mix takes: one row for each pass that takes words of a document, with these words. Documents without words
+    go, as there is nothing to take; a null source is a source; repeated rows are documents of their own."""
     return mixed_documents(docs)
 
 
 def binary_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Record files of token ids; the result is their index, read back from them."""
+    """Record files of token ids; the result is their index, read back from them: a row for each document, in the order of
+    doc_id (null as the least long) and of a hash of the text."""
     return tokenized(docs).select("doc_id", "start", "n_tokens", "ids_crc32", "file", "offset", "length")
 
 
