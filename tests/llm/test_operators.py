@@ -719,9 +719,11 @@ def plain_pipeline(rows, labels, items):
     least = {}
     for i, g in group.items():
         d = rows[i][0]
-        key = (-(1 << 63) if d is None else d, fps[i] - (1 << 64) if fps[i] >> 63 else fps[i], left[i] is None, left[i] or "")
-        least[g] = min(least.get(g, key), key)
-    out = [(k[0], None if k[2] else k[3]) for k in least.values()]
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        key = (-(1 << 63) if d is None else d, signed(fps[i]), 42 if left[i] is None else signed(xxhash.xxh64_intdigest(left[i].encode(), 42)))
+        if g not in least or key < least[g][0]:
+            least[g] = (key, left[i])
+    out = [(k[0], t) for k, t in least.values()]
 
     def dirty(t):
         return any((w := decontaminate.words_of(q)) and brute_distance(w, decontaminate.words_of(t)) <= int(0.2 * len(w)) for q in items)

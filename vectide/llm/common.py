@@ -35,19 +35,30 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
 
 def keep(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and lost executors cost nothing already written."""
+    return written(df, tag)[0]
+
+
+def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """As :func:`keep`, with the path, for :func:`delete`."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that nothing reads any more."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if (spark, path) in _made:
+        _made.remove((spark, path))
 
 
 def drop_scratch() -> None:
     """Delete every scratch table of this process. Results that read them must have been written before."""
-    for spark, path in _made:
+    for spark, path in list(_made):
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            delete(spark, path)
         except Exception:  # noqa: BLE001  the session is gone: nothing can be deleted any more
             pass
     _made.clear()
@@ -128,7 +139,8 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
     Alternating large-star and small-star steps; each round is written to the shared folder, and the driver sees
     two counters of a round only. Nodes that hold over HOT_SHARE of a round's links are joined by a broadcast.
     """
-    now = keep(edges.filter("u <> v").selectExpr("greatest(u, v) AS u", "least(u, v) AS v").distinct(), f"{tag}-cc")
+    spark = edges.sparkSession
+    now, path = written(edges.filter("u <> v").selectExpr("greatest(u, v) AS u", "least(u, v) AS v").distinct(), f"{tag}-cc")
     state, n = None, now.count()
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -137,7 +149,9 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
         # every node now points to smaller ones only
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = spread_join(large, least, ["u"], "n", 2 * n).selectExpr("CASE WHEN v = m THEN u ELSE v END AS u", "m AS v").filter("u <> v").distinct()
-        now = keep(small, f"{tag}-cc")
+        before = path
+        now, path = written(small, f"{tag}-cc")
+        delete(spark, before)
         got = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(got) == state:
             break

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.llm.common import blocks_for, bucket, inner, keep, ranked, read
+from vectide.llm.common import blocks_for, bucket, delete, inner, keep, ranked, read, written
 
 BLOCK_WORDS = 256
 SLOTS_PER_SHARD = 4096
@@ -155,9 +155,11 @@ def placed(docs: DataFrame, carry: bool) -> DataFrame:
     columns, as c0, c1, ..."""
     own, (doc_id, text, source) = inner(docs, "doc_id", "text", "source")
     rows = own.select(F.col(doc_id).alias("doc_id"), F.when(F.col(source).isNull(), "n").otherwise(F.concat(F.lit("s"), source)).alias("skey"), words_in(F.col(text)).alias("size"), F.xxhash64(text).alias("__tie"), *(own.columns if carry else []))
-    rows = keep(rows, "mix-sizes")
+    rows, path = written(rows, "mix-sizes")
     n = rows.count()
-    return keep(ranked(rows, ["skey"], [F.col("doc_id"), F.col("__tie")], bucket(blocks_for(n), F.col("doc_id")), F.col("size"), "start").drop("__tie"), "mix-placed")
+    out = keep(ranked(rows, ["skey"], [F.col("doc_id"), F.col("__tie")], bucket(blocks_for(n), F.col("doc_id")), F.col("size"), "start").drop("__tie"), "mix-placed")
+    delete(docs.sparkSession, path)
+    return out
 
 
 def slots(spark: SparkSession, sources: list[Source], block: int, per_shard: int, seed: int) -> DataFrame:

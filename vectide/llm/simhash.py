@@ -19,7 +19,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vectide.llm.common import components, inner, keep, picked, read, slices, spread_join
 from vectide.llm.golay import golay
@@ -171,20 +170,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest doc_id. Of rows that share this id, one with
-    the smallest fingerprint stays, and of these the first text. Rows are told apart by id and fingerprint. Fingerprints are
-    made once, and written with the rows."""
+    the smallest fingerprint stays, of these the text with the smallest hash, and of equal rows one. Rows are told apart by
+    id and text, so the fingerprints are made once and no text is written."""
     own, (doc_id, text) = inner(docs, "doc_id", "text")
+    own = own.withColumn("id", F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))).withColumn("h", F.xxhash64(text))
 
     def run(batches):
         for batch in slices(batches):
-            got = np.array([fingerprint(t) for t in batch.column(text).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got)], names=[*batch.schema.names, "fp"])
-
-    rows = keep(own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField("fp", T.LongType())])).withColumn("id", F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))), "simhash-documents")
-    kept = grouped(rows.select(F.col("id").alias("doc_id"), "fp")).filter("fp = first").select("id", "fp")
-    first = Window.partitionBy("id", "fp").orderBy(F.col(text).asc_nulls_last())
-    one = rows.join(kept, ["id", "fp"], "left_semi").withColumn("n", F.row_number().over(first)).filter("n = 1")
-    return one.select(*own.columns).toDF(*docs.columns)
+            got = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got)], names=["id", "h", "fp"])
+
+    rows = keep(own.select("id", "h", text).mapInArrow(run, "id long, h long, fp long"), "simhash-rows")
+    first = grouped(rows.select(F.col("id").alias("doc_id"), "fp")).filter("fp = first").select("id", "fp")
+    kept = rows.join(first, ["id", "fp"]).groupBy("id", "fp").agg(F.min("h").alias("h")).select("id", "h")
+    nth = F.row_number().over(Window.partitionBy("id", "h").orderBy(F.xxhash64(*docs_columns(own))))
+    one = own.join(kept, ["id", "h"], "left_semi").withColumn("n", nth).filter("n = 1")
+    return one.select(*docs_columns(own)).toDF(*docs.columns)
+
+
+def docs_columns(own: DataFrame) -> list[str]:
+    return [c for c in own.columns if c not in ("id", "h")]
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
