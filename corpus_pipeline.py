@@ -28,7 +28,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked fingerprints stays: the one with the smallest doc_id (null comes first), then
-    the smallest fingerprint, then the first text. All texts without words are one group."""
+    the smallest fingerprint, then the text with the smallest hash. All texts without words are one group."""
     return one_of_each(docs)
 
 
