@@ -199,7 +199,8 @@ class Mix:
         b = self.block
         parts = self.documents.filter("size > 0").select("skey", "start", "size", "doc_id", F.explode(F.expr(f"sequence(start div {b}, (start + size - 1) div {b})")).alias("idx"))
         near = parts.withColumn("lo", F.greatest(F.col("start"), F.col("idx") * b)).withColumn("hi", F.least(F.col("start") + F.col("size"), (F.col("idx") + 1) * b))
-        got = near.join(self.slots, ["skey", "idx"]).withColumn("hi", F.least(F.col("hi"), F.col("idx") * b + F.col("words"))).filter("hi > lo")
+        # both sides grow with the corpus; Spark takes the slots for few, as they come from one row for each shard
+        got = near.join(self.slots.hint("merge"), ["skey", "idx"]).withColumn("hi", F.least(F.col("hi"), F.col("idx") * b + F.col("words"))).filter("hi > lo")
         return got.select("skey", "start", "doc_id", "size", "shard", "slot", "pass", (F.col("lo") - F.col("start")).alias("a"), (F.col("hi") - F.col("start")).alias("b"))
 
     def source_table(self) -> DataFrame:
@@ -231,7 +232,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED)
     m = mix(docs, block=block, seed=seed, carry=True)
     own, (text, *_) = inner(docs, "text")
     ranges = m.segments().groupBy("skey", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("ranges"), F.sum(F.col("b") - F.col("a")).alias("taken"))
-    rows = m.documents.filter("size > 0").join(ranges, ["skey", "start"])
+    rows = m.documents.filter("size > 0").join(ranges.hint("merge"), ["skey", "start"])
     words = f"filter(split({text}, '[{SPACE}]+'), w -> w <> '')".replace("\\", "\\\\")
     part = F.expr(f"array_join(flatten(transform(ranges, r -> slice({words}, int(r.a) + 1, int(r.b - r.a)))), ' ')")
     out = rows.withColumn("part", F.when(F.col("taken") == F.col("size"), F.col(text)).otherwise(part))
