@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import sys
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,9 @@ HOT_SHARE = 1 / 4096
 #: Rows that one block of a blocked prefix sum holds on average.
 BLOCK_ROWS = 1_024
 
+#: Name of a module, made on a Python worker, that holds what tasks of one operator share there.
+WORKER_STATE = "_vectide_worker"
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -81,7 +86,10 @@ def inner(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
 
 
 def slices(batches, rows: int = 256):
-    """Record batches in slices of a few rows, so that Python holds a few texts at once."""
+    """Record batches in slices of a few rows, so that Python holds a few texts at once. A reused worker that turns to this
+    work lets go of what it kept for other work (see :data:`WORKER_STATE`)."""
+    if sys.modules.pop(WORKER_STATE, None) is not None:
+        pa.default_memory_pool().release_unused()
     for batch in batches:
         for a in range(0, batch.num_rows, rows):
             yield batch.slice(a, rows)

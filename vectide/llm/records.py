@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vectide.llm.common import keep, picked, read, scratch_path
+from vectide.llm.common import WORKER_STATE, keep, picked, read, scratch_path
 
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
@@ -237,7 +237,7 @@ def cut(text: str) -> list[str]:
 def encoder_of_worker(path: str) -> Encoder:
     """The encoder of this Python process: tasks of a reused worker share it. Functions come by value and so share no
     module, so it is kept in one that is made here."""
-    own = sys.modules.setdefault("_vectide_worker", types.ModuleType("_vectide_worker"))
+    own = sys.modules.setdefault(WORKER_STATE, types.ModuleType(WORKER_STATE))
     held = own.__dict__.setdefault("encoders", {})
     if path not in held:
         held[path] = Encoder(path)
