@@ -11,6 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 from vectide.functions.design import Lags, group_matrix, minnesota_dummies, own_groups
+from vectide.functions.special import log_gamma
 from vectide.operators import priors
 from vectide.operators.rng import from_grid, gig, inner_grid, inverse_gamma, inverse_gaussian
 
@@ -227,11 +228,9 @@ class DirichletLaplacePrior(Prior):
         self.a_phi, self.a_tau, self.a_conc = np.full(self.n_impact, 1 / max(1, self.n_impact)), 1.0, 0.5
 
     def _conc(self, phi, tau, rng):
-        from vectide.functions.special import log_gamma
-
+        # the Dirichlet's log_gamma(n * conc) is also in the gamma law of tau and cancels
         n, logs = phi.size, np.log(np.maximum(phi, 1e-300)).sum()
-        g = self.grid
-        return from_grid(g, log_gamma(n * g) - n * log_gamma(g) + (g - 1) * logs + n * g * np.log(0.5) - log_gamma(n * g) + (n * g - 1) * np.log(tau) - tau / 2, rng)
+        return from_grid(self.grid, self.grid * (logs + n * np.log(tau / 2)) - n * log_gamma(self.grid), rng)
 
     def coef_prec(self, alpha, rng):
         size = np.abs(alpha) + 1e-100
@@ -263,7 +262,8 @@ class DirichletLaplacePrior(Prior):
 
 
 class GdpPrior(Prior):
-    """Generalised double Pareto: Laplace rates are gamma, with gridded shape and rate."""
+    """Generalised double Pareto: Laplace rates, one for each group of coefficients and one for each impact, are gamma, with
+    gridded shape and rate."""
 
     def __init__(self, *args):
         super().__init__(*args)
@@ -271,17 +271,21 @@ class GdpPrior(Prior):
         self.grid = inner_grid(self.spec.grid)
         self.rate = np.ones(len(self.labels))
 
-    def _hyper(self, size, shape, rate, rng):
+    def _hyper(self, total, count, rate, rng):
+        """Shape and rate of the gamma law of rates, these integrated out: each is shared by ``count`` coefficients whose
+        sizes sum to ``total``."""
         x = (1 - self.grid) / self.grid
-        n = size.size
-        shape = from_grid(x, n * np.log(x) - x * np.log1p(size / rate).sum(), rng)
-        rate = from_grid(x, -n * np.log(x) - (shape + 1) * np.log1p(size[None] / x[:, None]).sum(axis=1), rng)
+        n, s = count[None], total[None]
+        grown = log_gamma(x[:, None] + n) - log_gamma(x)[:, None]
+        shape = from_grid(x, (grown + x[:, None] * np.log(rate) - (x[:, None] + n) * np.log(rate + s)).sum(axis=1), rng)
+        rate = from_grid(x, (shape * np.log(x)[:, None] - (shape + n) * np.log(x[:, None] + s)).sum(axis=1), rng)
         return shape, rate
 
     def coef_prec(self, alpha, rng):
         size = np.abs(alpha) + 1e-100
-        self.shape_hyper, self.rate_hyper = self._hyper(size.ravel(), self.shape_hyper, self.rate_hyper, rng)
-        self.rate = _clip(rng.gamma(self.shape_hyper + self.size, 1 / (self.rate_hyper + self.by_group(size))))
+        total = self.by_group(size)
+        self.shape_hyper, self.rate_hyper = self._hyper(total, self.size, self.rate_hyper, rng)
+        self.rate = _clip(rng.gamma(self.shape_hyper + self.size, 1 / (self.rate_hyper + total)))
         r = self.rate[self.of]
         # local variances are exponential(r^2 / 2); their inverses given the coefficients are inverse Gaussian
         return _clip(inverse_gaussian(r / size, r**2, rng))
@@ -290,7 +294,7 @@ class GdpPrior(Prior):
         if not len(a):
             return np.ones(0)
         size = np.abs(a) + 1e-100
-        self.a_shape, self.a_rate_hyper = self._hyper(size, self.a_shape, self.a_rate_hyper, rng)
+        self.a_shape, self.a_rate_hyper = self._hyper(size, np.ones(len(a)), self.a_rate_hyper, rng)
         r = _clip(rng.gamma(self.a_shape + 1, 1 / (self.a_rate_hyper + size)))
         return _clip(inverse_gaussian(r / size, r**2, rng))
 
