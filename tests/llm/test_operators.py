@@ -540,6 +540,22 @@ def test_a_passage_is_found_beside_a_part_of_it_in_the_same_document(spark):
     assert set(zip(whole.other_id, whole.doc_id, strict=True)) == {(i, i + 1) for i in range(0, 80, 2)}
 
 
+def test_texts_of_several_parts_are_read_whole(spark, monkeypatch):
+    r = random.Random(15)
+    texts, want = [], []
+    for i in range(0, 60, 2):
+        p = text(r, 90)  # anywhere, so parts end inside it, before it and after it
+        texts += [f"{text(r, 110 + 7 * i)} {p} {text(r, 300)}", f"{text(r, 5 + 11 * i)} {p} {text(r, 40)}"]
+        want.append((i, i + 1, 110 + 7 * i, 5 + 11 * i))
+    monkeypatch.setattr(passages, "PART", 100)
+    got = passages.passages(make(spark, texts)).toPandas()
+    assert set(zip(got.other_id, got.doc_id, strict=True)) == {(a, b) for a, b, _, _ in want}
+    for a, b, i, j in want:
+        mine = got[(got.other_id == a) & (got.doc_id == b)]
+        held = {w for x in mine.itertuples() for w in range(x.start_word, x.end_word)}
+        assert held >= set(range(j, j + 90)) and (mine.start_word - mine.other_start == j - i).all()
+
+
 def test_edited_passages_are_found(spark):
     r = random.Random(14)
     texts = []
