@@ -7,7 +7,7 @@ import pytest
 from vectide.functions.design import Lags
 from vectide.operators import gibbs, priors
 
-TIMES, SWEEPS = 2_000, 5
+TIMES, SWEEPS = 2_000, {"gdp": 12}
 
 
 def inv_gamma(rng, shape, scale, size=None):
@@ -88,6 +88,8 @@ def sizes_before_and_after(name, rng):
     p = gibbs.SAMPLERS[type(spec)](spec, Lags(1), np.ones(3), rng)
     if name == "dirichlet_laplace":  # lower concentrations reach the floors of variances and shares
         p.grid = p.grid[p.grid > 0.25]
+    if name == "gdp":  # lower shapes reach the floors of rates and precisions
+        p.grid = p.grid[p.grid < 0.75]
 
     def normals(mean, prec):
         return mean + rng.standard_normal(np.shape(prec)) / np.sqrt(np.maximum(prec, 1e-30))
@@ -101,7 +103,7 @@ def sizes_before_and_after(name, rng):
         prec, a_prec = from_prior(p, rng)
         alpha, a = normals(p.mean, prec), normals(0.0, a_prec)
         out[0, i] = seen(alpha, a)
-        for _ in range(SWEEPS):
+        for _ in range(SWEEPS.get(name, 5)):
             alpha, a = normals(p.mean, p.coef_prec(alpha, rng)), normals(0.0, p.impact_prec(a, rng))
         out[1, i] = seen(alpha, a)
     return out
