@@ -7,7 +7,7 @@ from importlib import import_module
 import corpus_pipeline
 
 #: Modules that hold an op query, in the order of their numbers.
-MODULES = ("sharding", "decontaminate", "neighbours", "secrets", "mixing", "simhash", "phrases", "passages", "toxicity", "records", "conversations", "language")
+MODULES = ("sharding", "decontaminate", "neighbours", "secrets", "mixing", "simhash", "phrases", "passages", "toxicity", "records", "conversations", "language", "resample")
 
 
 def queries() -> dict:
