@@ -1,9 +1,11 @@
-"""Rolling and expanding re-estimation. Cross products of windows are differences of running sums, so T rows cost
-O(T k^2) and not O(windows * rows * k^2); blocks of a long series run as separate tasks with a halo of one window."""
+"""Rolling and expanding re-estimation. The moments of windows are merged from those of neighbouring stretches (see moments), so
+T rows cost O(T k^2) and not O(windows * rows * k^2), and nothing large is subtracted; blocks of a long series run as separate
+tasks with a halo of one window, and members of a panel apart."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -13,11 +15,14 @@ from pyspark.sql import functions as F
 from vectide.functions.design import Lags
 from vectide.operators.forecast import path
 from vectide.operators.gram import Gram
+from vectide.operators.moments import Estimator, Moments, heads, least_squares, running, stretches, with_prior
 from vectide.operators.ols import from_gram
 from vectide.operators.structure import connectedness
 from vectide.sources.series import SeriesFrame
 
 BLOCK_WINDOWS = 20_000
+#: Blocks whose sums one task merges (see moments.running).
+FAN = 1_024
 FORECAST_ROWS = "window long, t long, series string, forecast double"
 
 
@@ -41,159 +46,179 @@ def fit_arrays(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.linalg.solve(x.T @ x, x.T @ y)
 
 
-#: (stacked Grams) -> stacked (coefficients, covariances); the conjugate models add their dummies' sums.
-Estimator = Callable[[Gram], tuple[np.ndarray, np.ndarray]]
-
-
-def ols_estimator(g: Gram) -> tuple[np.ndarray, np.ndarray]:
-    b = np.linalg.solve(g.xx, g.xy)
-    bt = np.swapaxes(b, -1, -2)
-    rss = g.yy - bt @ g.xy - np.swapaxes(g.xy, -1, -2) @ b + bt @ g.xx @ b
-    return b, rss / (np.asarray(g.n, dtype=float)[..., None, None] - g.xx.shape[-1])
-
-
 def conjugate_estimator(prior: Gram) -> Estimator:
     """Posterior mean under dummy observations, and the mean of the inverse Wishart."""
-    prior_scale = prior.yy - prior.xy.T @ np.linalg.solve(prior.xx, prior.xy)
-    prior_shape, m = prior.n - len(prior.xx) + 2, len(prior_scale)
+    shape = prior.n - len(prior.xx) + 2
 
-    def estimate(g: Gram):
-        xx, xy, yy = g.xx + prior.xx, g.xy + prior.xy, g.yy + prior.yy
-        b = np.linalg.solve(xx, xy)
-        scale = yy - np.swapaxes(b, -1, -2) @ xx @ b
-        return b, scale / np.maximum(prior_shape + np.asarray(g.n, dtype=float) - m - 1, 1)[..., None, None]
+    def estimate(g: Moments, k: int, const: bool):
+        b, scale, _ = with_prior(g, k, const, prior)
+        return b, scale / np.maximum(shape + np.asarray(g.n) - scale.shape[-1] - 1, 1)[..., None, None]
 
-    assert prior_scale.shape == (m, m)
     return estimate
 
 
 def flat_estimator(prior_prec: np.ndarray) -> Estimator:
     """Posterior under a flat prior with precision ``prior_prec``."""
-    m = len(prior_prec)
 
-    def estimate(g: Gram):
-        b = np.linalg.solve(g.xx + prior_prec, g.xy)
-        scale = g.yy - np.swapaxes(g.xy, -1, -2) @ b
-        return b, scale / np.maximum(np.asarray(g.n, dtype=float) - 2 * scale.shape[-1] - 2, 1)[..., None, None]
+    def estimate(g: Moments, k: int, const: bool):
+        m = g.mean.shape[-1] - k
+        b, scale, _ = with_prior(g, k, const, Gram(prior_prec, np.zeros((len(prior_prec), m)), np.zeros((m, m)), 0))
+        return b, scale / np.maximum(np.asarray(g.n) - 2 * m - 2, 1)[..., None, None]
 
-    assert prior_prec.shape == (m, m)
     return estimate
 
 
-def _running(y: np.ndarray, lags: Lags, start: np.ndarray | None = None) -> tuple[np.ndarray, int]:
-    """Running sums of z z' over design rows, z = (x, y), after a row of zeros (or of ``start``). Least squares with a
-    constant gets values less a mean, as differences of these sums keep what is large beside the whole sum only."""
+def design_rows(y: np.ndarray, lags: Lags) -> np.ndarray:
+    """(regressors without constant, responses) of a dense series."""
     x, r = design_arrays(y, lags)
-    z = np.column_stack([x, r])
-    sums = np.cumsum(np.einsum("ni,nj->nij", z, z), axis=0)
-    zero = np.zeros((1, *sums.shape[1:])) if start is None else start[None]
-    return np.concatenate([zero, sums + zero]), x.shape[1]
+    return np.hstack([x[:, : x.shape[1] - lags.include_mean], r])
+
+
+@dataclass(frozen=True)
+class Windows:
+    """Windows of one task: their last rows (``ends``), moments, the ``order`` rows up to the end and the rows ahead of it."""
+
+    ends: np.ndarray
+    moments: Moments
+    last: np.ndarray
+    ahead: np.ndarray
 
 
-def rolling(sf: SeriesFrame, lags: Lags, window: int, emit: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame], schema: str, estimator: Estimator = ols_estimator, first: int | None = None, last: int | None = None) -> DataFrame:
-    """Fit every window of ``window`` rows that ends at t in first..last and hand (ends, coefficients, covariances, last
-    rows, shift) of a block's windows to ``emit``; coefficients and last rows are those of the series less the shift."""
-    names, q = list(sf.names), lags.order
+def _emitted(parts: list[pd.DataFrame], pdf: pd.DataFrame, panel: list[str], columns: list[str]) -> pd.DataFrame:
+    parts = [p for p in parts if len(p)]
+    out = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({c: pd.Series(dtype=object) for c in columns})
+    return out.assign(**{c: [pdf[c].iat[0]] * len(out) for c in panel})[[*panel, *columns]]
+
+
+def _columns(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _doubles(sf: SeriesFrame) -> DataFrame:
+    return sf.df.select(*sf.panel, "t", *[F.col(c).cast("double").alias(c) for c in sf.names])
+
+
+def rolling(sf: SeriesFrame, lags: Lags, window: int, emit: Callable[[Windows], pd.DataFrame], schema: str, first: int | None = None, last: int | None = None, ahead: int = 0) -> DataFrame:
+    """Hand the windows of ``window`` rows that end at t in first..last, and have ``ahead`` rows after them, to ``emit``, some at a
+    time; the result has the panel keys before the columns of ``schema``."""
+    names, panel, q = list(sf.names), list(sf.panel), lags.order
     if window <= q + lags.k(sf.dim):
         raise ValueError("the window is too short for the model")
     lo = window if first is None else first
     size = max(BLOCK_WINDOWS, window)
-    # a row serves the windows that end in t .. t + window - 1
-    end = last if last is not None else sf.df.agg(F.max("t")).first()[0] or 0
-    own = F.greatest(F.floor((F.col("t") - 1) / size), F.lit((lo - 1) // size))
-    reach = F.least(F.floor((F.col("t") + window - 2) / size), F.lit((end - 1) // size))
-    rows = sf.df.select("t", *[F.col(c).cast("double").alias(c) for c in names]).filter(own <= reach).withColumn("block", F.explode(F.sequence(own, reach)))
+    # a row serves the windows that end in t - ahead .. t + window - 1
+    own = F.greatest(F.floor((F.col("t") - ahead - 1) / size), F.lit((lo - 1) // size))
+    reach = F.floor((F.col("t") + window - 2) / size)
+    if last is None and not panel:
+        last = sf.df.agg(F.max("t")).first()[0] or 0
+    if last is not None:
+        reach = F.least(reach, F.lit((last - 1) // size))
+    rows = _doubles(sf).filter(own <= reach).withColumn("block", F.explode(F.sequence(own, reach)))
+    columns = _columns(schema)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
         t, y, block = pdf["t"].to_numpy(), pdf[names].to_numpy(dtype=float), int(pdf["block"].iat[0])
-        ends = t[(t > block * size) & (t <= (block + 1) * size) & (t >= lo) & (t - window + 1 >= t[0])]
-        ends = ends[ends <= end]
-        if not len(ends):
-            return emit(ends, np.empty((0, lags.k(len(names)), len(names))), np.empty((0, len(names), len(names))), np.empty((0, q, len(names))), np.zeros(len(names)))
-        shift = y.mean(axis=0) if estimator is ols_estimator and lags.include_mean else np.zeros(len(names))
-        y = y - shift  # slopes and covariances stay; the constant is that of the shifted series
-        sums, k = _running(y, lags)
-        e = ends - t[0] + 1 - q  # design rows up to the end
-        n = window - q
-        full = sums[e] - sums[e - n]
-        b, s = estimator(Gram(full[:, :k, :k], full[:, :k, k:], full[:, k:, k:], np.full(len(e), n)))
-        at = (ends - t[0])[:, None] + np.arange(1 - q, 1)[None]
-        return emit(ends, b, s, y[at], shift)
-
-    return rows.groupBy("block").applyInPandas(run, schema)
-
-
-def _h_step(names: list[str], lags: Lags, h: int, first: int):
-    to_lags = lags.transform(len(names)).T
-
-    def emit(ends, b, _, last, shift):
-        f = path(to_lags @ b, last, lags.order, h)[:, -1] + shift if len(ends) else np.empty((0, len(names)))
-        m = len(names)
-        return pd.DataFrame({"window": np.repeat(ends - first, m), "t": np.repeat(ends + h, m), "series": names * len(ends), "forecast": f.ravel()})
+        # stretches begin at a block's first window, whatever the first one asked for: results do not depend on it
+        from_, to = max(block * size + 1, int(t[0]) + window - 1), min((block + 1) * size, int(t[-1]) - ahead, int(t[-1]) if last is None else last)
+        if to < max(from_, lo):
+            return _emitted([], pdf, panel, columns)
+        at = from_ - window + 1 - t[0]  # the first window's first row
+        y = y[at : to + ahead + 1 - t[0]]
+        z, out = design_rows(y, lags), []
+        for a, g in stretches(z[: len(z) - ahead], window - q):
+            early = max(0, lo - from_ - a)
+            if early >= len(g.n):
+                continue
+            ends = from_ + a + np.arange(early, len(g.n))
+            e = ends - from_ + window - 1
+            out.append(emit(Windows(ends, g[early:], y[e[:, None] + np.arange(1 - q, 1)], y[e[:, None] + np.arange(1, ahead + 1)])))
+        return _emitted(out, pdf, panel, columns)
+
+    return rows.groupBy(*panel, "block").applyInPandas(run, sf.panel_schema + schema)
+
+
+def expanding(sf: SeriesFrame, lags: Lags, n_train: int, emit: Callable[[Windows], pd.DataFrame], schema: str, n_total: int, ahead: int = 0) -> DataFrame:
+    """As :func:`rolling`, for windows that start at the first row and end at t in n_train..n_total - ahead. A block of rows goes
+    on from the moments of all blocks before it, which are merged in levels."""
+    names, panel, q, size = list(sf.names), list(sf.panel), lags.order, max(BLOCK_WINDOWS, lags.order + 1)
+    k, m = lags.k(sf.dim) - lags.include_mean, sf.dim
+    own, until = F.floor((F.col("t") - 1) / size), F.lit((n_total - 1) // size)
+    from_before, for_after = (F.col("t") - 1) % size >= size - q, (F.col("t") - 1) % size < ahead
+    copies = F.array_distinct(F.array(F.when(for_after, F.greatest(own - 1, F.lit(0))).otherwise(own), own, F.least(F.when(from_before, own + 1).otherwise(own), until)))
+    rows = _doubles(sf).filter(F.col("t") <= n_total).withColumn("block", F.explode(copies))
+    columns = _columns(schema)
+
+    def own_rows(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
+        """All values of a block, its design rows, their first t, and the first t of the values."""
+        pdf = pdf.sort_values("t")
+        t, y, block = pdf["t"].to_numpy(), pdf[names].to_numpy(dtype=float), int(pdf["block"].iat[0])
+        stop = int(min(t[-1], (block + 1) * size)) + 1 - t[0]
+        z = design_rows(y[:stop], lags) if stop > q else np.empty((0, k + m))
+        return y, z, int(t[0]) + q, int(t[0])
+
+    def totals(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, z, _, _ = own_rows(pdf)
+        g = Moments.of(z) if len(z) else Moments.none(k + m)
+        return pdf[[*panel, "block"]].iloc[:1].assign(flat=[g.flat()])
+
+    def run(pdf: pd.DataFrame, start: Moments) -> pd.DataFrame:
+        y, z, t0, y0 = own_rows(pdf)
+        out = []
+        if len(z):
+            g = start.merge(heads(z))
+            ends = t0 + np.arange(len(z))
+            use = (ends >= n_train) & (ends <= n_total - ahead) & (ends + ahead <= y0 + len(y) - 1)
+            if use.any():
+                e = ends[use] - y0
+                out.append(emit(Windows(ends[use], g[use], y[e[:, None] + np.arange(1 - q, 1)], y[e[:, None] + np.arange(1, ahead + 1)])))
+        return _emitted(out, pdf, panel, columns)
+
+    kinds, blocks, keys = sf.panel_schema, -(-n_total // size), [*panel, "block"]
+    if blocks == 1:
+        return rows.groupBy(*keys).applyInPandas(lambda pdf: run(pdf, Moments.none(k + m)), kinds + schema)
+    parts = rows.groupBy(*keys).applyInPandas(totals, f"{kinds}block long, flat array<double>")
+    before = running(parts, panel, kinds, k + m, FAN, blocks)
+
+    def from_before_on(pdf: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
+        return run(pdf, Moments.from_flat(np.asarray(states["flat"].iat[0], dtype=float), k + m))
+
+    return rows.groupBy(*keys).cogroup(before.groupBy(*keys)).applyInPandas(from_before_on, kinds + schema)
+
+
+def _h_step(sf: SeriesFrame, lags: Lags, h: int, first: int, estimate: Estimator):
+    names, m, k = list(sf.names), sf.dim, lags.k(sf.dim) - lags.include_mean
+    to_lags = lags.transform(m).T
+
+    def emit(w: Windows):
+        b, _ = estimate(w.moments, k, lags.include_mean)
+        f = path(to_lags @ b, w.last, lags.order, h)[:, -1] if len(w.ends) else np.empty((0, m))
+        return pd.DataFrame({"window": np.repeat(w.ends - first, m), "t": np.repeat(w.ends + h, m), "series": names * len(w.ends), "forecast": f.ravel()})
 
     return emit
 
 
-def forecast_roll(sf: SeriesFrame, lags: Lags, n_train: int, h: int, n_total: int, estimator: Estimator = ols_estimator) -> DataFrame:
+def forecast_roll(sf: SeriesFrame, lags: Lags, n_train: int, h: int, n_total: int | None = None, estimator: Estimator = least_squares) -> DataFrame:
     """window, t, series, forecast: the h-step forecast of every window of ``n_train`` rows whose target lies in the table of
-    ``n_total`` rows (training rows followed by test rows)."""
-    return rolling(sf, lags, n_train, _h_step(list(sf.names), lags, h, n_train), FORECAST_ROWS, estimator, n_train, n_total - h)
-
-
-def forecast_expand(sf: SeriesFrame, lags: Lags, n_train: int, h: int, n_total: int, estimator: Estimator = ols_estimator) -> DataFrame:
-    """As :func:`forecast_roll`, with windows that start at the first row. Each block gets the sums of the blocks before
-    it: one matrix for each block is all the driver holds."""
-    names, q, size = list(sf.names), lags.order, max(BLOCK_WINDOWS, lags.order + 1)
-    own = F.floor((F.col("t") - 1) / size)
-    late = (F.col("t") - 1) % size >= size - q
-    rows = sf.df.select("t", *[F.col(c).cast("double").alias(c) for c in names]).withColumn("block", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))))
-    emit = _h_step(names, lags, h, n_train)
-    shift = np.zeros(len(names))
-    if estimator is ols_estimator and lags.include_mean:  # the same for all blocks: a mean of the first training rows
-        got = sf.df.filter(F.col("t") <= min(n_train, 1_000)).agg(*[F.avg(c) for c in names]).first()
-        shift = np.array([x or 0.0 for x in got])
+    ``n_total`` rows (training rows followed by test rows; None: all rows). Members of a panel apart, keys first."""
+    return rolling(sf, lags, n_train, _h_step(sf, lags, h, n_train, estimator), FORECAST_ROWS, n_train, None if n_total is None else n_total - h, h)
 
-    def totals(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values("t")[names].to_numpy(dtype=float) - shift
-        block = int(pdf["block"].iat[0])
-        sums = _running(y, lags)[0][-1].ravel() if len(y) > q else np.empty(0)
-        return pd.DataFrame({"block": np.full(len(sums), block), "pos": np.arange(len(sums)), "value": sums})
-
-    k = lags.k(len(names))
-    before, total = {}, np.zeros((k + len(names),) * 2)
-    if n_total > size:
-        parts = rows.groupBy("block").applyInPandas(totals, "block long, pos long, value double").toPandas()
-        for block, part in parts.groupby("block"):
-            before[block] = total.copy()
-            total = total + part.sort_values("pos")["value"].to_numpy().reshape(total.shape)
-        before.setdefault(-(-n_total // size), total)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        t, y, block = pdf["t"].to_numpy(), pdf[names].to_numpy(dtype=float) - shift, int(pdf["block"].iat[0])
-        ends = t[(t > block * size) & (t >= n_train) & (t <= n_total - h)]
-        if not len(ends):
-            return emit(ends, None, None, None, shift)
-        sums, _ = _running(y, lags, before.get(block))
-        full = sums[ends - t[0] + 1 - q]
-        b, _ = estimator(Gram(full[:, :k, :k], full[:, :k, k:], full[:, k:, k:], ends - q))
-        return emit(ends, b, None, y[(ends - t[0])[:, None] + np.arange(1 - q, 1)[None]], shift)
 
-    used = rows.filter(F.col("block").between((n_train - 1) // size, (n_total - h - 1) // size))
-    return used.groupBy("block").applyInPandas(run, FORECAST_ROWS)
+def forecast_expand(sf: SeriesFrame, lags: Lags, n_train: int, h: int, n_total: int, estimator: Estimator = least_squares) -> DataFrame:
+    """As :func:`forecast_roll`, with windows that start at the first row."""
+    return expanding(sf, lags, n_train, _h_step(sf, lags, h, n_train, estimator), FORECAST_ROWS, n_total, h)
 
 
-def dynamic_spillover(sf: SeriesFrame, lags: Lags, window: int, step: int = 10, estimator: Estimator = ols_estimator) -> DataFrame:
+def dynamic_spillover(sf: SeriesFrame, lags: Lags, window: int, step: int = 10, estimator: Estimator = least_squares) -> DataFrame:
     """t_end, series, shock, spillover: a table of connectedness for every window of ``window`` rows."""
-    names, to_lags = list(sf.names), lags.transform(sf.dim).T
+    names, to_lags, k = list(sf.names), lags.transform(sf.dim).T, lags.k(sf.dim) - lags.include_mean
     m = len(names)
 
-    def emit(ends, b, s, *_):
-        tables = [connectedness(to_lags @ x, z, lags.order, step).ravel() for x, z in zip(b, s, strict=True)]
-        return pd.DataFrame({"t_end": np.repeat(ends, m * m), "series": [a for a in names for _ in names] * len(ends), "shock": names * (m * len(ends)), "spillover": np.concatenate(tables) if tables else np.empty(0)})
+    def emit(w: Windows):
+        tables = [connectedness(to_lags @ x, z, lags.order, step).ravel() for x, z in zip(*estimator(w.moments, k, lags.include_mean), strict=True)]
+        return pd.DataFrame({"t_end": np.repeat(w.ends, m * m), "series": [a for a in names for _ in names] * len(w.ends), "shock": names * (m * len(w.ends)), "spillover": np.concatenate(tables) if tables else np.empty(0)})
 
-    return rolling(sf, lags, window, emit, "t_end long, series string, shock string, spillover double", estimator)
+    return rolling(sf, lags, window, emit, "t_end long, series string, shock string, spillover double")
 
 
 def dynamic_spillover_conjugate(sf: SeriesFrame, lags: Lags, prior: Gram, window: int, step: int = 10, n_iter: int = 100, seed: int = 1) -> DataFrame:
@@ -201,30 +226,40 @@ def dynamic_spillover_conjugate(sf: SeriesFrame, lags: Lags, prior: Gram, window
     under the dummy observations ``prior``; each window's draws depend on its end only."""
     from vectide.operators.niw import draw_iw, draw_mn
 
-    names, to_lags, estimate = list(sf.names), lags.transform(sf.dim).T, conjugate_estimator(prior)
+    names, to_lags, k = list(sf.names), lags.transform(sf.dim).T, lags.k(sf.dim) - lags.include_mean
     m, shape0 = len(names), prior.n - len(prior.xx) + 2
 
-    def keep(g: Gram):
-        b, s = estimate(g)
-        n = np.asarray(g.n, dtype=float)
-        return b, [(prec, scale * max(shape0 + k - m - 1, 1), shape0 + k) for prec, scale, k in zip(g.xx + prior.xx, s, n, strict=True)]
-
-    def emit(ends, b, posteriors, *_):
+    def emit(w: Windows):
         parts = []
-        for end, mean, (prec, scale, shape) in zip(ends, b, posteriors, strict=True):
+        for end, n, mean, scale, prec in zip(w.ends, w.moments.n, *with_prior(w.moments, k, lags.include_mean, prior), strict=True):
             rng = np.random.default_rng([seed, int(end)])
-            sigmas = draw_iw((scale + scale.T) / 2, shape, n_iter, rng)
+            sigmas = draw_iw(scale, shape0 + n, n_iter, rng)
             tables = np.array([connectedness(to_lags @ x, z, lags.order, step).ravel() for x, z in zip(draw_mn(mean, prec, sigmas, rng), sigmas, strict=True)])
             low, high = np.quantile(tables, [0.025, 0.975], axis=0)
             parts.append(pd.DataFrame({"t_end": end, "series": np.repeat(names, m), "shock": names * m, "spillover": tables.mean(axis=0), "sd": tables.std(axis=0, ddof=1), "lower": low, "upper": high}))
-        return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in ("t_end", "series", "shock", "spillover", "sd", "lower", "upper")})
+        return pd.concat(parts) if parts else pd.DataFrame()
+
+    return rolling(sf, lags, window, emit, "t_end long, series string, shock string, spillover double, sd double, lower double, upper double")
+
+
+WINDOW_ROWS = "window long, moments array<double>, last array<double>, ahead array<double>"
+
+
+def window_moments(sf: SeriesFrame, lags: Lags, n_train: int, h: int, n_total: int, grow: bool = False, first: int = 0) -> DataFrame:
+    """A row for each window from number ``first`` on: its moments, its last rows and the ``h`` rows ahead of it, flat. This is all
+    that sampling a window needs, so no row of the series is copied to windows."""
+
+    def emit(w: Windows):
+        return pd.DataFrame({"window": w.ends - n_train, "moments": list(w.moments.flat()), "last": list(w.last.reshape(len(w.ends), -1)), "ahead": list(w.ahead.reshape(len(w.ends), -1))})
 
-    return rolling(sf, lags, window, emit, "t_end long, series string, shock string, spillover double, sd double, lower double, upper double", keep)
+    if grow:
+        return expanding(sf, lags, n_train + first, emit, WINDOW_ROWS, n_total, h)
+    return rolling(sf, lags, n_train, emit, WINDOW_ROWS, n_train + first, n_total - h, h)
 
 
 def window_model(sf: SeriesFrame, lags: Lags, end: int, window: int):
     """The model of one window, refitted from its rows: what the running sums must agree with."""
-    rows = sf.df.filter(F.col("t").between(end - window + 1, end)).orderBy("t").toPandas()[list(sf.names)].to_numpy(dtype=float)
+    rows = sf.single().df.filter(F.col("t").between(end - window + 1, end)).orderBy("t").toPandas()[list(sf.names)].to_numpy(dtype=float)
     x, y = design_arrays(rows, lags)
     return from_gram(Gram.of(x, y, lags.include_mean), sf.names, lags)
 

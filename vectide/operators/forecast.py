@@ -54,20 +54,28 @@ def predict(model: VarModel, sf: SeriesFrame, n_ahead: int, level: float = 0.05)
 
 
 def predict_panel(sf: SeriesFrame, model_of, n_ahead: int) -> DataFrame:
-    """One least squares model and forecast for each panel, each fitted in its own task. ``model_of``: the lags."""
-    from vectide.operators.backtest import design_arrays, fit_arrays
-
-    lags, names, panel = model_of, sf.names, list(sf.panel)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values("t")[list(names)].to_numpy(dtype=float)
-        b = fit_arrays(*design_arrays(y, lags))
-        f = path(lags.transform(len(names)).T @ b, y[-lags.order :], lags.order, n_ahead)
-        out = pd.DataFrame({"h": np.repeat(np.arange(1, n_ahead + 1, dtype=np.int32), len(names)), "series": list(names) * n_ahead, "forecast": f.ravel()})
-        return out.assign(**{c: pdf[c].iat[0] for c in panel})[[*panel, "h", "series", "forecast"]]
-
-    keys = ", ".join(f"{c} {sf.df.schema[c].dataType.simpleString()}" for c in panel)
-    return sf.df.groupBy(*panel).applyInPandas(run, f"{keys}, h int, series string, forecast double")
+    """The panel keys, h, series, forecast: one least squares model for each member of a panel, from its moments, and its
+    forecast from its last rows. ``model_of``: the lags."""
+    from vectide.operators.ols import fit_panel
+
+    lags, names, panel, q = model_of, sf.names, list(sf.panel), model_of.order
+    m = sf.dim
+    last = sf.df.groupBy(*panel).agg(F.max("t").alias("__last"))
+    # the last rows only: an array of a fixed length for each member
+    row = F.struct("t", *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)])
+    ends = sf.df.join(last, panel).filter(F.col("t") > F.col("__last") - q).groupBy(*panel).agg(F.array_sort(F.collect_list(row)).alias("r"))
+    ends = ends.select(*panel, F.flatten(F.transform("r", lambda x: F.array(*[x[f"c{i}"] for i in range(m)]))).alias("last"))
+
+    def run(batches):
+        for pdf in batches:
+            for item in pdf.to_dict("records"):
+                b = np.reshape(item["coef"], (-1, m))
+                f = path(lags.transform(m).T @ b, np.reshape(item["last"], (-1, m)), q, n_ahead)
+                out = pd.DataFrame({"h": np.repeat(np.arange(1, n_ahead + 1, dtype=np.int32), m), "series": list(names) * n_ahead, "forecast": f.ravel()})
+                yield out.assign(**{c: [item[c]] * len(out) for c in panel})[[*panel, "h", "series", "forecast"]]
+
+    fits = fit_panel(sf, lags).filter("coef IS NOT NULL").join(ends, panel)
+    return fits.mapInPandas(run, f"{sf.panel_schema}h int, series string, forecast double")
 
 
 PREDICTIVE = "h int, draw int, series string, value double"

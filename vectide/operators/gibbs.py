@@ -1,18 +1,24 @@
 """Gibbs sampler of autoregressions in triangular form: y_t = A' x_t + e_t, L e_t = v_t, v_t ~ N(0, D_t).
 
-Coefficients are drawn equation by equation given all others. The data enter the coefficient step through X'D^-1 X of
-each series, so a draw costs k^3 and not a stacked regression. Log variances come from a tridiagonal precision, in time
-proportional to the number of rows. A prior is an object with ``coef_prec``, ``impact_prec`` and ``records``; new ones
-can be registered in ``SAMPLERS``.
+Coefficients are drawn equation by equation given all others. The data enter through cross products of regressors and
+responses, weighted by the inverse variances of each series: with constant variances these are the moments of the design,
+however many rows they sum up, and no step needs a row. Log variances come from a tridiagonal precision, in time
+proportional to the number of rows.
+
+A prior is a subclass of :class:`Prior` with ``coef_prec``, ``impact_prec`` and ``records``; :func:`register` names it for its
+spec and lets it travel to executors by value.
 """
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 
 from vectide.functions.design import Lags, group_matrix, minnesota_dummies, own_groups
 from vectide.functions.special import log_gamma
 from vectide.operators import priors
+from vectide.operators.moments import Moments, Weighted
 from vectide.operators.rng import from_grid, gig, inner_grid, inverse_gamma, inverse_gaussian
 
 # The seven normals of Kim, Shephard and Chib (1998) for the log of a chi-square variable.
@@ -28,8 +34,12 @@ def _clip(x):
 
 
 class Prior:
-    """Base: ``groups`` is the group label of each coefficient (K x m), ``mean`` the prior mean, ``n_impact`` the number of
-    impacts."""
+    """Protocol of priors, and what they share: ``groups`` is the group label of each coefficient (K x m), ``mean`` the prior
+    mean, ``n_impact`` the number of impacts. ``coef_prec`` and ``impact_prec`` draw the prior's own values given coefficients
+    and impacts, and return prior precisions; ``records`` names what a kept draw keeps of them. ``centred``: coefficients come
+    less their prior mean."""
+
+    centred = False
 
     def __init__(self, spec, lags: Lags, sigma: np.ndarray, rng: np.random.Generator):
         m = len(sigma)
@@ -63,6 +73,8 @@ class Prior:
 
 
 class MinnesotaPrior(Prior):
+    centred = True
+
     def __init__(self, *args):
         super().__init__(*args)
         self.prec = self._minnesota(self.spec.lam, self.spec.delta, self.spec.eps)
@@ -302,6 +314,25 @@ class GdpPrior(Prior):
 SAMPLERS = {priors.Minnesota: MinnesotaPrior, priors.HierMinnesota: HierMinnesotaPrior, priors.Ssvs: SsvsPrior, priors.Horseshoe: HorseshoePrior, priors.NormalGamma: NormalGammaPrior, priors.DirichletLaplace: DirichletLaplacePrior, priors.Gdp: GdpPrior}
 
 
+def register(spec: type[priors.Shrinkage], sampler: type[Prior]) -> None:
+    """Let ``sampler`` serve fits whose prior is a ``spec``. Both travel to executors by value, wherever they are defined, so no
+    worker needs their module."""
+    from pyspark import cloudpickle
+
+    for kind in (spec, sampler):
+        if kind.__module__ != "__main__" and not kind.__module__.startswith("vectide."):
+            cloudpickle.register_pickle_by_value(sys.modules[kind.__module__])
+    SAMPLERS[spec] = sampler
+
+
+def sampler_of(spec: priors.Shrinkage) -> type[Prior]:
+    for kind in type(spec).__mro__:
+        if kind in SAMPLERS:
+            return SAMPLERS[kind]
+    raise ValueError(f"no sampler is registered for {type(spec).__name__}")
+
+
+
 def draw_normal(prec: np.ndarray, rhs: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """From N(prec^-1 rhs, prec^-1), by one Cholesky factor."""
     c = np.linalg.cholesky(prec)
@@ -316,90 +347,128 @@ def savs(coef: np.ndarray, norms: np.ndarray, free: np.ndarray) -> np.ndarray:
     return coef * np.maximum(gain - penalty, 0) / np.maximum(gain, 1e-300)
 
 
-def draw_log_vol(v: np.ndarray, h: np.ndarray, h0: np.ndarray, var: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Log variances (n x m) of shocks ``v`` given the old ones: mixture indicators, then a tridiagonal precision draw for
-    all series at once."""
-    n, m = v.shape
+def mixture(v: np.ndarray, h: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and weighted values (n x m) of the normals that stand for log v^2 - h, components drawn given ``h``."""
     y = np.log(v**2 + 1e-4)
     log_p = np.log(MIX_PROB) - 0.5 * np.log(MIX_VAR) - 0.5 * (y[..., None] - h[..., None] - MIX_MEAN) ** 2 / MIX_VAR
-    p = np.cumsum(np.exp(log_p - log_p.max(axis=2, keepdims=True)), axis=2)
-    s = np.minimum((p < rng.random((n, m, 1)) * p[..., -1:]).sum(axis=2), 6)
+    p = np.cumsum(np.exp(log_p - log_p.max(axis=-1, keepdims=True)), axis=-1)
+    s = np.minimum((p < rng.random((*v.shape, 1)) * p[..., -1:]).sum(axis=-1), 6)
     w = 1 / MIX_VAR[s]
-    rhs = (y - MIX_MEAN[s]) * w
-    rhs[0] += h0 / var
-    diag = w + 2 / var
-    diag[-1] = w[-1] + 1 / var
-    off = -1 / var
-    d, e, z = np.empty((n, m)), np.empty((n, m)), np.empty((n, m))
-    d[0] = np.sqrt(diag[0])
-    z[0] = rhs[0] / d[0]
-    for t in range(1, n):
-        e[t] = off / d[t - 1]
-        d[t] = np.sqrt(diag[t] - e[t] ** 2)
-        z[t] = (rhs[t] - e[t] * z[t - 1]) / d[t]
-    z += rng.standard_normal((n, m))
-    out = np.empty((n, m))
-    out[-1] = z[-1] / d[-1]
-    for t in range(n - 2, -1, -1):
-        out[t] = (z[t] - e[t + 1] * out[t + 1]) / d[t]
-    return out
-
-
-def run_chain(x: np.ndarray, y: np.ndarray, lags: Lags, spec: priors.BayesSpec, rng: np.random.Generator) -> dict[str, np.ndarray]:
-    """Kept draws of one chain by name: alpha and alpha_sparse (vec of the coefficients without constant), c and c_sparse, a,
-    d or (h, h0, sigh), and what the prior records."""
-    n, m = y.shape
-    k = x.shape[1]
-    K = k - lags.include_mean
+    return w, (y - MIX_MEAN[s]) * w
+
+
+def draw_log_vol(v: np.ndarray, h: np.ndarray, h0: np.ndarray, var: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Log variances (n x m) of shocks ``v`` given the old ones: mixture indicators, then a draw from a tridiagonal precision,
+    by stretches of about sqrt(n) rows at once (see volatility)."""
+    from vectide.operators.volatility import draw_walk
+
+    w, r = mixture(v, h, rng)
+    return draw_walk(w, r, h0, var, rng)
+
+
+class Chain:
+    """State of one chain. Its steps need sums of the rows only: of (regressors, responses) weighted by the inverse variances of
+    each series. With constant variances these are one set of moments, whatever the weights."""
+
+    def __init__(self, g: Moments, lags: Lags, spec: priors.BayesSpec, rng: np.random.Generator, sampler: type[Prior] | None = None):
+        self.lags, self.spec, self.rng, self.g, self.n = lags, spec, rng, g, float(g.n)
+        self.k = len(g.mean) - (m := len(g.mean) // (len(lags.parts) + 1))
+        self.m, self.const = m, lags.include_mean
+        sigma = np.sqrt(np.diag(g.core)[self.k :] / (self.n - 1))
+        self.prior = (sampler or sampler_of(spec.prior))(spec.prior, lags, sigma, rng)
+        self.free = np.isin(self.prior.groups, list(self.prior.own))
+        rows = self.k + self.const
+        self.coef, self.low = rng.uniform(-1, 1, (rows, m)) * 0.1, np.eye(m)
+        self.coef[: self.k] += self.prior.mean
+        self.at = np.tril_indices(m, -1)
+        self.d = np.exp(rng.uniform(-1, 1, m)) * sigma**2
+        self.norms = np.diag(g.core)[: self.k] + self.n * g.mean[: self.k] ** 2
+        self.plain = Weighted.same(g, self.k, self.const, np.ones(1))
+        self.prec, self.mean = np.empty((rows, m)), np.zeros((rows, m))
+        self.sparse_impacts = np.zeros(len(self.at[0]))
+
+    @property
+    def impacts(self) -> np.ndarray:
+        return self.low[self.at]
+
+    def coefficients(self, w: Weighted) -> None:
+        """Coefficients equation by equation given all others, then impacts. ``w``: one weight for each series."""
+        k, m, rng, low = self.k, self.m, self.rng, self.low
+        about = self.coef[:k] - self.prior.mean if self.prior.centred else self.coef[:k]
+        a = self.impacts
+        self.prec[:k], self.mean[:k] = self.prior.coef_prec(about, rng), self.prior.mean
+        self.prec[k:], self.mean[k:] = 1 / self.spec.intercept.sd**2, self.spec.intercept.mean
+        xx = w.xx()
+        for j in range(m):
+            rest = self.coef.copy()
+            rest[:, j] = 0.0
+            xe, _ = w.residuals(rest)
+            omega = np.diag(self.prec[:, j]) + np.tensordot(low[j:, j] ** 2, xx[j:], 1)
+            rhs = self.prec[:, j] * self.mean[:, j] + np.einsum("i,ikl,il->k", low[j:, j], xe[j:], low[j:])
+            self.coef[:, j] = draw_normal(omega, rhs, rng)
+        _, ee = w.residuals(self.coef)
+        a_prec = self.prior.impact_prec(a, rng)
+        for j in range(1, m):
+            at = self.at[0] == j
+            low[j, :j] = draw_normal(np.diag(a_prec[at]) + ee[j, :j, :j], -ee[j, :j, j], rng)
+        if m > 1:
+            size = np.diag(self.plain.residuals(self.coef)[1][0])
+            self.sparse_impacts = savs(self.impacts[:, None], size[self.at[1]], np.zeros((len(a), 1), dtype=bool))[:, 0]
+
+    def variances(self) -> None:
+        """Constant variances."""
+        _, ee = self.plain.residuals(self.coef)
+        total = np.einsum("ij,jl,il->i", self.low, ee[0], self.low)
+        cov = self.spec.cov
+        self.d = np.maximum(inverse_gamma(cov.shape + self.n / 2, cov.scale + 0.5 * total, self.rng), 1e-12)
+
+    def record(self, scales: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        k = self.k
+        out = {"alpha": self.coef[:k].T.ravel().copy(), "alpha_sparse": savs(self.coef[:k], self.norms, self.free).T.ravel(), "a": self.impacts.copy(), "a_sparse": self.sparse_impacts.copy()}
+        if self.const:
+            out |= {"c": self.coef[k].copy(), "c_sparse": self.coef[k].copy()}  # constants are never thresholded
+        return out | scales | {name: np.asarray(r, dtype=float).ravel().copy() for name, r in self.prior.records().items()}
+
+
+class Walk:
+    """Log variances of a chain: levels ``h`` at the rows a task holds, their start and the variance of their steps."""
+
+    def __init__(self, chain: Chain):
+        self.h0, self.var, self.cov = np.log(chain.d), np.full(chain.m, 0.1), chain.spec.cov
+
+    def hyper(self, first: np.ndarray, squares: np.ndarray, n: float, rng: np.random.Generator) -> None:
+        """Step variances and starts, given the first levels and the sums of squared steps (from the old start on)."""
+        self.var = np.clip(inverse_gamma(self.cov.shape + n / 2, self.cov.scale + 0.5 * squares, rng), 1e-8, 1e4)
+        q = self.cov.initial_prec + 1 / self.var
+        self.h0 = (self.cov.initial_prec * self.cov.initial_mean + first / self.var) / q + rng.standard_normal(len(first)) / np.sqrt(q)
+
+
+def run_moments(g: Moments, lags: Lags, spec: priors.BayesSpec, rng: np.random.Generator, z: np.ndarray | None = None, sampler: type[Prior] | None = None) -> dict[str, np.ndarray]:
+    """Kept draws of one chain by name: alpha and alpha_sparse (vec of the coefficients without constant), c and c_sparse, a and
+    a_sparse, d or (h, h0, sigh), and what the prior records. ``g``: moments of (regressors without constant, responses); ``z``:
+    these rows, which stochastic volatility needs."""
+    chain = Chain(g, lags, spec, rng, sampler)
     sv = isinstance(spec.cov, priors.StochasticVolatility)
-    sigma = y.std(axis=0, ddof=1)
-    prior = SAMPLERS[type(spec.prior)](spec.prior, lags, sigma, rng)
-    free = np.isin(prior.groups, list(prior.own))
-    coef, low = rng.uniform(-1, 1, (k, m)) * 0.1, np.eye(m)
-    coef[:K] += prior.mean
-    rows_, cols_ = np.tril_indices(m, -1)
-    d = np.exp(rng.uniform(-1, 1, m)) * sigma**2
-    h, h0, hv = np.tile(np.log(d), (n, 1)), np.log(d), np.full(m, 0.1)
-    norms = (x[:, :K] ** 2).sum(axis=0)
-    prec, pmean = np.empty((k, m)), np.zeros((k, m))
-    xx = x.T @ x
+    if sv:
+        walk, h = Walk(chain), np.tile(np.log(chain.d), (len(z), 1))
+        x = np.hstack([z[:, : chain.k], np.ones((len(z), int(chain.const)))])
     kept: dict[str, list] = {}
     for it in range(spec.n_iter):
-        a = low[rows_, cols_]
-        prec[:K] = prior.coef_prec(coef[:K] - prior.mean if type(spec.prior) is priors.Minnesota else coef[:K], rng)
-        pmean[:K] = prior.mean
-        prec[K:], pmean[K:] = 1 / spec.intercept.sd**2, spec.intercept.mean
-        weight = np.exp(-h) if sv else np.tile(1 / d, (n, 1))
-        grams = [x.T @ (x * weight[:, [i]]) for i in range(m)] if sv else [xx / d[i] for i in range(m)]
-        for j in range(m):
-            e = y - x @ coef
-            e[:, j] = y[:, j]
-            u = e @ low[j:].T  # shocks j.. if the j-th equation had no regressors
-            omega = np.diag(prec[:, j]) + sum(low[i, j] ** 2 * grams[i] for i in range(j, m))
-            rhs = prec[:, j] * pmean[:, j] + x.T @ ((u * weight[:, j:]) @ low[j:, j])
-            coef[:, j] = draw_normal(omega, rhs, rng)
-        e = y - x @ coef
-        a_prec = prior.impact_prec(a, rng)
-        for j in range(1, m):
-            z, w = -e[:, :j], weight[:, j]
-            at = rows_ == j
-            low[j, :j] = draw_normal(np.diag(a_prec[at]) + z.T @ (z * w[:, None]), z.T @ (w * e[:, j]), rng)
-        v = e @ low.T
         if sv:
-            h = draw_log_vol(v, h, h0, hv, rng)
-            step = np.diff(np.vstack([h0, h]), axis=0)
-            hv = np.clip(inverse_gamma(spec.cov.shape + n / 2, spec.cov.scale + 0.5 * (step**2).sum(axis=0), rng), 1e-8, 1e4)
-            q = spec.cov.initial_prec + 1 / hv
-            h0 = (spec.cov.initial_prec * spec.cov.initial_mean + h[0] / hv) / q + rng.standard_normal(m) / np.sqrt(q)
+            chain.coefficients(Weighted.of_rows(z, g.mean, np.exp(-h), chain.k, chain.const))
+            h = draw_log_vol((z[:, chain.k :] - x @ chain.coef) @ chain.low.T, h, walk.h0, walk.var, rng)
+            walk.hyper(h[0], (np.diff(np.vstack([walk.h0, h]), axis=0) ** 2).sum(axis=0), len(h), rng)
         else:
-            d = np.maximum(inverse_gamma(spec.cov.shape + n / 2, spec.cov.scale + 0.5 * (v**2).sum(axis=0), rng), 1e-12)
+            chain.coefficients(Weighted.same(g, chain.k, chain.const, 1 / chain.d))
+            chain.variances()
         if it >= spec.burn and (it - spec.burn) % spec.thin == 0:
-            out = {"alpha": coef[:K].T.ravel().copy(), "alpha_sparse": savs(coef[:K], norms, free).T.ravel(), "a": low[rows_, cols_].copy()}
-            if lags.include_mean:
-                out["c"] = coef[K].copy()
-            out |= {"h": h.ravel().copy(), "h0": h0.copy(), "sigh": hv.copy()} if sv else {"d": d.copy()}
-            for name, r in prior.records().items():
-                out[name] = np.asarray(r, dtype=float).ravel().copy()
-            for name, r in out.items():
+            scales = {"h": h.ravel().copy(), "h0": walk.h0.copy(), "sigh": walk.var.copy()} if sv else {"d": chain.d.copy()}
+            for name, r in chain.record(scales).items():
                 kept.setdefault(name, []).append(r)
     return {name: np.array(v) for name, v in kept.items()}
+
+
+def run_chain(x: np.ndarray, y: np.ndarray, lags: Lags, spec: priors.BayesSpec, rng: np.random.Generator, sampler: type[Prior] | None = None) -> dict[str, np.ndarray]:
+    """:func:`run_moments` of rows: regressors ``x`` (with the constant, if the model has one) and responses ``y``."""
+    z = np.hstack([x[:, : x.shape[1] - lags.include_mean], y])
+    return run_moments(Moments.of(z), lags, spec, rng, z, sampler)

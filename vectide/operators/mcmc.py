@@ -1,8 +1,14 @@
-"""Bayesian autoregressions by Gibbs sampling. Chains, and chains of windows, are independent groups of rows: Spark runs
-each group as a task, and its random numbers depend on its keys only."""
+"""Bayesian autoregressions by Gibbs sampling.
+
+Constant variances: Spark reduces the design to moments (of the series, of each member of a panel, of each window), and a task
+that samples a chain gets these numbers only. Stochastic volatility needs the rows: a chain in memory is one task, and
+``volatility.fit_long`` samples series of any length by stretches. Random numbers depend on keys only, never on the
+partitioning. Panels: keys come before the other columns of all results.
+"""
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -10,17 +16,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.functions.design import Lags
-from vectide.operators.backtest import design_arrays
-from vectide.operators.gibbs import run_chain
+from vectide.functions.design import Lags, with_design
+from vectide.operators.backtest import design_arrays, window_moments
+from vectide.operators.gibbs import run_chain, run_moments, sampler_of
+from vectide.operators.gram import gram
+from vectide.operators.moments import Moments, panel_moments
 from vectide.operators.niw import DRAWS, draws_frame
 from vectide.operators.priors import BayesSpec, StochasticVolatility
-from vectide.operators.structure import connectedness
+from vectide.operators.structure import connectedness, fevd_last, vma
 from vectide.sources.series import SeriesFrame
 
 BLOCK_DRAWS = 500
 #: Tasks that windows and chains are dealt to at most; a row is copied once for each task that needs it.
 WINDOW_TASKS = 4_000
+#: Draws at a date whose tables are made at once.
+DATES = 2_000
 
 
 @dataclass(frozen=True)
@@ -31,25 +41,65 @@ class BayesFit:
     lags: Lags
     spec: BayesSpec
     draws: DataFrame
+    panel: tuple[str, ...] = ()
 
     def with_draws(self, draws: DataFrame) -> BayesFit:
         return replace(self, draws=draws)
 
+    def single(self) -> BayesFit:
+        if self.panel:
+            raise ValueError(f"a panel by {', '.join(self.panel)}: filter the draws of one member")
+        return self
+
 
 def _values(sf: SeriesFrame) -> DataFrame:
     return sf.df.select(*sf.panel, "t", *[F.col(c).cast("double").alias(c) for c in sf.names])
 
 
+def seed_of(*keys) -> list[int]:
+    """Numbers that stand for the keys of a panel member in a seed."""
+    return [zlib.crc32(repr(k).encode()) for k in keys]
+
+
+def series_moments(sf: SeriesFrame, lags: Lags) -> Moments:
+    """Of the design of a single series, from one pass."""
+    with_const = replace(lags, include_mean=True)
+    return Moments.from_gram(gram(with_design(sf.single().doubles(), with_const), with_const.terms(sf.names), list(sf.names)))
+
+
 def fit_bayes(sf: SeriesFrame, lags: Lags, spec: BayesSpec | None = None) -> BayesFit:
-    spec, names = spec or BayesSpec(), list(sf.names)
-    rows = _values(sf).withColumn("chain", F.explode(F.sequence(F.lit(1), F.lit(spec.chains))))
+    spec, names, panel = spec or BayesSpec(), list(sf.names), list(sf.panel)
+    sampler, spark = sampler_of(spec.prior), sf.df.sparkSession
+    p = (len(lags.parts) + 1) * sf.dim
+    if isinstance(spec.cov, StochasticVolatility):
+        rows = _values(sf).withColumn("chain", F.explode(F.sequence(F.lit(1), F.lit(spec.chains))))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        chain = int(pdf["chain"].iat[0])
-        x, y = design_arrays(pdf.sort_values("t")[names].to_numpy(), lags)
-        return draws_frame(chain, 1, run_chain(x, y, lags, spec, np.random.default_rng([spec.seed, 0, chain])))
+        def rows_of(pdf: pd.DataFrame) -> pd.DataFrame:
+            chain, keys = int(pdf["chain"].iat[0]), [pdf[c].iat[0] for c in panel]
+            x, y = design_arrays(pdf.sort_values("t")[names].to_numpy(), lags)
+            out = draws_frame(chain, 1, run_chain(x, y, lags, spec, np.random.default_rng([spec.seed, 0, chain, *seed_of(*keys)]), sampler))
+            return out.assign(**dict(zip(panel, keys, strict=True)))[[*panel, *out.columns]]
+
+        return BayesFit(sf.names, lags, spec, rows.groupBy(*panel, "chain").applyInPandas(rows_of, sf.panel_schema + DRAWS), sf.panel)
+
+    if panel:
+        sums = panel_moments(sf, lags)
+    else:
+        g = series_moments(sf, lags)
+        if g.n < 2:
+            raise ValueError(f"{g.n:.0f} usable rows are too few")
+        sums = spark.createDataFrame([(float(g.n), g.mean.tolist(), g.core.ravel().tolist())], "n double, mean array<double>, core array<double>")
+    tasks = sums.withColumn("chain", F.explode(F.sequence(F.lit(1), F.lit(spec.chains)))).repartition(spec.chains if not panel else int(spark.conf.get("spark.sql.shuffle.partitions")), *panel, "chain")
 
-    return BayesFit(sf.names, lags, spec, rows.groupBy("chain").applyInPandas(run, DRAWS))
+    def run(batches):
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                keys = [row[c] for c in panel]
+                g = Moments(np.float64(row["n"]), np.asarray(row["mean"]), np.asarray(row["core"]).reshape(p, p))
+                out = draws_frame(row["chain"], 1, run_moments(g, lags, spec, np.random.default_rng([spec.seed, 0, row["chain"], *seed_of(*keys)]), sampler=sampler))
+                yield out.assign(**{c: [k] * len(out) for c, k in zip(panel, keys, strict=True)})[[*panel, *out.columns]]
+
+    return BayesFit(sf.names, lags, spec, tasks.mapInPandas(run, sf.panel_schema + DRAWS), sf.panel)
 
 
 def var_bayes(sf: SeriesFrame, p: int = 1, spec: BayesSpec | None = None, include_mean: bool = True) -> BayesFit:
@@ -72,7 +122,7 @@ class Draws:
         self.lag_coef = lags.transform(dim).T @ coef
         self.low = np.repeat(np.eye(dim)[None], self.n, axis=0)
         r, c = np.tril_indices(dim, -1)
-        self.low[:, r, c] = values["a"] if len(r) else np.empty((self.n, 0))
+        self.low[:, r, c] = values["a_sparse" if sparse else "a"] if len(r) else np.empty((self.n, 0))
         self.log_vol = values["h"].reshape(self.n, -1, dim) if "h" in values else None
         self.walk = np.sqrt(values["sigh"]) if "h" in values else None
         self.scale = np.sqrt(values["d"]) if "d" in values else None
@@ -150,7 +200,7 @@ def predict(fit: BayesFit, sf: SeriesFrame, n_ahead: int, sparse: bool | float =
     raises an error if no other is left; both of these read the draws once more."""
     from vectide.operators.forecast import PREDICTIVE, _predictive
 
-    last, names, lags = np.array(sf.last_rows(fit.lags.order)), fit.names, fit.lags
+    last, names, lags = np.array(sf.last_rows(fit.lags.order)), fit.single().names, fit.lags
     zero = _zeroed(fit, sparse) if not isinstance(sparse, bool) else None
     if stable and stable_draws(fit).filter("stable").isEmpty():
         raise ValueError("no draw is stable")
@@ -169,22 +219,48 @@ def predict(fit: BayesFit, sf: SeriesFrame, n_ahead: int, sparse: bool | float =
     return _blocks(fit.draws).groupBy("chain", "block").applyInPandas(run, PREDICTIVE)
 
 
-def spillover_draws(fit: BayesFit, step: int = 10, sparse: bool = False, times: list[int] | None = None) -> DataFrame:
-    """chain, iteration, t, series, shock, spillover of each draw; ``times``: design rows (from 0) of a stochastic volatility
-    model, each with its own covariance (null t: the mean scales)."""
-    names, lags = fit.names, fit.lags
-    m = len(names)
+def spillover_draws(fit: BayesFit, step: int = 10, sparse: bool = False, times: list[int] | range | None = None) -> DataFrame:
+    """chain, iteration, t, series, shock, spillover of each draw. ``times``: design rows (from 0) of a stochastic volatility
+    model, each of which has its own covariance; without, t is -1 and scales are means over all rows."""
+    names, lags = fit.single().names, fit.lags
+    m, schema = len(names), "chain int, iteration int, t long, series string, shock string, spillover double"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        d, parts = Draws(_arrays(pdf), lags, m, sparse), []
-        ids = pdf[["chain", "iteration"]].drop_duplicates().sort_values(["chain", "iteration"]).to_numpy()
-        for t in times if times is not None else [None]:
-            for (c, i), b, s in zip(ids, d.lag_coef, d.covariances(t), strict=True):
-                table = connectedness(b, s, lags.order, step)
-                parts.append(pd.DataFrame({"chain": np.int32(c), "iteration": np.int32(i), "t": -1 if t is None else t, "series": np.repeat(list(names), m), "shock": list(names) * m, "spillover": table.ravel()}))
-        return pd.concat(parts)
+    def long(pdf: pd.DataFrame, tables: np.ndarray) -> pd.DataFrame:
+        n = m * m
+        return pd.DataFrame({"chain": np.repeat(pdf["chain"].to_numpy(np.int32), n), "iteration": np.repeat(pdf["iteration"].to_numpy(np.int32), n), "t": np.repeat(pdf["t"].to_numpy(np.int64), n), "series": list(np.repeat(names, m)) * len(pdf), "shock": list(names) * (m * len(pdf)), "spillover": tables.ravel()})
 
-    return _blocks(fit.draws).groupBy("chain", "block").applyInPandas(run, "chain int, iteration int, t long, series string, shock string, spillover double")
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        d = Draws(_arrays(pdf), lags, m, sparse)
+        ids = pdf[["chain", "iteration"]].drop_duplicates().sort_values(["chain", "iteration"]).assign(t=-1)
+        return long(ids, np.array([connectedness(b, s, lags.order, step) for b, s in zip(d.lag_coef, d.covariances(), strict=True)]))
+
+    if times is None:
+        return _blocks(fit.draws).groupBy("chain", "block").applyInPandas(run, schema)
+
+    # a draw's moving-average form serves all its dates: it meets them in a join, a date being the m scales of one draw
+    def forms(pdf: pd.DataFrame) -> pd.DataFrame:
+        d = Draws(_arrays(pdf), lags, m, sparse)
+        ids = pdf[["chain", "iteration"]].drop_duplicates().sort_values(["chain", "iteration"])
+        return ids.assign(form=[vma(b, m, lags.order, step - 1).ravel() for b in d.lag_coef], low=[x.ravel() for x in d.low])
+
+    used = ["alpha_sparse" if sparse else "alpha", "c", "a_sparse" if sparse else "a"]
+    draws = fit.draws
+    of_draw = _blocks(draws.filter(F.col("param").isin(used))).groupBy("chain", "block").applyInPandas(forms, "chain int, iteration int, form array<double>, low array<double>")
+    at, j = F.floor((F.col("idx") - 1) / m).cast("long"), (F.col("idx") - 1) % m
+    low, high = min(times, default=0), max(times, default=-1)
+    wanted = F.col("t").between(low, high) if len(set(times)) == high - low + 1 else F.col("t").isin(list(times))
+    scales = draws.filter("param = 'h'").groupBy("chain", "iteration", at.alias("t")).agg(*[F.max(F.when(j == i, F.exp(F.col("value") / 2))).alias(f"s{i}") for i in range(m)]).filter(wanted)
+
+    def dated(batches):
+        for pdf in batches:
+            for a in range(0, len(pdf), DATES):
+                part = pdf.iloc[a : a + DATES]
+                low = np.stack(part["low"].to_numpy()).reshape(-1, m, m)
+                root = np.linalg.solve(low, np.eye(m) * part[[f"s{i}" for i in range(m)]].to_numpy()[:, None, :])
+                w = np.stack(part["form"].to_numpy()).reshape(-1, step, m, m)
+                yield long(part, 100 * fevd_last(w, root @ np.swapaxes(root, 1, 2)))
+
+    return scales.join(of_draw, ["chain", "iteration"]).mapInPandas(dated, schema)
 
 
 def spillover_summary(draws: DataFrame, level: float = 0.05) -> DataFrame:
@@ -231,55 +307,80 @@ def _windows(sf: SeriesFrame, n_train: int, first: int, n_windows: int, chains:
     return rows, of
 
 
+def _sampled_windows(sf: SeriesFrame, lags: Lags, spec: BayesSpec, n_train: int, h: int, n_total: int, grow: bool, first: int) -> DataFrame:
+    """Windows by chain, from their moments."""
+    tasks = min(WINDOW_TASKS, max(1, (n_total - n_train - h + 1 - first) * spec.chains))
+    rows = window_moments(sf, lags, n_train, h, n_total, grow, first)
+    return rows.withColumn("chain", F.explode(F.sequence(F.lit(1), F.lit(spec.chains)))).repartition(tasks, *sf.panel, "window", "chain")
+
+
 def backtest(sf: SeriesFrame, lags: Lags, spec: BayesSpec, n_train: int, h: int, n_total: int, expanding: bool = False, sparse: bool = False, use_sv: bool = True, fit: BayesFit | None = None) -> DataFrame:
     """window, chain, t, series, forecast (mean over the chain's draws) and lpl (the log predictive density of the actual
     rows, averaged over draws and steps), for the h-step forecast of each window. Windows and chains are sampled side by
     side. ``fit``: a fit of the training rows, which serves window 0 as it is."""
-    names, n = list(sf.names), n_total - n_train - h + 1
-    schema = "window long, chain int, t long, series string, forecast double, lpl double"
+    names, panel, n = list(sf.names), list(sf.panel), n_total - n_train - h + 1
+    schema = f"{sf.panel_schema}window long, chain int, t long, series string, forecast double, lpl double"
+    m, first, sampler = sf.dim, 0 if fit is None else 1, sampler_of(spec.prior)
+    p = (len(lags.parts) + 1) * m
 
-    def found(d: Draws, w: int, chain: int, last: np.ndarray, actual: np.ndarray, rng: np.random.Generator) -> pd.DataFrame:
+    def found(d: Draws, w: int, chain: int, last: np.ndarray, actual: np.ndarray, rng: np.random.Generator, keys: tuple = ()) -> pd.DataFrame:
         path, lpd = d.simulate(last, h, rng, use_sv, actual)
-        return pd.DataFrame({"window": w, "chain": chain, "t": w + n_train + h, "series": names, "forecast": path[:, -1].mean(axis=0), "lpl": float(lpd.mean())})
-
-    rows, windows = _windows(sf, n_train, 0 if fit is None else 1, n, spec.chains, h, expanding)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        chain, out = int(pdf["chain"].iat[0]), []
-        for w, y, actual in windows(pdf):
-            rng = np.random.default_rng([spec.seed, w + 1, chain])
-            d = Draws(run_chain(*design_arrays(y, lags), lags, spec, rng), lags, len(names), sparse)
-            out.append(found(d, w, chain, y[-lags.order :], actual, rng))
-        return pd.concat(out)
-
-    sampled = rows.groupBy("block", "chain").applyInPandas(run, schema)
+        out = pd.DataFrame({"window": w, "chain": chain, "t": w + n_train + h, "series": names, "forecast": path[:, -1].mean(axis=0), "lpl": float(lpd.mean())})
+        return out.assign(**{c: [k] * len(out) for c, k in zip(panel, keys, strict=True)})[[*panel, *out.columns]]
+
+    def from_moments(batches):
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                w, chain, keys = row["window"], row["chain"], [row[c] for c in panel]
+                rng = np.random.default_rng([spec.seed, w + 1, chain, *seed_of(*keys)])
+                d = Draws(run_moments(Moments.from_flat(np.asarray(row["moments"]), p), lags, spec, rng, sampler=sampler), lags, m, sparse)
+                yield found(d, w, chain, np.reshape(row["last"], (-1, m)), np.reshape(row["ahead"], (-1, m)), rng, keys)
+
+    if not isinstance(spec.cov, StochasticVolatility):
+        sampled = _sampled_windows(sf, lags, spec, n_train, h, n_total, expanding, first).mapInPandas(from_moments, schema)
+    else:
+        rows, windows = _windows(sf.single(), n_train, first, n, spec.chains, h, expanding)
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            chain, out = int(pdf["chain"].iat[0]), []
+            for w, y, actual in windows(pdf):
+                rng = np.random.default_rng([spec.seed, w + 1, chain])
+                d = Draws(run_chain(*design_arrays(y, lags), lags, spec, rng, sampler), lags, m, sparse)
+                out.append(found(d, w, chain, y[-lags.order :], actual, rng))
+            return pd.concat(out)
+
+        sampled = rows.groupBy("block", "chain").applyInPandas(run, schema)
     if fit is None:
         return sampled
-    near = sf.df.filter(F.col("t").between(n_train - lags.order + 1, n_train + h)).orderBy("t").select(*names).collect()
+    near = sf.single().df.filter(F.col("t").between(n_train - lags.order + 1, n_train + h)).orderBy("t").select(*names).collect()
     near = np.array([[float(x) for x in r] for r in near])  # lags and steps only
 
     def given(pdf: pd.DataFrame) -> pd.DataFrame:
         chain = int(pdf["chain"].iat[0])
-        d = Draws(_arrays(pdf), lags, len(names), sparse)
+        d = Draws(_arrays(pdf), lags, m, sparse)
         return found(d, 0, chain, near[: lags.order], near[lags.order :], np.random.default_rng([spec.seed, 1, chain]))
 
     return fit.draws.groupBy("chain").applyInPandas(given, schema).union(sampled)
 
 
 def dynamic_spillover(sf: SeriesFrame, lags: Lags, spec: BayesSpec, window: int, n_total: int, step: int = 10) -> DataFrame:
-    """t_end, series, shock, spillover: the posterior mean table of a refit on every window (homoskedastic models)."""
+    """t_end, series, shock, spillover: the posterior mean table of a refit on every window (homoskedastic models), sampled from
+    the windows' moments."""
     if isinstance(spec.cov, StochasticVolatility):
         raise ValueError("with stochastic volatility one fit has a covariance for each time: use spillover_draws")
-    names, m = list(sf.names), sf.dim
-    rows, windows = _windows(sf, window, 0, n_total - window + 1, spec.chains, 0, False)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        chain, out = int(pdf["chain"].iat[0]), []
-        for w, y, _ in windows(pdf):
-            d = Draws(run_chain(*design_arrays(y, lags), lags, spec, np.random.default_rng([spec.seed, w + 1, chain])), lags, m)
-            tables = [connectedness(b, s, lags.order, step) for b, s in zip(d.lag_coef, d.covariances(), strict=True)]
-            out.append(pd.DataFrame({"t_end": w + window, "series": np.repeat(names, m), "shock": names * m, "spillover": np.mean(tables, axis=0).ravel()}))
-        return pd.concat(out)
-
-    per = rows.groupBy("block", "chain").applyInPandas(run, "t_end long, series string, shock string, spillover double")
-    return per.groupBy("t_end", "series", "shock").agg(F.avg("spillover").alias("spillover"))
+    names, m, panel, sampler = list(sf.names), sf.dim, list(sf.panel), sampler_of(spec.prior)
+    p = (len(lags.parts) + 1) * m
+
+    def run(batches):
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                keys = [row[c] for c in panel]
+                rng = np.random.default_rng([spec.seed, row["window"] + 1, row["chain"], *seed_of(*keys)])
+                d = Draws(run_moments(Moments.from_flat(np.asarray(row["moments"]), p), lags, spec, rng, sampler=sampler), lags, m)
+                w = np.array([vma(b, m, lags.order, step - 1) for b in d.lag_coef])
+                mean = 100 * fevd_last(w, d.covariances()).mean(axis=0)
+                out = pd.DataFrame({"t_end": row["window"] + window, "series": np.repeat(names, m), "shock": names * m, "spillover": mean.ravel()})
+                yield out.assign(**{c: [k] * len(out) for c, k in zip(panel, keys, strict=True)})[[*panel, *out.columns]]
+
+    per = _sampled_windows(sf, lags, spec, window, 0, n_total, False, 0).mapInPandas(run, f"{sf.panel_schema}t_end long, series string, shock string, spillover double")
+    return per.groupBy(*panel, "t_end", "series", "shock").agg(F.avg("spillover").alias("spillover"))

@@ -72,11 +72,11 @@ def posterior(names: tuple[str, ...], lags: Lags, data: Gram, dummies: Gram) ->
 
 
 def data_gram(sf: SeriesFrame, lags: Lags) -> Gram:
-    return gram(with_design(sf.doubles(), lags), lags.terms(sf.names), list(sf.names))
+    return gram(with_design(sf.single().doubles(), lags), lags.terms(sf.names), list(sf.names))
 
 
 def sample_sd(sf: SeriesFrame) -> np.ndarray:
-    row = sf.df.agg(*[F.stddev_samp(c).alias(c) for c in sf.names]).first()
+    row = sf.single().df.agg(*[F.stddev_samp(c).alias(c) for c in sf.names]).first()
     return np.array([row[c] for c in sf.names])
 
 

@@ -126,7 +126,7 @@ def from_gram(g: Gram, names: tuple[str, ...], lags: Lags, method: str = "nor",
 
 def fit_ols(sf: SeriesFrame, lags: Lags, method: str = "nor") -> OlsModel:
     """VAR (``Lags(p)``) or VHAR (``Lags(har=(week, month))``) by ``nor``, ``chol`` or ``qr``."""
-    design = with_design(sf.doubles(), lags)
+    design = with_design(sf.single().doubles(), lags)
     xs, ys = lags.terms(sf.names), list(sf.names)
     g = gram(design, xs, ys)
     if method != "qr":
@@ -144,6 +144,36 @@ def vhar_lm(sf: SeriesFrame, har: tuple[int, int] = (5, 22), include_mean: bool
     return fit_ols(sf, Lags(1, tuple(har), include_mean), method)
 
 
+def fit_panel(sf: SeriesFrame, lags: Lags) -> DataFrame:
+    """One least squares model for each member of a panel: its keys, n, coef (terms by responses, row by row) and sigma. Members
+    are reduced to moments by one aggregate and solved side by side; members with too few rows have null coefficients."""
+    from vectide.operators.moments import Moments, least_squares, panel_moments
+
+    m, const = sf.dim, lags.include_mean
+    k, panel = lags.k(m) - const, list(sf.panel)
+
+    def run(batches):
+        for pdf in batches:
+            p = k + m
+            g = Moments(pdf["n"].to_numpy(), np.stack(pdf["mean"].to_numpy()).reshape(-1, p), np.stack(pdf["core"].to_numpy()).reshape(-1, p, p)) if len(pdf) else None
+            enough = pdf["n"].to_numpy() > k + const
+            coef, sigma = [None] * len(pdf), [None] * len(pdf)
+            for i in np.flatnonzero(enough):
+                b, s = least_squares(g[[i]], k, const)
+                coef[i], sigma[i] = b[0].ravel(), s[0].ravel()
+            yield pdf[panel].assign(n=pdf["n"].astype("int64"), coef=coef, sigma=sigma)
+
+    return panel_moments(sf, lags).mapInPandas(run, f"{sf.panel_schema}n long, coef array<double>, sigma array<double>")
+
+
+def panel_coefficients(fits: DataFrame, sf: SeriesFrame, lags: Lags) -> DataFrame:
+    """The panel keys, term, response, estimate of :func:`fit_panel`."""
+    terms, m = lags.terms(sf.names), sf.dim
+    name = lambda values, at: F.element_at(F.array(*map(F.lit, values)), at.cast("int") + 1)
+    at = fits.select(*sf.panel, F.posexplode("coef").alias("__i", "estimate"))
+    return at.select(*sf.panel, name(terms, F.floor(F.col("__i") / m)).alias("term"), name(sf.names, F.col("__i") % m).alias("response"), "estimate")
+
+
 def infer(model: OlsModel, spark: SparkSession) -> DataFrame:
     """term, response, estimate, std_error, statistic, p_value of each coefficient."""
     inv = model.gram.inverse()

@@ -65,6 +65,17 @@ def fevd(w: np.ndarray, sigma: np.ndarray) -> np.ndarray:
     return out / out.sum(axis=2, keepdims=True)
 
 
+def fevd_last(w: np.ndarray, sigma: np.ndarray) -> np.ndarray:
+    """The decomposition at the last step for many models at once: ``w`` (models, step, dim, dim), ``sigma`` (models, dim, dim)."""
+    a = np.swapaxes(w, -1, -2)
+    var = np.diagonal(sigma, axis1=1, axis2=2)
+    moved = a @ sigma[:, None]
+    numer = (moved**2).sum(axis=1) / var[:, None, :]
+    denom = (moved * a).sum(axis=(1, 3))
+    out = numer / denom[:, :, None]
+    return out / out.sum(axis=2, keepdims=True)
+
+
 def connectedness(lag_coef: np.ndarray, sigma: np.ndarray, order: int, step: int) -> np.ndarray:
     """100 times the decomposition at the last step: response by shock."""
     return 100 * fevd(vma(lag_coef, len(sigma), order, step - 1), sigma)[-1]

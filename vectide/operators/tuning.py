@@ -27,7 +27,7 @@ class LagChoice:
 
 def choose_var(sf: SeriesFrame, spark: SparkSession, lag_max: int = 5, include_mean: bool = True) -> LagChoice:
     """lag, AIC, BIC, HQ, FPE for each lag order, and the order with the least of each; one pass over the rows."""
-    design = with_design(sf.doubles(), Lags(lag_max, None, include_mean), skip=0)
+    design = with_design(sf.single().doubles(), Lags(lag_max, None, include_mean), skip=0)
     orders = {p: Lags(p, None, include_mean) for p in range(1, lag_max + 1)}
     grams = lag_grams(design, {p: g.terms(sf.names) for p, g in orders.items()}, list(sf.names))
     rows = [(p, *[criteria.rss_criteria(from_gram(grams[p], sf.names, orders[p]))[c] for c in CRITERIA]) for p in orders]

@@ -326,14 +326,14 @@ def predict_density_bayes(spark, d):
 def roll_mcmc(spark, d):
     sf = kept(weekly_prices(spark, d))
     n = sf.count()
-    out = mcmc.backtest(sf, Lags(1), priors.BayesSpec(priors.Minnesota()), n - 5, 1, n)
+    out = mcmc.backtest(sf, Lags(1), priors.BayesSpec(priors.Minnesota()), 150, 1, n)
     return out.groupBy("window", "t", "series").agg(F.avg("forecast").alias("forecast"), F.avg("lpl").alias("lpl"))
 
 
 def expand_mcmc(spark, d):
     sf = kept(weekly_prices(spark, d))
     n = sf.count()
-    return mcmc.backtest(sf, Lags(1), priors.BayesSpec(priors.Ssvs()), n - 5, 1, n, expanding=True)
+    return mcmc.backtest(sf, Lags(1), priors.BayesSpec(priors.Ssvs()), 150, 1, n, expanding=True)
 
 
 def alpl(spark, d):
@@ -395,9 +395,8 @@ def kept_draws(draws: DataFrame) -> DataFrame:
 
 
 def dynamic_spillover_mcmc(spark, d):
-    sf = weekly_prices(spark, d)
-    n = sf.count()
-    return mcmc.dynamic_spillover(sf, Lags(1), priors.BayesSpec(priors.NormalGamma()), n - 3, n, 5)
+    sf = kept(weekly_prices(spark, d))
+    return mcmc.dynamic_spillover(sf, Lags(1), priors.BayesSpec(priors.NormalGamma()), 150, sf.count(), 5)
 
 
 def choose_bayes(spark, d):

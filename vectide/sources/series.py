@@ -59,12 +59,23 @@ class SeriesFrame:
             raise ValueError("null cells: interpolate first" if worst["bad"] else "t has gaps or repeats")
         return self
 
+    def single(self) -> SeriesFrame:
+        """Raise for a panel: one model of several series of rows would mix them."""
+        if self.panel:
+            raise ValueError(f"a panel by {', '.join(self.panel)}: use the functions for panels, or one member of it")
+        return self
+
+    @property
+    def panel_schema(self) -> str:
+        """Of the panel keys, with a comma after each."""
+        return "".join(f"`{c}` {self.df.schema[c].dataType.simpleString()}, " for c in self.panel)
+
     def long(self) -> DataFrame:
         return self.df.unpivot([*self.panel, "t"], list(self.names), "series", "value")
 
     def last_rows(self, n: int) -> list[list[float]]:
         """The last ``n`` rows of a single series, oldest first."""
-        rows = self.df.select("t", *self.names).orderBy(F.desc("t")).limit(n).collect()
+        rows = self.single().df.select("t", *self.names).orderBy(F.desc("t")).limit(n).collect()
         return [[float(r[c]) for c in self.names] for r in reversed(rows)]
 
 
