@@ -69,16 +69,21 @@ def log_ml(post) -> float:
     return const - m / 2 * a - n / 2 * _logdet(post.prior_scale) - (s0 + n) / 2 * b
 
 
+def _deviance(post, b: np.ndarray, s: np.ndarray) -> float:
+    g = post.data_gram
+    rss = g.yy - b.T @ g.xy - g.xy.T @ b + b.T @ g.xx @ b
+    return post.n * post.dim * math.log(2 * math.pi) + post.n * _logdet(s) + float(np.trace(np.linalg.solve(s, rss)))
+
+
+def deviance_at_mean(post) -> float:
+    """Minus twice the log likelihood at the posterior means of coefficients and covariance."""
+    return _deviance(post, post.coef, post.sigma)
+
+
 def dic(post, n_iter: int = 100, seed: int = 1) -> float:
     """Deviance information criterion of a conjugate posterior: twice the mean deviance less the deviance at the means."""
     from vectide.operators.niw import draw_mniw
 
     coefs, sigmas = draw_mniw(post, n_iter, np.random.default_rng(seed))
-
-    def deviance(b, s):
-        g = post.data_gram
-        rss = g.yy - b.T @ g.xy - g.xy.T @ b + b.T @ g.xx @ b
-        return post.n * post.dim * math.log(2 * math.pi) + post.n * _logdet(s) + float(np.trace(np.linalg.solve(s, rss)))
-
-    mean = float(np.mean([deviance(b, s) for b, s in zip(coefs, sigmas, strict=True)]))
-    return 2 * mean - deviance(coefs.mean(axis=0), sigmas.mean(axis=0))
+    mean = float(np.mean([_deviance(post, b, s) for b, s in zip(coefs, sigmas, strict=True)]))
+    return 2 * mean - _deviance(post, coefs.mean(axis=0), sigmas.mean(axis=0))

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,23 +44,38 @@ def residual_products(g: Gram, b: np.ndarray) -> np.ndarray:
     return yy - b.T @ xy - xy.T @ b + b.T @ xx @ b
 
 
-def solve_qr(design: DataFrame, xs: list[str], ys: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Coefficients and residual cross products by tall-skinny QR: each task reduces its rows to one triangle, and the
-    triangles are reduced again."""
+#: Triangles that one task reduces to one.
+QR_FAN = 16
+
+
+def solve_qr(design: DataFrame, xs: list[str], ys: list[str], fan: int = QR_FAN) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients and residual cross products by tall-skinny QR: each task reduces its rows to one triangle, and rounds of
+    tasks reduce ``fan`` triangles to one until one is left, which is all that the driver gets."""
     cols, k = [*xs, *ys], len(xs)
-    m = len(cols)
+    m, kind = len(cols), "part long, r array<double>"
 
     def run(batches):
+        from pyspark import TaskContext
+
         r = np.empty((0, m))
         for b in batches:
             z = np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(m)])
             r = np.linalg.qr(np.vstack([r, z]), mode="r")
         if len(r):
-            yield pa.RecordBatch.from_arrays([pa.array(r.tolist(), pa.list_(pa.float64()))], names=["r"])
-
-    # m rows from each task at most
-    rows = design.select(*cols).mapInArrow(run, "r array<double>").toArrow()["r"].to_pylist()
-    r = np.linalg.qr(np.array(rows), mode="r")
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([r.ravel().tolist()], pa.list_(pa.float64()))], names=["part", "r"])
+
+    def reduced(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = np.linalg.qr(np.vstack([np.reshape(x, (-1, m)) for x in pdf.sort_values("part")["r"]]), mode="r")
+        return pd.DataFrame({"part": [int(pdf["part"].min()) // fan], "r": [r.ravel()]})
+
+    triangles = design.select(*cols).mapInArrow(run, kind)
+    # the design is shuffled by blocks, so it has so many tasks at most
+    tasks = max(int(design.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    while tasks > 1:
+        triangles = triangles.withColumn("up", F.floor(F.col("part") / fan)).groupBy("up").applyInPandas(reduced, kind)
+        tasks = -(-tasks // fan)
+    rows = triangles.orderBy("part").toArrow()["r"].to_pylist()  # one, unless a session made more tasks than it was set to
+    r = np.linalg.qr(np.vstack([np.reshape(x, (-1, m)) for x in rows]), mode="r")
     return np.linalg.solve(r[:k, :k], r[:k, k:]), r[k:, k:].T @ r[k:, k:]
 
 

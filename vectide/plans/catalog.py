@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from vectide.functions.design import Lags, group_matrix, har_matrix, minnesota_dummies, with_design
 from vectide.functions.special import gamma_from_mode
 from vectide.operators import backtest, criteria, forecast, gram, mcmc, metrics, niw, ols, posterior, priors, simulate, structure, tidy, tuning
-from vectide.sources.series import SeriesFrame, daily_prices, hourly_events, interpolate, split_tail, weekly_prices
+from vectide.sources.series import SeriesFrame, daily_prices, hourly_events, interpolate, panel_prices, split_tail, weekly_prices
 
 HOLD_OUT = 20
 H = 3
@@ -533,6 +533,63 @@ def flagship_daily(spark, d):
     return rounded(backtest.forecast_roll(sf, Lags(5), 1000, 1, sf.count()), 2)
 
 
+# Panels: weekly prices, a series for each return flag and line status
+
+def panel_ar1(spark, d):
+    sf = panel_prices(spark, d)
+    return by_term(ols.panel_coefficients(ols.fit_panel(sf, Lags(1)), sf, Lags(1)))
+
+
+def panel_forecast(spark, d):
+    return rounded(forecast.predict_panel(panel_prices(spark, d), Lags(1), H), 2)
+
+
+def panel_roll(spark, d):
+    return rounded(backtest.forecast_roll(panel_prices(spark, d), Lags(1), 100, 2), 2)
+
+
+def panel_bayes(spark, d):
+    return posterior.summarise(mcmc.var_bayes(panel_prices(spark, d), 1, priors.BayesSpec(priors.Horseshoe())).draws)
+
+
+# Conjugate models at the posterior mean
+
+TWO_SCALES = priors.MinnesotaSpec((4000.0, 5000.0), 0.1, 1.0)
+
+
+def forecast_minnesota_1d(spark, d):
+    sf = one(spark, d)
+    return rounded(forecast.predict(niw.var_minnesota(sf, 1, priors.MinnesotaSpec((4000.0,), 0.1, 1.0), False), sf, 5).select("h", "forecast", "se"), 2)
+
+
+def forecast_minnesota_2d(spark, d):
+    sf = two(spark, d)
+    return rounded(forecast.predict(niw.var_minnesota(sf, 1, TWO_SCALES, False), sf, 5).select("h", "series", "forecast"), 2)
+
+
+def spillover_minnesota_2d(spark, d):
+    return rounded(structure.spillover_margins(structure.spillover(niw.var_minnesota(two(spark, d), 1, TWO_SCALES, False), spark, 2)), 4)
+
+
+def dic_plug_in(spark, d):
+    """The deviance at the posterior mean: the part of the criterion that draws no random numbers."""
+    return rounded(rows(spark, "deviance double", [(criteria.deviance_at_mean(niw.var_minnesota(two(spark, d), 1, TWO_SCALES, False)),)]), 3)
+
+
+# Convergence and distances
+
+def rank_rhat(spark, d):
+    return rounded(posterior.rank_rhat(pseudo_draws(spark, d)))
+
+
+def pip_constants(spark, d):
+    return rounded(posterior.inclusion(pseudo_draws(spark, d), constants=2))
+
+
+def spectral(spark, d):
+    return rounded(posterior.spectral_norms(*_halves(spark, d), 32, 2))
+
+
 def queries() -> dict:
     out = {
         "series_wide": series_wide, "series_long": series_long, "interpolate_linear": interpolate_linear, "split_tail": split_tail_query, "lag_design": lag_design, "har_design": har_design,
@@ -550,12 +607,13 @@ def queries() -> dict:
             out[f"vhar_bayes_{name}_{label}"] = _bayes(name, cov, True)
     out |= {f.__name__: f for f in (predict_density_minnesota, predict_density_bayes, roll_mcmc, expand_mcmc, alpl, roll_minnesota, roll_flat, spillover_posterior, dynamic_spillover_sv, dynamic_spillover_mcmc, choose_bayes, log_ml, log_ml_var2, dic, hierarchical_minnesota, summary_pvalue, resid_corr_3d, sim_mnormal, sim_var, flagship, flagship_daily)}
     out |= {f.__name__: f for f in (var2_chol_3d, var2_qr_3d, vhar_ols_3d, heat_map_3d, sample_sd, best_lag_ar, vhar_vma_2d, vhar_spillover_2d, forecast_vhar_1d, minnesota_var2_3d, minnesota_vhar_s_3d, minnesota_vhar_l_3d, minnesota_vhar_l_scale, flat_vhar_3d, expand_minnesota, spillover_minnesota, dynamic_spillover_minnesota, hierarchical_minnesota_vhar, predict_density_selected)}
+    out |= {f.__name__: f for f in (panel_ar1, panel_forecast, panel_roll, panel_bayes, forecast_minnesota_1d, forecast_minnesota_2d, spillover_minnesota_2d, dic_plug_in, rank_rhat, pip_constants, spectral)}
     return out
 
 
 def oracle_sql() -> dict[str, str]:
-    from vectide.plans import sql, sweeps
+    from vectide.plans import members, sql, sweeps
 
-    return sql.SQL | sweeps.SQL
+    return sql.SQL | sweeps.SQL | members.SQL
 
 

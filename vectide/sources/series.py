@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -79,15 +80,45 @@ class SeriesFrame:
         return [[float(r[c]) for c in self.names] for r in reversed(rows)]
 
 
-def time_index(df: DataFrame, ts: str, block: Column | None = None) -> DataFrame:
-    """Adds ``t``: the row's number by ``ts``, from 1. Blocks of the time axis (by default years) are numbered apart
-    and shifted by the rows before them, so no task sorts the whole series."""
-    rows = df.withColumn("__b", block if block is not None else F.year(ts))
-    counts = rows.groupBy("__b").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("__b", before.alias("__s"))
-    out = rows.withColumn("t", F.row_number().over(Window.partitionBy("__b").orderBy(ts)))
-    return out.join(starts, "__b").withColumn("t", (F.col("t") + F.col("__s")).cast("long")).drop("__b", "__s")
+#: Neighbouring blocks that one task scans.
+FAN = 1_024
+
+
+def scan(parts: DataFrame, keys: list[str], block: str, of: dict[str, tuple[Callable[[Column | str], Column], bool]], levels: int = 2, fan: int = FAN) -> DataFrame:
+    """``keys``, ``block`` and, for each column of ``of``, its aggregate (F.sum, F.max or F.min) over the blocks before it, or over
+    those after it. ``parts`` has one row for each block. Blocks are scanned ``fan`` at a time; the sums of these are scanned
+    in the same way, ``levels`` deep, so that with enough levels no task sees more than ``fan`` rows of a key."""
+
+    def over(back: bool, *by: str):
+        w = Window.partitionBy(*keys, *by).orderBy(block)
+        return w.rowsBetween(1, Window.unboundedFollowing) if back else w.rowsBetween(Window.unboundedPreceding, -1)
+
+    if levels <= 1:
+        return parts.select(*keys, block, *[f(c).over(over(back)).alias(c) for c, (f, back) in of.items()])
+    rows = parts.withColumn("__up", F.floor(F.col(block) / fan))
+    above = rows.groupBy(*keys, "__up").agg(*[f(c).alias(c) for c, (f, _) in of.items()]).withColumnRenamed("__up", block)
+    above = scan(above, keys, block, of, levels - 1, fan).withColumnsRenamed({block: "__up", **{c: f"__above_{c}" for c in of}})
+    near = rows.select(*keys, block, "__up", *[f(c).over(over(back, "__up")).alias(c) for c, (f, back) in of.items()])
+
+    def both(c: str, f) -> Column:
+        far = F.col(f"__above_{c}")
+        if f is F.sum:
+            return F.coalesce(F.col(c) + far, c, far)
+        return (F.greatest if f is F.max else F.least)(F.col(c), far)
+
+    return near.join(above, [*keys, "__up"]).select(*keys, block, *[both(c, f).alias(c) for c, (f, _) in of.items()])
+
+
+def time_index(df: DataFrame, ts: str, block: Column | None = None, keys: list[str] | None = None, levels: int | None = None) -> DataFrame:
+    """Adds ``t``: the row's number by ``ts``, from 1, within ``keys``. Blocks of the time axis (by default years, which one scan
+    joins; finer ones by ``levels``, 2 by default) are numbered apart and shifted by the rows before them, so no task sorts the
+    whole series."""
+    keys = list(keys or [])
+    rows = df.withColumn("__b", (block if block is not None else F.year(ts)).cast("long"))
+    counts = rows.groupBy(*keys, "__b").agg(F.count("*").alias("__n"))
+    starts = scan(counts, keys, "__b", {"__n": (F.sum, False)}, levels or (1 if block is None else 2))
+    out = rows.withColumn("t", F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(ts)))
+    return out.join(starts, [*keys, "__b"]).withColumn("t", (F.col("t") + F.coalesce("__n", F.lit(0))).cast("long")).drop("__b", "__n")
 
 
 def from_long(df: DataFrame, ts: str, series: str, value: str, labels: list[str], prefix: str = "y_") -> SeriesFrame:
@@ -107,18 +138,16 @@ def blocked(sf: SeriesFrame, halo: int, block_rows: int = BLOCK_ROWS) -> tuple[D
     return rows, [*sf.panel, "__block"], F.col("__own") == F.col("__block")
 
 
-def interpolate(sf: SeriesFrame, block_rows: int = BLOCK_ROWS) -> SeriesFrame:
+def interpolate(sf: SeriesFrame, block_rows: int = BLOCK_ROWS, levels: int = 2) -> SeriesFrame:
     """Fill null cells on the straight line between the nearest values before and after; ends carry the nearest value.
     Blocks are filled apart: each gets the last value before it and the first one after it, from one row for each block."""
     keys = [*sf.panel, "__block"]
     at = {c: F.when(F.col(c).isNotNull(), F.struct(F.col("t").alias("t"), F.col(c).cast("double").alias("v"))) for c in sf.names}
     rows = sf.df.withColumn("__block", F.floor((F.col("t") - 1) / block_rows))
-    # structs order by t
     known = rows.groupBy(*keys).agg(*[f(at[c]).alias(f"__{n}{i}") for i, c in enumerate(sf.names) for n, f in (("last", F.max), ("first", F.min))])
-    line = Window.partitionBy(*sf.panel).orderBy("__block")
-    before, after = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(1, Window.unboundedFollowing)
-    ends = [(F.last(f"__last{i}", True).over(before).alias(f"__before{i}"), F.first(f"__first{i}", True).over(after).alias(f"__after{i}")) for i in range(sf.dim)]
-    rows = rows.join(known.select(*keys, *[x for pair in ends for x in pair]), keys)
+    # structs order by t: the last one before a block is the largest, the first one after it the least
+    ends = scan(known, list(sf.panel), "__block", {f"__{n}{i}": (f, back) for i in range(sf.dim) for n, f, back in (("last", F.max, False), ("first", F.min, True))}, levels)
+    rows = rows.join(ends.withColumnsRenamed({f"__{a}{i}": f"__{b}{i}" for i in range(sf.dim) for a, b in (("last", "before"), ("first", "after"))}), keys)
     inside = Window.partitionBy(*keys).orderBy("t")
     past, ahead = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(0, Window.unboundedFollowing)
     out = {}
@@ -154,6 +183,14 @@ def weekly_prices(spark: SparkSession, sf_dir: str) -> SeriesFrame:
     return from_long(rows, "w", "l_returnflag", "l_extendedprice", ["A", "N", "R"])
 
 
+def panel_prices(spark: SparkSession, sf_dir: str) -> SeriesFrame:
+    """Mean extended price by week, a series for each return flag and line status; weeks without a row are left out of a series."""
+    keys = ["l_returnflag", "l_linestatus"]
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*keys, F.trunc(F.to_date("l_shipdate"), "week").alias("w"), "l_extendedprice")
+    means = rows.groupBy(*keys, "w").agg(F.avg("l_extendedprice").alias("price"))
+    return SeriesFrame(time_index(means, "w", keys=keys), ("price",), tuple(keys))
+
+
 def daily_prices(spark: SparkSession, sf_dir: str) -> SeriesFrame:
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.to_date("l_shipdate").alias("d"), "l_returnflag", "l_extendedprice")
     return from_long(rows, "d", "l_returnflag", "l_extendedprice", ["A", "N", "R"])
