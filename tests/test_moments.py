@@ -249,3 +249,45 @@ def test_panels_are_kept_apart_or_refused(spark):
             assert len(x) == len(z) == 199 and np.allclose(x.forecast, z.forecast)
         assert np.allclose(ahead[ahead.k == k].sort_values("h").forecast, forecast.predict(want, one[k], 3).orderBy("h").toPandas().forecast)
     assert normal_quantile(0.5) == 0
+
+
+def test_a_long_series_is_sampled_by_stretches(spark):
+    r = np.random.default_rng(2)
+    h = np.cumsum(0.2 * r.standard_normal((230, 2)), axis=0)
+    y = np.zeros((230, 2))
+    for t in range(1, 230):
+        y[t] = 0.6 * y[t - 1] + np.exp(h[t] / 2) * r.standard_normal(2)
+    sf, spec = frame(spark, y), priors.BayesSpec(priors.Minnesota(lam=1.0), priors.StochasticVolatility(), chains=1, n_iter=24, burn=12)
+    fit = volatility.fit_long(sf, Lags(1), spec, 50)
+    levels = fit.levels.toPandas()
+    assert len(levels) == 229 * 2 and levels.t.min() == 2 and levels.t.max() == 230
+    for j, name in enumerate(("y1", "y2")):
+        got = levels[levels.series == name].sort_values("t").log_var.to_numpy()
+        assert np.corrcoef(got, h[1:, j])[0, 1] > 0.7
+    draws = fit.draws.toPandas()
+    assert sorted(draws.param.unique()) == ["a", "a_sparse", "alpha", "alpha_sparse", "c", "c_sparse", "h0", "sigh"] and draws.iteration.max() == 12
+    slope = draws[(draws.param == "alpha") & draws.idx.isin([1, 4])].value.mean()
+    assert abs(slope - 0.6) < 0.15
+    again = volatility.fit_long(sf.with_df(sf.df.repartition(5)), Lags(1), spec, 50).draws.toPandas()
+    assert np.allclose(again.value, draws.value, rtol=1e-6, atol=1e-9)
+
+
+def test_stretches_in_tasks_draw_what_memory_draws():
+    """A walk eliminated and filled stretch by stretch is the draw of the whole precision with the same noise."""
+    r = np.random.default_rng(5)
+    w, v, h0, q = r.random((23, 2)) + 0.3, r.standard_normal((23, 2)), r.standard_normal(2), np.array([2.0, 5.0])
+    parts = [slice(0, 10), slice(10, 11), slice(11, 23)]
+    gone = [volatility.eliminated(w[None, s][:, :-1], v[None, s][:, :-1], q) for s in parts]
+    left = [np.concatenate([g[i] for g in gone]) for i in range(1, 6)]
+
+    class Quiet:
+        def standard_normal(self, shape):
+            return np.zeros(shape)
+
+    ends = volatility.points(left, np.stack([w[s][-1] for s in parts]), np.stack([v[s][-1] for s in parts]), np.array([False, False, True]), h0, q, Quiet())
+    before = np.vstack([h0, ends[:-1]])
+    got = np.concatenate([np.concatenate([volatility.filled(g[0], before[i][None], ends[i][None], q, np.zeros((1, s.stop - s.start - 1, 2)))[0], ends[i][None]]) for i, (g, s) in enumerate(zip(gone, parts, strict=True))])
+    for j in range(2):  # without noise it is the mean
+        prec = np.diag(w[:, j] + 2 * q[j]) - q[j] * (np.eye(23, k=1) + np.eye(23, k=-1))
+        prec[-1, -1] -= q[j]
+        assert np.allclose(got[:, j], np.linalg.solve(prec, v[:, j] + np.r_[q[j] * h0[j], np.zeros(22)]))

@@ -14,6 +14,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from vectide.functions.design import CONST, Lags, with_design
+from vectide.operators.moments import Weighted
+from vectide.operators.priors import BayesSpec, StochasticVolatility
+from vectide.sources.series import SeriesFrame
+from vectide.sources.sinks import dropped, kept_table
 
 
 @dataclass(frozen=True)
@@ -115,3 +124,119 @@ def draw_walk(w: np.ndarray, r: np.ndarray, h0: np.ndarray, var: np.ndarray, rng
         out.append(np.concatenate([rows, ends[at : at + s, None]], axis=1).reshape(s * l, m))
         at += s
     return np.concatenate(out)
+
+
+#: Design rows of a stretch of :func:`fit_long`.
+STRETCH = 50_000
+_STATE = "stretch long, first long, z array<double>, h array<double>, total array<double>, sums array<double>, squares array<double>"
+_LEFT = "stretch long, left array<double>"
+
+
+@dataclass(frozen=True)
+class LongFit:
+    """``draws``: chain, iteration, param, idx, value of all but the log variances; ``levels``: chain, t, series, log_var (mean
+    over kept draws)."""
+
+    draws: DataFrame
+    levels: DataFrame
+
+
+def fit_long(sf: SeriesFrame, lags: Lags, spec: BayesSpec, stretch: int = STRETCH) -> LongFit:
+    """A stochastic volatility model of a series of any length. Each stretch of design rows is a row of a table with its values
+    and its log variances. A sweep draws coefficients on the driver from weighted sums over all stretches, eliminates the rows
+    inside each stretch in a task, draws the points between stretches on the driver (some numbers for each stretch), and fills
+    the stretches in tasks; the new table is written to the shared folder and the old one deleted. Random numbers depend on
+    (seed, chain, sweep, stretch) only, so a task that runs again draws the same."""
+    from vectide.operators.gibbs import Chain, Walk, mixture
+    from vectide.operators.mcmc import series_moments
+    from vectide.operators.niw import DRAWS, draws_frame
+
+    if not isinstance(spec.cov, StochasticVolatility):
+        raise ValueError("constant variances are sampled from moments: use mcmc.fit_bayes")
+    g, spark, m = series_moments(sf, lags), sf.df.sparkSession, sf.dim
+    p = len(g.mean)
+    k, const = p - m, lags.include_mean
+    cols = [*[c for c in lags.terms(sf.names) if c != CONST], *sf.names]
+    row = F.struct("t", F.array(*cols).alias("z"))
+    design = with_design(sf.doubles(), lags).select(F.floor((F.col("t") - lags.order - 1) / stretch).alias("stretch"), row.alias("r"))
+    cut = design.groupBy("stretch").agg(F.array_sort(F.collect_list("r")).alias("r"))  # ``stretch`` rows at most
+    packed, _ = kept_table(cut.select("stretch", F.col("r")[0]["t"].alias("first"), F.flatten(F.col("r")["z"]).alias("z")), "volatility-rows")
+
+    def sums_of(z: np.ndarray, h: np.ndarray) -> np.ndarray:
+        w = Weighted.of_rows(z, g.mean, np.exp(-h), k, const)
+        return np.concatenate([w.n, w.s.ravel(), w.ss.ravel()])
+
+    def arrays(pdf: pd.DataFrame):
+        for item in pdf.to_dict("records"):
+            yield item, np.reshape(item["z"], (-1, p)), None if item.get("h") is None else np.reshape(item["h"], (-1, m))
+
+    def values(z: np.ndarray, h: np.ndarray, coef: np.ndarray, low: np.ndarray, seed: list[int]):
+        x = np.hstack([z[:, :k], np.ones((len(z), int(const)))])
+        return mixture((z[:, k:] - x @ coef) @ low.T, h, np.random.default_rng(seed))
+
+    def summed(state: DataFrame) -> Weighted:
+        total = state.select(F.posexplode("sums").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").toPandas()["v"].to_numpy()
+        return Weighted(g.mean, total[:m], total[m : m + m * p].reshape(m, p), total[m + m * p :].reshape(m, p, p), k, const)
+
+    all_draws, all_levels = [], []
+    for number in range(1, spec.chains + 1):
+        rng = np.random.default_rng([spec.seed, 2, number])
+        chain = Chain(g, lags, spec, rng)
+        walk, start = Walk(chain), np.log(chain.d)
+
+        def begun(batches, start=start):
+            for pdf in batches:
+                rows = []
+                for item, z, _ in arrays(pdf):
+                    h = np.tile(start, (len(z), 1))
+                    rows.append((item["stretch"], item["first"], item["z"], h.ravel(), np.zeros(h.size), sums_of(z, h), np.zeros(m)))
+                yield pd.DataFrame(rows, columns=["stretch", "first", "z", "h", "total", "sums", "squares"])
+
+        (state, path), recorded = kept_table(packed.mapInPandas(begun, _STATE), "volatility-state"), []
+        for sweep in range(spec.n_iter):
+            chain.coefficients(summed(state))
+            coef, low, q, keep = chain.coef.copy(), chain.low.copy(), 1 / walk.var, sweep >= spec.burn and (sweep - spec.burn) % spec.thin == 0
+            seed = [spec.seed, 3, number, sweep]
+
+            def ends(batches, coef=coef, low=low, q=q, seed=seed):
+                for pdf in batches:
+                    rows = []
+                    for item, z, h in arrays(pdf):
+                        w, r = values(z, h, coef, low, [*seed, item["stretch"]])
+                        _, *left = eliminated(w[None, :-1], r[None, :-1], q)
+                        rows.append((item["stretch"], np.concatenate([*[x[0] for x in left], w[-1], r[-1]])))
+                    yield pd.DataFrame(rows, columns=["stretch", "left"])
+
+            found = state.select("stretch", "z", "h").mapInPandas(ends, _LEFT).orderBy("stretch").toPandas()  # 7 m numbers for each stretch
+            left = np.stack(found["left"].to_numpy()).reshape(len(found), 7, m)
+            last = np.arange(len(found)) == len(found) - 1
+            at = points([left[:, i] for i in range(5)], left[:, 5], left[:, 6], last, walk.h0, q, rng)
+            around = pd.DataFrame({"stretch": found["stretch"], "before": np.vstack([walk.h0, at[:-1]]).tolist(), "after": at.tolist()})
+
+            def fill(batches, coef=coef, low=low, q=q, seed=seed, keep=keep):
+                for pdf in batches:
+                    rows = []
+                    for item, z, h in arrays(pdf):
+                        w, r = values(z, h, coef, low, [*seed, item["stretch"]])
+                        inside, *_ = eliminated(w[None, :-1], r[None, :-1], q)
+                        before, after = np.asarray(item["before"]), np.asarray(item["after"])
+                        noise = np.random.default_rng([*seed, item["stretch"], 1]).standard_normal((1, len(z) - 1, m))
+                        new = np.concatenate([filled(inside, before[None], after[None], q, noise)[0], after[None]])
+                        squares = (np.diff(np.vstack([before, new]), axis=0) ** 2).sum(axis=0)
+                        rows.append((item["stretch"], item["first"], item["z"], new.ravel(), np.asarray(item["total"]) + (new.ravel() if keep else 0.0), sums_of(z, new), squares))
+                    yield pd.DataFrame(rows, columns=["stretch", "first", "z", "h", "total", "sums", "squares"])
+
+            old = path
+            state, path = kept_table(state.join(spark.createDataFrame(around, "stretch long, before array<double>, after array<double>"), "stretch").mapInPandas(fill, _STATE), "volatility-state")
+            dropped(old)
+            got = state.agg(*[F.sum(F.col("squares")[i]).alias(f"q{i}") for i in range(m)], *[F.max(F.when(F.col("stretch") == 0, F.col("h")[i])).alias(f"f{i}") for i in range(m)]).first()
+            walk.hyper(np.array([got[f"f{i}"] for i in range(m)]), np.array([got[f"q{i}"] for i in range(m)]), chain.n, rng)
+            if keep:
+                recorded.append(chain.record({"h0": walk.h0.copy(), "sigh": walk.var.copy()}))
+        frame = draws_frame(number, 1, {name: np.array([r[name] for r in recorded]) for name in recorded[0]})
+        all_draws.append(spark.createDataFrame(frame, DRAWS))
+        at, j = F.floor(F.col("i") / m), F.col("i") % m
+        levels = state.select("first", F.posexplode("total").alias("i", "v"))
+        all_levels.append(levels.select(F.lit(number).alias("chain"), (F.col("first") + at).cast("long").alias("t"), F.element_at(F.array(*map(F.lit, sf.names)), (j + 1).cast("int")).alias("series"), (F.col("v") / len(recorded)).alias("log_var")))
+    union = lambda parts: parts[0] if len(parts) == 1 else parts[0].union(union(parts[1:]))
+    return LongFit(union(all_draws), union(all_levels))

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from vectide.functions.design import Lags, group_matrix, har_matrix, minnesota_dummies, with_design
 from vectide.functions.special import gamma_from_mode
-from vectide.operators import backtest, criteria, forecast, gram, mcmc, metrics, niw, ols, posterior, priors, simulate, structure, tidy, tuning
+from vectide.operators import backtest, criteria, forecast, gram, mcmc, metrics, niw, ols, posterior, priors, simulate, structure, tidy, tuning, volatility
 from vectide.sources.series import SeriesFrame, daily_prices, hourly_events, interpolate, panel_prices, split_tail, weekly_prices
+from vectide.sources.sinks import kept_table
+from vectide.streaming import online
 
 HOLD_OUT = 20
 H = 3
@@ -37,16 +39,11 @@ def two(spark, d: str) -> SeriesFrame:
 
 
 PLAIN = Lags(1, None, False)
-_kept: list[SeriesFrame] = []
 
 
 def kept(sf: SeriesFrame) -> SeriesFrame:
-    """``sf`` persisted, for queries that read it in several jobs; it is released when the next query keeps one. A result
-    that is read later is computed from the source again."""
-    while _kept:
-        _kept.pop().df.unpersist()
-    _kept.append(sf.persist())
-    return _kept[-1]
+    """``sf`` written to the shared folder, for queries that read it in several jobs."""
+    return sf.with_df(kept_table(sf.df, "series")[0])
 
 
 def naive_and_mean(spark, d: str):
@@ -365,6 +362,7 @@ def spillover_posterior(spark, d):
 def dynamic_spillover_sv(spark, d):
     sf = kept(weekly_prices(spark, d))
     fit = mcmc.var_bayes(sf, 1, priors.BayesSpec(priors.Horseshoe(), priors.StochasticVolatility()))
+    fit = fit.with_draws(kept_table(fit.draws, "draws")[0])  # dates and forms both read them
     return mcmc.spillover_summary(mcmc.spillover_draws(fit, 5, times=list(range(sf.count() - 1))))
 
 
@@ -386,12 +384,7 @@ def predict_density_selected(spark, d):
     """Forecasts from the coefficients whose 90 % interval leaves out zero, and from stable draws only."""
     sf = weekly_prices(spark, d)
     fit = mcmc.var_bayes(sf, 1, priors.BayesSpec(priors.Horseshoe()))
-    return forecast.summarise(mcmc.predict(fit.with_draws(kept_draws(fit.draws)), sf, 5, sparse=0.9, stable=True))
-
-
-def kept_draws(draws: DataFrame) -> DataFrame:
-    """Draws that several jobs read; released like :func:`kept`."""
-    return kept(SeriesFrame(draws.withColumnRenamed("iteration", "t"), ("value",))).df.withColumnRenamed("t", "iteration")
+    return forecast.summarise(mcmc.predict(fit.with_draws(kept_table(fit.draws, "draws")[0]), sf, 5, sparse=0.9, stable=True))
 
 
 def dynamic_spillover_mcmc(spark, d):
@@ -590,6 +583,79 @@ def spectral(spark, d):
     return rounded(posterior.spectral_norms(*_halves(spark, d), 32, 2))
 
 
+# Groups, hyperparameters and simulations that a table's own models and scales give
+
+def _group_means(kind):
+    def query(spark, d):
+        """Mean size of the coefficients of each shrinkage group of a VAR(2)."""
+        m = ols.var_lm(weekly_prices(spark, d), 2)
+        groups = group_matrix(2, m.dim, kind)
+        label = rows(spark, "term string, response string, grp int", [(t, y, groups[i, j]) for i, t in enumerate(m.terms[: len(groups)]) for j, y in enumerate(m.names)])
+        found = _coefs(m, spark).join(F.broadcast(label), ["term", "response"])  # one row for each coefficient
+        return rounded(found.groupBy("grp").agg(F.count("*").alias("n"), F.avg(F.abs("estimate")).alias("size")), 5)
+
+    return query
+
+
+def gamma_hyper_series(spark, d):
+    """Gamma shape and rate of each series: the mode is its coefficient of variation, the standard deviation 0.4."""
+    sf = weekly_prices(spark, d)
+    got = sf.df.agg(*[(F.stddev_samp(c) / F.avg(c)).alias(c) for c in sf.names]).first()
+    return rounded(rows(spark, "series string, mode double, shape double, rate double", [(c, got[c], *gamma_from_mode(got[c], 0.4)) for c in sf.names]), 5)
+
+
+def dummies_series(spark, d):
+    """Dummy rows (nonzero cells) whose scales are the series' standard deviations."""
+    sf = weekly_prices(spark, d)
+    y, x = minnesota_dummies(niw.sample_sd(sf), 1, 0.2, np.ones(3), 1e-4)
+    return rounded(rows(spark, "r int, c int, value double", [(i + 1, j + 1, v) for (i, j), v in np.ndenumerate(np.hstack([y, x])) if v]), 4)
+
+
+def vhar_lag_coef(spark, d):
+    """The coefficients of a VHAR on its 22 plain lags."""
+    m = ols.vhar_lm(one(spark, d), (5, 22), False)
+    return rounded(rows(spark, "lag int, estimate double", [(i + 1, m.lag_coef[i, 0]) for i in range(22)]), 5)
+
+
+def sim_var_fitted(spark, d):
+    m = ols.var_lm(weekly_prices(spark, d), 1)
+    return simulate.sim_var(spark, m.coef, m.sigma, m.lags, 200, paths=4)
+
+
+def sim_vhar_fitted(spark, d):
+    """Paths of a fitted VHAR with Student errors."""
+    m = ols.vhar_lm(weekly_prices(spark, d))
+    return simulate.sim_var(spark, m.coef, m.sigma, m.lags, 200, paths=4, df=5)
+
+
+def _tuned(long_memory):
+    def query(spark, d):
+        spec, _, ml = tuning.choose_bayes(two(spark, d), har=(5, 22), long_memory=long_memory)
+        means = [("delta", spec.delta), ("weekly", spec.weekly), ("monthly", spec.monthly)]
+        data = [("lambda", 1, spec.lam), ("log_ml", 1, ml), *[("sigma", i + 1, v) for i, v in enumerate(spec.sigma)], *[(n, i + 1, v) for n, x in means if x is not None for i, v in enumerate(x)]]
+        return rows(spark, "name string, idx int, value double", data)
+
+    return query
+
+
+def volatility_long(spark, d):
+    """Mean log variances of a stochastic volatility model sampled by stretches of 100 weeks."""
+    spec = priors.BayesSpec(priors.Horseshoe(), priors.StochasticVolatility(), chains=1, n_iter=16, burn=8)
+    return volatility.fit_long(weekly_prices(spark, d), Lags(1), spec, 100).levels
+
+
+def online_ar1(spark, d):
+    """AR(1) models of the weekly series, kept up to date over a stream of the series' rows in several files."""
+    _, path = kept_table(weekly_prices(spark, d).long().repartitionByRange(4, "t"), "stream")
+    stream = spark.readStream.schema("t long, series string, value double").option("maxFilesPerTrigger", 1).parquet(path)
+    out = f"{path}/_fits"  # goes with the table; readers of the folder pass it over
+    fits = online.online_least_squares(stream, ["series"], ["value"], Lags(1))
+    query = fits.writeStream.foreachBatch(lambda df, _: df.write.mode("append").parquet(out)).outputMode("update").option("checkpointLocation", f"{path}/_state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    last = online.latest(spark.read.parquet(out), ["series"])
+    return rounded(last.select("series", F.col("coef")[0].alias("slope"), F.col("coef")[1].alias("intercept"), "n"), 6, intercept=3)
+
+
 def queries() -> dict:
     out = {
         "series_wide": series_wide, "series_long": series_long, "interpolate_linear": interpolate_linear, "split_tail": split_tail_query, "lag_design": lag_design, "har_design": har_design,
@@ -607,7 +673,9 @@ def queries() -> dict:
             out[f"vhar_bayes_{name}_{label}"] = _bayes(name, cov, True)
     out |= {f.__name__: f for f in (predict_density_minnesota, predict_density_bayes, roll_mcmc, expand_mcmc, alpl, roll_minnesota, roll_flat, spillover_posterior, dynamic_spillover_sv, dynamic_spillover_mcmc, choose_bayes, log_ml, log_ml_var2, dic, hierarchical_minnesota, summary_pvalue, resid_corr_3d, sim_mnormal, sim_var, flagship, flagship_daily)}
     out |= {f.__name__: f for f in (var2_chol_3d, var2_qr_3d, vhar_ols_3d, heat_map_3d, sample_sd, best_lag_ar, vhar_vma_2d, vhar_spillover_2d, forecast_vhar_1d, minnesota_var2_3d, minnesota_vhar_s_3d, minnesota_vhar_l_3d, minnesota_vhar_l_scale, flat_vhar_3d, expand_minnesota, spillover_minnesota, dynamic_spillover_minnesota, hierarchical_minnesota_vhar, predict_density_selected)}
-    out |= {f.__name__: f for f in (panel_ar1, panel_forecast, panel_roll, panel_bayes, forecast_minnesota_1d, forecast_minnesota_2d, spillover_minnesota_2d, dic_plug_in, rank_rhat, pip_constants, spectral)}
+    out |= {f.__name__: f for f in (panel_ar1, panel_forecast, panel_roll, panel_bayes, forecast_minnesota_1d, forecast_minnesota_2d, spillover_minnesota_2d, dic_plug_in, rank_rhat, pip_constants, spectral, gamma_hyper_series, dummies_series, vhar_lag_coef, sim_var_fitted, sim_vhar_fitted, volatility_long, online_ar1)}
+    out |= {f"group_means_{k}": _group_means(k) for k in ("longrun", "short", "no")}
+    out |= {"choose_bayes_vhar_s": _tuned(False), "choose_bayes_vhar_l": _tuned(True)}
     return out
 
 

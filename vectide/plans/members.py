@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from vectide.operators.posterior import CENTRE, FAR, TAIL
-from vectide.plans.sql import DRAWS, FEVD, HALVES, TWO, _q
+from vectide.plans import sql, sweeps
+from vectide.plans.sql import DRAWS, FEVD, HALVES, LONG, TWO, WEEKS, _q
 
 PANEL = """
 pr AS (SELECT l_returnflag, l_linestatus, CAST(date_trunc('week', l_shipdate) AS DATE) AS w, avg(l_extendedprice) AS price FROM lineitem GROUP BY 1, 2, 3),
@@ -46,7 +47,28 @@ def _ranked(source: str, name: str) -> str:
 
 RANKED = DRAWS + ",\nme AS (SELECT param, idx, median(value) AS m FROM dr GROUP BY 1, 2),\nfo AS (SELECT param, idx, chain, iteration, abs(value - m) AS value FROM dr JOIN me USING (param, idx))," + _ranked("dr", "bu") + "," + _ranked("fo", "ta")
 
+
+
+def _group_means(kind: str) -> str:
+    own = "left(term, 3) = response"
+    lag = "CAST(right(term, 1) AS INTEGER)"
+    grp = {"longrun": f"2 * {lag} - 1 + CASE WHEN {own} THEN 1 ELSE 0 END", "short": f"CASE WHEN {lag} = 1 THEN 1 + CASE WHEN {own} THEN 1 ELSE 0 END ELSE {lag} + 1 END", "no": "1"}[kind]
+    return f"SELECT CAST({grp} AS INTEGER) AS grp, count(*) AS n, round(avg(abs(estimate)), 5) AS size FROM ({sweeps.SQL['var2_chol_3d']}) q WHERE term <> 'const' GROUP BY 1"
+
+
+def _dummies() -> str:
+    cells = [(i, i, f"sd{i} / CAST(0.2 AS DOUBLE)") for i in (1, 2, 3)] + [(i, i + 3, f"sd{i} / CAST(0.2 AS DOUBLE)") for i in (1, 2, 3)] + [(i + 3, i, f"sd{i}") for i in (1, 2, 3)] + [(7, 7, "CAST(0.0001 AS DOUBLE)")]
+    return _q(WEEKS + ",\nsd AS (SELECT stddev_samp(a) AS sd1, stddev_samp(n) AS sd2, stddev_samp(r) AS sd3 FROM s)", " UNION ALL ".join(f"SELECT CAST({r} AS INTEGER) AS r, CAST({c} AS INTEGER) AS c, round({e}, 4) AS value FROM sd" for r, c, e in cells))
+
+
+_CV = ",\ncv AS (" + " UNION ALL ".join(f"SELECT 'y_{x.upper()}' AS series, stddev_samp({x}) / avg({x}) AS m FROM s" for x in "anr") + "),\nhy AS (SELECT series, m, 2 + m * m / (CAST(0.4 AS DOUBLE) * CAST(0.4 AS DOUBLE)) AS r FROM cv)"
+
 SQL: dict[str, str] = {
+    **{f"group_means_{k}": _group_means(k) for k in ("longrun", "short", "no")},
+    "dummies_series": _dummies(),
+    "gamma_hyper_series": _q(WEEKS + _CV, "SELECT series, round(m, 5) AS mode, round((r + sqrt(r * r - 4)) / 2, 5) AS shape, round(sqrt((r + sqrt(r * r - 4)) / 2) / CAST(0.4 AS DOUBLE), 5) AS rate FROM hy"),
+    "vhar_lag_coef": f"SELECT CAST(l AS INTEGER) AS lag, round(CASE WHEN l = 1 THEN day ELSE 0 END + CASE WHEN l <= 5 THEN week / 5 ELSE 0 END + month / 22, 5) AS estimate FROM range(1, 23) x(l), (SELECT max(CASE WHEN term LIKE '%day' THEN estimate END) AS day, max(CASE WHEN term LIKE '%week' THEN estimate END) AS week, max(CASE WHEN term LIKE '%month' THEN estimate END) AS month FROM ({sql.SQL['har_ols_1d'].replace(', 6) AS', ', 12) AS')}) q) z",
+    "online_ar1": _q(LONG, "SELECT series, round(regr_slope(v, x), 6) AS slope, round(regr_intercept(v, x), 3) AS intercept, count(*) AS n FROM (SELECT series, v, lag(v) OVER (PARTITION BY series ORDER BY t) AS x FROM lng) q WHERE x IS NOT NULL GROUP BY series"),
     "panel_ar1": _q(PANEL, "SELECT l_returnflag, l_linestatus, 'price_1' AS term, 'price' AS response, round(b, 6) AS estimate FROM pg UNION ALL SELECT l_returnflag, l_linestatus, 'const', 'price', round(c, 2) FROM pg"),
     "panel_forecast": _q("WITH RECURSIVE " + PANEL.lstrip() + ",\nf(l_returnflag, l_linestatus, h, v) AS (SELECT l_returnflag, l_linestatus, 0, max_by(price, t) FROM ps GROUP BY 1, 2 UNION ALL SELECT l_returnflag, l_linestatus, h + 1, c + b * v FROM f JOIN pg USING (l_returnflag, l_linestatus) WHERE h < 3)", "SELECT l_returnflag, l_linestatus, CAST(h AS INTEGER) AS h, 'price' AS series, round(v, 2) AS forecast FROM f WHERE h > 0"),
     "panel_roll": _q(PANEL, """SELECT l_returnflag, l_linestatus, t - 100 AS "window", t + 2 AS t, 'price' AS series, round(c + b * (c + b * price), 2) AS forecast FROM (

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -18,3 +21,39 @@ def write_draws(draws: DataFrame, path: str, mode: str = "errorifexists") -> str
 
 def read_draws(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("chain", "iteration", "param", "idx", "value")
+
+
+_tables: dict[str, SparkSession] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one below the warehouse where it is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_vectide_scratch"
+    return base.rstrip("/")
+
+
+def kept_table(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder and read back, and its path: lineage ends here, and a lost executor costs nothing that is
+    already written. Deleted by :func:`dropped`, or at the end of the process."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/vectide/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _tables:
+        atexit.register(drop_tables)
+    _tables[path] = spark
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def dropped(path: str) -> None:
+    """Delete a table of :func:`kept_table` that nothing reads any more."""
+    spark = _tables.pop(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop_tables() -> None:
+    for path in list(_tables):
+        try:
+            dropped(path)
+        except Exception:  # noqa: BLE001  the session is gone: nothing can be deleted any more
+            pass
