@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -295,6 +296,30 @@ def test_unlabelled_credentials_are_learned(spark, share):
     assert all(got[i]["n_learned"] == 0 and got[i]["n_assign"] == 1 for i in range(300))
 
 
+def test_short_credentials_are_learned_and_ordinary_strings_left_alone(spark):
+    """Keys of 12 characters, as long as the labelled ones; words in capitals, numbers, addresses and names stay."""
+    r = random.Random(6)
+    key = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    plain = ["ERNDONTH", "4041894974608795", "42.144.35.254", "mail8.example.com", "555-2485", "Thingingtion", "readme.md", "ANOTHERWORD"]
+    words = lambda: " ".join((r.choice(WORDS) + r.choice(WORDS)).upper() if r.random() < 0.02 else r.choice(WORDS) + r.choice(WORDS) for _ in range(30))
+    texts = [f"{words()} token={key(12)} end" for _ in range(300)] + [f"{words()} {key(12)} there" for _ in range(100)] + [f"{words()} {p} there" for p in plain for _ in range(12)]
+    got = {x["doc_id"]: x for x in secrets.secrets(make(spark, texts)).collect()}
+    assert sum(got[300 + i]["n_learned"] == 1 for i in range(100)) >= 95
+    assert sum(got[i]["n_learned"] for i in [*range(300), *range(400, len(texts))]) == 0
+
+
+def test_candidates_walk_once():
+    some = "password=abcdef123456 wordwords "
+    long = some * 150_000  # 4.8 million characters
+    base = secrets.base_spans(long)
+    start = time.perf_counter()
+    found = secrets.candidates(long, base)
+    assert len(base) == len(found) == 150_000 and time.perf_counter() - start < 10
+    tangled = "secret=" + "ab12" * 8 + "==x y" + "0f" * 14 + " zzzzzz AKIA" + "B" * 20
+    base = secrets.base_spans(tangled)
+    assert secrets.candidates(tangled, base) == [(a, b, tangled[a:b]) for a, b in (m.span() for m in re.finditer("[A-Za-z0-9+/_.=-]{6,}", tangled)) if not any(x < b and a < y for _, x, y, _ in base)]
+
+
 def test_automaton():
     a = automata.Automaton(["ab", "aab", "aaab", "b"] * 50)
     assert a.log_likelihood("aab") > a.log_likelihood("bba") and len(a.next) <= 5

@@ -7,6 +7,7 @@ end; states whose frequencies agree within Hoeffding's bound, and whose successo
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 #: Hoeffding confidence: the smaller, the more is merged.
 ALPHA = 0.05
@@ -29,6 +30,7 @@ class Automaton:
     def __init__(self, strings: list[str], alpha: float = ALPHA):
         self.next: list[dict[str, list[int]]] = [{}]
         self.ends, self.seen = [0], [0]
+        self.lengths = Counter(map(len, strings))
         for s in strings:
             self._add(s)
         self._merge_states(math.sqrt(0.5 * math.log(2 / alpha)))
@@ -115,17 +117,31 @@ class Automaton:
         return out + math.log(max(floor, self.ends[q] / self.seen[q]))
 
 
+    def log_length(self, n: int) -> float:
+        """How much rarer this length is than the most common one: merging forgets lengths, formats have them."""
+        return math.log((self.lengths[n] + 1) / (max(self.lengths.values(), default=0) + 1))
+
+
 class Chain:
-    """First-order chain of symbols with add-one smoothing: what ordinary strings look like."""
+    """Chain of symbols given the two before them, drawn to the chain given one (BACK counts' worth), and that one smoothed by adding
+    one: what ordinary strings look like, words in capitals and numbers among them."""
+
+    BACK = 2.0
 
     def __init__(self, strings: list[str]):
-        self.counts: dict[str, dict[str, int]] = {}
+        self.one: dict[str, dict[str, int]] = {}
+        self.two: dict[str, dict[str, int]] = {}
         self.alphabet = max(ALPHABET, len({c for s in strings for c in s}) + 2)
         for s in strings:
-            for a, b in zip("^" + s, s + "$", strict=True):
-                row = self.counts.setdefault(a, {})
-                row[b] = row.get(b, 0) + 1
-        self.totals = {a: sum(r.values()) for a, r in self.counts.items()}
+            for a, b, c in zip("^^" + s, "^" + s, s + "$", strict=False):
+                for table, context in ((self.one, b), (self.two, a + b)):
+                    row = table.setdefault(context, {})
+                    row[c] = row.get(c, 0) + 1
+        self.totals = {k: sum(r.values()) for table in (self.one, self.two) for k, r in table.items()}
 
     def log_likelihood(self, s: str) -> float:
-        return sum(math.log((self.counts.get(a, {}).get(b, 0) + 1) / (self.totals.get(a, 0) + self.alphabet)) for a, b in zip("^" + s, s + "$", strict=True))
+        out, none = 0.0, {}
+        for a, b, c in zip("^^" + s, "^" + s, s + "$", strict=False):
+            near = (self.one.get(b, none).get(c, 0) + 1) / (self.totals.get(b, 0) + self.alphabet)
+            out += math.log((self.two.get(a + b, none).get(c, 0) + self.BACK * near) / (self.totals.get(a + b, 0) + self.BACK))
+        return out
