@@ -361,6 +361,36 @@ def test_inverse_permutations():
             assert (y < n).all() and mixing.permuted(y, np.array(n), np.uint64(k), back=True).tolist() == x.tolist()
 
 
+@pytest.mark.parametrize("good, bad, take", [(60, 40, 50), (3, 900, 100), (500, 2, 400), (7, 9, 16), (1, 1, 1)])
+def test_hypergeometric_law_beyond_numpy(monkeypatch, good, bad, take):
+    """The law that is summed up is the exact one."""
+    from math import comb
+
+    monkeypatch.setattr(mixing, "NUMPY_SLOTS", 0)
+    rng, times = np.random.default_rng(1), 4_000
+    got = np.bincount([mixing.hypergeometric(good, bad, take, rng) for _ in range(times)], minlength=good + 1) / times
+    want = np.array([comb(good, k) * comb(bad, take - k) / comb(good + bad, take) if 0 <= take - k <= bad else 0.0 for k in range(good + 1)])
+    assert np.abs(np.cumsum(got) - np.cumsum(want)).max() < 2 / np.sqrt(times) and (got[want == 0] == 0).all()
+
+
+def test_targets_by_filling_up():
+    """Targets against a plain filling: words are handed out by weight, a little at a time, and full sources get no more."""
+    r = random.Random(2)
+    for _ in range(20):
+        names = [*"abcdef"[: r.randrange(1, 6)], None]
+        sizes = {n: r.choice([0, 1, 5, 40, 300]) for n in names}
+        got, total = mixing.targets(sizes), sum(sizes.values())
+        have, left = dict.fromkeys(names, 0.0), float(total)
+        while left > 1e-9:
+            open_ = {n: i % 3 + 1 for i, n in enumerate(names) if have[n] < 3 * sizes[n] - 1e-12}
+            rate = sum(open_.values())
+            step = min(left, *((3 * sizes[n] - have[n]) * rate / w for n, w in open_.items()))
+            for n, w in open_.items():
+                have[n] += step * w / rate
+            left -= step
+        assert all(abs(got[n] - have[n]) < 1e-6 * (total + 1) for n in names)
+
+
 def test_counts_of_shards_are_multinomial_given_totals():
     have, per, shards = np.array([5_000, 0, 1_200, 37]), 100, 63
     got = [mixing.counts_of(i, shards, per, have, 4) for i in range(shards)]

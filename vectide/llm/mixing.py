@@ -29,6 +29,8 @@ SLOTS_PER_SHARD = 4096
 SEED = 20
 WEIGHTS = (1, 2, 3)
 MOST_PASSES = 3
+#: Slots that NumPy's hypergeometric law takes at most.
+NUMPY_SLOTS = 1_000_000_000
 #: Source tables of up to so many rows are broadcast; larger ones are joined by a shuffle.
 BROADCAST_SOURCES = 20_000
 SPACE = "\\x20\\x09-\\x0D"
@@ -83,21 +85,33 @@ def permuted(x: np.ndarray, n: np.ndarray, key: np.ndarray, back: bool = False)
     return out.astype(np.int64)
 
 
+def hypergeometric(good: int, bad: int, take: int, rng: np.random.Generator) -> int:
+    """How many of ``take`` slots out of good + bad are good. NumPy draws up to a thousand million slots; beyond, the law is summed
+    up around its mode, where weights fall below what a double can tell (16 standard deviations away)."""
+    if good + bad < NUMPY_SLOTS:
+        return int(rng.hypergeometric(good, bad, take))
+    low, high = max(0, take - bad), min(good, take)
+    mode = min(high, max(low, (take + 1) * (good + 1) // (good + bad + 2)))
+    p = good / (good + bad)
+    reach = int(16 * math.sqrt(take * p * (1 - p) * (good + bad - take) / (good + bad - 1))) + 64
+    a, b = max(low, mode - reach), min(high, mode + reach)
+    k = np.arange(a, b, dtype=np.float64)
+    step = np.log((good - k) * ((take - k) / ((k + 1) * (bad - take + k + 1))))  # from k to k + 1
+    weight = np.concatenate([[0.0], np.cumsum(step)])
+    total = np.cumsum(np.exp(weight - weight.max()))
+    return a + int(np.searchsorted(total, rng.random() * total[-1], side="right"))
+
+
 def drawn(have: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
     """Multinomial counts of ``take`` slots given that the sources have ``have`` in all: the multivariate hypergeometric
-    law, source after source. Beyond a thousand million slots its normal limit is drawn instead."""
+    law, source after source."""
     out, left, rest = np.zeros(len(have), dtype=np.int64), int(take), int(have.sum())
     for i, n in enumerate(have.tolist()):
         rest -= n
         if not left:
             break
-        low, high = max(0, left - rest), min(n, left)
-        if n + rest < 1_000_000_000:
-            got = int(rng.hypergeometric(n, rest, left)) if n else 0
-        else:
-            all_, p = n + rest, n / (n + rest)
-            got = round(rng.normal(left * p, math.sqrt(left * p * (1 - p) * (all_ - left) / (all_ - 1))))
-        out[i] = min(high, max(low, got))
+        got = hypergeometric(n, rest, left, rng) if n else 0
+        out[i] = min(n, left, max(0, left - rest, got))
         left -= out[i]
     return out
 
