@@ -98,3 +98,18 @@ def test_ranks_within_panels(spark):
     got = sorted((x["k"], x["iteration"], x["rank"]) for x in posterior.ranks(df, posterior.keys_of(df), "value", 3).collect())
     assert got == [("a", 0, 4.0), ("a", 1, 1.0), ("a", 2, 2.5), ("a", 3, 2.5), ("b", 0, 3.0), ("b", 1, 3.0), ("b", 2, 3.0), ("b", 3, 1.0)]
     assert posterior.summarise(df).count() == 2 and posterior.inclusion(df, 2).filter("param = 'c' AND pip = 1").count() >= 4
+
+
+def test_kinds(spark):
+    from vectide.operators import backtest, forecast, kinds, mcmc, niw, priors, structure, tuning
+
+    y = np.random.default_rng(1).standard_normal((60, 2))
+    sf = SeriesFrame(spark.createDataFrame([(i + 1, *map(float, v)) for i, v in enumerate(y)], "t long, a double, b double"), ("a", "b"))
+    var, har, mn, flat, fit = ols.var_lm(sf), ols.vhar_lm(sf, (3, 6)), niw.vhar_minnesota(sf, (3, 6)), niw.var_flat(sf), mcmc.var_bayes(sf)
+    sv = priors.BayesSpec(cov=priors.StochasticVolatility())
+    assert kinds.is_ols(var) and kinds.is_var(var) and not kinds.is_vhar(var) and kinds.is_vhar(har) and kinds.is_vhar(mn) and kinds.is_var(fit)
+    assert kinds.is_minnesota(mn) and not kinds.is_flat(mn) and kinds.is_flat(flat) and kinds.is_conjugate(flat) and not kinds.is_conjugate(var)
+    assert kinds.is_sampled(fit) and not kinds.is_volatile(fit) and kinds.is_volatile(sv) and kinds.is_volatile(sv.cov) and kinds.is_covariance(sv.cov)
+    assert kinds.is_prior(sv.prior, priors.Horseshoe) and not kinds.is_prior(sv.prior, priors.Ssvs) and kinds.is_spec(sv) and kinds.is_intercept(sv.intercept) and kinds.is_bounds(tuning.Bounds())
+    assert kinds.is_forecast(forecast.predict(var, sf, 2)) and kinds.is_impulse(structure.irf(var, spark)) and kinds.is_spillover(structure.spillover(var, spark))
+    assert kinds.is_backtest(backtest.forecast_roll(sf, Lags(1), 40, 1, 60)) and not kinds.is_backtest(var)

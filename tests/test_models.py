@@ -286,7 +286,7 @@ def test_bayes_queries_use_all_weeks(spark, monkeypatch):
     catalog.dynamic_spillover_sv(spark, d)
     catalog.dynamic_spillover_mcmc(spark, d)
     assert draws == [list(range(weeks - 1))] and windows == [(weeks, weeks, 200)]
-    assert seen == [(weeks, 200, 100)] * 5
+    assert seen == [(weeks, 1_000, 500)] * 5
 
 
 @pytest.mark.parametrize("mean", [0.0, 1e6, 1e8])

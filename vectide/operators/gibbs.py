@@ -383,7 +383,8 @@ class Chain:
         self.at = np.tril_indices(m, -1)
         self.d = np.exp(rng.uniform(-1, 1, m)) * sigma**2
         self.norms = np.diag(g.core)[: self.k] + self.n * g.mean[: self.k] ** 2
-        self.plain = Weighted.same(g, self.k, self.const, np.ones(1))
+        self.plain = Weighted.plain(g, self.k, self.const)
+        self.plain_xx = self.plain.xx()
         self.prec, self.mean = np.empty((rows, m)), np.zeros((rows, m))
         self.sparse_impacts = np.zeros(len(self.at[0]))
 
@@ -391,34 +392,40 @@ class Chain:
     def impacts(self) -> np.ndarray:
         return self.low[self.at]
 
-    def coefficients(self, w: Weighted) -> None:
-        """Coefficients equation by equation given all others, then impacts. ``w``: one weight for each series."""
+    def coefficients(self, w: Weighted | None = None) -> None:
+        """Coefficients equation by equation given all others, then impacts. ``w``: sums weighted for each series; without, the
+        variances are constant, and the plain sums serve all series."""
         k, m, rng, low = self.k, self.m, self.rng, self.low
         about = self.coef[:k] - self.prior.mean if self.prior.centred else self.coef[:k]
         a = self.impacts
         self.prec[:k], self.mean[:k] = self.prior.coef_prec(about, rng), self.prior.mean
         self.prec[k:], self.mean[k:] = 1 / self.spec.intercept.sd**2, self.spec.intercept.mean
-        xx = w.xx()
+        sums, inv = (self.plain, 1 / self.d) if w is None else (w, np.ones(m))
+        xx = self.plain_xx if w is None else w.xx()
         for j in range(m):
             rest = self.coef.copy()
             rest[:, j] = 0.0
-            xe, _ = w.residuals(rest)
-            omega = np.diag(self.prec[:, j]) + np.tensordot(low[j:, j] ** 2, xx[j:], 1)
-            rhs = self.prec[:, j] * self.mean[:, j] + np.einsum("i,ikl,il->k", low[j:, j], xe[j:], low[j:])
-            self.coef[:, j] = draw_normal(omega, rhs, rng)
-        _, ee = w.residuals(self.coef)
+            xe, load = sums.cross(rest), low[j:, j] * inv[j:]
+            if w is None:
+                omega, rhs = (low[j:, j] @ load) * xx[0], xe[0] @ (low[j:].T @ load)
+            else:
+                omega, rhs = np.tensordot(low[j:, j] * load, xx[j:], 1), np.einsum("i,ikl,il->k", load, xe[j:], low[j:])
+            omega.flat[:: len(omega) + 1] += self.prec[:, j]
+            self.coef[:, j] = draw_normal(omega, self.prec[:, j] * self.mean[:, j] + rhs, rng)
+        if m == 1:
+            self.prior.impact_prec(a, rng)
+            return
+        ee, same = sums.products(self.coef), w is None
         a_prec = self.prior.impact_prec(a, rng)
         for j in range(1, m):
-            at = self.at[0] == j
-            low[j, :j] = draw_normal(np.diag(a_prec[at]) + ee[j, :j, :j], -ee[j, :j, j], rng)
-        if m > 1:
-            size = np.diag(self.plain.residuals(self.coef)[1][0])
-            self.sparse_impacts = savs(self.impacts[:, None], size[self.at[1]], np.zeros((len(a), 1), dtype=bool))[:, 0]
+            at, e = self.at[0] == j, ee[0] * inv[j] if same else ee[j]
+            low[j, :j] = draw_normal(np.diag(a_prec[at]) + e[:j, :j], -e[:j, j], rng)
+        size = np.diag(ee[0] if same else self.plain.products(self.coef)[0])
+        self.sparse_impacts = savs(self.impacts[:, None], size[self.at[1]], np.zeros((len(a), 1), dtype=bool))[:, 0]
 
     def variances(self) -> None:
         """Constant variances."""
-        _, ee = self.plain.residuals(self.coef)
-        total = np.einsum("ij,jl,il->i", self.low, ee[0], self.low)
+        total = ((self.low @ self.plain.products(self.coef)[0]) * self.low).sum(axis=1)
         cov = self.spec.cov
         self.d = np.maximum(inverse_gamma(cov.shape + self.n / 2, cov.scale + 0.5 * total, self.rng), 1e-12)
 
@@ -459,7 +466,7 @@ def run_moments(g: Moments, lags: Lags, spec: priors.BayesSpec, rng: np.random.G
             h = draw_log_vol((z[:, chain.k :] - x @ chain.coef) @ chain.low.T, h, walk.h0, walk.var, rng)
             walk.hyper(h[0], (np.diff(np.vstack([walk.h0, h]), axis=0) ** 2).sum(axis=0), len(h), rng)
         else:
-            chain.coefficients(Weighted.same(g, chain.k, chain.const, 1 / chain.d))
+            chain.coefficients()
             chain.variances()
         if it >= spec.burn and (it - spec.burn) % spec.thin == 0:
             scales = {"h": h.ravel().copy(), "h0": walk.h0.copy(), "sigh": walk.var.copy()} if sv else {"d": chain.d.copy()}

@@ -215,7 +215,7 @@ def with_prior(g: Moments, k: int, const: bool, prior: Gram) -> tuple[np.ndarray
 
 @dataclass(frozen=True)
 class Weighted:
-    """Weighted sums about a fixed centre, one for each series (leading axis): weights ``n``, first and second moments ``s``
+    """Weighted sums about a fixed centre, one for each series (leading axis) or one for all: weights ``n``, first and second moments ``s``
     and ``ss`` of (regressors, responses) less ``centre``. What Gibbs steps need of the rows."""
 
     centre: np.ndarray
@@ -226,10 +226,9 @@ class Weighted:
     const: bool
 
     @staticmethod
-    def same(g: Moments, k: int, const: bool, weights: np.ndarray) -> Weighted:
-        """All rows of a series weigh the same."""
-        w = np.asarray(weights, dtype=float)
-        return Weighted(g.mean, w * g.n, np.zeros((len(w), len(g.mean))), w[:, None, None] * g.core, k, const)
+    def plain(g: Moments, k: int, const: bool) -> Weighted:
+        """All rows weigh one: a single set of sums for all series."""
+        return Weighted(g.mean, np.array([float(g.n)]), np.zeros((1, len(g.mean))), g.core[None], k, const)
 
     @staticmethod
     def of_rows(z: np.ndarray, centre: np.ndarray, weights: np.ndarray, k: int, const: bool) -> Weighted:
@@ -249,15 +248,23 @@ class Weighted:
         side = s + n * m
         return np.concatenate([np.concatenate([out, side[:, :, None]], axis=2), np.concatenate([side, n], axis=1)[:, None]], axis=1)
 
-    def residuals(self, coef: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """X'WE and E'WE of each series, E = Y - X coef."""
-        k, m = self.k, self.centre
-        load = np.vstack([-coef[:k], np.eye(len(m) - k)])
-        off = m @ load - (coef[k] if self.const else 0.0)
-        first, half = self.s @ load, self.ss @ load
+    def _loads(self, coef: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of E = Y - X coef: loads on (regressors, responses), the value at the centre, and both applied to the sums."""
+        k = self.k
+        load = np.vstack([-coef[:k], np.eye(len(self.centre) - k)])
+        off = self.centre @ load - (coef[k] if self.const else 0.0)
+        return load, off, self.s @ load, self.ss @ load
+
+    def cross(self, coef: np.ndarray) -> np.ndarray:
+        """X'WE of each series."""
+        k = self.k
+        _, off, first, half = self._loads(coef)
         mean = first + self.n[:, None] * off
-        xe = half[:, :k] + self.s[:, :k, None] * off + m[None, :k, None] * mean[:, None]
-        if self.const:
-            xe = np.concatenate([xe, mean[:, None]], axis=1)
+        xe = half[:, :k] + self.s[:, :k, None] * off + self.centre[None, :k, None] * mean[:, None]
+        return np.concatenate([xe, mean[:, None]], axis=1) if self.const else xe
+
+    def products(self, coef: np.ndarray) -> np.ndarray:
+        """E'WE of each series."""
+        load, off, first, half = self._loads(coef)
         cross = first[:, :, None] * off
-        return xe, load.T @ half + cross + np.swapaxes(cross, 1, 2) + self.n[:, None, None] * np.outer(off, off)
+        return load.T @ half + cross + np.swapaxes(cross, 1, 2) + self.n[:, None, None] * np.outer(off, off)

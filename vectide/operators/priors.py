@@ -154,8 +154,8 @@ class BayesSpec:
     intercept: Intercept = field(default_factory=Intercept)
     #: Prior precision scale of the impact matrix where the prior has no rule for it.
     chains: int = 2
-    n_iter: int = 200
-    burn: int = 100
+    n_iter: int = 1_000
+    burn: int = 500
     thin: int = 1
     seed: int = 1
 

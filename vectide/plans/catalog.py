@@ -6,6 +6,8 @@ draw random numbers or step an optimiser, and are tested against NumPy.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +15,8 @@ from pyspark.sql import functions as F
 from vectide.functions.design import Lags, group_matrix, har_matrix, minnesota_dummies, with_design
 from vectide.functions.special import gamma_from_mode
 from vectide.operators import backtest, criteria, forecast, gram, mcmc, metrics, niw, ols, posterior, priors, simulate, structure, tidy, tuning, volatility
-from vectide.sources.series import SeriesFrame, daily_prices, hourly_events, interpolate, panel_prices, split_tail, weekly_prices
-from vectide.sources.sinks import kept_table
+from vectide.sources.series import SeriesFrame, daily_prices, hourly_events, interpolate, panel_prices, read_series, split_tail, weekly_prices
+from vectide.sources.sinks import kept_table, scratch, write_table
 from vectide.streaming import online
 
 HOLD_OUT = 20
@@ -39,6 +41,8 @@ def two(spark, d: str) -> SeriesFrame:
 
 
 PLAIN = Lags(1, None, False)
+#: Chains of windows are shorter than those of fits: there are hundreds of them.
+WINDOW_SPEC = partial(priors.BayesSpec, n_iter=200, burn=100)
 
 
 def kept(sf: SeriesFrame) -> SeriesFrame:
@@ -323,14 +327,14 @@ def predict_density_bayes(spark, d):
 def roll_mcmc(spark, d):
     sf = kept(weekly_prices(spark, d))
     n = sf.count()
-    out = mcmc.backtest(sf, Lags(1), priors.BayesSpec(priors.Minnesota()), 150, 1, n)
+    out = mcmc.backtest(sf, Lags(1), WINDOW_SPEC(priors.Minnesota()), 150, 1, n)
     return out.groupBy("window", "t", "series").agg(F.avg("forecast").alias("forecast"), F.avg("lpl").alias("lpl"))
 
 
 def expand_mcmc(spark, d):
     sf = kept(weekly_prices(spark, d))
     n = sf.count()
-    return mcmc.backtest(sf, Lags(1), priors.BayesSpec(priors.Ssvs()), 150, 1, n, expanding=True)
+    return mcmc.backtest(sf, Lags(1), WINDOW_SPEC(priors.Ssvs()), 150, 1, n, expanding=True)
 
 
 def alpl(spark, d):
@@ -389,7 +393,7 @@ def predict_density_selected(spark, d):
 
 def dynamic_spillover_mcmc(spark, d):
     sf = kept(weekly_prices(spark, d))
-    return mcmc.dynamic_spillover(sf, Lags(1), priors.BayesSpec(priors.NormalGamma()), 150, sf.count(), 5)
+    return mcmc.dynamic_spillover(sf, Lags(1), WINDOW_SPEC(priors.NormalGamma()), 150, sf.count(), 5)
 
 
 def choose_bayes(spark, d):
@@ -617,6 +621,22 @@ def vhar_lag_coef(spark, d):
     return rounded(rows(spark, "lag int, estimate double", [(i + 1, m.lag_coef[i, 0]) for i in range(22)]), 5)
 
 
+def coef_parts(spark, d):
+    """The coefficient matrix of each lag of a VAR(2), cell by cell."""
+    parts = tidy.by_part(ols.var_lm(weekly_prices(spark, d), 2).coefficients(spark))
+    cells = parts.select("part", F.explode("matrix").alias("cell", "estimate"))
+    return rounded(cells.select("part", "cell.predictor", "cell.response", "estimate"))
+
+
+def sink_round_trip(spark, d):
+    """The weekly series written as CSV files by quarter of a year and read back as a series."""
+    sf = weekly_prices(spark, d)
+    path = f"{scratch(spark, 'sink')}/series"
+    write_table(sf.df.drop("t").withColumn("q", F.quarter("w")), path, ("q",), "csv", header="true")
+    back = read_series(spark, path, list(sf.names), "csv", "w", header="true", inferSchema="true")
+    return rounded(back.df.select("t", "w", *sf.names), 4)
+
+
 def sim_var_fitted(spark, d):
     m = ols.var_lm(weekly_prices(spark, d), 1)
     return simulate.sim_var(spark, m.coef, m.sigma, m.lags, 200, paths=4)
@@ -673,7 +693,7 @@ def queries() -> dict:
             out[f"vhar_bayes_{name}_{label}"] = _bayes(name, cov, True)
     out |= {f.__name__: f for f in (predict_density_minnesota, predict_density_bayes, roll_mcmc, expand_mcmc, alpl, roll_minnesota, roll_flat, spillover_posterior, dynamic_spillover_sv, dynamic_spillover_mcmc, choose_bayes, log_ml, log_ml_var2, dic, hierarchical_minnesota, summary_pvalue, resid_corr_3d, sim_mnormal, sim_var, flagship, flagship_daily)}
     out |= {f.__name__: f for f in (var2_chol_3d, var2_qr_3d, vhar_ols_3d, heat_map_3d, sample_sd, best_lag_ar, vhar_vma_2d, vhar_spillover_2d, forecast_vhar_1d, minnesota_var2_3d, minnesota_vhar_s_3d, minnesota_vhar_l_3d, minnesota_vhar_l_scale, flat_vhar_3d, expand_minnesota, spillover_minnesota, dynamic_spillover_minnesota, hierarchical_minnesota_vhar, predict_density_selected)}
-    out |= {f.__name__: f for f in (panel_ar1, panel_forecast, panel_roll, panel_bayes, forecast_minnesota_1d, forecast_minnesota_2d, spillover_minnesota_2d, dic_plug_in, rank_rhat, pip_constants, spectral, gamma_hyper_series, dummies_series, vhar_lag_coef, sim_var_fitted, sim_vhar_fitted, volatility_long, online_ar1)}
+    out |= {f.__name__: f for f in (panel_ar1, panel_forecast, panel_roll, panel_bayes, forecast_minnesota_1d, forecast_minnesota_2d, spillover_minnesota_2d, dic_plug_in, rank_rhat, pip_constants, spectral, gamma_hyper_series, dummies_series, vhar_lag_coef, sim_var_fitted, sim_vhar_fitted, volatility_long, online_ar1, coef_parts, sink_round_trip)}
     out |= {f"group_means_{k}": _group_means(k) for k in ("longrun", "short", "no")}
     out |= {"choose_bayes_vhar_s": _tuned(False), "choose_bayes_vhar_l": _tuned(True)}
     return out

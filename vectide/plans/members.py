@@ -69,6 +69,8 @@ SQL: dict[str, str] = {
     "gamma_hyper_series": _q(WEEKS + _CV, "SELECT series, round(m, 5) AS mode, round((r + sqrt(r * r - 4)) / 2, 5) AS shape, round(sqrt((r + sqrt(r * r - 4)) / 2) / CAST(0.4 AS DOUBLE), 5) AS rate FROM hy"),
     "vhar_lag_coef": f"SELECT CAST(l AS INTEGER) AS lag, round(CASE WHEN l = 1 THEN day ELSE 0 END + CASE WHEN l <= 5 THEN week / 5 ELSE 0 END + month / 22, 5) AS estimate FROM range(1, 23) x(l), (SELECT max(CASE WHEN term LIKE '%day' THEN estimate END) AS day, max(CASE WHEN term LIKE '%week' THEN estimate END) AS week, max(CASE WHEN term LIKE '%month' THEN estimate END) AS month FROM ({sql.SQL['har_ols_1d'].replace(', 6) AS', ', 12) AS')}) q) z",
     "online_ar1": _q(LONG, "SELECT series, round(regr_slope(v, x), 6) AS slope, round(regr_intercept(v, x), 3) AS intercept, count(*) AS n FROM (SELECT series, v, lag(v) OVER (PARTITION BY series ORDER BY t) AS x FROM lng) q WHERE x IS NOT NULL GROUP BY series"),
+    "coef_parts": f"SELECT right(term, 1) AS part, left(term, length(term) - 2) AS predictor, response, estimate FROM ({sweeps.SQL['var2_chol_3d']}) q WHERE term <> 'const'",
+    "sink_round_trip": sql.SQL["series_wide"],
     "panel_ar1": _q(PANEL, "SELECT l_returnflag, l_linestatus, 'price_1' AS term, 'price' AS response, round(b, 6) AS estimate FROM pg UNION ALL SELECT l_returnflag, l_linestatus, 'const', 'price', round(c, 2) FROM pg"),
     "panel_forecast": _q("WITH RECURSIVE " + PANEL.lstrip() + ",\nf(l_returnflag, l_linestatus, h, v) AS (SELECT l_returnflag, l_linestatus, 0, max_by(price, t) FROM ps GROUP BY 1, 2 UNION ALL SELECT l_returnflag, l_linestatus, h + 1, c + b * v FROM f JOIN pg USING (l_returnflag, l_linestatus) WHERE h < 3)", "SELECT l_returnflag, l_linestatus, CAST(h AS INTEGER) AS h, 'price' AS series, round(v, 2) AS forecast FROM f WHERE h > 0"),
     "panel_roll": _q(PANEL, """SELECT l_returnflag, l_linestatus, t - 100 AS "window", t + 2 AS t, 'price' AS series, round(c + b * (c + b * price), 2) AS forecast FROM (

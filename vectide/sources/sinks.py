@@ -8,9 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), fmt: str = "parquet", mode: str = "errorifexists") -> str:
+def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), fmt: str = "parquet", mode: str = "errorifexists", **options: str) -> str:
     """Write ``df`` in any format that Spark has, in folders by ``partition_by``; returns ``path``."""
-    df.write.format(fmt).mode(mode).partitionBy(*partition_by).save(path)
+    df.write.format(fmt).options(**options).mode(mode).partitionBy(*partition_by).save(path)
     return path
 
 
@@ -32,15 +32,21 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder; what is there is deleted by :func:`dropped`, or at the end of the process."""
+    if not _tables:
+        atexit.register(drop_tables)
+    path = f"{shared_folder(spark)}/vectide/{tag}-{uuid.uuid4().hex}"
+    _tables[path] = spark
+    return path
+
+
 def kept_table(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """``df`` written to the shared folder and read back, and its path: lineage ends here, and a lost executor costs nothing that is
     already written. Deleted by :func:`dropped`, or at the end of the process."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/vectide/{tag}-{uuid.uuid4().hex}"
+    path = scratch(spark, tag)
     df.write.parquet(path)
-    if not _tables:
-        atexit.register(drop_tables)
-    _tables[path] = spark
     return spark.read.schema(df.schema).parquet(path), path
 
 
