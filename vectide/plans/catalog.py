@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from vectide.functions.design import Lags, group_matrix, har_matrix, minnesota_dummies, with_design
 from vectide.functions.special import gamma_from_mode
-from vectide.operators import backtest, criteria, forecast, gram, mcmc, metrics, niw, ols, posterior, priors, simulate, structure, tidy, tuning, volatility
+from vectide.operators import backtest, criteria, forecast, gibbs, gram, mcmc, metrics, niw, ols, posterior, priors, simulate, structure, tidy, tuning, volatility
 from vectide.sources.series import SeriesFrame, daily_prices, hourly_events, interpolate, panel_prices, read_series, split_tail, weekly_prices
 from vectide.sources.sinks import kept_table, scratch, write_table
 from vectide.streaming import online
@@ -587,6 +587,67 @@ def spectral(spark, d):
     return rounded(posterior.spectral_norms(*_halves(spark, d), 32, 2))
 
 
+# Models whose draws are read off the embeddings: two series, one lag, impacts and scales
+
+def pseudo_fit(spark, d) -> mcmc.BayesFit:
+    """Each vector is a draw: twice its first four numbers are coefficients, the fifth the impact, the next two log scales, and
+    four times the next six the log variances of three dates."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding")
+    at = lambda i: F.col("embedding")[i - 1].cast("double")
+    cells = [*[("alpha", i, 2 * at(i)) for i in range(1, 5)], ("a", 1, at(5)), *[("d", i, F.exp(at(i + 5))) for i in (1, 2)], *[("h", i, 4 * at(i + 7)) for i in range(1, 7)]]
+    long = e.select((F.col("vec_id") % 2).cast("int").alias("chain"), (F.floor(F.col("vec_id") / 2) + 1).cast("int").alias("iteration"), F.explode(F.array(*[F.struct(F.lit(n).alias("param"), F.lit(i).alias("idx"), v.alias("value")) for n, i, v in cells])).alias("c"))
+    return mcmc.BayesFit(("x", "y"), PLAIN, priors.BayesSpec(), long.select("chain", "iteration", "c.param", "c.idx", "c.value"))
+
+
+def stable_draws(spark, d):
+    return mcmc.stable_draws(constant_scales(pseudo_fit(spark, d)))
+
+
+def constant_scales(fit: mcmc.BayesFit) -> mcmc.BayesFit:
+    return fit.with_draws(fit.draws.filter("param <> 'h'"))
+
+
+def spillover_draw_margins(spark, d):
+    return rounded(mcmc.spillover_margins(mcmc.spillover_draws(constant_scales(pseudo_fit(spark, d)), 2))[0], 4)
+
+
+def spillover_draw_pairs(spark, d):
+    return rounded(mcmc.spillover_margins(mcmc.spillover_draws(constant_scales(pseudo_fit(spark, d)), 2))[1], 4)
+
+
+def spillover_dates(spark, d):
+    return rounded(mcmc.spillover_summary(mcmc.spillover_draws(pseudo_fit(spark, d), 2, times=[0, 1, 2])), 4)
+
+
+def lpl_given(spark, d):
+    """Log predictive density of the last week (in ten thousands) under given draws, which serve its window as a fit."""
+    y = two(spark, d)
+    sf = kept(SeriesFrame(y.df.select("t", (F.col("y_A") / 1e4).alias("x"), (F.col("y_N") / 1e4).alias("y")), ("x", "y")))
+    n = sf.count()
+    out = mcmc.backtest(sf, PLAIN, WINDOW_SPEC(), n - 1, 1, n, fit=constant_scales(pseudo_fit(spark, d)))
+    return rounded(out.select("window", "chain", "t", "lpl").distinct(), 5)
+
+
+def savs_means(spark, d):
+    """Soft thresholds of a hundred times the mean of each embedding column, against its sum of squares."""
+    got = pseudo_draws(spark, d).groupBy("idx").agg(F.avg("value").alias("m"), F.sum(F.col("value") ** 2).alias("q")).orderBy("idx").collect()
+    out = gibbs.savs(np.array([[100 * r["m"]] for r in got]), np.array([r["q"] for r in got]), np.array([[r["idx"] > 60] for r in got]))
+    return rounded(rows(spark, "idx int, value double", [(r["idx"], v) for r, v in zip(got, out[:, 0], strict=True)]))
+
+
+def dynamic_spillover_minnesota_2d(spark, d):
+    """Spillovers of windows at the posterior mean under the dummy rows of TWO_SCALES."""
+    prior = niw.dummies_of(TWO_SCALES, PLAIN, np.asarray(TWO_SCALES.sigma))
+    long = backtest.dynamic_spillover(two(spark, d), PLAIN, 120, 1, backtest.conjugate_estimator(prior))
+    return rounded(structure.spillover_margins(long, ("t_end",)).select("t_end", "series", "to", "from", "net", "total"), 3)
+
+
+def alpl_naive(spark, d):
+    """Mean and median log density of one-step errors of the last value, with variance 1e8."""
+    w = with_design(one(spark, d), PLAIN).select(F.col("t").alias("window"), (-0.5 * F.log(F.lit(2e8 * np.pi)) - (F.col("y_A") - F.col("y_A_1")) ** 2 / 2e8).alias("lpl"))
+    return rounded(metrics.alpl(w).crossJoin(F.broadcast(metrics.alpl(w, True).withColumnRenamed("alpl", "median"))))  # one row each
+
+
 # Groups, hyperparameters and simulations that a table's own models and scales give
 
 def _group_means(kind):
@@ -693,7 +754,7 @@ def queries() -> dict:
             out[f"vhar_bayes_{name}_{label}"] = _bayes(name, cov, True)
     out |= {f.__name__: f for f in (predict_density_minnesota, predict_density_bayes, roll_mcmc, expand_mcmc, alpl, roll_minnesota, roll_flat, spillover_posterior, dynamic_spillover_sv, dynamic_spillover_mcmc, choose_bayes, log_ml, log_ml_var2, dic, hierarchical_minnesota, summary_pvalue, resid_corr_3d, sim_mnormal, sim_var, flagship, flagship_daily)}
     out |= {f.__name__: f for f in (var2_chol_3d, var2_qr_3d, vhar_ols_3d, heat_map_3d, sample_sd, best_lag_ar, vhar_vma_2d, vhar_spillover_2d, forecast_vhar_1d, minnesota_var2_3d, minnesota_vhar_s_3d, minnesota_vhar_l_3d, minnesota_vhar_l_scale, flat_vhar_3d, expand_minnesota, spillover_minnesota, dynamic_spillover_minnesota, hierarchical_minnesota_vhar, predict_density_selected)}
-    out |= {f.__name__: f for f in (panel_ar1, panel_forecast, panel_roll, panel_bayes, forecast_minnesota_1d, forecast_minnesota_2d, spillover_minnesota_2d, dic_plug_in, rank_rhat, pip_constants, spectral, gamma_hyper_series, dummies_series, vhar_lag_coef, sim_var_fitted, sim_vhar_fitted, volatility_long, online_ar1, coef_parts, sink_round_trip)}
+    out |= {f.__name__: f for f in (panel_ar1, panel_forecast, panel_roll, panel_bayes, forecast_minnesota_1d, forecast_minnesota_2d, spillover_minnesota_2d, dic_plug_in, rank_rhat, pip_constants, spectral, gamma_hyper_series, dummies_series, vhar_lag_coef, sim_var_fitted, sim_vhar_fitted, volatility_long, online_ar1, coef_parts, sink_round_trip, stable_draws, spillover_draw_margins, spillover_draw_pairs, spillover_dates, savs_means, dynamic_spillover_minnesota_2d, alpl_naive, lpl_given)}
     out |= {f"group_means_{k}": _group_means(k) for k in ("longrun", "short", "no")}
     out |= {"choose_bayes_vhar_s": _tuned(False), "choose_bayes_vhar_l": _tuned(True)}
     return out

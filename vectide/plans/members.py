@@ -49,6 +49,26 @@ RANKED = DRAWS + ",\nme AS (SELECT param, idx, median(value) AS m FROM dr GROUP
 
 
 
+# Draws of two series and one lag, as the catalog reads them off the embeddings.
+PSEUDO = """
+e AS (SELECT CAST(vec_id % 2 AS INTEGER) AS chain, CAST(vec_id // 2 + 1 AS INTEGER) AS iteration, 2 * CAST(embedding[1] AS DOUBLE) AS b11, 2 * CAST(embedding[2] AS DOUBLE) AS b21, 2 * CAST(embedding[3] AS DOUBLE) AS b12, 2 * CAST(embedding[4] AS DOUBLE) AS b22,
+  CAST(embedding[5] AS DOUBLE) AS a, exp(CAST(embedding[6] AS DOUBLE)) AS d1, exp(CAST(embedding[7] AS DOUBLE)) AS d2, embedding FROM embeddings)"""
+
+
+def _shares(source: str) -> str:
+    """Tables that end in sh: t12 and t21, what x gets from y and y from x, in two steps, of ``source`` (b, a, d1, d2, t)."""
+    return f""",
+co AS (SELECT *, d1 AS s11, -a * d1 AS s12, a * a * d1 + d2 AS s22 FROM {source}),
+pp AS (SELECT *, s11 * s11 / s11 + (b11 * s11 + b21 * s12) * (b11 * s11 + b21 * s12) / s11 AS p11, s12 * s12 / s22 + (b11 * s12 + b21 * s22) * (b11 * s12 + b21 * s22) / s22 AS p12,
+  s12 * s12 / s11 + (b12 * s11 + b22 * s12) * (b12 * s11 + b22 * s12) / s11 AS p21, s22 * s22 / s22 + (b12 * s12 + b22 * s22) * (b12 * s12 + b22 * s22) / s22 AS p22 FROM co),
+sh AS (SELECT t, 100 * p12 / (p11 + p12) AS t12, 100 * p21 / (p21 + p22) AS t21 FROM pp)"""
+
+
+_STATS = "round(avg(v), 4) AS {}, round(stddev_samp(v), 4) AS sd, round(quantile_cont(v, 0.025), 4) AS lower, round(quantile_cont(v, 0.975), 4) AS upper"
+_ONCE = PSEUDO + ",\nec AS (SELECT *, CAST(-1 AS BIGINT) AS t FROM e)" + _shares("ec")
+_DATED = PSEUDO + ",\ned AS (SELECT chain, iteration, b11, b21, b12, b22, a, exp(4 * CAST(embedding[8 + 2 * t] AS DOUBLE)) AS d1, exp(4 * CAST(embedding[9 + 2 * t] AS DOUBLE)) AS d2, CAST(t AS BIGINT) AS t FROM e, range(0, 3) r(t))" + _shares("ed")
+
+
 def _group_means(kind: str) -> str:
     own = "left(term, 3) = response"
     lag = "CAST(right(term, 1) AS INTEGER)"
@@ -69,6 +89,17 @@ SQL: dict[str, str] = {
     "gamma_hyper_series": _q(WEEKS + _CV, "SELECT series, round(m, 5) AS mode, round((r + sqrt(r * r - 4)) / 2, 5) AS shape, round(sqrt((r + sqrt(r * r - 4)) / 2) / CAST(0.4 AS DOUBLE), 5) AS rate FROM hy"),
     "vhar_lag_coef": f"SELECT CAST(l AS INTEGER) AS lag, round(CASE WHEN l = 1 THEN day ELSE 0 END + CASE WHEN l <= 5 THEN week / 5 ELSE 0 END + month / 22, 5) AS estimate FROM range(1, 23) x(l), (SELECT max(CASE WHEN term LIKE '%day' THEN estimate END) AS day, max(CASE WHEN term LIKE '%week' THEN estimate END) AS week, max(CASE WHEN term LIKE '%month' THEN estimate END) AS month FROM ({sql.SQL['har_ols_1d'].replace(', 6) AS', ', 12) AS')}) q) z",
     "online_ar1": _q(LONG, "SELECT series, round(regr_slope(v, x), 6) AS slope, round(regr_intercept(v, x), 3) AS intercept, count(*) AS n FROM (SELECT series, v, lag(v) OVER (PARTITION BY series ORDER BY t) AS x FROM lng) q WHERE x IS NOT NULL GROUP BY series"),
+    "stable_draws": _q(PSEUDO, "SELECT chain, iteration, CASE WHEN disc < 0 THEN det < 1 ELSE greatest(abs(tr + sqrt(abs(disc))), abs(tr - sqrt(abs(disc)))) / 2 < 1 END AS stable FROM (SELECT chain, iteration, b11 + b22 AS tr, b11 * b22 - b12 * b21 AS det, (b11 + b22) * (b11 + b22) - 4 * (b11 * b22 - b12 * b21) AS disc FROM e) q"),
+    "spillover_draw_margins": _q(_ONCE, "SELECT t, series, measure, " + _STATS.format("value") + " FROM (SELECT t, 'x' AS series, 'to' AS measure, t21 AS v FROM sh UNION ALL SELECT t, 'x', 'from', t12 FROM sh UNION ALL SELECT t, 'x', 'net', t21 - t12 FROM sh UNION ALL SELECT t, 'y', 'to', t12 FROM sh UNION ALL SELECT t, 'y', 'from', t21 FROM sh UNION ALL SELECT t, 'y', 'net', t12 - t21 FROM sh UNION ALL SELECT t, CAST(NULL AS VARCHAR), 'total', (t12 + t21) / 2 FROM sh) q GROUP BY 1, 2, 3"),
+    "spillover_draw_pairs": _q(_ONCE, "SELECT t, series, shock, " + _STATS.format("net") + " FROM (SELECT t, 'x' AS series, 'y' AS shock, (t21 - t12) / 2 AS v FROM sh UNION ALL SELECT t, 'y', 'x', (t12 - t21) / 2 FROM sh) q GROUP BY 1, 2, 3"),
+    "spillover_dates": _q(_DATED, "SELECT t, series, shock, " + _STATS.format("spillover") + " FROM (SELECT t, 'x' AS series, 'x' AS shock, 100 - t12 AS v FROM sh UNION ALL SELECT t, 'x', 'y', t12 FROM sh UNION ALL SELECT t, 'y', 'x', t21 FROM sh UNION ALL SELECT t, 'y', 'y', 100 - t21 FROM sh) q GROUP BY 1, 2, 3"),
+    "lpl_given": _q(WEEKS + "," + PSEUDO + """,
+la AS (SELECT max(t) AS t, max_by(a, t) / 10000 AS x, max_by(n, t) / 10000 AS y FROM s),
+be AS (SELECT s.a / 10000 AS px, s.n / 10000 AS py, la.x, la.y, la.t FROM s, la WHERE s.t = la.t - 1),
+er AS (SELECT chain, be.t, a, d1, d2, x - px * b11 - py * b21 AS e1, y - px * b12 - py * b22 AS e2 FROM e, be)""", "SELECT CAST(0 AS BIGINT) AS \"window\", chain, t, round(avg(-ln(2 * pi()) - (ln(d1) + ln(d2)) / 2 - (e1 * e1 / d1 + (a * e1 + e2) * (a * e1 + e2) / d2) / 2), 5) AS lpl FROM er GROUP BY chain, t"),
+    "savs_means": _q(DRAWS, "SELECT idx, round(m * greatest(abs(m) * q - CASE WHEN idx > 60 THEN CAST(0 AS DOUBLE) ELSE 1 / (m * m) END, CAST(0 AS DOUBLE)) / (abs(m) * q), 6) AS value FROM (SELECT idx, 100 * avg(value) AS m, sum(value * value) AS q FROM dr GROUP BY idx) z"),
+    "dynamic_spillover_minnesota_2d": sql.SQL["dynamic_spillover_2d"].replace("FROM r WHERE t >= 120)", "FROM rr WHERE t >= 120)").replace(",\nq AS (", ",\nrr AS (SELECT t, x11 + CAST(1600000000 AS DOUBLE) AS x11, x12, x22 + CAST(2500000000 AS DOUBLE) AS x22, c11 + CAST(1600000000 AS DOUBLE) AS c11, c21, c12, c22 + CAST(2500000000 AS DOUBLE) AS c22, yaa + CAST(1616000000 AS DOUBLE) AS yaa, yan, ynn + CAST(2525000000 AS DOUBLE) AS ynn FROM r),\nq AS (", 1),
+    "alpl_naive": _q(WEEKS, "SELECT round(avg(v), 6) AS alpl, round(median(v), 6) AS median FROM (SELECT -ln(200000000 * pi()) / 2 - (a - p) * (a - p) / 200000000 AS v FROM (SELECT a, lag(a) OVER (ORDER BY t) AS p FROM s) q WHERE p IS NOT NULL) z"),
     "coef_parts": f"SELECT right(term, 1) AS part, left(term, length(term) - 2) AS predictor, response, estimate FROM ({sweeps.SQL['var2_chol_3d']}) q WHERE term <> 'const'",
     "sink_round_trip": sql.SQL["series_wide"],
     "panel_ar1": _q(PANEL, "SELECT l_returnflag, l_linestatus, 'price_1' AS term, 'price' AS response, round(b, 6) AS estimate FROM pg UNION ALL SELECT l_returnflag, l_linestatus, 'const', 'price', round(c, 2) FROM pg"),
