@@ -20,6 +20,7 @@ have seen, which flatters it where there are few.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -154,11 +155,16 @@ def part_of(pair, parts: int):
     return pair * 2_654_435_761 % 4_294_967_296 % parts
 
 
+@dataclass(frozen=True)
 class Model:
     """Sorted keys with their values: ``tables[lang][size]`` = (n-grams, shares, contexts, weights)."""
 
-    def __init__(self, langs: list[str], rows: pa.Table):
-        self.langs, self.tables = langs, []
+    langs: list[str]
+    tables: list[list[tuple[np.ndarray, ...]]]
+
+    @staticmethod
+    def of(langs: list[str], rows: pa.Table) -> Model:
+        tables = []
         lang = rows["lang"].combine_chunks().dictionary_encode() if rows.num_rows else None
         names = lang.dictionary.to_pylist() if lang is not None else []
         code = lang.indices.to_numpy() if lang is not None else np.empty(0, dtype=int)
@@ -173,7 +179,8 @@ class Model:
                     at = at[np.argsort(key[at])]
                     pair += [key[at], value[at].astype(np.float32)]
                 orders.append(tuple(pair))
-            self.tables.append(orders)
+            tables.append(orders)
+        return Model(langs, tables)
 
     @staticmethod
     def _found(keys: np.ndarray, values: np.ndarray, want: np.ndarray, other: float) -> np.ndarray:
@@ -221,12 +228,12 @@ class Memory:
 def with_bits(docs: DataFrame, langs: list[str], model: Model, part: int, parts: int, more: bool) -> DataFrame:
     """``docs`` (doc_id, lang, text) with the bits of each language (added to those it has, if it has them), the number of
     symbols, and whether there is a letter. Without ``more`` to come the text goes."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model.tables)  # arrays: workers need no copy of this package
     first = "bits" not in docs.columns
     names = ["doc_id", "lang", *(["text"] if more else []), "bits", "n", "letter"]
 
     def run(batches):
-        coder, memory, n_langs = Coder(), Memory(sent.value), len(langs)
+        coder, memory, n_langs = Coder(), Memory(Model(langs, sent.value)), len(langs)
         for batch in slices(batches):
             texts = batch.column(2).to_pylist()
             n, letters, bits = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64), np.zeros((len(texts), n_langs))
@@ -273,7 +280,7 @@ def languages(docs: DataFrame, model_keys: int = MODEL_ROWS) -> DataFrame:
     for part in range(parts):
         pair = F.when(F.col("context"), F.col("key")).otherwise(F.shiftrightunsigned("key", BITS)).bitwiseAND(CODES * CODES - 1)
         own = model if parts == 1 else model.filter((F.col("size") <= 2) | (part_of(pair, parts) == part))
-        rows = with_bits(rows, langs, Model(langs, own.toArrow()), part, parts, part + 1 < parts)
+        rows = with_bits(rows, langs, Model.of(langs, own.toArrow()), part, parts, part + 1 < parts)
         rows = keep(rows, "language-bits")
     order = F.array_sort(F.transform("bits", lambda b, i: F.struct(b.alias("bits"), i.alias("at"))))
     rows = rows.withColumn("order", order).withColumn("best", F.element_at(F.array(*map(F.lit, langs)), F.col("order")[0]["at"] + 1))
