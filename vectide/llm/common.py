@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vectide.sources.series import scan
+
 #: A key with more than this share of all rows is hot; so at most 1 / HOT_SHARE keys are.
 HOT_SHARE = 1 / 4096
 #: Rows that one block of a blocked prefix sum holds on average.
@@ -127,13 +129,12 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], n: str, total:
 def ranked(df: DataFrame, by: list[str], order: list[Column], block: Column, weight: Column | None, out: str) -> DataFrame:
     """Adds ``out``: the sum of ``weight`` (1 where None) over earlier rows of the same ``by`` key, in the order
     (block, order). ``block`` is a column that cuts each key into blocks of bounded size, so that no task sorts a
-    whole key: one small sum by (key, block) gives each block its start. ``by`` columns hold no nulls.
+    whole key: one small sum by (key, block), scanned in two levels, gives each block its start. ``by`` columns hold no nulls.
     """
     w = F.lit(1).cast("long") if weight is None else weight.cast("long")
     rows = df.withColumn("__block", block).withColumn("__w", w)
     sums = rows.groupBy(*by, "__block").agg(F.sum("__w").alias("__s"))
-    over = Window.partitionBy(*by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1) if by else Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*by, "__block", F.coalesce(F.sum("__s").over(over), F.lit(0)).alias("__start"))
+    starts = scan(sums, by, "__block", {"__s": (F.sum, False)}).select(*by, "__block", F.coalesce("__s", F.lit(0)).alias("__start"))
     inner = Window.partitionBy(*by, "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn(out, F.coalesce(F.sum("__w").over(inner), F.lit(0)))
     joined = rows.join(starts, [*by, "__block"])
