@@ -132,12 +132,17 @@ def rank_rhat(draws: DataFrame, blocks: int = RANK_BLOCKS) -> DataFrame:
     return both.select(*keys, "bulk", "tail", F.greatest("bulk", "tail").alias("rhat"))
 
 
+#: Parameters that a warning names at most, the worst ones.
+MOST_NAMED = 100
+
+
 def warn_unless_converged(draws: DataFrame, threshold: float = 1.1) -> list[str]:
     """Warn of parameters whose rank-normalised R-hat is at or above ``threshold``, and return their names."""
-    worst = rank_rhat(draws).filter(F.col("rhat") >= threshold)
-    found = [f"{r['param']}[{r['idx']}]" for r in worst.orderBy(F.desc("rhat")).limit(100).collect()]
+    worst = rank_rhat(draws).filter(F.col("rhat") >= threshold).orderBy(F.desc("rhat"), *keys_of(draws)).limit(MOST_NAMED + 1).collect()
+    found = [f"{r['param']}[{r['idx']}]" for r in worst[:MOST_NAMED]]
     if found:
-        warnings.warn(f"R-hat of {threshold} or more for {worst.count()} parameters: {', '.join(found)}", stacklevel=2)
+        more = " and others" if len(worst) > MOST_NAMED else ""
+        warnings.warn(f"R-hat of {threshold} or more: {', '.join(found)}{more}", stacklevel=2)
     return found
 
 
