@@ -257,15 +257,17 @@ def test_a_long_series_is_sampled_by_stretches(spark):
     y = np.zeros((230, 2))
     for t in range(1, 230):
         y[t] = 0.6 * y[t - 1] + np.exp(h[t] / 2) * r.standard_normal(2)
-    sf, spec = frame(spark, y), priors.BayesSpec(priors.Minnesota(lam=1.0), priors.StochasticVolatility(), chains=1, n_iter=24, burn=12)
+    sf, spec = frame(spark, y), priors.BayesSpec(priors.Minnesota(lam=1.0), priors.StochasticVolatility(), chains=1, n_iter=40, burn=16)
     fit = volatility.fit_long(sf, Lags(1), spec, 50)
     levels = fit.levels.toPandas()
+    memory = gibbs.run_chain(*backtest.design_arrays(y, Lags(1)), Lags(1), priors.BayesSpec(spec.prior, spec.cov, n_iter=600, burn=200), r)["h"].mean(axis=0).reshape(-1, 2)
     assert len(levels) == 229 * 2 and levels.t.min() == 2 and levels.t.max() == 230
     for j, name in enumerate(("y1", "y2")):
         got = levels[levels.series == name].sort_values("t").log_var.to_numpy()
-        assert np.corrcoef(got, h[1:, j])[0, 1] > 0.7
+        # a long chain in memory has the same posterior mean
+        assert np.corrcoef(got, h[1:, j])[0, 1] > 0.7 and np.corrcoef(got, memory[:, j])[0, 1] > 0.75
     draws = fit.draws.toPandas()
-    assert sorted(draws.param.unique()) == ["a", "a_sparse", "alpha", "alpha_sparse", "c", "c_sparse", "h0", "sigh"] and draws.iteration.max() == 12
+    assert sorted(draws.param.unique()) == ["a", "a_sparse", "alpha", "alpha_sparse", "c", "c_sparse", "h0", "sigh"] and draws.iteration.max() == 24
     slope = draws[(draws.param == "alpha") & draws.idx.isin([1, 4])].value.mean()
     assert abs(slope - 0.6) < 0.15
     few = priors.BayesSpec(priors.Minnesota(lam=1.0), priors.StochasticVolatility(), chains=1, n_iter=3, burn=2)
