@@ -100,6 +100,20 @@ def test_ranks_within_panels(spark):
     assert posterior.summarise(df).count() == 2 and posterior.inclusion(df, 2).filter("param = 'c' AND pip = 1").count() >= 4
 
 
+def test_ranks_do_not_depend_on_the_order_of_rows(spark):
+    def shaken(batches):  # another order each time that the rows are read, as blocks of a shuffle come in
+        for batch in batches:
+            yield batch.sample(frac=1, random_state=int(np.random.default_rng().integers(1 << 31)))
+
+    df = spark.range(0, 120_000, 1, 6).select(F.lit(1).alias("idx"), F.xxhash64("id").cast("double").alias("value")).mapInPandas(shaken, "idx int, value double")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = posterior.ranks(df, ["idx"], "value").groupBy("idx").agg(F.countDistinct("rank"), F.min("rank"), F.max("rank"), F.max("total")).collect()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert [tuple(x)[1:] for x in got] == [(120_000, 1.0, 120_000.0, 120_000)]
+
+
 def test_kinds(spark):
     from vectide.operators import backtest, forecast, kinds, mcmc, niw, priors, structure, tuning
 

@@ -94,6 +94,19 @@ def normal_score(p: Column) -> Column:
 
 #: Range blocks that the values of a parameter are cut into, at most; a task ranks one block.
 RANK_BLOCKS = 64
+#: Distinct values that a range block is cut by, on average, at most.
+CUT_VALUES = 32
+
+
+def range_cuts(counts: DataFrame, keys: list[str], value: str, blocks: int = RANK_BLOCKS) -> DataFrame:
+    """``keys``, ``__cuts`` (fewer than ``blocks`` values, ascending) and ``total`` (sum of ``__n``) of distinct values. The cuts are
+    quantiles of the values that a hash picks, so they are the same each time that they are computed, in any order of rows."""
+    sizes = counts.groupBy(*keys).agg(F.count("*").alias("__d"), F.sum("__n").alias("total"))
+    every = F.ceil(F.col("__d") / (CUT_VALUES * blocks))
+    some = F.when(F.pmod(F.xxhash64(*keys, value), every) == 0, F.col(value))
+    taken = counts.join(sizes, keys).groupBy(*keys, "total").agg(F.sort_array(F.collect_list(some)).alias("__cuts"))
+    part = lambda i: F.floor(i * blocks / F.size("__cuts"))
+    return taken.withColumn("__cuts", F.filter("__cuts", lambda _, i: (i > 0) & (part(i) > part(i - 1))))
 
 
 def ranks(values: DataFrame, keys: list[str], value: str, blocks: int = RANK_BLOCKS) -> DataFrame:
@@ -101,8 +114,7 @@ def ranks(values: DataFrame, keys: list[str], value: str, blocks: int = RANK_BLO
     distinct ones are cut into range blocks at approximate quantiles, which are numbered apart and moved by the counts of the
     blocks before them. So ranks are exact, and no task sorts all values of a key."""
     counts = values.groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, [i / blocks for i in range(1, blocks)], 1_000).alias("__cuts"), F.sum("__n").alias("total"))
-    placed = counts.join(cuts, keys).withColumn("__block", F.aggregate("__cuts", F.lit(0), lambda a, c: a + (c < F.col(value)).cast("int"))).drop("__cuts")
+    placed = counts.join(range_cuts(counts, keys, value, blocks), keys).withColumn("__block", F.aggregate("__cuts", F.lit(0), lambda a, c: a + (c < F.col(value)).cast("int"))).drop("__cuts")
     sums = placed.groupBy(*keys, "__block").agg(F.sum("__n").alias("__s"))
     before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # RANK_BLOCKS rows
     starts = sums.select(*keys, "__block", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__start"))
