@@ -830,3 +830,19 @@ def test_pipeline_of_odd_rows(spark, tmp_path, empty_table):
     assert sorted(x["n_tokens"] for x in index) == sorted(ids)
     words = sum(len((t or "").split()) for _, t in want)
     assert abs(sum(len(x["text"].split()) for x in mixed) - words) <= 3 and len(index) == len(mixed)
+
+
+def test_small_components_take_one_broadcast_for_each_join(spark, monkeypatch):
+    from vectide.llm import common
+
+    joins = []
+    real = common.spread_join
+    monkeypatch.setattr(common, "spread_join", lambda *a, **k: joins.append(real(*a, **k)) or joins[-1])
+    edges = spark.createDataFrame([(1, 2), (2, 3), (4, 3), (9, 8), (7, 9), *((20, i) for i in range(21, 60))], "u long, v long")
+    want = {1: 1, 2: 1, 3: 1, 4: 1, 7: 7, 8: 7, 9: 7} | dict.fromkeys(range(20, 60), 20)
+    assert dict(map(tuple, common.components(edges, "small").collect())) == want
+    plan = joins[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("strategy=broadcast") == 1
+    monkeypatch.setattr(common, "SMALL_ROWS", 0)  # the way of larger tables, with hot keys
+    monkeypatch.setattr(common, "HOT_SHARE", 0.05)
+    assert dict(map(tuple, common.components(edges, "small").collect())) == want

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vectide.llm.common import components, inner, keep, picked, read, slices, spread_join
+from vectide.llm.common import SMALL_ROWS, components, inner, keep, picked, read, slices, spread_join
 from vectide.llm.golay import golay
 
 SHINGLE_WORDS = 4
@@ -156,7 +156,7 @@ def grouped(rows: DataFrame) -> DataFrame:
     roots = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "id", "n", F.coalesce("root", "fp").alias("root"))
     best = roots.groupBy("root").agg(F.min(F.struct("id", "fp")).alias("s"), F.count("*").alias("size"))
     best = best.select("root", F.col("s.id").alias("component_id"), F.col("s.fp").alias("first"), "size")
-    return spread_join(roots, best, ["root"], "size", distinct.count()).drop("root")
+    return spread_join(roots, best, ["root"], "size", distinct.count(), small=SMALL_ROWS).drop("root")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -164,7 +164,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links reach, its own included)."""
     rows = keep(fingerprints(docs), "simhash-rows")
     total = rows.count()
-    out = spread_join(rows, grouped(rows).select("fp", "n", "component_id"), ["fp"], "n", total)
+    out = spread_join(rows, grouped(rows).select("fp", "n", "component_id"), ["fp"], "n", total, small=SMALL_ROWS)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
