@@ -625,6 +625,60 @@ def test_edited_passages_are_found(spark):
     assert len(want) >= 1400 and found <= want and len(found) / len(want) >= 0.998
 
 
+def pairs_by_brute_force(texts):
+    x = [passages.Shingler().shingles(t).astype(np.uint32).view(np.int32) for t in texts]
+    holders = {}
+    for i, v in enumerate(x):
+        for s in set(v.tolist()):
+            holders.setdefault(s, []).append(i)
+    shared = {(a, b) for ids in holders.values() for k, b in enumerate(ids) for a in ids[:k]}
+    return {(a, b) for a, b in shared if passages.verified(x[a], x[b], passages.SIMILARITY)}
+
+
+def test_holders_of_halves_do_not_hide_an_edited_passage(spark):
+    r = random.Random(16)
+    texts = []
+    for _ in range(150):
+        p = text(r, 60).split()
+        k = r.randrange(8, 52)
+        texts += [f"{text(r, 20)} {' '.join(x)} {text(r, 20)}" for x in (p, p[:30], p[30:], [*p[:k], "edited", *p[k + 1 :]])]
+    want = pairs_by_brute_force(texts)
+    got = passages.passages(make(spark, texts)).toPandas()
+    assert len(want) > 100 and set(zip(got.other_id, got.doc_id, strict=True)) == want
+
+
+def test_all_pairs_of_variants_are_found(spark):
+    r = random.Random(17)
+    texts = []
+    for n in (54, 60, 75, 90, 120, 200):
+        for _ in range(12):
+            p = text(r, n).split()
+            for _ in range(4):  # one to four words changed, put in or taken out
+                q = list(p)
+                for _ in range(r.randint(1, max(1, n // 45))):
+                    k = r.randrange(len(q))
+                    q[k : k + r.randint(0, 1)] = [f"new{r.randrange(1000)}"] * r.randint(0, 1)
+                texts.append(f"{text(r, r.randrange(40))} {' '.join(q)} {text(r, r.randrange(40))}")
+    want = pairs_by_brute_force(texts)
+    got = passages.passages(make(spark, texts)).toPandas()
+    found = set(zip(got.other_id, got.doc_id, strict=True))
+    exact = {(a, b) for a, b in want if longest_run(texts[a].split(), texts[b].split()) >= passages.LEAST_WORDS}
+    assert len(want - exact) > 80 and found <= want and found >= want - exact
+    root = {i: i for i in range(len(texts))}
+    for a, b in sorted(found):  # passages held word for word are linked in chains
+        low, high = sorted((root[a], root[b]))
+        root = {i: low if v == high else v for i, v in root.items()}
+    assert all(root[a] == root[b] for a, b in exact)
+
+
+def longest_run(x, y):
+    best, row = 0, [0] * (len(y) + 1)
+    for v in x:
+        row = [0, *(row[j] + 1 if v == u else 0 for j, u in enumerate(y))]
+        best = max(best, *row)
+    return best
+
+
 def test_a_part_grown_too_far_leaves_its_exact_run():
     r = np.random.default_rng(5)
     new = lambda n: r.integers(0, 1 << 30, n).astype(np.int32)
